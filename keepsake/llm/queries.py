@@ -1,30 +1,64 @@
-"""The registered queries of the training-data operators, each over its whole table."""
+"""The registered queries of the training-data operators, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from . import fingerprints, hilbert_search, mixing, ngram_join, pii, sentencepiece_codec, sharding, token_counts, toxicity, warc
+from .common import scratch, table
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .ngram_join import join
-
-    return join(table(spark, sf_dir, "documents"), width=4, percent=85)
+    return ngram_join.join(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sentencepiece_codec import encode_decode, with_digests
+    return sentencepiece_codec.with_digests(sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_search.search(table(spark, sf_dir, "embeddings"), k=10, queries="vec_id % 100 = 0")
+
+
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.plan(table(spark, sf_dir, "documents"), weights=(1, 2, 3), share=1.0, most=3)
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"), "source")
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts_by_section(token_counts.section_counts(table(spark, sf_dir, "documents"), fields=("source", "lang", "text"), joint=" ", rule="most"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.scored(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write(warc.records(table(spark, sf_dir, "pages"), least=0), path)
+    return warc.page_table(warc.read_chunks(spark, path, with_data=False))
+
 
-    return with_digests(encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_ngram_join": op1_ngram_join,
-    "op2_sentencepiece": op2_sentencepiece,
-}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_sentencepiece, op3_nearest_neighbours, op4_source_mix, op5_fingerprints, op6_token_counts, op7_toxicity, op8_shards, op9_warc, op10_pii)}
 
 #: DuckDB SQL where SQL can express the query; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {}
