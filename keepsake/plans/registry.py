@@ -25,13 +25,20 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    """Importing the plans registers their queries."""
+    from . import people, relational, scalars, search, sequences  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _QUERIES["rt04_hybrid_search"](spark, sf_dir)
+    return queries()["rt04_hybrid_search"](spark, sf_dir)
