@@ -69,13 +69,15 @@ def _feature_table(docs: DataFrame, text: str) -> DataFrame:
     return docs.select("row", "positive", text).mapInArrow(run, "row long, positive boolean, features array<long>")
 
 
-def fit_risk(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, width: int, prior: float, steps: int = 400, rate: float = 0.1, penalty: float = 2e-4) -> np.ndarray:
-    """Weights and bias (last) of a logistic classifier under the non-negative risk; (rows, cols) are the ones of a sparse 0/1 matrix. Adam, full batches."""
+def fit_risk(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, width: int, prior: float, steps: int = 400, rate: float = 0.1, penalty: float = 2e-4, sparsity: float = 0.12) -> np.ndarray:
+    """Weights and bias (last) of a logistic classifier under the non-negative risk; (rows, cols) are the ones of a sparse 0/1 matrix. Adam on full batches with falling steps; after each, weights shrink by sparsity over the number of positives, so features that others make needless go to zero."""
     n, w = len(positive), np.zeros(width + 1)
     w[-1] = -2.0
     m, v = np.zeros_like(w), np.zeros_like(w)
     p, u = positive / max(positive.sum(), 1), ~positive / max((~positive).sum(), 1)
+    sparse = sparsity / max(positive.sum(), 1)
     for k in range(1, steps + 1):
+        step = rate * min(1.0, 2 * (1 - k / steps) + 0.02)
         z = np.bincount(rows, w[cols], n) + w[-1]
         s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         negative = (u - prior * p) @ np.logaddexp(0, z)
@@ -85,7 +87,9 @@ def fit_risk(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, width: in
             g = -(u - prior * p) * s
         grad = np.append(np.bincount(cols, g[rows], width), g.sum()) + penalty * np.append(w[:-1], 0) * prior
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        w -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+        scale = np.sqrt(v / (1 - 0.999**k)) + 1e-8
+        w -= step * (m / (1 - 0.9**k)) / scale
+        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - step * sparse / scale[:-1], 0)
     return w
 
 
@@ -117,9 +121,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", positives: int
     unit = lambda seed: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11) / F.lit(float(1 << 53))
     marked = toxic.filter("toxic = 1").filter(unit(1) < min(1.0, positives / counts["p"])).select("doc_id", F.lit(True).alias("positive"))
     free = ids.filter(unit(2) < min(1.0, unlabelled / max(total, 1))).select("doc_id", F.lit(False).alias("positive"))
-    chosen = marked.unionByName(free.join(marked, "doc_id", "left_anti")).dropDuplicates(["doc_id"])
+    chosen = marked.unionByName(free)  # a document may stand on both sides: the unlabelled are a sample of all
     chosen = F.broadcast(stored(chosen, "sample"))  # at most positives + unlabelled rows, give or take their hashes
-    sample = docs.join(chosen, "doc_id").select(F.xxhash64(F.col("doc_id")).alias("row"), "positive", F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text))
+    sample = docs.join(chosen, "doc_id").select(F.xxhash64("doc_id", "positive").alias("row"), "positive", F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text)).dropDuplicates(["row"])
     table = stored(_feature_table(sample, text), "features")
     sizes = {r["positive"]: r["count"] for r in table.groupBy("positive").count().collect()}
     p, u = sizes.get(True, 0), sizes.get(False, 0)
@@ -127,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", positives: int
         return Model(np.zeros(0, np.int64), np.zeros(0), -30.0)
     by = table.select("positive", F.explode("features").alias("f")).groupBy("f").agg(F.count_if("positive").alias("in_p"), F.count_if(~F.col("positive")).alias("in_u"))
     lift = ((F.col("in_p") + 0.5) / (p + 1)) / ((F.col("in_u") + 0.5) / (u + 1))
-    best = by.filter(F.col("in_p") >= max(3, 0.001 * p)).withColumn("lift", lift).filter("lift >= 2").orderBy(F.desc(F.col("in_p") * F.log("lift")), "f").limit(kept).select("f")
+    best = by.filter(F.col("in_p") >= max(3, 0.01 * p)).withColumn("lift", lift).filter("lift >= 3").orderBy(F.desc(F.col("in_p") * F.log("lift")), "f").limit(kept).select("f")
     keys = np.sort(np.array([r["f"] for r in best.collect()], np.int64))
     wide = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"f": keys}).to_pandas()))  # at most `kept` rows
     seen = table.select("row", "positive", F.explode("features").alias("f")).join(wide, "f").toPandas()
