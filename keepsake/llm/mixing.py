@@ -72,5 +72,6 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes it."""
-    times = plan(docs, **options).select(F.col("doc_id").alias("_id"), "times").dropDuplicates(["_id"])
-    return docs.join(times, docs.doc_id.eqNullSafe(times._id)).withColumn("_n", F.explode(F.sequence(F.lit(1), F.greatest("times", F.lit(1))))).filter("times > 0").select(*docs.columns)
+    times = plan(docs, **options).select(F.col("doc_id").alias("_mix_id"), F.col("times").alias("_mix_times")).dropDuplicates(["_mix_id"])
+    joined = docs.join(times, docs[options.get("doc_id", "doc_id")].eqNullSafe(times._mix_id)).filter("_mix_times > 0")
+    return joined.withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)

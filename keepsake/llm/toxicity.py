@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", positives: int
     free = ids.filter(unit(2) < min(1.0, unlabelled / max(total, 1))).select("doc_id", F.lit(False).alias("positive"))
     chosen = marked.unionByName(free)  # a document may stand on both sides: the unlabelled are a sample of all
     chosen = F.broadcast(stored(chosen, "sample"))  # at most positives + unlabelled rows, give or take their hashes
-    sample = docs.join(chosen, "doc_id").select(F.xxhash64("doc_id", "positive").alias("row"), "positive", F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text)).dropDuplicates(["row"])
+    sample = docs.select("doc_id", text).join(chosen, "doc_id").select(F.xxhash64("doc_id", "positive").alias("row"), "positive", F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text)).dropDuplicates(["row"])
     table = stored(_feature_table(sample, text), "features")
     sizes = {r["positive"]: r["count"] for r in table.groupBy("positive").count().collect()}
     p, u = sizes.get(True, 0), sizes.get(False, 0)
