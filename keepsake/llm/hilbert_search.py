@@ -5,12 +5,15 @@ curve through those dimensions. The keys of a curve are cut into ranges of equal
 the ranges around its own key (a window of `window` of all rows on either side); what the windows of all curves bring is
 merged, and the nearest by exact distance on the original vectors stay.
 
-Cut points come from quantiles of a bounded sample of rows; every row is indexed. Large ranges are dealt into pieces by
-hash, and so are the queries that meet them, so no task holds more than about `block` rows of either.
+Cut points come from quantiles of a bounded sample of rows; every row is indexed. Rows are range-partitioned once, by the
+first curve, and carry their range numbers on the others, so a vector is shuffled once and not once a curve: a piece of at
+most about `block` rows (crowded ranges are split further by hash) holds its part of every ordering. Queries, the smaller
+side, go to all pieces and pass through a task in batches, so a task holds one piece and one batch. Of equal vectors in a
+piece only the k + 1 smallest ids can be among the nearest k, so the others need no comparison.
 
 With vectors spread evenly in all 64 dimensions neighbours are hardly nearer than strangers, so windows must be a share of
-the rows: with 8 curves of 4 dimensions and windows of an eighth on either side recall is about 0.98 against brute force
-(see tests/llm). On clustered vectors far smaller windows do.
+the rows: with 8 curves of 4 dimensions and windows of an eighth on either side recall is about 0.97 against brute force
+(see tests/llm), and work grows with queries times rows. On clustered vectors far smaller windows do.
 
 Results: vectors that are null, zero, of another length than the most common one, or hold null or non-finite components
 take no part. Ties go to the smaller vec_id. With fewer candidates all are returned. Rows that repeat a vec_id are
@@ -26,9 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import partitions
 
+#: Rows that cut points are taken from, about.
 SAMPLE = 20_000
+#: A piece has so many rows at least, where there are as many.
+LEAST = 1024
+#: Pairs that a task compares at once.
+PAIRS = 2_000_000
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -67,7 +75,8 @@ class Curves:
         self.shifts = [rng.random(dims) for _ in range(curves)]
         spread = [np.abs((sample - self.mean) @ g).max(0) + 1e-9 for g in self.directions]
         self.scales = [1.05 * s for s in spread]
-        self.cuts = [np.quantile(self._keys(sample, c), np.arange(1, ranges) / ranges, method="lower") for c in range(curves)]
+        # equal cut points are one: a crowded key makes one crowded range, and windows reach past it
+        self.cuts = [np.unique(np.quantile(self._keys(sample, c), np.arange(1, ranges) / ranges, method="lower")) for c in range(curves)]
 
     def _keys(self, x: np.ndarray, c: int) -> np.ndarray:
         place = ((x - self.mean) @ self.directions[c] / self.scales[c] + 1) / 4 + self.shifts[c] / 2
@@ -79,14 +88,54 @@ class Curves:
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(column.flatten()).reshape(-1, width).astype(np.float64)
 
 
-def search(vectors: DataFrame, k: int = 10, queries: str = "vec_id % 100 = 0", curves: int = 8, dims: int = 4, window: float = 0.125, ranges: int = 40, block: int = 8192, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each row that queries selects."""
+class _Piece:
+    """The rows of one piece, ready to be met by queries."""
+
+    def __init__(self, batches: list[pa.RecordBatch], width: int, curves: int, k: int):
+        ids = np.concatenate([b.column(2).to_numpy() for b in batches])
+        raw = np.concatenate([np.asarray(b.column(3).flatten()).reshape(-1, width) for b in batches])
+        at = np.concatenate([np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(-1, curves) for b in batches])
+        order = np.argsort(ids, kind="stable")
+        ids, raw, at = ids[order], raw[order], at[order]
+        same = np.unique(np.ascontiguousarray(raw).view(np.dtype((np.void, raw.strides[0]))).ravel(), return_inverse=True)[1].ravel()
+        by = np.lexsort((ids, same))
+        new = np.ones(len(by), bool)
+        new[1:] = (same[by][1:] != same[by][:-1]) | (ids[by][1:] != ids[by][:-1])
+        by = by[new]
+        first = np.searchsorted(same[by], same[by], side="left")
+        keep = np.sort(by[np.arange(len(by)) - first <= k])
+        self.ids, self.x, self.at = ids[keep], raw[keep].astype(np.float64), np.ascontiguousarray(at[keep].T)
+        self.squares = (self.x**2).sum(1)
+        # an id that repeats with other vectors may hold several of the first places
+        self.wanted = k * int(np.unique(self.ids, return_counts=True)[1].max())
+
+    def nearest(self, asks: np.ndarray, y: np.ndarray, at: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, distance) of the nearest rows inside a window of any curve, by exact distance and id."""
+        inside = np.zeros((len(y), len(self.ids)), bool)
+        for c in range(len(self.at)):
+            low, high = np.maximum(at[:, c].astype(int) - reach, 0).astype(np.uint8), np.minimum(at[:, c].astype(int) + reach, 255).astype(np.uint8)
+            inside |= (self.at[c] >= low[:, None]) & (self.at[c] <= high[:, None])
+        inside &= asks[:, None] != self.ids
+        own = (y**2).sum(1)
+        d = np.where(inside, own[:, None] + self.squares - 2 * y @ self.x.T, np.inf)
+        m = min(self.wanted, d.shape[1]) - 1
+        limit = np.partition(d, m, 1)[:, m] + 1e-9 * (own + self.squares.max())  # rounding in the product
+        i, j = np.nonzero((d <= limit[:, None]) & inside)
+        score = np.sqrt(((y[i] - self.x[j]) ** 2).sum(1))
+        order = np.lexsort((self.ids[j], score, i))
+        i, j, score = i[order], j[order], score[order]
+        on = np.arange(len(i)) - np.searchsorted(i, i, side="left") < self.wanted
+        return asks[i[on]], self.ids[j[on]], score[on]
+
+
+def search(vectors: DataFrame, k: int = 10, queries: str = "vec_id % 100 = 0", curves: int = 8, dims: int = 4, window: float = 0.125, ranges: int = 40, block: int = 131_072, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of each row that queries selects. ranges is 255 at most."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v")).filter("vec_id is not null and size(v) > 0")
+    kind = "float" if "array<float>" in vectors.select(embedding).schema[0].dataType.simpleString() else "double"
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{kind}>").alias("v")).filter("vec_id is not null and size(v) > 0")
     sound = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.filter(sound)
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -95,53 +144,62 @@ def search(vectors: DataFrame, k: int = 10, queries: str = "vec_id % 100 = 0", c
     width, total = common["n"], common["count"]
     rows = rows.filter(F.size("v") == width)
     share = min(1.0, SAMPLE / total)
-    sample = rows.filter(F.shiftrightunsigned(F.xxhash64("vec_id"), 11) / F.lit(float(1 << 53)) <= share).select("v").toArrow()["v"]  # SAMPLE rows, give or take their hashes
+    # SAMPLE rows, give or take their hashes
+    sample = rows.filter(F.shiftrightunsigned(F.xxhash64("vec_id"), 11) / F.lit(float(1 << 53)) <= share).select("v").toArrow()["v"].combine_chunks()
     if not len(sample):
-        sample = rows.select("v").limit(1).toArrow()["v"]
+        sample = rows.select("v").limit(1).toArrow()["v"].combine_chunks()
     index = Curves(_matrix(sample, width), curves, dims, ranges)
     reach = int(np.ceil(window * ranges))
-    # pieces of a range and of the queries that meet it
-    pieces = max(1, -(-total // (ranges * block)))
-    asked = rows.filter(queries).count()
-    parts = max(1, int(-(-asked * (2 * reach + 1) // (ranges * block))))
+    # how many pieces each range of the first curve is split into
+    size = min(block, max(LEAST, -(-total // (2 * partitions(spark)))))
+    held = np.bincount(index.ranges(_matrix(sample, width))[:, 0], minlength=len(index.cuts[0]) + 1) / len(sample) * total
+    before = np.concatenate([[0.0], np.cumsum(held)])
+    # small neighbouring ranges share a piece; a crowded range has several
+    piece_of = (before[:-1] // size).astype(np.int64)
+    split = np.maximum(1, np.ceil(held / size)).astype(np.int64)
+    offset = np.zeros(len(held), np.int64)
+    for r in range(1, len(held)):
+        offset[r] = offset[r - 1] if split[r] == split[r - 1] == 1 and piece_of[r] == piece_of[r - 1] else offset[r - 1] + split[r - 1]
+    pieces = int(offset[-1] + split[-1])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                r = index.ranges(_matrix(b.column(1), width)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(np.arange(0, r.size + 1, curves, dtype=np.int32)), pa.array(r.ravel()))], names=["vec_id", "v", "r"])
-
-    placed = stored(rows.mapInArrow(place, "vec_id long, v array<double>, r array<int>"), "placed")
-    spread = placed.select("vec_id", "v", F.posexplode("r").alias("curve", "range"))
-    data = spread.withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.lit(pieces)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    near = F.sequence(F.greatest(F.col("range") - reach, F.lit(0)), F.least(F.col("range") + reach, F.lit(ranges - 1)))
-    ask = placed.filter(queries).select("vec_id", "v", F.posexplode("r").alias("curve", "range")).withColumn("range", F.explode(near))
-    ask = ask.withColumn("part", F.pmod(F.xxhash64(F.lit("q"), "vec_id"), F.lit(parts)).cast("int")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
-    keys = ["curve", "range", "piece", "part"]
-
-    def meet(a, q):
-        if not a.num_rows or not q.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        x, y = _matrix(a["v"], width), _matrix(q["v"], width)
-        ids, asks = a["vec_id"].to_numpy(), q["vec_id"].to_numpy()
-        out = []
-        for s in range(0, len(y), 512):
-            d = (y[s : s + 512] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * y[s : s + 512] @ x.T
-            d[asks[s : s + 512][:, None] == ids] = np.inf
-            m = min(k + 4, d.shape[1])  # a few more, for rounding in the product
-            best = np.argpartition(d, m - 1, 1)[:, :m]
-            i, j = np.repeat(np.arange(len(best)), m), best.ravel()
-            on = np.isfinite(d[i, j])
-            i, j = i[on], j[on]
-            out.append((asks[s + i], ids[j], np.sqrt(((y[s + i] - x[j]) ** 2).sum(1))))
-        a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))
-        order = np.lexsort((b, c, a))
-        a, b, c = a[order], b[order], c[order]
-        first = np.searchsorted(a, a, side="left")
-        on = np.arange(len(a)) - first < k
-        return pa.table({"query_id": a[on], "vec_id": b[on], "score": c[on]})
-
-    found = data.groupBy(*keys).cogroup(ask.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
-    merged = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+                r = index.ranges(_matrix(b.column(1), width))
+                ids = b.column(0).to_numpy()
+                piece = offset[r[:, 0]] + (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % split[r[:, 0]]
+                yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), *b.columns, pa.array([x.tobytes() for x in r.astype(np.uint8)], pa.binary())], names=["piece", "vec_id", "v", "r"])
+
+    placed = f"piece int, vec_id long, v array<{kind}>, r binary"
+    data = rows.mapInArrow(place, placed).select("piece", F.lit(0).alias("side"), "vec_id", "v", "r")
+    asks = rows.filter(queries).mapInArrow(place, placed).select(F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("piece"), F.lit(1).alias("side"), "vec_id", "v", "r")
+    both = data.unionByName(asks).repartition(min(pieces, max(partitions(spark), -(-total // block))), "piece").sortWithinPartitions("piece", "side")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, gathered, piece = None, [], None
+        for whole in batches:
+            p, side = whole.column(0).to_numpy(), whole.column(1).to_numpy()
+            cuts = np.flatnonzero((p[1:] != p[:-1]) | (side[1:] != side[:-1])) + 1
+            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(p)], strict=True):
+                if a == z:
+                    continue
+                if p[a] != number:
+                    number, gathered, piece = p[a], [], None
+                if side[a] == 0:
+                    gathered.append(whole.slice(a, z - a))
+                    continue
+                if not gathered and piece is None:
+                    continue  # a piece without rows
+                if piece is None:
+                    piece, gathered = _Piece(gathered, width, curves, k), []
+                step = max(1, PAIRS // len(piece.ids))
+                for s in range(a, z, step):
+                    b = whole.slice(s, min(step, z - s))
+                    at = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(-1, curves)
+                    found = piece.nearest(b.column(2).to_numpy(), _matrix(b.column(3), width), at, reach)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
+
+    found = both.mapInArrow(meet, "query_id long, vec_id long, score double")
+    merged = found.repartition(partitions(spark), "query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

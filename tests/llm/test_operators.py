@@ -415,3 +415,15 @@ def test_pii_terms(spark):
             assert "zeb" not in out[k].lower() and "[EMAIL]" in out[k] and " the " in out[k]
         else:
             assert out[k] == t
+
+
+def test_nearest_neighbours_among_copies(spark):
+    """A third of all rows is one vector: of its copies the smallest ids are nearest."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((1500, 8)).astype(np.float32)
+    x[::3] = x[0]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    found = hilbert_search.search(spark.createDataFrame(rows + rows[:50], "vec_id long, embedding array<float>")).toPandas()
+    for q in range(0, 1500, 300):
+        mine = found[found.query_id == q].sort_values("rank")
+        assert mine.vec_id.tolist() == [v for v in range(0, 36, 3) if v != q][:10] and (mine.score == 0).all()
