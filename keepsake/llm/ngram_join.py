@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import digest128, lower_ascii, mix, partitions, span_hashes, stored, text_bytes, word_spans
@@ -125,20 +125,19 @@ def _keyed(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _points(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, shingles as bytes, counts as bytes) of each row of (doc, text)."""
+    """(doc, shingles, counts) of each row of (doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 b = whole.slice(at, ROWS)
                 sets, upto = shingle_sets(b.column(1), width)
-                each = [sets[x:y] for x, y in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([x.tobytes() for x in each], pa.binary()), pa.array([counts_of(x).astype(np.uint32).tobytes() for x in each], pa.binary())],
-                    names=["doc", "shingles", "counts"],
-                )
+                counts = [counts_of(sets[x:y]) for x, y in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(sets.view(np.int64)))
+                points = pa.ListArray.from_arrays(pa.array(np.arange(0, AXES * (b.num_rows + 1), AXES, dtype=np.int32)), pa.array(np.concatenate(counts).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(0), lists, points], names=["doc", "shingles", "counts"])
 
-    return docs.mapInArrow(run, "doc long, shingles binary, counts binary")
+    return docs.mapInArrow(run, "doc long, shingles array<long>, counts array<int>")
 
 
 def _meetings(keys: DataFrame) -> DataFrame:
@@ -179,37 +178,24 @@ def _meetings(keys: DataFrame) -> DataFrame:
     return keys.mapInArrow(run, "key long, doc long, first long")
 
 
-def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose summed coordinate minima reach the needed overlap."""
-    small = points.select("doc", "counts")
-    joined = pairs.join(small.toDF("a", "ca"), "a").join(small.toDF("b", "cb"), "b")
+def _reaches(overlap: Column, a: Column, b: Column, percent: int) -> Column:
+    return 100 * overlap >= percent * (a + b - overlap)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ca, cb = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(-1, AXES).astype(np.int64) for k in (2, 3))
-            keep = np.minimum(ca, cb).sum(1) >= needed(ca.sum(1), cb.sum(1), percent)
-            yield b.select([0, 1]).filter(pa.array(keep))
 
-    return joined.select("a", "b", "ca", "cb").mapInArrow(run, "a long, b long")
+def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose summed coordinate minima reach the needed overlap."""
+    small = points.select("doc", "counts", F.size("shingles").cast("long").alias("n"))
+    joined = pairs.join(small.toDF("a", "ca", "na"), "a").join(small.toDF("b", "cb", "nb"), "b")
+    minima = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return joined.filter(_reaches(minima, F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Those pairs that link."""
     sets = points.select("doc", "shingles")
     joined = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([p, q])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(shared >= needed(len(p), len(q), percent))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    both = F.size(F.array_intersect("sa", "sb")).cast("long")
+    return joined.filter(_reaches(both, F.size("sa"), F.size("sb"), percent)).select("a", "b")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -255,7 +241,7 @@ def _remaining(met: DataFrame, roots: DataFrame, points: DataFrame, percent: int
     rows = rows.join(points.select("doc", "counts"), "doc")
 
     def run(key, data):
-        counts = np.frombuffer(b"".join(data["counts"].to_pylist()), np.uint32).reshape(-1, AXES).astype(np.int32)
+        counts = data["counts"].combine_chunks().flatten().to_numpy().reshape(-1, AXES)
         part = data["root"].to_numpy()
         found = list(_leaf_pairs(counts, counts.sum(1), part, percent))
         x, y = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
