@@ -30,13 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import digest128, lower_ascii, mix, partitions, span_hashes, stored, text_bytes, word_spans
 
-#: Counts a point has; the bound is exact for any number.
-AXES = 64
+#: Counts a point has. What sets do not share should be spread thin over them, or the bound lets too many pairs through.
+AXES = 256
+#: A count is one byte; what a set has above is summed up beside its point.
+TOP = 255
 LEAF = 64
 ROWS = 500
 
@@ -100,7 +102,7 @@ class Bands:
 
 
 def counts_of(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles & np.uint64(AXES - 1)).astype(np.int64), minlength=AXES)
+    return np.minimum(np.bincount((shingles & np.uint64(AXES - 1)).astype(np.int64), minlength=AXES), TOP).astype(np.uint8)
 
 
 def needed(a, b, percent: int):
@@ -124,8 +126,11 @@ def _keyed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, n long, keys array<long>")
 
 
+POINT = ["counts", "n", "above"]
+
+
 def _points(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, shingles, counts) of each row of (doc, text)."""
+    """(doc, shingles, counts, n, above) of each row of (doc, text): the set, its group counts, its size, and how many shingles the counts leave out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -133,11 +138,16 @@ def _points(docs: DataFrame, width: int) -> DataFrame:
                 b = whole.slice(at, ROWS)
                 sets, upto = shingle_sets(b.column(1), width)
                 counts = [counts_of(sets[x:y]) for x, y in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+                n = np.diff(upto)
+                above = n - np.array([c.sum(dtype=np.int64) for c in counts])
                 lists = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(sets.view(np.int64)))
-                points = pa.ListArray.from_arrays(pa.array(np.arange(0, AXES * (b.num_rows + 1), AXES, dtype=np.int32)), pa.array(np.concatenate(counts).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column(0), lists, points], names=["doc", "shingles", "counts"])
+                yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array([c.tobytes() for c in counts], pa.binary()), pa.array(n), pa.array(above)], names=["doc", "shingles", *POINT])
+
+    return docs.mapInArrow(run, "doc long, shingles array<long>, counts binary, n long, above long")
 
-    return docs.mapInArrow(run, "doc long, shingles array<long>, counts array<int>")
+
+def _counts(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, AXES)
 
 
 def _meetings(keys: DataFrame) -> DataFrame:
@@ -178,16 +188,19 @@ def _meetings(keys: DataFrame) -> DataFrame:
     return keys.mapInArrow(run, "key long, doc long, first long")
 
 
-def _reaches(overlap: Column, a: Column, b: Column, percent: int) -> Column:
-    return 100 * overlap >= percent * (a + b - overlap)
-
-
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose summed coordinate minima reach the needed overlap."""
-    small = points.select("doc", "counts", F.size("shingles").cast("long").alias("n"))
-    joined = pairs.join(small.toDF("a", "ca", "na"), "a").join(small.toDF("b", "cb", "nb"), "b")
-    minima = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    return joined.filter(_reaches(minima, F.col("na"), F.col("nb"), percent)).select("a", "b")
+    small = points.select("doc", *POINT)
+    joined = pairs.join(small.toDF("a", "ca", "na", "ra"), "a").join(small.toDF("b", "cb", "nb", "rb"), "b").select("a", "b", "ca", "cb", "na", "nb", "ra", "rb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                na, nb, ra, rb = (b.column(k).to_numpy() for k in range(4, 8))
+                overlap = np.minimum(_counts(b.column(2)), _counts(b.column(3))).sum(1, dtype=np.int64) + np.minimum(ra, rb)
+                yield b.select([0, 1]).filter(pa.array(overlap >= needed(na, nb, percent)))
+
+    return joined.mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -195,7 +208,7 @@ def _verified(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     sets = points.select("doc", "shingles")
     joined = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return joined.filter(_reaches(both, F.size("sa"), F.size("sb"), percent)).select("a", "b")
+    return joined.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -212,19 +225,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels.toDF("doc", "root")
 
 
-def _leaf_pairs(counts: np.ndarray, sizes: np.ndarray, part: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _leaf_pairs(counts: np.ndarray, sizes: np.ndarray, above: np.ndarray, part: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of points in different parts whose summed minima reach the overlap. Points are packed into leaves; a leaf is met with another only if the upper corners of both could reach it."""
     order = np.lexsort((counts[:, 1], counts[:, 0], sizes))
-    counts, sizes, part = counts[order], sizes[order], part[order]
+    counts, sizes, above, part = counts[order], sizes[order], above[order], part[order]
     leaves = [slice(k, k + LEAF) for k in range(0, len(order), LEAF)]
     corner = np.array([counts[s].max(0) for s in leaves])
     least, most = np.array([sizes[s].min() for s in leaves]), np.array([sizes[s].max() for s in leaves])
+    rest = np.array([above[s].max() for s in leaves])
     for i, s in enumerate(leaves):
         met = np.arange(i, len(leaves))
-        met = met[(100 * most[i] >= percent * least[met]) & (np.minimum(corner[i], corner[met]).sum(1) >= needed(least[i], least[met], percent))]
+        met = met[(100 * most[i] >= percent * least[met]) & (np.minimum(corner[i], corner[met]).sum(1, dtype=np.int64) + np.minimum(rest[i], rest[met]) >= needed(least[i], least[met], percent))]
         for j in met:
             t = leaves[j]
-            overlap = np.minimum(counts[s, None, :], counts[None, t, :]).sum(2)
+            overlap = np.minimum(counts[s, None, :], counts[None, t, :]).sum(2, dtype=np.int32) + np.minimum(above[s, None], above[None, t])
             good = (overlap >= needed(sizes[s][:, None], sizes[t][None], percent)) & (part[s][:, None] != part[t][None])
             x, y = np.nonzero(np.triu(good, 1) if i == j else good)
             if len(x):
@@ -238,12 +252,11 @@ def _remaining(met: DataFrame, roots: DataFrame, points: DataFrame, percent: int
     rows = rooted.join(several, "key").withColumn("chunks", F.ceil(F.col("m") / chunk).cast("int")).withColumn("c", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
     # chunk c meets chunk d in the task (min, max)
     rows = rows.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("key", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "doc", "root")
-    rows = rows.join(points.select("doc", "counts"), "doc")
+    rows = rows.join(points.select("doc", *POINT), "doc")
 
     def run(key, data):
-        counts = data["counts"].combine_chunks().flatten().to_numpy().reshape(-1, AXES)
         part = data["root"].to_numpy()
-        found = list(_leaf_pairs(counts, counts.sum(1), part, percent))
+        found = list(_leaf_pairs(_counts(data["counts"]), data["n"].to_numpy(), data["above"].to_numpy(), part, percent))
         x, y = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
         doc = data["doc"].to_numpy()
         return pa.table({"a": np.minimum(doc[x], doc[y]), "b": np.maximum(doc[x], doc[y])})

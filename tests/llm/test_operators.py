@@ -427,3 +427,14 @@ def test_nearest_neighbours_among_copies(spark):
     for q in range(0, 1500, 300):
         mine = found[found.query_id == q].sort_values("rank")
         assert mine.vec_id.tolist() == [v for v in range(0, 36, 3) if v != q][:10] and (mine.score == 0).all()
+
+
+def test_count_bound_never_loses_overlap():
+    """The bound is at least the overlap, also where one group holds more than a byte can count."""
+    rng = np.random.default_rng(6)
+    a = np.unique(np.concatenate([rng.integers(0, 2**60, 700).astype(np.uint64), rng.integers(0, 2**50, 900).astype(np.uint64) * np.uint64(ngram_join.AXES)]))
+    b = np.unique(np.concatenate([a[::2], rng.integers(0, 2**60, 500).astype(np.uint64)]))
+    ca, cb = ngram_join.counts_of(a), ngram_join.counts_of(b)
+    above = [len(x) - c.sum(dtype=np.int64) for x, c in ((a, ca), (b, cb))]
+    assert min(above) > 0
+    assert np.minimum(ca, cb).sum(dtype=np.int64) + min(above) >= len(np.intersect1d(a, b))
