@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import uuid
 
 import numpy as np
@@ -35,21 +34,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    with small_batches(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    small_batches(spark)
+    df.write.parquet(path)
+    # shuffle files of finished jobs stay until the driver's JVM collects what refers to them
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, most: str = "4m"):
-    """Python workers get Arrow batches of at most so many bytes while a table is written; then the session's own setting holds again."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, most)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def discard(*tables: DataFrame) -> None:
+    """Delete what stored() wrote, once nothing reads it any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Python workers of this session get Arrow batches of at most 4 MB from here on: several buffers of a batch are held at once, and the default of 64 MB can fill a small executor."""
+    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+    if not spark.conf.get(key).lower().rstrip("b").isdigit() or int(spark.conf.get(key).lower().rstrip("b")) > most:
+        spark.conf.set(key, f"{most}b")
 
 
 def partitions(spark: SparkSession) -> int:
@@ -76,6 +82,19 @@ def text_bytes(texts) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def slices(batch, column: int, most: int = 1 << 20):
+    """The batch in runs of rows whose texts have about `most` bytes together, one row at least: numpy holds some 64 bytes for each byte of text."""
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size, dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, z in zip(cuts, cuts[1:]):
+        yield batch.slice(a, z - a)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (multiply and shift, three rounds)."""
     with np.errstate(over="ignore"):

@@ -4,7 +4,8 @@ A document is the set of its distinct shingles of `width` words (ASCII letters l
 sequence is the one shingle). Two documents link when 100 * |A & B| >= percent * |A | B|. The result has one row a
 document with its component: the smallest doc_id that links reach.
 
-1. Equal texts fall together under one representative before any set is made.
+1. Equal texts fall together under one representative before any set is made. Sets are made once for keys and counts and
+   again, for documents in a candidate pair only, to verify; they are too large to keep for all.
 2. Shingles are hashed into groups. Linked sets differ in at most r shingles (r follows from the sizes), so of r + 1 or
    more groups one at least is the same in both: the contents of its group are the key under which two points meet.
    Sizes come in bands of ratio 1 : percent, so a pair shares the number of groups of the smaller one's band. Large sets
@@ -26,21 +27,22 @@ without a doc_id give one row without a component, and link with nothing. Other
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest128, lower_ascii, mix, partitions, span_hashes, stored, text_bytes, word_spans
+from .common import digest128, discard, lower_ascii, mix, partitions, slices, span_hashes, stored, text_bytes, word_spans
 
 #: Counts a point has. What sets do not share should be spread thin over them, or the bound lets too many pairs through.
 AXES = 256
 #: A count is one byte; what a set has above is summed up beside its point.
 TOP = 255
 LEAF = 64
-ROWS = 500
+#: Ids of at most this many documents are broadcast (8 MB); more meet their sets by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,40 +112,42 @@ def needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _keyed(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc, n, keys) of each row of (doc, text)."""
+POINT = ["counts", "n", "above"]
+
+
+def _lists(upto: np.ndarray, x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.asarray(upto, np.int32)), pa.array(x.view(np.int64)))
+
+
+def _points(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc, keys, counts, n, above) of each row of (doc, text): the keys it is searched by, its group counts, the size of its set, and how many shingles the counts leave out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
+            for b in slices(whole, 1):
                 sets, upto = shingle_sets(b.column(1), width)
-                keys = [bands.keys(sets[x:y]) if y > x else np.zeros(0, np.int64) for x, y in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(upto)), lists], names=["doc", "n", "keys"])
-
-    return docs.mapInArrow(run, "doc long, n long, keys array<long>")
-
+                each = [sets[x:y] for x, y in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+                keys = [bands.keys(x) if len(x) else np.zeros(0, np.int64) for x in each]
+                counts = [counts_of(x) for x in each]
+                n = np.diff(upto)
+                above = n - np.array([c.sum(dtype=np.int64) for c in counts])
+                found = _lists(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), np.concatenate(keys))
+                yield pa.RecordBatch.from_arrays([b.column(0), found, pa.array([c.tobytes() for c in counts], pa.binary()), pa.array(n), pa.array(above)], names=["doc", "keys", *POINT])
 
-POINT = ["counts", "n", "above"]
+    return docs.mapInArrow(run, "doc long, keys array<long>, counts binary, n long, above long")
 
 
-def _points(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, shingles, counts, n, above) of each row of (doc, text): the set, its group counts, its size, and how many shingles the counts leave out."""
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """(doc, shingles) of each row of (doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
+            for b in slices(whole, 1):
                 sets, upto = shingle_sets(b.column(1), width)
-                counts = [counts_of(sets[x:y]) for x, y in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
-                n = np.diff(upto)
-                above = n - np.array([c.sum(dtype=np.int64) for c in counts])
-                lists = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array([c.tobytes() for c in counts], pa.binary()), pa.array(n), pa.array(above)], names=["doc", "shingles", *POINT])
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists(upto, sets)], names=["doc", "shingles"])
 
-    return docs.mapInArrow(run, "doc long, shingles array<long>, counts binary, n long, above long")
+    return docs.mapInArrow(run, "doc long, shingles array<long>")
 
 
 def _counts(column) -> np.ndarray:
@@ -203,25 +207,32 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Those pairs that link."""
-    sets = points.select("doc", "shingles")
+def _verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], width: int, percent: int) -> DataFrame:
+    """Those pairs that link, as a stored table. Sets are made again for the documents in a pair only; texts gives (doc, text) of the ids in a table (doc)."""
+    pairs = stored(pairs, "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    sets = stored(_sets(texts(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids), width), "sets")
     joined = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return joined.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    links = stored(joined.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "links")
+    discard(pairs, sets)
+    return links
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(doc, root) for each document of an edge: root is the smallest document that edges reach. Labels fall to the smallest neighbour and then to their label's label, until none changes; rounds grow with the logarithm of the longest path."""
     both = stored(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y").unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y")).filter("x <> y")).distinct(), "edges")
     labels = stored(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")).select(F.col("x").alias("v"), "l"), "labels")
+    held = labels
     while True:
         near = both.join(labels, both.y == labels.v).groupBy("x").agg(F.min("l").alias("m"))
         hooked = labels.join(near, labels.v == near.x, "left").select("v", F.least("l", "m").alias("l"), F.col("l").alias("old"))
         jump = labels.select(F.col("v").alias("w"), F.col("l").alias("ll"))
         after = stored(hooked.join(jump, hooked.l == jump.w, "left").select("v", F.least("l", "ll").alias("l"), (F.least("l", "ll") != F.col("old")).alias("moved")), "labels")
-        labels = after.select("v", "l")
+        discard(held)
+        labels, held = after.select("v", "l"), after
         if after.filter("moved").isEmpty():
+            discard(both)
             return labels.toDF("doc", "root")
 
 
@@ -270,18 +281,22 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     named = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("digest", digest128(F.col("text")))
     rows = stored(named.groupBy("doc").agg(F.min("digest").alias("digest")), "rows")
     classes = stored(rows.filter("doc is not null").groupBy("digest").agg(F.min("doc").alias("rep")), "classes")
-    # of equal texts only the one with the smallest id goes on
-    chosen = named.join(classes, [named.doc == classes.rep, named.digest == classes.digest], "left_semi").select("doc", "text")
-    keyed = stored(_keyed(chosen, width, percent), "keyed")
-    sizes = keyed.groupBy("doc").agg(F.max("n").alias("n"))
-    keys = keyed.select(F.explode("keys").alias("key"), "doc").repartition(partitions(spark), "key").sortWithinPartitions("key", "doc")
+
+    def texts(ids: DataFrame | None = None) -> DataFrame:
+        """Of equal texts only the one with the smallest id goes on; rows that repeat an id and text come once (the join has already dealt them by both)."""
+        some = named if ids is None else named.join(ids, "doc", "left_semi")
+        once = some.join(classes, [some.doc == classes.rep, some.digest == classes.digest], "left_semi")
+        return once.dropDuplicates(["doc", "digest"]).select("doc", "text")
+
+    points = stored(_points(texts(), width, percent), "points")
+    sizes = stored(points.select("doc", "n"), "sizes")
+    keys = points.select(F.explode("keys").alias("key"), "doc").repartition(partitions(spark), "key").sortWithinPartitions("key", "doc")
     met = stored(_meetings(keys), "met")
     stars = met.select(F.col("first").alias("a"), F.col("doc").alias("b")).filter("a <> b").dropDuplicates()
-    wanted = met.select("doc").dropDuplicates()
-    points = stored(_points(chosen.join(wanted, "doc", "left_semi").dropDuplicates(["doc"]), width), "points")
-    links = stored(_verified(_bounded(stars, points, percent), points, percent), "links")
+    links = _verified(_bounded(stars, points, percent), texts, width, percent)
     roots = components(links)
-    more = stored(_verified(_remaining(met.select("key", "doc").dropDuplicates(), roots, points, percent), points, percent), "links")
+    more = _verified(_remaining(met.select("key", "doc").dropDuplicates(), roots, points, percent), texts, width, percent)
+    discard(points, met)
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     placed = classes.join(sizes, classes.rep == sizes.doc, "left").drop("doc").join(roots, classes.rep == roots.doc, "left").select("digest", "n", F.coalesce("root", "rep").alias("root"))

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 SPACE = "▁"
 NEVER = np.int64(1 << 40)
 
@@ -310,6 +312,7 @@ def prefix_table(model_file: str) -> PrefixTable:
 
 def encode_decode(docs: DataFrame, text: str = "text", model_file: str | None = None, rows_at_once: int = 400) -> DataFrame:
     """All columns but text, and ids (array of int) and decoded (the text that the ids stand for). Adds no shuffle."""
+    small_batches(docs.sparkSession)
     model_file = model_file or default_model()
     keep = [c for c in docs.columns if c not in (text, "ids", "decoded")]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())])

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 RULES = ("most", "start", "split")
 _ENCODERS: dict[str, tuple] = {}
 
@@ -74,6 +76,7 @@ def section_counts(docs: DataFrame, fields: tuple[str, ...] = ("text",), joint:
     """(doc_id, sections): sections is an array of (section, field, bytes, tokens, crossing). With lines, fields split further into their lines."""
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
+    small_batches(docs.sparkSession)
     ranks_file = ranks_file or default_ranks()
     kind = pa.list_(pa.struct([("section", pa.int32()), ("field", pa.string()), ("bytes", pa.int64()), ("tokens", pa.float64()), ("crossing", pa.int64())]))
 

@@ -23,11 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, mix, span_hashes, stored, text_bytes
+from .common import discard, lower_ascii, mix, slices, small_batches, span_hashes, stored, text_bytes
 
 #: Bytes of a word that make its beginning.
 HEAD = 5
-ROWS = 1000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -56,8 +55,7 @@ def _feature_table(docs: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
+            for b in slices(whole, 2):
                 doc, f = features(b.column(2))
                 order = np.lexsort((f, doc))
                 doc, f = doc[order], f[order]
@@ -122,8 +120,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", positives: int
     marked = toxic.filter("toxic = 1").filter(unit(1) < min(1.0, positives / counts["p"])).select("doc_id", F.lit(True).alias("positive"))
     free = ids.filter(unit(2) < min(1.0, unlabelled / max(total, 1))).select("doc_id", F.lit(False).alias("positive"))
     chosen = marked.unionByName(free)  # a document may stand on both sides: the unlabelled are a sample of all
-    chosen = F.broadcast(stored(chosen, "sample"))  # at most positives + unlabelled rows, give or take their hashes
-    sample = docs.select("doc_id", text).join(chosen, "doc_id").select(F.xxhash64("doc_id", "positive").alias("row"), "positive", F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text)).dropDuplicates(["row"])
+    chosen = stored(chosen, "sample")
+    sample = docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id")  # at most positives + unlabelled rows, give or take their hashes
+    sample = sample.select(F.xxhash64("doc_id", "positive").alias("row"), "positive", F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text)).dropDuplicates(["row"])
     table = stored(_feature_table(sample, text), "features")
     sizes = {r["positive"]: r["count"] for r in table.groupBy("positive").count().collect()}
     p, u = sizes.get(True, 0), sizes.get(False, 0)
@@ -136,6 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", positives: int
     wide = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"f": keys}).to_pandas()))  # at most `kept` rows
     seen = table.select("row", "positive", F.explode("features").alias("f")).join(wide, "f").toPandas()
     every = table.select("row", "positive").toPandas()
+    discard(table, chosen)
     index = {r: k for k, r in enumerate(every["row"])}
     rows, cols = seen["row"].map(index).to_numpy(), np.searchsorted(keys, seen["f"].to_numpy())
     positive = every["positive"].to_numpy(bool)
@@ -152,14 +152,14 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", positives: int
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with score (0 to 1)."""
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != "score"]
     schema = docs.select(*names).schema.add("score", "double")
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, ROWS):
-                b = whole.slice(k, ROWS)
+            for b in slices(whole, at):
                 z = model.logits(b.column(at))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*names, "score"])
 
