@@ -93,10 +93,10 @@ def rt12(spark, d):
     return chat_messages(spark, d).join(l, "msg_id", "left").select("msg_id", F.md5(t.cast("binary")).alias("h"))
 
 
-@query("jn16_vectors_by_label", "SELECT a.vec_id, count(*) AS near FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0 AND list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2 GROUP BY 1")
+@query("jn16_vectors_by_label", "SELECT a.vec_id, count(*) AS near FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2 GROUP BY 1")
 def jn16(spark, d):
     e = read(spark, d, "embeddings")
-    q = e.filter("vec_id % 10 = 0").select("label", F.col("vec_id").alias("q"), F.col("embedding").alias("w"))
+    q = e.select("label", F.col("vec_id").alias("q"), F.col("embedding").alias("w"))
     return q.join(e, "label").filter(F.col("q") != F.col("vec_id")).filter(dot(F.col("w"), F.col("embedding")) >= 0.2).groupBy(F.col("q").alias("vec_id")).agg(F.count("*").alias("near"))
 
 
@@ -106,13 +106,13 @@ def jn28(spark, d):
     return read(spark, d, "documents", "doc_id").join(e, F.col("vec_id") == F.col("doc_id"), "left").select("doc_id", F.col("vec_id").isNotNull().alias("has_vec"))
 
 
-@query("jn24_keyword_containment", "SELECT p_partkey AS note, count(*) AS n FROM part JOIN (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM documents) ON contains(t, ' ' || (['the', 'tion', 'und', 'les', 'una'])[CAST(p_partkey % 5 AS INT) + 1] || ' ') WHERE p_partkey < 11 GROUP BY 1")
+@query("jn24_keyword_containment", "SELECT r_regionkey AS note, count(*) AS n FROM region JOIN (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM documents) ON contains(t, ' ' || (['the', 'tion', 'und', 'les', 'una'])[CAST(r_regionkey % 5 AS INT) + 1] || ' ') GROUP BY 1")
 def jn24(spark, d):
     """Notes meet texts by the words of both, then the whole keyword is looked for."""
     from ..functions.text import name_key
 
     words = F.array(*map(F.lit, ("the", "tion", "und", "les", "una")))
-    notes = read(spark, d, "part").filter("p_partkey < 11").select(F.col("p_partkey").alias("note"), F.element_at(words, (F.col("p_partkey") % 5 + 1).cast("int")).alias("keyword"))
+    notes = read(spark, d, "region").select(F.col("r_regionkey").alias("note"), F.element_at(words, (F.col("r_regionkey") % 5 + 1).cast("int")).alias("keyword"))
     texts = read(spark, d, "documents", "doc_id", "text").select("doc_id", name_key(F.col("text")).alias("t"))
     by_word = texts.select("doc_id", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
     hits = notes.withColumn("w", F.element_at(F.split("keyword", " "), 1)).join(by_word, "w").join(texts, "doc_id")
@@ -132,10 +132,10 @@ def ag28(spark, d):
     return m.select("label", F.posexplode("vec").alias("k", "x")).filter("k < 3").select("label", (F.col("k") + 1).cast("long").alias("k"), F.round("x", 5).alias("x"))
 
 
-@query("ag29_support", "SELECT f.vec_id AS fact_id, greatest(count(DISTINCT r.vec_id // 10), 1) AS support FROM (SELECT * FROM embeddings WHERE vec_id % 25 = 0) f LEFT JOIN embeddings r ON r.label = f.label AND list_cosine_similarity(f.embedding::DOUBLE[], r.embedding::DOUBLE[]) >= 0.2 GROUP BY 1")
+@query("ag29_support", "SELECT f.vec_id AS fact_id, greatest(count(DISTINCT r.vec_id // 10), 1) AS support FROM embeddings f LEFT JOIN embeddings r ON r.label = f.label AND list_cosine_similarity(f.embedding::DOUBLE[], r.embedding::DOUBLE[]) >= 0.2 GROUP BY 1")
 def ag29(spark, d):
     e = read(spark, d, "embeddings")
-    return memory.support(e.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("fact_id"), F.col("label").alias("entity"), F.col("embedding").alias("vec")), e.select(F.col("label").alias("entity"), F.floor(F.col("vec_id") / 10).alias("session_id"), F.col("embedding").alias("vec")), 0.2)
+    return memory.support(e.select(F.col("vec_id").alias("fact_id"), F.col("label").alias("entity"), F.col("embedding").alias("vec")), e.select(F.col("label").alias("entity"), F.floor(F.col("vec_id") / 10).alias("session_id"), F.col("embedding").alias("vec")), 0.2)
 
 
 @query("ag30_distinctive_topics", "WITH t AS (SELECT p_brand AS grp, p_partkey AS item, split_part(p_type, ' ', 1) AS topic FROM part), s AS (SELECT grp, count(DISTINCT item) AS n_in FROM t GROUP BY 1), a AS (SELECT count(DISTINCT item) AS n_all FROM t), i AS (SELECT grp, topic, count(DISTINCT item) AS c_in FROM t GROUP BY 1, 2), o AS (SELECT topic, count(DISTINCT item) AS c_all FROM t GROUP BY 1) SELECT grp, topic, round(c_in / n_in * ln((c_in / n_in + 0.01) / (CASE WHEN n_all > n_in THEN (c_all - c_in) / (n_all - n_in) ELSE 0 END + 0.01)), 6) AS score FROM i JOIN s USING (grp) JOIN o USING (topic), a WHERE c_in >= least(2, n_in)")
@@ -144,12 +144,12 @@ def ag30(spark, d):
     return memory.distinctive(t).withColumn("score", F.round("score", 6))
 
 
-@query("cl05_similar_components", """WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 500 AND b.vec_id < 500 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.35),
+@query("cl05_similar_components", """WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.35),
  r(id, c) AS (SELECT a, a FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.c) SELECT id, min(c) AS component FROM r GROUP BY 1""")
 def cl05(spark, d):
     from ..operators.conversations import stitched
 
-    e = read(spark, d, "embeddings").filter("vec_id < 500").select(F.col("label").alias("entity"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    e = read(spark, d, "embeddings").select(F.col("label").alias("entity"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     return stitched(memory.similar_pairs(e, 0.35))
 
 
@@ -170,8 +170,8 @@ def cl04(spark, d):
     return memory.dated_clusters(e, 0.3)
 
 
-@query("qt09_source_numbers", "SELECT doc_id, dense_rank() OVER (ORDER BY first) AS number FROM (SELECT doc_id, min(pos) OVER (PARTITION BY source) AS first FROM (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) AS pos FROM documents WHERE doc_id < 200))")
+@query("qt09_source_numbers", "SELECT doc_id, dense_rank() OVER (ORDER BY first) AS number FROM (SELECT doc_id, min(pos) OVER (PARTITION BY source) AS first FROM (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) AS pos FROM documents))")
 def qt09(spark, d):
-    pos = read(spark, d, "documents", "doc_id", "source").filter("doc_id < 200")
+    pos = read(spark, d, "documents", "doc_id", "source")
     first = F.min("doc_id").over(Window.partitionBy("source"))
     return pos.select("doc_id", first.alias("first")).select("doc_id", F.dense_rank().over(Window.orderBy("first")).cast("long").alias("number"))

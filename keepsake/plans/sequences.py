@@ -97,12 +97,12 @@ def wn18(spark, d):
     return cv.own_reply_chains(event_messages(spark, d), F.col("author").isin("click", "view", "error"))
 
 
-@query("cx01_stitched_threads", f"""WITH RECURSIVE {EVENTS_SQL}, e AS (SELECT DISTINCT least(c.thread_id, p.thread_id) AS a, greatest(c.thread_id, p.thread_id) AS b FROM msgs c JOIN msgs p ON p.msg_id = c.parent_id WHERE c.msg_id % 97 = 0 AND c.thread_id <> p.thread_id),
+@query("cx01_stitched_threads", f"""WITH RECURSIVE {EVENTS_SQL}, e AS (SELECT DISTINCT least(c.thread_id, p.thread_id) AS a, greatest(c.thread_id, p.thread_id) AS b FROM msgs c JOIN msgs p ON p.msg_id = c.parent_id WHERE c.thread_id <> p.thread_id),
  s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, c) AS (SELECT a, a FROM s UNION SELECT r.id, s.b FROM r JOIN s ON s.a = r.c) SELECT id, min(c) AS component FROM r GROUP BY 1""")
 def cx01(spark, d):
     m = event_messages(spark, d)
     p = m.select(F.col("msg_id").alias("parent_id"), F.col("thread_id").alias("b"))
-    e = m.filter("msg_id % 97 = 0").join(p, "parent_id").filter("thread_id <> b").select(F.col("thread_id").alias("a"), "b")
+    e = m.join(p, "parent_id").filter("thread_id <> b").select(F.col("thread_id").alias("a"), "b")
     return cv.stitched(e)
 
 
