@@ -96,9 +96,9 @@ def ag31(spark, d):
     return graph.closeness(_edges(spark, d), "A_1").withColumn("closeness", F.round("closeness", 6))
 
 
-@query("ag32_centroids", f"WITH {EDGES_SQL}, p AS (SELECT 'A_' || c_custkey AS id, c_custkey * 1.0::DOUBLE AS x, c_acctbal AS y, c_nationkey * 1.0::DOUBLE AS z FROM customer) SELECT target AS id, round(sum(x * weight) / sum(weight), 4) AS x, round(sum(y * weight) / sum(weight), 4) AS y, round(sum(z * weight) / sum(weight), 4) AS z FROM e JOIN p ON p.id = source GROUP BY 1")
+@query("ag32_centroids", f"WITH {EDGES_SQL}, p AS (SELECT 'A_' || c_custkey AS id, c_custkey * 1.0::DOUBLE AS x, c_acctbal AS y, c_nationkey * 1.0::DOUBLE AS z FROM customer) SELECT target AS id, round(sum(x * weight) / sum(weight), 8) AS x, round(sum(y * weight) / sum(weight), 8) AS y, round(sum(z * weight) / sum(weight), 8) AS z FROM e JOIN p ON p.id = source GROUP BY 1")
 def ag32(spark, d):
-    return graph.centroids(_edges(spark, d), _places(spark, d)).select("id", *(F.round(c, 4).alias(c) for c in "xyz"))
+    return graph.centroids(_edges(spark, d), _places(spark, d)).select("id", *(F.round(c, 8).alias(c) for c in "xyz"))
 
 
 def _places(spark, d):
