@@ -3,12 +3,11 @@
 Base spans are e-mail addresses, IPv4 addresses, card numbers and telephone numbers, each kind found from the left without
 overlaps; matches that fail their check (parts over 255, digits, Luhn) are dropped. Offsets are code points.
 
-Around each base span the next words on both sides are its context. How strongly a term t reveals the entity e is the
-share of e's information that t carries, estimated from co-occurrence over the distinct texts of the corpus:
-PMI(t, e) / IC(e) = 1 - ln(c(t) / c(t, e)) / ln(N / c(e)), where c(t, e) counts texts with t in a context of e, c(t) texts
-with t anywhere, c(e) texts with e and N all. Terms that stand beside an entity in `support` texts or more are removed
-from its contexts from the share `remove` on, and generalised from the share `generalise` on. Texts without a protected
-entity are never changed.
+How strongly a term t, any word, reveals the entity e is the share of e's information that t carries, estimated from
+co-occurrence over the distinct texts of the corpus: PMI(t, e) / IC(e) = 1 - ln(c(t) / c(t, e)) / ln(N / c(e)), where
+c(t, e) counts texts with t and e, c(t) texts with t, c(e) texts with e and N all, wherever in the text they stand. Terms
+that are with an entity in `support` texts or more are removed from the share `remove` on, and generalised from the share
+`generalise` on: every occurrence, in all texts that have the entity. Texts without a protected entity are never changed.
 
 All of it is DataFrame functions. Where a text splits at a pattern, the lengths of the parts and of the matches add up to
 the offsets. Patterns look for their first character only where a run begins, so long runs cost linear time.
@@ -80,19 +79,24 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(may, F.filter(located(text, PATTERNS[kind]), lambda s: _checked(kind, s["value"]))).otherwise(F.array().cast(SPAN))
 
 
-def _context(text: Column, span: Column, words: int, chars: int) -> Column:
-    """The whole words next to a span, nearest `words` on either side within `chars` characters, as (start, end, value)."""
-    begin = F.greatest(span["start"] - chars, F.lit(0))
-    left = F.substring(text, begin + 1, span["start"] - begin)
-    left = F.when(begin > 0, F.regexp_replace(left, f"^{TERM}", "")).otherwise(left)
-    right = F.substring(text, span["end"] + 1, F.lit(chars))
-    right = F.when(F.length(right) == chars, F.regexp_replace(right, f"{TERM}$", "")).otherwise(right)
+def _words(text: Column) -> Column:
+    """The distinct words of a text, in small letters."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
-    def moved(part: Column, by: Column) -> Column:
-        return F.transform(F.filter(located(part, TERM), lambda w: F.length(w["value"]) >= 3), lambda w: F.struct((w["start"] + by).alias("start"), (w["end"] + by).alias("end"), F.lower(w["value"]).alias("value")))
 
-    a, b = moved(left, span["start"] - F.length(left)), moved(right, span["end"])
-    return F.concat(F.slice(a, F.greatest(F.size(a) - words + 1, F.lit(1)), words), F.slice(b, 1, words))
+def _occurrences(text: Column, removed: Column, general: Column) -> Column:
+    """Where the words of two lists stand in text, as (start, end, mask) from the left."""
+    parts = F.arrays_zip(F.split(text, TERM).alias("part"), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("value"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,mask:string>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["part"])
+        end = start + F.coalesce(F.length(x["value"]), F.lit(0))
+        word = F.lower(x["value"])
+        mask = F.when(F.array_contains(removed, word), MASKS["removed"]).when(F.array_contains(general, word), MASKS["term"])
+        return F.struct(end.alias("at"), F.when(mask.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), mask.alias("mask")))).alias("out"))
+
+    return F.aggregate(parts, begin, step, lambda acc: acc["out"])
 
 
 def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -101,24 +105,31 @@ def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return body.select("doc_id", digest128(F.col("t")).alias("digest"), "t", *(base_spans(F.col("t"), k).alias(k) for k in KINDS))
 
 
-def disclosing(docs: DataFrame, rows: DataFrame, corpus: int, text: str = "text", support: int = 2, generalise: float = 0.85, remove: float = 0.95, words: int = 3, chars: int = 64) -> DataFrame | None:
-    """(doc_id, digest, terms) for documents with terms to change; terms: array of (start, end, mask). rows: what found() gives of those documents that have a base span."""
-    kept = []
-    for k in KINDS:
-        entity = F.lower("s.value") if k in ("email", "ip") else _digits(F.col("s.value"))
-        each = rows.select("doc_id", "digest", "t", F.explode(k).alias("s"))
-        kept.append(each.select("doc_id", "digest", F.concat(F.lit(f"{k}:"), entity).alias("e"), _context(F.col("t"), F.col("s"), words, chars).alias("near")))
-    near = kept[0].unionByName(kept[1]).unionByName(kept[2]).unionByName(kept[3])
-    # A document's own protected values are not terms beside another
-    near = stored(near, "contexts")
-    of_e = near.groupBy("e").agg(F.count_distinct("digest").alias("c_e")).filter(F.col("c_e") >= support)
-    beside = near.select("doc_id", "digest", "e", F.explode("near").alias("w")).select("doc_id", "digest", "e", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.value").alias("t"))
-    pairs = stored(beside.join(of_e, "e").groupBy("e", "t", "c_e").agg(F.count_distinct("digest").alias("c_te")).filter(F.col("c_te") >= support), "pairs")
-    # A term is at least in the texts where it stands beside any entity; pairs that can't reach the threshold even so go before terms are counted
+def _entities(kind: str) -> Column:
+    return F.transform(kind, lambda s: F.concat(F.lit(f"{kind}:"), F.lower(s["value"]) if kind in ("email", "ip") else _digits(s["value"])))
+
+
+def disclosing(docs: DataFrame, rows: DataFrame, corpus: int, text: str = "text", support: int = 2, generalise: float = 0.85, remove: float = 0.95) -> DataFrame | None:
+    """(digest, terms) for distinct texts with terms to change; terms: array of (start, end, mask). rows: what found() gives of those documents that have a base span."""
+    entities = F.concat(*(_entities(k) for k in KINDS))
+    each = stored(rows.select("digest", F.explode(F.array_distinct(entities)).alias("e")).distinct(), "entities")
+    of_e = each.groupBy("e").agg(F.count("*").alias("c_e")).filter(F.col("c_e") >= support)
+    held = stored(each.join(of_e, "e"), "held")
+    own = rows.select("digest", "t").join(held.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.any_value("t").alias("t"))
+    own = stored(own, "own")
     ic = F.log(F.lit(float(corpus)) / F.col("c_e"))
-    share = lambda c: F.when(ic > 0, 1 - F.log(F.greatest(c, "c_te") / F.col("c_te")) / ic)
-    beside_any = beside.groupBy("t").agg(F.count_distinct("digest").alias("c_near"))
-    pairs = stored(pairs.join(beside_any, "t").filter(share("c_near") >= generalise).drop("c_near"), "pairs")
+    share = lambda c, c_te: F.when(ic > 0, 1 - F.log(F.greatest(c, c_te) / c_te) / ic)
+    # A term is at least in the texts that have any of the entities; of those counts, what can't reach the threshold goes before pairs are made, and again before terms are counted
+    least = own.select(F.explode(_words(F.col("t"))).alias("t")).groupBy("t").agg(F.count("*").alias("c_own")).filter(F.col("c_own") >= support)
+    most = held.select(F.max(F.when(ic > 0, F.col("c_e") * F.exp((1 - generalise) * ic)))).first()[0]
+    if most is None:
+        return None
+    least = stored(least.filter(F.col("c_own") <= most + 1), "rare")
+    beside = own.select("digest", F.explode(_words(F.col("t"))).alias("t"))
+    beside = beside.join(F.broadcast(least) if least.count() <= BROADCAST_ROWS else least, "t")
+    able = share("c_own", F.least("c_e", "c_own")) >= generalise - 1e-9
+    pairs = beside.join(held, "digest").filter(able).groupBy("e", "t", "c_e", "c_own").agg(F.count("*").alias("c_te"))
+    pairs = stored(pairs.filter((F.col("c_te") >= support) & (share("c_own", F.col("c_te")) >= generalise)).drop("c_own"), "pairs")
     terms = pairs.select("t").dropDuplicates()
     many = terms.count()
     if not many:
@@ -126,13 +137,18 @@ def disclosing(docs: DataFrame, rows: DataFrame, corpus: int, text: str = "text"
     terms = F.broadcast(terms) if many <= BROADCAST_ROWS else terms
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     # each distinct text once, as its distinct words; counting them then merges before the shuffle
-    words_of = F.array_join(F.array_distinct(F.split(F.lower(body), r"[^\p{L}\p{N}]+")), " ")
-    texts = docs.select(digest128(body).alias("digest"), words_of.alias("words")).groupBy("digest").agg(F.any_value("words").alias("words"))
+    texts = docs.select(digest128(body).alias("digest"), F.array_join(_words(body), " ").alias("words")).groupBy("digest").agg(F.any_value("words").alias("words"))
     every = texts.select(F.explode(F.split("words", " ")).alias("t"))
-    of_t = every.join(terms, "t", "left_semi").groupBy("t").agg(F.count("*").alias("c_t"))
-    flagged = stored(pairs.join(of_t, "t").withColumn("share", share("c_t")).filter(F.col("share") >= generalise).select("e", "t", F.when(F.col("share") >= remove, MASKS["removed"]).otherwise(MASKS["term"]).alias("mask")), "flagged")
-    at = beside.join(flagged, ["e", "t"]).groupBy("doc_id", "digest", "start", "end").agg(F.min("mask").alias("mask"))
-    return at.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_list(F.struct("start", "end", "mask"))).alias("terms"))
+    of_t = every.join(terms, "t", "left_semi").groupBy("t").agg(F.count("*").alias("c_t")) if many <= BROADCAST_ROWS else every.groupBy("t").agg(F.count("*").alias("c_t")).join(terms, "t", "left_semi")
+    flagged = pairs.join(of_t, "t").withColumn("share", share(F.col("c_t"), F.col("c_te"))).filter(F.col("share") >= generalise).select("e", "t", (F.col("share") >= remove).alias("out"))
+    flagged = stored(flagged, "flagged")
+    # entity first, then its words: a text has many words and few entities
+    of_text = held.select("digest", "e").join(flagged.groupBy("e").agg(F.collect_list(F.struct("t", "out")).alias("ts")), "e")
+    marks = of_text.select("digest", F.explode("ts").alias("m")).groupBy("digest", F.col("m.t").alias("t")).agg(F.bool_or("m.out").alias("out"))
+    pick = lambda out: F.collect_list(F.when(F.col("out") == out, F.col("t")))
+    marks = marks.groupBy("digest").agg(pick(True).alias("removed"), pick(False).alias("general"))
+    at = own.join(marks, "digest").select("digest", _occurrences(F.col("t"), F.col("removed"), F.col("general")).alias("terms"))
+    return at.filter(F.size("terms") > 0)
 
 
 def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -146,8 +162,9 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options
     none = F.array().cast("array<struct<start:int,end:int,mask:string>>")
     if extra is None:
         return base.drop("t").withColumn("terms", none)
-    extra = stored(extra.withColumnRenamed("doc_id", "_id").withColumnRenamed("digest", "_digest"), "terms")
-    joined = base.drop("t").join(extra, base.doc_id.eqNullSafe(extra._id) & (base.digest == extra._digest), "left")
+    extra = stored(extra, "terms")
+    many = extra.agg(F.sum(F.size("terms"))).first()[0] or 0
+    joined = base.drop("t").join(F.broadcast(extra) if many <= BROADCAST_ROWS else extra, "digest", "left")
     clear = lambda w: ~F.exists(F.concat(*KINDS), lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
     return joined.select("doc_id", "digest", *KINDS, F.coalesce(F.filter("terms", clear), none).alias("terms"))
 

@@ -417,6 +417,38 @@ def test_pii_terms(spark):
             assert out[k] == t
 
 
+def brute_terms(texts, support=2, generalise=0.85, remove=0.95):
+    """The texts with e-mail addresses and the terms that go with them masked: counts over whole distinct texts."""
+    words = {t: {w.lower() for w in re.findall(r"[^\W_]+", t)} for t in set(texts)}
+    mails = {t: {m[0].lower() for m in re.finditer(r"[\w.]+@[\w.]+\w", t)} for t in words}
+    mask = {t: {} for t in words}
+    for e in set().union(*mails.values()):
+        own = [t for t in words if e in mails[t]]
+        ic = np.log(len(words) / len(own))
+        for w in set().union(*(words[t] for t in own)) if len(own) >= support and ic > 0 else ():
+            both = sum(w in words[t] for t in own)
+            share = 1 - np.log(sum(w in x for x in words.values()) / both) / ic
+            if both >= support and share >= generalise:
+                for t in own:
+                    mask[t][w] = min(mask[t].get(w, "[TERM]"), "[REMOVED]" if share >= remove else "[TERM]")
+    swap = lambda t, m: "[EMAIL]" if "@" in m[0] else mask[t].get(m[0].lower(), m[0])
+    return [re.sub(r"[\w.]+@[\w.]+\w|[^\W_]+", lambda m, t=t: swap(t, m), t) for t in texts]
+
+
+def test_pii_terms_of_whole_texts(spark):
+    """Names in the header, far from the address, short ones, those in some of the texts only, and all their repetitions go."""
+    rng = random.Random(8)
+    filler = lambda n: " ".join(f"w{rng.randint(0, 50)}" for _ in range(n))
+    texts = [f"Quimby {filler(40)} zeb@ex.org {filler(40)} Yq {'Tarkov' if k % 2 else ''} {filler(40)} quimby, QUIMBY" for k in range(6)]
+    texts += [f"{filler(60)} bo@ex.org x" + " Vandal" * (k < 3) for k in range(5)]
+    texts += [filler(60) + (" Tarkov" if k < 2 else " Vandal" if k < 5 else "") for k in range(400)]
+    texts += texts[:3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
+    assert [out[k] for k in range(len(texts))] == brute_terms(texts)
+    assert all("quimby" not in out[k].lower() and "Yq" not in out[k] for k in range(6)) and out[11 + 3] == texts[11 + 3]
+
+
 def test_nearest_neighbours_among_copies(spark):
     """A third of all rows is one vector: of its copies the smallest ids are nearest."""
     rng = np.random.default_rng(4)
