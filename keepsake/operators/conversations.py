@@ -121,33 +121,32 @@ def structure(messages: DataFrame, conversation: str = "thread_id", thread: str
     return each.select(conversation, "n", F.col("branching").cast("long").alias("branching"), kind.alias("structure"))
 
 
-def reply_paths(messages: DataFrame, conversation: str = "thread_id", levels: int = 100) -> DataFrame:
-    """messages with depth and path: the (ts, msg_id) from the root down, so that sorting by it is preorder. One join a level of depth, until no reply is left; messages whose parent isn't in the conversation are roots."""
-    key = F.struct("ts", "msg_id")
+def reply_paths(messages: DataFrame, conversation: str = "thread_id") -> DataFrame:
+    """messages with depth and path: the (ts, msg_id) from the root down, so that sorting by it is preorder. msg_id is unique in a conversation; messages whose parent isn't in it are roots. Each round a message's path takes on the path of the message at its upper end, so depth needs rounds of its logarithm; what hangs on a cycle of replies has no root and isn't returned."""
+    spark = messages.sparkSession
     own = messages.select(conversation, "msg_id", "parent_id", "ts")
     known = own.select(F.col(conversation).alias("_c"), F.col("msg_id").alias("_p"))
+    most = own.groupBy(F.col(conversation).alias("_m")).agg(F.count("*").alias("_most"))
     tied = own.join(known, (own[conversation] == known._c) & (own.parent_id == known._p), "left")
-    level = tied.filter("_p is null").select(conversation, "msg_id", F.lit(0).alias("depth"), F.array(key).alias("path"))
-    replies = tied.filter("_p is not null").select(conversation, "msg_id", "parent_id", "ts").cache()
-    out = level
-    for _ in range(levels):
-        up = level.select(F.col(conversation).alias("_c"), F.col("msg_id").alias("_p"), "depth", "path")
-        level = replies.join(up, (replies[conversation] == up._c) & (replies.parent_id == up._p)).select(conversation, "msg_id", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array(key)).alias("path"))
-        level = level.cache()
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
-
-
-def stitched(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component) of an undirected edge list (a, b): the smallest id reachable. Labels fall to the smallest neighbour's and to their label's label; each round is checkpointed in the shared folder where one is set."""
+    tied = tied.join(most, tied[conversation].eqNullSafe(most._m))
+    state = _cut(tied.select(conversation, "msg_id", F.col("_p").alias("up"), F.array(F.struct("ts", "msg_id")).alias("path"), "_most"), spark)
+    while not state.filter("up is not null").isEmpty():
+        upper = state.select(F.col(conversation).alias("_c"), F.col("msg_id").alias("_p"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+        low = state.filter("up is not null")
+        low = low.join(upper, (low[conversation] == upper._c) & (low.up == upper._p)).select(conversation, "msg_id", F.col("_up").alias("up"), F.concat("_path", "path").alias("path"), "_most")
+        # a path of more messages than the conversation has is a cycle
+        state = _cut(state.filter("up is null").unionByName(low.filter("size(path) <= _most")), spark)
+    return state.select(conversation, "msg_id", (F.size("path") - 1).alias("depth"), "path")
+
+
+def stitched(edges: DataFrame) -> DataFrame:
+    """(id, component) of an undirected edge list (a, b): the smallest id reachable. Labels fall to the smallest neighbour's and to their label's label; each round is checkpointed in the shared folder where one is set, until none changes."""
     spark = edges.sparkSession
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
     both = _cut(both, spark)
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).select(F.col("a").alias("id"), "l")
     labels = _cut(labels, spark)
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("l").alias("m"))
         jump = labels.select(F.col("id").alias("_j"), F.col("l").alias("_jl"))
         new = labels.join(near, labels.id == near.a).select("id", F.least("l", "m").alias("n"), F.col("l").alias("o"))
@@ -165,20 +164,23 @@ def _cut(df: DataFrame, spark) -> DataFrame:
     return df.checkpoint()
 
 
-def own_reply_chains(messages: DataFrame, author: Column, least: int = 3, levels: int = 100) -> DataFrame:
-    """(head, length): chains of an author's replies to themselves, each from a head by them whose parent is missing or another's, following the first own reply."""
+def own_reply_chains(messages: DataFrame, author: Column, least: int = 3) -> DataFrame:
+    """(head, length): chains of an author's replies to themselves, each from a head by them whose parent is missing or another's, following the first own reply. Steps double each round."""
+    spark = messages.sparkSession
     mine = messages.filter(author).select("msg_id", "parent_id", "ts")
     pairs = mine.alias("c").join(mine.alias("p"), F.col("c.parent_id") == F.col("p.msg_id"))
-    first = pairs.groupBy(F.col("p.msg_id").alias("up")).agg(F.min(F.struct("c.ts", "c.msg_id"))["msg_id"].alias("down")).cache()
-    heads = mine.join(mine.select(F.col("msg_id").alias("_p")), mine.parent_id == F.col("_p"), "left_anti")
-    level = heads.select(F.col("msg_id").alias("head"), F.col("msg_id").alias("at"), F.lit(1).alias("length"))
-    out = level
-    for _ in range(levels):
-        level = level.join(first, level["at"] == first.up).select("head", F.col("down").alias("at"), (F.col("length") + 1).alias("length")).cache()
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.groupBy("head").agg(F.max("length").cast("long").alias("length")).filter(F.col("length") >= least)
+    first = _cut(pairs.groupBy(F.col("p.msg_id").alias("up")).agg(F.min(F.struct("c.ts", "c.msg_id"))["msg_id"].alias("at")), spark)
+    heads = mine.join(mine.select(F.col("msg_id").alias("_p")), mine.parent_id == F.col("_p"), "left_anti").select(F.col("msg_id").alias("head"))
+    most = first.count()
+    ups = first.select(F.col("up").alias("_u"))
+    steps = _cut(first.join(ups, first["at"] == ups._u, "left").select("up", "at", F.lit(1).cast("long").alias("n"), F.col("_u").isNotNull().alias("more")), spark)
+    while not steps.filter("more").isEmpty():
+        on = steps.select(F.col("up").alias("_u"), F.col("at").alias("_at"), F.col("n").alias("_n"), F.col("more").alias("_more"))
+        far = steps.filter("more").join(on, F.col("at") == F.col("_u")).select("up", F.col("_at").alias("at"), (F.col("n") + F.col("_n")).alias("n"), F.col("_more").alias("more"))
+        # more steps than there are: a cycle, which no head leads to
+        steps = _cut(steps.filter("not more").unionByName(far.filter(F.col("n") <= most)), spark)
+    found = heads.join(steps, F.col("head") == F.col("up"), "left").groupBy("head").agg((F.coalesce(F.max("n"), F.lit(0)) + 1).cast("long").alias("length"))
+    return found.filter(F.col("length") >= least)
 
 
 def segments_by_similarity(rows: DataFrame, by: str, order: str, vector: str, least: float = 0.6) -> DataFrame:
