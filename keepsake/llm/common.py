@@ -95,6 +95,30 @@ def slices(batch, column: int, most: int = 1 << 20):
         yield batch.slice(a, z - a)
 
 
+def runs(batches, keys: int):
+    """Rows that come sorted by the first `keys` columns, as one Arrow table for each run of equal values there."""
+    import pyarrow as pa
+
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        new = np.zeros(b.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), b.num_rows]
+        for a, z in zip(cuts, cuts[1:]):
+            key = tuple(c[a] for c in columns)
+            if key != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(a, z - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (multiply and shift, three rounds)."""
     with np.errstate(over="ignore"):

@@ -2,27 +2,27 @@
 
 A document is the set of its distinct shingles of `width` words (ASCII letters lower-cased; fewer words: the whole
 sequence is the one shingle). Two documents link when 100 * |A & B| >= percent * |A | B|. The result has one row a
-document with its component: the smallest doc_id that links reach.
+document with its component (the smallest doc_id that links reach) and the number of documents that it links with.
 
-1. Equal texts fall together under one representative before any set is made. Sets are made once for keys and counts and
-   again, for documents in a candidate pair only, to verify; they are too large to keep for all.
+1. Equal texts fall together under one representative before any set is made, and texts of equal sets after. Sets are
+   made once for keys and counts and again, for documents with a candidate only, to verify; they are too large to keep.
 2. Shingles are hashed into groups. Linked sets differ in at most r shingles (r follows from the sizes), so of r + 1 or
    more groups one at least is the same in both: the contents of its group are the key under which two points meet.
-   Sizes come in bands of ratio 1 : percent, so a pair shares the number of groups of the smaller one's band. Large sets
-   have many groups, so no key holds more than a sliver of a large group of copies.
-3. Under one key all points meet the one with the smallest id. A pair goes on if the sum of the minima of its group
-   counts can reach the overlap that a link needs, and is then verified on the sets. Verified pairs give components.
-4. A key whose points are still in several components holds pairs not yet compared. Its points are packed into the
-   leaves of an R-tree (sorted by size and counts, upper corners a leaf); leaves of which no point can reach the needed
-   overlap fall out, then pairs by their own counts; the rest is verified, and components are joined again.
-
-No link is lost: every pair is compared, bounded out, or already connected. A tree over all points would not prune:
-hashed counts of unrelated texts are all alike far within the search radius along any single axis, so the tree stands
-under the keys of step 2, where large buckets need it.
+   Sizes come in bands of ratio 1 : percent, so a pair shares the number of groups of the smaller one's band. Keys under
+   which the same documents meet are one.
+3. Under a key, points stand in an R-tree (packed by size and counts, each node with the upper corner of its points).
+   The tree is met with itself: nodes fall out whose corners' summed minima cannot reach the overlap that a link needs,
+   and pairs of points by their own. Of the pairs left only a spanning forest goes on; its components are clusters.
+4. All links lie inside clusters. There each document's set comes once; the pairs that pass the tree are verified on the
+   sets, counted, and their spanning forest gives the components.
+
+A crowded key or cluster is dealt into chunks, and each pair of chunks is a unit of work of its own, so no task holds
+more than two chunks. No link is lost: every pair is verified or bounded out. A tree over all points at once prunes too
+little (see the README), so it stands under the keys of step 2.
 
 Results: one row a doc_id. Null and empty texts and texts of blanks have 0 shingles and link with nothing. Rows that
 repeat a doc_id are one document (of different texts under one doc_id the one with the smallest digest counts). Rows
-without a doc_id give one row without a component, and link with nothing. Other columns are ignored.
+without a doc_id give one row without a component and link with nothing. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,15 +34,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest128, discard, lower_ascii, mix, partitions, slices, span_hashes, stored, text_bytes, word_spans
+from .common import digest128, discard, lower_ascii, mix, partitions, runs, slices, span_hashes, stored, text_bytes, word_spans
 
 #: Counts a point has. What sets do not share should be spread thin over them, or the bound lets too many pairs through.
 AXES = 256
 #: A count is one byte; what a set has above is summed up beside its point.
 TOP = 255
-LEAF = 64
-#: Ids of at most this many documents are broadcast (8 MB); more meet their sets by a shuffle.
+#: Points of a leaf, and nodes of a node above.
+FAN = 16
+#: Pairs of nodes whose bounds are taken at once.
+BLOCK = 2048
+#: Ids of at most this many documents are broadcast (8 MB); more meet their rows by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: A chunk of a crowded key has so many points at most, about; one of a cluster so many sets and shingles.
+CHUNK_POINTS, CHUNK_SETS, CHUNK_SHINGLES = 2048, 1024, 1 << 20
+#: Columns of shingles that are multiplied at once.
+COLUMNS = 4096
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +127,7 @@ def _lists(upto: np.ndarray, x: np.ndarray) -> pa.Array:
 
 
 def _points(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc, keys, counts, n, above) of each row of (doc, text): the keys it is searched by, its group counts, the size of its set, and how many shingles the counts leave out."""
+    """(doc, keys, counts, n, above, s1, s2) of each row of (doc, text): the keys it is searched by, its group counts, the size of its set, how many shingles the counts leave out, and 128 bits of the set (of empty sets: the doc)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -132,10 +139,14 @@ def _points(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 counts = [counts_of(x) for x in each]
                 n = np.diff(upto)
                 above = n - np.array([c.sum(dtype=np.int64) for c in counts])
+                with np.errstate(over="ignore"):
+                    halves = [np.concatenate([[np.uint64(0)], np.cumsum(mix(sets + np.uint64(salt)), dtype=np.uint64)]) for salt in (0, 0xC2B2AE3D27D4EB4F)]
+                    s1, s2 = ((h[upto[1:]] - h[upto[:-1]]).view(np.int64) for h in halves)
+                s1 = np.where(n == 0, b.column(0).to_numpy(), s1)
                 found = _lists(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), np.concatenate(keys))
-                yield pa.RecordBatch.from_arrays([b.column(0), found, pa.array([c.tobytes() for c in counts], pa.binary()), pa.array(n), pa.array(above)], names=["doc", "keys", *POINT])
+                yield pa.RecordBatch.from_arrays([b.column(0), found, pa.array([c.tobytes() for c in counts], pa.binary()), pa.array(n), pa.array(above), pa.array(s1), pa.array(s2)], names=["doc", "keys", *POINT, "s1", "s2"])
 
-    return docs.mapInArrow(run, "doc long, keys array<long>, counts binary, n long, above long")
+    return docs.mapInArrow(run, "doc long, keys array<long>, counts binary, n long, above long, s1 long, s2 long")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -154,6 +165,126 @@ def _counts(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, AXES)
 
 
+class Tree:
+    """An R-tree over points, met with itself. With sides, only pairs of points of different sides are looked for."""
+
+    def __init__(self, counts: np.ndarray, sizes: np.ndarray, above: np.ndarray, side: np.ndarray | None = None):
+        self.sides = side is not None and len(side) > 0 and bool((side != side[0]).any())
+        side = side if self.sides else np.zeros(len(sizes), np.int64)
+        self.order = np.lexsort((counts[:, 1], counts[:, 0], sizes, side))
+        # upper corner, least and most size, what the counts leave out, lowest and highest side: of points, then of the nodes above
+        self.levels = [tuple(x[self.order] for x in (counts, sizes, sizes, above, side, side))]
+        merge = (np.maximum, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum)
+        while len(self.levels[-1][1]) > FAN:
+            at = np.arange(0, len(self.levels[-1][1]), FAN)
+            self.levels.append(tuple(f.reduceat(x, at, axis=0) for f, x in zip(merge, self.levels[-1], strict=True)))
+
+    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of points, each once, whose summed minima reach the overlap that a link needs."""
+        stack = [(len(self.levels) - 1, *np.triu_indices(len(self.levels[-1][1])))]
+        while stack:
+            level, i, j = stack.pop()
+            if len(i) > BLOCK:
+                stack.append((level, i[BLOCK:], j[BLOCK:]))
+                i, j = i[:BLOCK], j[:BLOCK]
+            corner, least, most, rest, low, high = self.levels[level]
+            good = (percent * least[j] <= 100 * most[i]) & (percent * least[i] <= 100 * most[j])
+            if self.sides:
+                good &= (low[i] != high[i]) | (low[j] != high[j]) | (low[i] != low[j])
+            if not level:
+                good &= i != j
+            i, j = i[good], j[good]
+            good = np.minimum(corner[i], corner[j]).sum(1, dtype=np.int64) + np.minimum(rest[i], rest[j]) >= needed(least[i], least[j], percent)
+            i, j = i[good], j[good]
+            if not len(i):
+                continue
+            if not level:
+                yield self.order[i], self.order[j]
+                continue
+            child = np.arange(FAN)
+            x = np.broadcast_to((i[:, None] * FAN + child)[:, :, None], (len(i), FAN, FAN)).ravel()
+            y = np.broadcast_to((j[:, None] * FAN + child)[:, None, :], (len(j), FAN, FAN)).ravel()
+            on = (x <= y) & (y < len(self.levels[level - 1][1])) & (x < len(self.levels[level - 1][1]))
+            stack.append((level - 1, x[on], y[on]))
+
+
+class Forest:
+    """Labels of 0 .. n - 1: the smallest number that the edges so far reach."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        while True:
+            a, b = self.label[x], self.label[y]
+            if (a == b).all():
+                return
+            low = np.minimum(a, b)
+            np.minimum.at(self.label, a, low)
+            np.minimum.at(self.label, b, low)
+            while (self.label[self.label] != self.label).any():
+                self.label = self.label[self.label]
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.label != np.arange(len(self.label)))
+        return self.label[at], at
+
+
+def overlaps(shingles: np.ndarray, upto: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Size of the intersection of sets x[k] and y[k] for each k; by products of 0/1 columns where many pairs share few sets, else by looking up the smaller set's shingles."""
+    n = np.diff(upto)
+    used = np.unique(np.concatenate([x, y]))
+    place = np.full(len(n), -1)
+    place[used] = np.arange(len(used))
+    row = np.repeat(place, n)
+    _, col = np.unique(shingles[row >= 0], return_inverse=True)
+    row = row[row >= 0]
+    shared = np.bincount(col) > 1
+    row, col = row[shared[col]], (np.cumsum(shared) - 1)[col[shared[col]]]
+    width = int(shared.sum())
+    x, y = place[x], place[y]
+    sizes = np.bincount(row, minlength=len(used))
+    x, y = np.where(sizes[x] <= sizes[y], x, y), np.where(sizes[x] <= sizes[y], y, x)
+    if 0.05 * len(used) ** 2 * width < 60.0 * sizes[x].sum():
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        both = np.zeros((len(used), len(used)))
+        for a in range(0, width, COLUMNS):
+            s, e = np.searchsorted(col, [a, a + COLUMNS])
+            block = np.zeros((len(used), min(COLUMNS, width - a)), np.float32)
+            block[row[s:e], col[s:e] - a] = 1
+            both += block @ block.T
+        return both[x, y].astype(np.int64)
+    flat = row * max(width, 1) + col
+    flat.sort()
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.zeros(len(x), np.int64)
+    step = np.cumsum(sizes[x]) // 1_000_000
+    for k in np.unique(step):
+        at = np.flatnonzero(step == k)
+        size = sizes[x[at]]
+        pair = np.repeat(np.arange(len(at)), size)
+        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        asked = flat[first[x[at]][pair] + inner] - (x[at] - y[at])[pair] * width
+        hit = np.minimum(np.searchsorted(flat, asked), max(len(flat) - 1, 0))
+        out[at] = np.bincount(pair[flat[hit] == asked], minlength=len(at)) if len(flat) else 0
+    return out
+
+
+def linked(shingles: np.ndarray, upto: np.ndarray, side: np.ndarray | None, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of sets that link, each once: those that pass the tree are verified."""
+    n = np.diff(upto)
+    row = np.repeat(np.arange(len(n)), n)
+    counts = np.bincount(row * AXES + (shingles & np.uint64(AXES - 1)).astype(np.int64), minlength=len(n) * AXES).reshape(-1, AXES)
+    above = np.maximum(counts - TOP, 0).sum(1)
+    held = list(Tree(np.minimum(counts, TOP).astype(np.uint8), n, above, side).pairs(percent))
+    if held:
+        x, y = (np.concatenate(v) for v in zip(*held, strict=True))
+        both = overlaps(shingles, upto, x, y)
+        good = 100 * both >= percent * (n[x] + n[y] - both)
+        yield x[good], y[good]
+
+
 def _meetings(keys: DataFrame) -> DataFrame:
     """(key, doc, first) for keys that several documents have; first: the smallest of them. Reads rows sorted by key and doc, and remembers one key."""
 
@@ -207,16 +338,69 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], width: int, percent: int) -> DataFrame:
-    """Those pairs that link, as a stored table. Sets are made again for the documents in a pair only; texts gives (doc, text) of the ids in a table (doc)."""
-    pairs = stored(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+def _chunked(rows: DataFrame, group: str, chunks: str) -> DataFrame:
+    """rows of (group, doc, chunks, ...) with i, j and c: the document is in chunk c of its group, and chunk c meets chunk d in the work (least, greatest of both)."""
+    dealt = rows.withColumn("c", F.pmod(F.xxhash64("doc"), F.col(chunks)).cast("int"))
+    dealt = dealt.withColumn("d", F.explode(F.sequence(F.lit(0), F.col(chunks).cast("int") - 1)))
+    return dealt.withColumn("i", F.least("c", "d")).withColumn("j", F.greatest("c", "d")).drop("d", chunks)
+
+
+def _worked(rows: DataFrame, group: str, columns: list[str], work: Callable, schema: str) -> DataFrame:
+    """work(table) for the rows of each (group, i, j); tables have the columns named, with c in front."""
+    rows = rows.select(group, "i", "j", "c", *columns).repartition(partitions(rows.sparkSession), group, "i", "j").sortWithinPartitions(group, "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in runs(batches, 3):
+            yield from work(unit.select(range(3, unit.num_columns)))
+
+    return rows.mapInArrow(run, schema)
+
+
+def _crowds(met: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the pairs that pass the tree under each key. met: (key, m, doc), m the documents of the key."""
+    rows = _chunked(met.withColumn("chunks", F.ceil(F.col("m") / CHUNK_POINTS)).drop("m"), "key", "chunks").join(points.select("doc", *POINT), "doc")
+
+    def work(unit: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, doc, n, above = (unit.column(k).to_numpy() for k in (0, 1, 3, 4))
+        forest = Forest(len(doc))
+        for x, y in Tree(_counts(unit.column(2)), n, above, side).pairs(percent):
+            forest.add(x, y)
+        x, y = forest.edges()
+        if len(x):
+            yield pa.RecordBatch.from_arrays([pa.array(doc[x]), pa.array(doc[y])], names=["a", "b"])
+
+    return _worked(rows, "key", ["doc", *POINT], work, "a long, b long")
+
+
+def _verified(clusters: DataFrame, sizes: DataFrame, texts: Callable[[DataFrame], DataFrame], width: int, percent: int) -> DataFrame:
+    """(a, b, links), stored: with b, a spanning forest of the links of each cluster; without, how many documents a links with. clusters: (doc, root); sizes: (doc, n, copies)."""
+    ids = clusters.select("doc")
     sets = stored(_sets(texts(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids), width), "sets")
-    joined = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    links = stored(joined.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "links")
-    discard(pairs, sets)
-    return links
+    members = clusters.join(sizes, "doc")
+    many = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("chunks"))
+    rows = _chunked(members.join(many, "root").select("root", "doc", "copies", "chunks"), "root", "chunks").join(sets, "doc")
+
+    def work(unit: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, doc, copies = (unit.column(k).to_numpy() for k in range(3))
+        lists = unit.column(3).combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        upto = lists.offsets.to_numpy().astype(np.int64)
+        shingles = lists.values.to_numpy()[upto[0] : upto[-1]].view(np.uint64)
+        forest, links = Forest(len(doc)), np.zeros(len(doc))
+        for x, y in linked(shingles, upto - upto[0], side, percent):
+            forest.add(x, y)
+            links += np.bincount(x, copies[y], len(doc)) + np.bincount(y, copies[x], len(doc))
+        some = np.flatnonzero(links)
+        if len(some):
+            x, y = forest.edges()
+            a, b = np.concatenate([doc[some], doc[x]]), np.concatenate([doc[some], doc[y]])
+            counted = np.arange(len(a)) < len(some)
+            n = np.concatenate([links[some], np.zeros(len(x))]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=counted), pa.array(n, mask=~counted)], names=["a", "b", "links"])
+
+    out = stored(_worked(rows, "root", ["doc", "copies", "shingles"], work, "a long, b long, links long"), "links")
+    discard(sets)
+    return out
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -236,51 +420,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels.toDF("doc", "root")
 
 
-def _leaf_pairs(counts: np.ndarray, sizes: np.ndarray, above: np.ndarray, part: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of points in different parts whose summed minima reach the overlap. Points are packed into leaves; a leaf is met with another only if the upper corners of both could reach it."""
-    order = np.lexsort((counts[:, 1], counts[:, 0], sizes))
-    counts, sizes, above, part = counts[order], sizes[order], above[order], part[order]
-    leaves = [slice(k, k + LEAF) for k in range(0, len(order), LEAF)]
-    corner = np.array([counts[s].max(0) for s in leaves])
-    least, most = np.array([sizes[s].min() for s in leaves]), np.array([sizes[s].max() for s in leaves])
-    rest = np.array([above[s].max() for s in leaves])
-    for i, s in enumerate(leaves):
-        met = np.arange(i, len(leaves))
-        met = met[(100 * most[i] >= percent * least[met]) & (np.minimum(corner[i], corner[met]).sum(1, dtype=np.int64) + np.minimum(rest[i], rest[met]) >= needed(least[i], least[met], percent))]
-        for j in met:
-            t = leaves[j]
-            overlap = np.minimum(counts[s, None, :], counts[None, t, :]).sum(2, dtype=np.int32) + np.minimum(above[s, None], above[None, t])
-            good = (overlap >= needed(sizes[s][:, None], sizes[t][None], percent)) & (part[s][:, None] != part[t][None])
-            x, y = np.nonzero(np.triu(good, 1) if i == j else good)
-            if len(x):
-                yield order[s.start + x], order[t.start + y]
-
-
-def _remaining(met: DataFrame, roots: DataFrame, points: DataFrame, percent: int, chunk: int = 2048) -> DataFrame:
-    """Pairs (a, b) under one key that are in different components and can still link. Only keys with three or more documents and several components come here. Documents of a crowded key are dealt into chunks, and each pair of chunks is a task's work of its own."""
-    rooted = met.join(roots, "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
-    several = rooted.groupBy("key").agg(F.count("*").alias("m"), (F.min("root") != F.max("root")).alias("mixed")).filter("m > 2 and mixed")
-    rows = rooted.join(several, "key").withColumn("chunks", F.ceil(F.col("m") / chunk).cast("int")).withColumn("c", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
-    # chunk c meets chunk d in the task (min, max)
-    rows = rows.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("key", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "doc", "root")
-    rows = rows.join(points.select("doc", *POINT), "doc")
-
-    def run(key, data):
-        part = data["root"].to_numpy()
-        found = list(_leaf_pairs(_counts(data["counts"]), data["n"].to_numpy(), data["above"].to_numpy(), part, percent))
-        x, y = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-        doc = data["doc"].to_numpy()
-        return pa.table({"a": np.minimum(doc[x], doc[y]), "b": np.maximum(doc[x], doc[y])})
-
-    return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").dropDuplicates()
-
-
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row; see the module."""
+    """(doc_id, n_shingles, component_id, n_links) of each row; see the module. n_links counts documents, copies too."""
     spark = docs.sparkSession
     named = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("digest", digest128(F.col("text")))
     rows = stored(named.groupBy("doc").agg(F.min("digest").alias("digest")), "rows")
-    classes = stored(rows.filter("doc is not null").groupBy("digest").agg(F.min("doc").alias("rep")), "classes")
+    classes = stored(rows.filter("doc is not null").groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "classes")
 
     def texts(ids: DataFrame | None = None) -> DataFrame:
         """Of equal texts only the one with the smallest id goes on; rows that repeat an id and text come once (the join has already dealt them by both)."""
@@ -289,23 +434,40 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
         return once.dropDuplicates(["doc", "digest"]).select("doc", "text")
 
     points = stored(_points(texts(), width, percent), "points")
-    sizes = stored(points.select("doc", "n"), "sizes")
-    keys = points.select(F.explode("keys").alias("key"), "doc").repartition(partitions(spark), "key").sortWithinPartitions("key", "doc")
+    # texts of equal sets are one from here on, under the smallest of their documents
+    made = classes.join(points.select(F.col("doc").alias("rep"), "n", "s1", "s2"), "rep")
+    alike = made.groupBy("n", "s1", "s2").agg(F.min("rep").alias("head"), F.sum("copies").alias("together"))
+    named_sets = stored(made.join(alike, ["n", "s1", "s2"]).select("digest", "rep", "n", "head", "together"), "named")
+    sizes = named_sets.filter("rep = head").select(F.col("rep").alias("doc"), "n", F.col("together").alias("copies"))
+    others = stored(named_sets.filter("rep <> head").select(F.col("rep").alias("doc")), "others")
+    heads = points.join(F.broadcast(others) if others.count() <= BROADCAST_IDS else others, "doc", "left_anti")
+    keys = heads.select(F.explode("keys").alias("key"), "doc").repartition(partitions(spark), "key").sortWithinPartitions("key", "doc")
     met = stored(_meetings(keys), "met")
-    stars = met.select(F.col("first").alias("a"), F.col("doc").alias("b")).filter("a <> b").dropDuplicates()
-    links = _verified(_bounded(stars, points, percent), texts, width, percent)
-    roots = components(links)
-    more = _verified(_remaining(met.select("key", "doc").dropDuplicates(), roots, points, percent), texts, width, percent)
-    discard(points, met)
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
-    placed = classes.join(sizes, classes.rep == sizes.doc, "left").drop("doc").join(roots, classes.rep == roots.doc, "left").select("digest", "n", F.coalesce("root", "rep").alias("root"))
-    size = F.coalesce("n", F.lit(0)).cast("long")
-    return rows.join(placed, "digest", "left").select(F.col("doc").alias("doc_id"), size.alias("n_shingles"), F.when(size == 0, F.col("doc")).otherwise(F.col("root")).alias("component_id"))
+    # keys under which the same documents meet are one; 128 bits and the count stand for the documents
+    mark = [F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc")).alias("x1"), F.bit_xor(F.xxhash64(F.lit("keepsake"), "doc")).alias("x2"), F.min("doc").alias("a"), F.max("doc").alias("b")]
+    kept = stored(met.groupBy("key").agg(*mark).groupBy("m", "x1", "x2").agg(F.min("key").alias("key"), F.min("a").alias("a"), F.max("b").alias("b")), "lists")
+    near = _bounded(kept.filter("m = 2").select("a", "b"), points, percent)
+    crowds = _crowds(met.select("key", "doc").join(kept.filter("m > 2").select("key", "m"), "key"), points, percent)
+    candidates = stored(near.unionByName(crowds), "candidates")
+    discard(met, kept, others)
+    clusters = components(candidates)
+    found = _verified(clusters, sizes, texts, width, percent)
+    discard(points, candidates)
+    roots = components(found.filter("b is not null").select("a", "b"))
+    links = found.filter("b is null").groupBy(F.col("a").alias("head")).agg(F.sum("links").alias("links"))
+    placed = named_sets.join(roots.withColumnRenamed("doc", "head"), "head", "left").join(links, "head", "left")
+    placed = placed.select("digest", "n", F.coalesce("root", "head").alias("root"), (F.col("together") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    size, known = F.coalesce("n", F.lit(0)).cast("long"), F.col("doc").isNotNull()
+    return rows.join(placed, "digest", "left").select(
+        F.col("doc").alias("doc_id"),
+        size.alias("n_shingles"),
+        F.when(known & (size > 0), F.col("root")).otherwise(F.col("doc")).alias("component_id"),
+        F.when(known & (size > 0), F.col("links")).otherwise(0).cast("long").alias("n_links"),
+    )
 
 
 def near_duplicates_dropped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without near copies: of each component the document with the smallest doc_id stays. Documents without words and rows without a doc_id all stay."""
+    """docs without near copies: of each component the document with the smallest doc_id stays. Documents without words and rows without a doc_id all stay, and so do rows that repeat an id that stays."""
     found = join(docs, width=width, percent=percent)
-    go = found.filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(go, docs.doc_id == go._gone, "left_anti")
+    go = stored(found.filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "gone")
+    return docs.join(F.broadcast(go) if go.count() <= BROADCAST_IDS else go, docs.doc_id == F.col("_gone"), "left_anti")

@@ -59,22 +59,29 @@ def brute_components(texts, width, percent):
             x = root[x]
         return x
 
+    links = dict.fromkeys(sets, 0)
     for a, b in itertools.combinations(sorted(sets), 2):
         i = len(sets[a] & sets[b])
         if sets[a] and sets[b] and 100 * i >= percent * (len(sets[a]) + len(sets[b]) - i):
             x, y = sorted((find(a), find(b)))
             root[y] = x
-    return {k: (len(sets[k]), find(k)) for k in sets}
+            links[a] += 1
+            links[b] += 1
+    return {k: (len(sets[k]), find(k), links[k]) for k in sets}
+
+
+def joined(df, **options):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.join(df, **options).collect()}
 
 
 @pytest.mark.parametrize("width,percent", [(4, 85), (5, 80)])
 def test_ngram_join_is_brute_force(spark, docs, width, percent):
     texts = dict(enumerate(edge_texts()))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs, width=width, percent=percent).collect()}
+    got = joined(docs, width=width, percent=percent)
     assert got == brute_components(texts, width, percent)
 
 
-def test_ngram_join_on_a_chain_of_edits(spark):
+def test_ngram_join_on_a_chain_of_edits(spark, monkeypatch):
     """Neighbours link, the ends don't: one component through many links; unlinked copies share keys with it."""
     rng = random.Random(2)
     words = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
@@ -85,9 +92,12 @@ def test_ngram_join_on_a_chain_of_edits(spark):
         texts[k * 7 % 61] = " ".join(words)
     for k in range(100, 130):
         texts[k] = " ".join(w if rng.random() > 0.06 else f"z{rng.random()}" for w in words)
+    texts[200], texts[201] = texts[0].upper(), texts[0].replace(" ", "  ")  # other texts, the same set
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(df).collect()}
-    assert got == brute_components(texts, 4, 85)
+    assert joined(df) == brute_components(texts, 4, 85)
+    for name in ("CHUNK_POINTS", "CHUNK_SETS"):
+        monkeypatch.setattr(ngram_join, name, 7)
+    assert joined(df) == brute_components(texts, 4, 85)
 
 
 def test_group_keys_always_meet():
@@ -105,12 +115,32 @@ def test_group_keys_always_meet():
             assert set(bands.keys(a).tolist()) & set(bands.keys(b).tolist())
 
 
+def test_tree_finds_what_links_alone_would():
+    """The tree met with itself loses no linked pair, with sides or without; overlaps are exact both ways."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**62, 400, dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(400) < 0.04, rng.integers(0, 2**62, 400, dtype=np.uint64), base)) for _ in range(90)]
+    sets += [np.unique(rng.integers(0, 2**62, int(rng.integers(1, 900)), dtype=np.uint64)) for _ in range(60)]
+    upto = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    side = np.arange(len(sets)) % 2
+    both = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    n = np.diff(upto)
+    want = {(i, j) for i, j in zip(*np.triu_indices(len(sets), 1), strict=True) if 100 * both[i, j] >= 85 * (n[i] + n[j] - both[i, j])}
+    assert len(want) > 100
+    flat = np.concatenate(sets)
+    for s in (None, side):
+        found = [(min(p), max(p)) for x, y in ngram_join.linked(flat, upto, s, 85) for p in zip(x.tolist(), y.tolist(), strict=True)]
+        assert len(found) == len(set(found)) and set(found) == {p for p in want if s is None or s[p[0]] != s[p[1]]}
+    for x, y in (np.triu_indices(len(sets), 1), (np.array([3, 100]), np.array([7, 140]))):
+        assert (ngram_join.overlaps(flat, upto, x, y) == both[x, y]).all()
+
+
 def test_near_duplicates_dropped(spark, docs, empty):
     out = ngram_join.near_duplicates_dropped(docs)
     assert out.columns == docs.columns
     ids = [r["doc_id"] for r in out.collect()]
     want = brute_components(dict(enumerate(edge_texts())), 5, 80)
-    assert set(ids) == {k for k, (n, c) in want.items() if n == 0 or c == k}
+    assert set(ids) == {k for k, (n, c, _) in want.items() if n == 0 or c == k}
     assert ngram_join.near_duplicates_dropped(empty).count() == 0
 
 
