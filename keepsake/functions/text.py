@@ -123,7 +123,7 @@ def formatted_phone(digits: Column) -> Column:
 
 
 def redacted(text: Column) -> Column:
-    """E-mail addresses, order numbers with a digit, and runs of ten digits or more hidden."""
+    """E-mail addresses, order numbers with a digit, and runs of ten digits or more hidden. The three patterns, as what they hide has to be the same everywhere."""
     s = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+", "[email hidden]")
     s = F.regexp_replace(s, r"(?i)\b(order|invoice|tracking|awb)(\s*(?:no\.?|number|id|#)?\s*[:#]?\s*)(?=[A-Z0-9-]*[0-9])([A-Z0-9][A-Z0-9-]{4,})", "$1$2[hidden]")
     return F.regexp_replace(s, r"(?<![\p{L}\p{N}_/])\+?(?=(?:[\s-]*\d){10})\d[\d\s-]{8,}\d(?![\p{L}\p{N}_/])", "[number hidden]")
@@ -204,3 +204,86 @@ def split_words(line: Column, cap: Column | int, per_word: float = 1.4) -> Colum
     each = F.greatest(F.ceil((cap - 1) / F.lit(per_word)).cast("int"), F.lit(1))
     parts = F.split(line, " ")
     return F.transform(F.sequence(F.lit(0), ((F.size(parts) - 1) / each).cast("int")), lambda k: F.array_join(F.slice(parts, k * each + 1, each), " "))
+
+
+def is_dm(platform: Column, title: Column, key: Column) -> Column:
+    """Whether a thread is a direct one: those groups of thread_group that aren't public."""
+    return thread_group(platform, title, key).endswith("_dm_group")
+
+
+def shown_name(platform: Column, raw_id: Column, display_name: Column, known: Column) -> Column:
+    """The name an account is shown by: of short posts' accounts the handle that is known, else the id; of forums u/ and the name; elsewhere the name, else the id; names of telephone accounts that are only digits are masked."""
+    name = F.nullif(F.trim(F.coalesce(display_name, F.lit(""))), F.lit(""))
+    plain = F.coalesce(name, raw_id)
+    return (
+        F.when(platform == "twitter", F.concat(F.lit("@"), F.coalesce(known, plain)))
+        .when(platform == "reddit", F.when(plain.startswith("u/"), plain).otherwise(F.concat(F.lit("u/"), plain)))
+        .when((platform == "whatsapp") & plain.rlike("^[0-9]+$"), masked_phone(plain))
+        .otherwise(plain)
+    )
+
+
+def header(platform: Column, kind: Column, who: Column, dates: Column, title: Column, most: int = 6) -> Column:
+    """platform kind · who · dates · title: at most six names and how many more; the title without its number, left out where it is empty or one of the names."""
+    names = F.array_join(F.slice(who, 1, most), ", ")
+    more = F.when(F.size(who) > most, F.concat(F.lit(" +"), (F.size(who) - most).cast("string"))).otherwise("")
+    said = chat_title(title)
+    label = F.element_at(F.create_map(*(F.lit(x) for kv in PLATFORM_LABELS.items() for x in kv)), platform)
+    return F.concat_ws(" · ", F.concat_ws(" ", label, kind), F.nullif(F.concat(names, more), F.lit("")), dates, F.when(~F.array_contains(who, said), said))
+
+
+def verified_name(name: Column, texts: Column) -> Column:
+    """Whether one of the texts says the name as its writer's ("I'm X", "this is X", "my name is X") or greets by it ("hi X")."""
+    pattern = F.concat(F.lit(r"(?i)\b(i'?m|i am|this is|my name is|hi|hey|hello|dear)\s+"), F.regexp_replace(F.trim(name), r"([^\p{L}\p{N}\s])", r"\\$1"), F.lit(r"\b"))
+    return F.exists(texts, lambda t: F.regexp_like(t, pattern))
+
+
+def undated_fact(text: Column) -> Column:
+    """A fact's text without "As of <date>," before it, its first letter large."""
+    bare = F.regexp_replace(text, r"^As of [^,]{4,20}, ?(?:[0-9]{4}, ?)?", "")
+    return F.concat(F.upper(F.substring(bare, 1, 1)), F.substring(bare, 2, 1_000_000_000))
+
+
+def transcript_parts(line: Column) -> Column:
+    """(at, who, said) of "[ts] who: text"; nulls where a line isn't one."""
+    part = lambda k: F.nullif(F.regexp_extract(line, r"^\[([^\]]+)\] ([^:]{1,80}): (?s)(.*)$", k), F.lit(""))
+    return F.struct(part(1).alias("at"), part(2).alias("who"), part(3).alias("said"))
+
+
+def session_title(header_: Column) -> Column:
+    """A session's title from its header: the last part that is neither the platform nor a date; else the names."""
+    parts = F.split(header_, " · ")
+    kept = F.filter(F.slice(parts, 2, 100), lambda p: ~p.rlike("^[0-9]{4}-"))
+    return F.when(F.size(kept) > 0, F.element_at(kept, -1)).otherwise(F.element_at(parts, 1))
+
+
+def initials(name: Column) -> Column:
+    """The first letters of the first and the last word, large."""
+    w = F.filter(F.split(F.trim(F.regexp_replace(name, r"[^\p{L}\p{N} ]", "")), " +"), lambda x: x != "")
+    first = F.substring(F.get(w, F.lit(0)), 1, 1)
+    last = F.when(F.size(w) > 1, F.substring(F.element_at(w, -1), 1, 1)).otherwise("")
+    return F.when(F.size(w) > 0, F.upper(F.concat(first, last))).otherwise("?")
+
+
+def alias_of(key: Column, first: tuple[str, ...], second: tuple[str, ...]) -> Column:
+    """A made-up name that a key always gets: a word of each list, by its MD5."""
+    n = lambda a: F.conv(F.substring(F.md5(key.cast("binary")), a, 6), 16, 10).cast("long")
+    pick = lambda words, x: F.element_at(F.array(*map(F.lit, words)), (x % len(words) + 1).cast("int"))
+    return F.concat_ws(" ", pick(first, n(1)), pick(second, n(7)))
+
+
+def old_token_estimate(text: Column) -> Column:
+    """int(words * 1.3), and half the characters: the two estimates of older chunks."""
+    n = F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), F.lit(0)))
+    return F.struct(F.floor(n * F.lit(1.3).cast("double")).cast("int").alias("by_words"), F.floor(F.length(F.coalesce(text, F.lit(""))) / 2).cast("int").alias("by_chars"))
+
+
+def keyword_bag(*parts: Column) -> Column:
+    """Lists of keywords and topics as one string for the index."""
+    return F.array_join(F.array_distinct(F.flatten(F.array(*(F.coalesce(p, F.array().cast("array<string>")) for p in parts)))), " ")
+
+
+def with_alias(aliases: Column, name: Column, most: int = 20) -> Column:
+    """The list with a name that it lacks at its end; of more than `most` the last stay."""
+    added = F.when(F.array_contains(aliases, name), aliases).otherwise(F.array_append(aliases, name))
+    return F.slice(added, F.greatest(F.size(added) - most + 1, F.lit(1)), F.lit(most))

@@ -38,7 +38,7 @@ def day_start(day: Column, end: bool = False, minutes: int = OFFSET_MINUTES) ->
 
 def id_time(msg_id: Column) -> Column:
     """Epoch second in a time-ordered numeric id; null for ids that aren't all digits or are from before such ids."""
-    n = F.when(msg_id.rlike("^[0-9]{1,18}$"), msg_id).cast("long")
+    n = F.when(msg_id.rlike("^[0-9]{1,19}$"), msg_id).try_cast("long")
     return F.when(n > 10_000_000_000_000, F.floor((F.shiftright(n, 22) + EPOCH_MS) / 1000).cast("long"))
 
 
@@ -72,3 +72,46 @@ def is_peak(ts: Column, ranges: tuple[tuple[int, int], ...] = ((1, 4), (6, 10)))
     for a, b in ranges:
         hit = hit | ((F.hour(ts) >= a) & (F.hour(ts) < b))
     return F.dayofweek(ts).between(2, 6) & hit
+
+
+def stated_in_utc(text: Column) -> Column:
+    """Epoch second of an ISO time read as if it stood in UTC: an offset after it is dropped, not applied."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(text), r"(Z|[+-][0-9]{2}:?[0-9]{2})$", ""), " ", "T")
+    return F.timestamp_diff("SECOND", _origin(), bare.try_cast("timestamp_ntz"))
+
+
+def converted(text: Column) -> Column:
+    """Epoch second of an ISO time with its offset applied; without one it stands in UTC."""
+    sign = F.regexp_extract(text, r"([+-])[0-9]{2}:?[0-9]{2}$", 1)
+    hours, minutes = (F.regexp_extract(text, r"[+-]([0-9]{2}):?([0-9]{2})$", k) for k in (1, 2))
+    offset = F.when(sign != "", F.when(sign == "-", -60).otherwise(60) * (hours.try_cast("int") * 60 + minutes.try_cast("int"))).otherwise(0)
+    return stated_in_utc(text) - offset
+
+
+def seconds(ms: Column) -> Column:
+    """Whole seconds of epoch milliseconds, rounded down, before 1970 too."""
+    return F.floor(ms / 1000).cast("long")
+
+
+def restamped(line: Column, minutes: int = OFFSET_MINUTES) -> Column:
+    """A transcript line "[yyyy-MM-dd HH:mm] who: text" with its time moved from UTC to the local clock; other lines stay."""
+    at = F.regexp_extract(line, r"^\[([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2})\]", 1)
+    moved = F.timestamp_add("MINUTE", F.lit(minutes), F.replace(at, F.lit(" "), F.lit("T")).try_cast("timestamp_ntz"))
+    return F.when(moved.isNotNull(), F.concat(F.lit("["), F.date_format(moved, "yyyy-MM-dd HH:mm"), F.lit("]"), F.substring(line, 19, 1_000_000_000))).otherwise(line)
+
+
+def day_range(first: Column, last: Column, minutes: int = OFFSET_MINUTES) -> Column:
+    """The local days between two epoch seconds: one day, or two with a dash."""
+    a, b = local_day(first, minutes), local_day(last, minutes)
+    return F.when(a == b, a).otherwise(F.concat(a, F.lit(" – "), b))
+
+
+def redated(header: Column, first: Column, last: Column, minutes: int = OFFSET_MINUTES) -> Column:
+    """A header of parts between dots with the part that is a date or a range of dates made anew."""
+    date = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}( – [0-9]{4}-[0-9]{2}-[0-9]{2})?$"
+    return F.array_join(F.transform(F.split(header, " · "), lambda p: F.when(p.rlike(date), day_range(first, last, minutes)).otherwise(p)), " · ")
+
+
+def since_days(day: Column, today: Column, days: int = 7) -> Column:
+    """Whether a day is at most `days` before today."""
+    return F.to_date(day) >= F.date_sub(F.to_date(today), days)

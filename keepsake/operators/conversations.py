@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,47 +53,56 @@ def sessions(units: DataFrame, thread: str = "thread_id", gap: int = GAP, hard_g
     """units (thread, unit_id, start_ts, end_ts, tokens[, piece_of]) with session_no.
 
     A gap over hard_gap always closes a session; one over gap closes it once it holds `least` tokens; a unit that would
-    lift it over cap opens the next, but pieces of one unit stay together. Threads are first cut at hard gaps, where every
-    rule cuts, so the ordered walk gets short groups. The walk reads columns, one pass a group.
+    lift it over cap opens the next, but pieces of one unit stay together.
     """
-    pieces = "piece_of" if "piece_of" in units.columns else None
-    w = Window.partitionBy(thread).orderBy("start_ts", "unit_id")
-    cut = F.lag("end_ts").over(w).isNull() | (F.col("start_ts") - F.lag("end_ts").over(w) > hard_gap)
-    rows = _islands(units.withColumn("_new", cut), thread, ["start_ts", "unit_id"], F.col("_new"), "_seg").drop("_new")
-    schema = rows.withColumn("_s", F.lit(0).cast("long")).schema
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_ts", "unit_id"], kind="stable")
-        number, held, last_end, last_piece, out = 0, 0, None, None, []
-        same = pdf[pieces] if pieces else pdf["unit_id"]
-        for start, end, tokens, piece in zip(pdf["start_ts"], pdf["end_ts"], pdf["tokens"], same, strict=True):
-            if last_end is not None and not (pieces and piece == last_piece):
-                if (start - last_end > gap and held >= least) or held + tokens > cap:
-                    number, held = number + 1, 0
+    pieces = "piece_of" if "piece_of" in units.columns else "unit_id"
+
+    def rule():
+        number, held, last_end, last_piece = 1, 0, None, None
+
+        def step(start, end, tokens, piece):
+            nonlocal number, held, last_end, last_piece
+            if last_end is not None and (start - last_end > hard_gap or (pieces == "unit_id" or piece != last_piece) and ((start - last_end > gap and held >= least) or held + tokens > cap)):
+                number, held = number + 1, 0
             held += tokens
             last_end, last_piece = end, piece
-            out.append(number)
-        return pdf.assign(_s=out)
+            return number
+
+        return step
+
+    return numbered(units, thread, ["start_ts", "unit_id"], ["start_ts", "end_ts", "tokens", pieces], rule, "session_no")
 
-    walked = rows.groupBy(thread, "_seg").applyInPandas(walk, schema)
-    order = Window.partitionBy(thread).orderBy("_seg", "_s")
-    return walked.withColumn("session_no", F.dense_rank().over(order).cast("long")).drop("_seg", "_s")
+
+def numbered(rows: DataFrame, thread: str, order: list[str], columns: list[str], rule: Callable[[], Callable[..., int]], name: str) -> DataFrame:
+    """rows with a number that a walk over each thread in order gives. rule() starts a walk: a function from the columns of a row to its number. Threads pass through a task one after another and batch by batch, so a long thread is never held whole."""
+    schema = rows.withColumn(name, F.lit(0).cast("long")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, step = None, None
+        for b in batches:
+            out = []
+            for key, *values in zip(*(b.column(c).to_pylist() for c in (thread, *columns)), strict=True):
+                if step is None or key != last:
+                    last, step = key, rule()
+                out.append(step(*values))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, name])
+
+    return rows.repartition(thread).sortWithinPartitions(thread, *order).mapInArrow(run, schema)
 
 
 def windows(units: DataFrame, session: list[str], target: int = 300, overlap: float = 0.15) -> DataFrame:
-    """(session columns, window_no, unit_id, position): greedy windows of about target tokens on unit boundaries. A window is never empty, the next one repeats at most overlap * target tokens and always moves on."""
-    schema = units.select(*session, F.lit(0).cast("long").alias("window_no"), "unit_id", F.lit(0).cast("int").alias("position")).schema
+    """(session columns, window_no, unit_id, position): greedy windows of about target tokens on unit boundaries. A window is never empty, the next one repeats at most overlap * target tokens and always moves on. Sessions, bounded by their cap, pass through a task one after another."""
+    rows = units.select(*session, "unit_id", "start_ts", "tokens")
+    schema = rows.select(*session, F.lit(0).cast("long").alias("window_no"), "unit_id", F.lit(0).cast("int").alias("position")).schema
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_ts", "unit_id"], kind="stable")
-        tokens, ids, key = pdf["tokens"].tolist(), pdf["unit_id"].tolist(), [pdf[c].iloc[0] for c in session]
-        out, at, number = [], 0, 0
+    def cut(ids: list, tokens: list) -> Iterator[tuple[int, int, int]]:
+        at, number = 0, 0
         while at < len(ids):
             end, held = at, 0
             while end < len(ids) and (end == at or held + tokens[end] <= target):
                 held += tokens[end]
                 end += 1
-            out += [(*key, number, ids[k], k - at) for k in range(at, end)]
+            yield from ((number, ids[k], k - at) for k in range(at, end))
             if end == len(ids):
                 break
             back, repeated = end, 0
@@ -101,9 +110,61 @@ def windows(units: DataFrame, session: list[str], target: int = 300, overlap: fl
                 back -= 1
                 repeated += tokens[back]
             at, number = back, number + 1
-        return pd.DataFrame(out, columns=[*session, "window_no", "unit_id", "position"])
 
-    return units.groupBy(*session).applyInPandas(walk, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids, tokens, types = None, [], [], None
+
+        def flushed(out: list) -> None:
+            out += [(*last, *w) for w in cut(ids, tokens)]
+
+        for b in batches:
+            types, out = [b.schema.field(c).type for c in session] + [pa.int64(), b.schema.field("unit_id").type, pa.int32()], []
+            for *key, unit, t in zip(*(b.column(c).to_pylist() for c in (*session, "unit_id", "tokens")), strict=True):
+                if key != last:
+                    if ids:
+                        flushed(out)
+                    last, ids, tokens = key, [], []
+                ids.append(unit)
+                tokens.append(t)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=schema.names)
+        if ids:
+            out = []
+            flushed(out)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=schema.names)
+
+    return rows.repartition(*session).sortWithinPartitions(*session, "start_ts", "unit_id").mapInArrow(run, schema)
+
+
+def bursts(units: DataFrame, thread: str = "thread_id", cap: int = 4000, shortest: int = 1800, longest: int = 43_200) -> DataFrame:
+    """units with burst_no: a gap over the thread's own threshold (mean and deviation of its gaps together, within bounds) or a unit that would lift the burst over cap starts a new one."""
+    w = Window.partitionBy(thread).orderBy("start_ts", "unit_id")
+    gaps = units.withColumn("_gap", F.col("start_ts") - F.lag("end_ts").over(w))
+    most = gaps.groupBy(thread).agg(F.least(F.greatest(F.avg("_gap") + F.stddev_pop("_gap"), F.lit(shortest)), F.lit(longest)).alias("_most"))
+
+    def rule():
+        number, held = 1, 0
+
+        def step(gap, most_, tokens):
+            nonlocal number, held
+            if gap is not None and (gap > most_ or held + tokens > cap):
+                number, held = number + 1, 0
+            held += tokens
+            return number
+
+        return step
+
+    return numbered(gaps.join(most, thread), thread, ["start_ts", "unit_id"], ["_gap", "_most", "tokens"], rule, "burst_no").drop("_gap", "_most")
+
+
+def carried(bursts_: DataFrame, least: int = 400, thread: str = "thread_id") -> DataFrame:
+    """(thread, burst_no, carried): how many whole bursts before each are repeated with it, as few as hold `least` tokens, else all. bursts_: (thread, burst_no, tokens), numbered from 1 without gaps."""
+    w = Window.partitionBy(thread).orderBy("burst_no")
+    before = F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    s = bursts_.withColumn("low", F.coalesce(before, F.lit(0)))
+    # the latest burst that begins `least` tokens before: sums only rise, so it is the last within a range of the sum
+    reach = Window.partitionBy(thread).orderBy("low").rangeBetween(Window.unboundedPreceding, -least)
+    return s.select(thread, "burst_no", (F.col("burst_no") - F.coalesce(F.max("burst_no").over(reach), F.lit(1))).cast("long").alias("carried"))
 
 
 def structure(messages: DataFrame, conversation: str = "thread_id", thread: str = "thread_id", always_chat: Column | None = None) -> DataFrame:
@@ -158,10 +219,10 @@ def stitched(edges: DataFrame) -> DataFrame:
 
 
 def _cut(df: DataFrame, spark) -> DataFrame:
-    """Cut lineage: a reliable checkpoint in the cluster's folder; only where none is set (tests), a folder of our own."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/keepsake-checkpoints")
-    return df.checkpoint()
+    """Cut lineage by a table in the cluster's folder."""
+    from ..sources.shared import kept
+
+    return kept(df, "links")
 
 
 def own_reply_chains(messages: DataFrame, author: Column, least: int = 3) -> DataFrame:
@@ -202,3 +263,16 @@ def batches(rows: Iterator, size: int) -> Iterator[list]:
             part = []
     if part:
         yield part
+
+
+def ancestor_heads(units: DataFrame, hops: int = 6, cap: int = 400) -> DataFrame:
+    """(id, head): the texts of up to `hops` ancestors, the furthest first, joined by " > "; a head over cap characters loses a fifth at its end until it fits. units: (id, parent, text)."""
+    up = units.select(F.col("id").alias("_id"), F.col("parent").alias("_parent"), F.col("text").alias("_text"))
+    at = units.filter("parent is not null").select("id", F.col("parent").alias("_at"), F.array().cast("array<string>").alias("chain"))
+    for _ in range(hops):
+        on = at.join(up, F.col("_at") == F.col("_id"), "left")
+        at = on.select("id", F.col("_parent").alias("_at"), F.when(F.col("_id").isNotNull(), F.concat(F.array("_text"), "chain")).otherwise(F.col("chain")).alias("chain"))
+    head = F.array_join("chain", " > ")
+    # a fifth off each time: so many times that any length comes down to the cap
+    short = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.length("head"), lambda n, _: F.when(n > cap, F.floor(n * 8 / 10).cast("int")).otherwise(n))
+    return at.filter(F.size("chain") > 0).select("id", head.alias("head")).select("id", F.substring("head", F.lit(1), short).alias("head"))

@@ -101,5 +101,34 @@ def axes_of(points: DataFrame) -> tuple[list[float], list[list[float]]]:
     return [float(c[k]) for k in "xyz"], [vectors[:, k].tolist() for k in np.argsort(-values)[:2]]
 
 
+def shared_themes(themes: DataFrame, dull: tuple[str, ...] = (), least: int = 2) -> DataFrame:
+    """(a, b, topics): pairs of themes of different accounts with `least` topics or more in common. They meet under their shared topics; topics without a subject (dull), which nearly all share, bring none together. themes: (theme, account, topics)."""
+    each = themes.select("theme", "account", F.explode(F.array_distinct("topics")).alias("topic")).filter(~F.col("topic").isin(*dull))
+    x, y = each.toDF("a", "ax", "topic"), each.toDF("b", "ay", "topic")
+    both = x.join(y, "topic").filter("a < b and ax <> ay").groupBy("a", "b").agg(F.array_sort(F.collect_set("topic")).alias("topics"))
+    return both.filter(F.size("topics") >= least)
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
+
+
+def on_cap(nodes: DataFrame, of, angle: float) -> DataFrame:
+    """(id, x, y, z): places in the cap within `angle` of a unit sphere's pole, evenly by index and turned by the golden angle. nodes: (id, k), k from 0 to of - 1."""
+    import math
+
+    z = 1 - (F.col("k") + 0.5) / of * (1 - math.cos(angle))
+    turn = F.col("id") * F.lit(2.399963229728653)
+    r = F.sqrt(F.greatest(F.lit(0.0), 1 - z * z))
+    return nodes.select("id", (r * F.cos(turn)).alias("x"), (r * F.sin(turn)).alias("y"), z.alias("z"))
+
+
+def galaxy(nodes: DataFrame, ring: float = 300.0, step: float = 4.0) -> DataFrame:
+    """(id, x, y): the layout without a graph: buckets on a ring, each a spiral with its largest nodes inside. nodes: (id, bucket, size). Ranks are taken within a bucket."""
+    k = (F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("size"), "id")) - 1).cast("double")
+    names = nodes.select("bucket").distinct()
+    place = names.withColumn("j", F.row_number().over(Window.orderBy("bucket")) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))  # a row a bucket
+    rows = nodes.withColumn("k", k).join(F.broadcast(place), "bucket")
+    at, turn = 2 * F.pi() * F.col("j") / F.col("n"), F.col("k") * F.lit(2.399963229728653)
+    spiral = lambda f: F.lit(step) * F.sqrt("k") * f(turn)
+    return rows.select("id", (F.lit(ring) * F.cos(at) + spiral(F.cos)).alias("x"), (F.lit(ring) * F.sin(at) + spiral(F.sin)).alias("y"))

@@ -109,3 +109,72 @@ def candidates(nodes: DataFrame, name: str, limit: int = 10) -> DataFrame:
     order = Window.orderBy(F.desc(low == q), F.desc(F.col("kind") == "person"), F.desc("messages"), "node")
     hits = nodes.filter(low.contains(q)).orderBy(F.desc(low == q), F.desc(F.col("kind") == "person"), F.desc("messages"), "node").limit(limit)
     return hits.withColumn("rank", F.row_number().over(order).cast("long"))  # limit rows
+
+
+def ghost_authors(ghosts: DataFrame, sources: list[DataFrame]) -> DataFrame:
+    """(id, author): the author of each missing post by the first source that knows it. sources: (id, author), best first."""
+    from functools import reduce
+
+    ranked = [s.select("id", F.struct(F.lit(k).alias("k"), F.col("author")).alias("s")) for k, s in enumerate(sources)]
+    best = reduce(DataFrame.unionByName, ranked).filter("s.author is not null").groupBy("id").agg(F.min("s")["author"].alias("author"))
+    return ghosts.select("id").join(best, "id", "left").select("id", F.coalesce("author", F.lit("unknown")).alias("author"))
+
+
+def ancestor_chains(starts: DataFrame, sources: list[tuple[str, DataFrame]]) -> DataFrame:
+    """(start, id, depth, src): from each start up to the first post that no source knows, which is a ghost. sources: name and (id, parent), best first. A frontier is joined a level at a time until it is empty; a chain that comes back to itself ends there."""
+    from functools import reduce
+
+    from ..sources.shared import kept
+
+    ranked = [s.select("id", F.struct(F.lit(k).alias("k"), F.lit(name).alias("src"), "parent").alias("s")) for k, (name, s) in enumerate(sources)]
+    known = kept(reduce(DataFrame.unionByName, ranked).groupBy("id").agg(F.min("s").alias("s")).select("id", "s.src", "s.parent"), "known")
+    frontier, out = starts.select("start", F.col("start").alias("id"), F.array("start").alias("_seen")), None
+    depth = 0
+    while True:
+        rows = kept(frontier.join(known, "id", "left"), "chain")
+        if depth and rows.isEmpty():
+            return out
+        part = rows.select("start", "id", F.lit(depth).alias("depth"), F.coalesce("src", F.lit("ghost")).alias("src"))
+        out, depth = part if out is None else out.unionByName(part), depth + 1
+        on = rows.filter(F.col("src").isNotNull() & F.col("parent").isNotNull() & ~F.array_contains("_seen", F.col("parent")))
+        frontier = on.select("start", F.col("parent").alias("id"), F.array_append("_seen", F.col("parent")).alias("_seen"))
+
+
+def without_rejected(pairs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Pairs (a, b), the smaller first, but those rejected in either order."""
+    no = rejected.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(no, ["a", "b"], "left_anti")
+
+
+def mentioned(texts: DataFrame, names: DataFrame, most: int = 3000, each: int = 12) -> DataFrame:
+    """(id, name): which of the `most` largest names stand in a text between word edges, at most `each` a text, the largest first. names: (name, size). A text's runs of as many words as names have are looked up by an equi-join; no text meets a name that it lacks."""
+    top = names.orderBy(F.desc("size"), "name").limit(most).withColumn("key", F.lower("name"))
+    top = top.withColumn("n", F.size(F.split("key", " ")))
+    longest = top.agg(F.max("n")).first()[0] or 0
+    # words and what stands between them; a run counts only if single spaces join it
+    parts = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9_]+|[^a-z0-9_]+"), F.lit(0))
+    rows = texts.select("id", parts.alias("p"))
+    at = F.sequence(F.lit(1), F.size("p"))
+
+    def runs_of(k: int) -> DataFrame:
+        return rows.filter(F.size("p") > 0).select("id", F.explode(F.transform(at, lambda i: F.array_join(F.slice("p", i, 2 * k - 1), ""))).alias("key"))
+
+    runs = [runs_of(k) for k in range(1, longest + 1)]
+    from functools import reduce
+
+    if not runs:
+        return texts.select("id", F.lit("").alias("name")).limit(0)
+    hits = reduce(DataFrame.unionByName, runs).join(F.broadcast(top), "key").select("id", "name", "size").distinct()  # at most `most` names
+    k = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("size"), "name"))
+    return hits.withColumn("k", k).filter(F.col("k") <= each).select("id", "name")
+
+
+def handles(texts: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(id, handle, first_seen, n, current): handles that mentions in texts give an account, when first and how often. The current one is the profile's, or where there is none the last mentioned. texts: (id, msg_id, seen, text), profiles: (id, handle)."""
+    found = F.regexp_extract_all("text", F.lit(r"(?<![\w.+-])@(\w{2,30})"), F.lit(1))
+    m = texts.select("id", "msg_id", "seen", F.explode(found).alias("handle"))
+    each = m.groupBy("id", "handle").agg(F.min("seen").alias("first_seen"), F.count("*").alias("n"), F.max(F.struct("seen", "msg_id")).alias("_last"))
+    latest = each.groupBy("id").agg(F.max_by("handle", "_last").alias("_latest"))
+    own = profiles.groupBy("id").agg(F.max("handle").alias("_own"))
+    both = each.join(latest, "id").join(own, "id", "left")
+    return both.select("id", "handle", "first_seen", "n", (F.col("handle") == F.coalesce("_own", "_latest")).alias("current"))

@@ -169,3 +169,84 @@ def nearest_rank(values: DataFrame, by: str, value: str, p: float) -> DataFrame:
     w = Window.partitionBy(by)
     ranked = values.select(by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("_k"), F.count("*").over(w).alias("_n"))
     return ranked.filter(F.col("_k") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(p)).cast("long"))).select(by, F.col(value).alias("q"))
+
+
+def display_order(items: DataFrame) -> DataFrame:
+    """(id, grp, k): due within the week and later in order of days, overdue the latest first, undated the newest first. items: (id, due: days from today)."""
+    due = F.col("due")
+    grp = F.when(due.between(0, 7), "week").when(due > 7, "later").when(due < 0, "overdue").otherwise("undated")
+    order = F.when(F.col("grp").isin("week", "later"), due).otherwise(-due)
+    w = Window.partitionBy("grp").orderBy(order.asc_nulls_last(), F.desc("id"))
+    return items.withColumn("grp", grp).select("id", "grp", F.row_number().over(w).alias("k"))
+
+
+def recalled(facts: DataFrame, rejected: DataFrame, entities: list[int], query: Column | None, past: bool = False, k: int = 20) -> DataFrame:
+    """The k facts of some entities that a question recalls, with score and rank: by cosine to the question's vector, or without one current facts first. Facts that the user has refused don't come, past ones only when asked for. facts: (fact, entity, vec, status)."""
+    rows = facts.filter(F.col("entity").isin(*entities)).join(rejected.select("fact"), "fact", "left_anti")
+    rows = rows if past else rows.filter("status = 'current'")
+    if query is None:
+        rows, order = rows.withColumn("score", F.lit(None).cast("double")), [F.col("status") == "past", F.col("fact")]
+    else:
+        rows, order = rows.withColumn("score", F.round(cosine(F.col("vec"), query), 6)), [F.desc("score"), F.col("fact")]
+    best = rows.orderBy(*order).limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # k rows
+
+
+def theme_names(topics: DataFrame, most: int = 3, least: int = 2, share: float = 0.02) -> DataFrame:
+    """(scope, theme, names): up to `most` topics that set a theme apart, each used once in a scope; the largest theme picks first. Themes with fewer than `least` items, or under `share` of the scope's, get none. topics: (scope, theme, item, topic). Themes of a scope pick in turn, all scopes at once."""
+    from ..sources.shared import kept
+
+    items = topics.select("scope", "theme", "item").distinct()
+    size = items.groupBy("scope", "theme").agg(F.count("*").alias("n_in"))
+    total = items.select("scope", "item").distinct().groupBy("scope").agg(F.count("*").alias("n_all"))
+    large = size.join(total, "scope").filter((F.col("n_in") >= least) & (F.col("n_in") >= share * F.col("n_all")))
+    turn = large.withColumn("turn", F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("n_in"), "theme")))
+    inside = topics.groupBy("scope", "theme", "topic").agg(F.count_distinct("item").alias("c_in"))
+    overall = topics.groupBy("scope", "topic").agg(F.count_distinct("item").alias("c_all"))
+    rows = inside.join(turn, ["scope", "theme"]).join(overall, ["scope", "topic"])
+    fin = F.col("c_in") / F.col("n_in")
+    fout = F.when(F.col("n_all") > F.col("n_in"), (F.col("c_all") - F.col("c_in")) / (F.col("n_all") - F.col("n_in"))).otherwise(0.0)
+    scored = kept(rows.filter(F.col("c_in") >= F.least(F.lit(2), F.col("n_in"))).select("scope", "theme", "turn", "topic", F.round(fin * F.log((fin + 0.01) / (fout + 0.01)), 9).alias("score")).filter("score > 0"), "scored")
+    last = scored.agg(F.max("turn")).first()[0] or 0
+    taken = None
+    for k in range(1, last + 1):
+        free = scored.filter(F.col("turn") == k)
+        free = free if taken is None else free.join(taken.select("scope", "topic"), ["scope", "topic"], "left_anti")
+        place = F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("score"), "topic"))
+        picked = free.withColumn("k", place).filter(F.col("k") <= most).select("scope", "theme", "topic", "k")
+        taken = kept(picked if taken is None else taken.unionByName(picked), "names")
+    if taken is None:
+        return turn.select("scope", "theme", F.array().cast("array<string>").alias("names")).limit(0)
+    return taken.groupBy("scope", "theme").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "topic"))), lambda s: s["topic"]).alias("names"))
+
+
+def where_and_when(rows: DataFrame, minutes: int = 330) -> DataFrame:
+    """(theme, mostly, span): the place that half of a theme's rows or more are in, and its months. rows: (theme, place, ts)."""
+    from ..functions import times
+
+    by = rows.groupBy("theme", "place").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    each = by.groupBy("theme").agg(F.max_by(F.struct("place", "n"), F.struct("n", -F.ascii("place"))).alias("best"), F.sum("n").alias("all"), F.min("a").alias("a"), F.max("b").alias("b"))
+    return each.select("theme", F.when(F.col("best.n") >= 0.5 * F.col("all"), F.col("best.place")).alias("mostly"), times.month_span(F.col("a"), F.col("b"), minutes).alias("span"))
+
+
+def remembered(notes: DataFrame | None, new: DataFrame) -> DataFrame:
+    """The notes table (note, text, active) with notes (note, text) put in, in place of those of their number."""
+    from .tables import upserted
+
+    add = new.select("note", "text", F.lit(True).alias("active"))
+    return add if notes is None else upserted(notes, add, ["note"])
+
+
+def forgotten(notes: DataFrame, gone: DataFrame) -> DataFrame:
+    """The notes table with some notes (note) set inactive; their rows stay."""
+    return notes.join(gone.select("note", F.lit(True).alias("_gone")), "note", "left").select("note", "text", (F.col("active") & F.col("_gone").isNull()).alias("active"))
+
+
+def listed_notes(notes: DataFrame) -> DataFrame:
+    return notes.filter("active").select("note", "text")
+
+
+def with_notes(results: DataFrame, notes: DataFrame) -> DataFrame:
+    """(result, notes): the notes about accounts that results name. results: (result, account_ids), notes: (account_id, note)."""
+    each = results.select("result", F.explode(F.array_distinct("account_ids")).alias("account_id")).join(notes, "account_id")
+    return each.groupBy("result").agg(F.array_sort(F.collect_set("note")).alias("notes"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,8 +97,6 @@ def boosted(scored: DataFrame, mine: DataFrame, boost: float) -> DataFrame:
 
 def reranked(pool: DataFrame, texts: DataFrame, score: Callable[[list[str]], list[float]], k: int) -> DataFrame:
     """The pool (at most some tens of documents) ordered by a model's score alone. score is a callable from texts to numbers and runs in tasks."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def model(t: pd.Series) -> pd.Series:
         return pd.Series(score(t.tolist()))
@@ -116,3 +115,41 @@ def retrieval_metrics(ranks: DataFrame, group: str) -> DataFrame:
     hit = lambda k: F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0))
     out = ranks.rollup(group).agg(F.count("*").alias("n"), hit(1).alias("r1"), hit(5).alias("r5"), hit(10).alias("r10"), F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"), F.grouping(group).alias("g"))
     return out.select(F.when(F.col("g") == 1, "ALL").otherwise(F.col(group).cast("string")).alias(group), "n", "r1", "r5", "r10", "mrr")
+
+
+class QueryVectors:
+    """Vectors of queries, encoded once; several may be fetched ahead in one call. A query that can't be encoded has none."""
+
+    def __init__(self, encode: Callable[[list[str]], list[Sequence[float]]]):
+        self.encode, self.held = encode, {}
+
+    def prefetch(self, queries: Sequence[str]) -> None:
+        new = [q for q in dict.fromkeys(queries) if q not in self.held]
+        try:
+            self.held.update(zip(new, self.encode(new), strict=True))
+        except Exception:  # an encoder elsewhere may fail in any way; the search goes on by keywords
+            return
+
+    def get(self, query: str) -> Sequence[float] | None:
+        if query not in self.held:
+            self.prefetch([query])
+        return self.held.get(query)
+
+
+def legs(vectors: QueryVectors, query: str, dense_leg: Callable, keyword_leg: Callable) -> list[DataFrame]:
+    """The ranked lists of a query: by vector and by keyword, or by keyword alone where it has no vector."""
+    v = vectors.get(query)
+    return [keyword_leg()] if v is None else [dense_leg(v), keyword_leg()]
+
+
+def first_chunks(members: DataFrame) -> DataFrame:
+    """(msg_id, chunk): the first chunk that holds each message."""
+    return members.groupBy("msg_id").agg(F.min("chunk").alias("chunk"))
+
+
+def resolved_citations(answers: DataFrame, known: DataFrame, most: int = 1000) -> DataFrame:
+    """(answer, cited, invalid): the numbers that an answer cites and that are known, and the others under `most`. answers: (answer, text), known: (n)."""
+    each = answers.select("answer", F.explode_outer(tx.cited_numbers(F.col("text"))).alias("n"))
+    both = each.join(F.broadcast(known.select("n", F.lit(True).alias("_k"))) if known.count() <= 100_000 else known.select("n", F.lit(True).alias("_k")), "n", "left")
+    sets = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("n"))))
+    return both.groupBy("answer").agg(sets(F.col("_k").isNotNull()).alias("cited"), sets(F.col("_k").isNull() & (F.col("n") < most)).alias("invalid"))

@@ -80,3 +80,67 @@ def merged_vectors(ids: DataFrame, fresh: DataFrame, old: DataFrame, key: str, v
     f, o = fresh.select(key, F.col(vector).alias("_f")), old.select(key, F.col(vector).alias("_o"))
     both = ids.select(key).join(f, key, "left").join(o, key, "left").withColumn(vector, F.coalesce("_f", "_o"))
     return both.select(key, F.when(F.col(vector).isNull(), F.raise_error(F.concat(F.lit("no vector for "), F.col(key).cast("string"))).cast(both.schema[vector].dataType)).otherwise(F.col(vector)).alias(vector))
+
+
+def write_quoted(df: DataFrame, path: str) -> None:
+    """CSV with a header, every field quoted, quotes doubled."""
+    df.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+
+
+def export_missing(rows: DataFrame, vectors: DataFrame, key: str, path: str) -> None:
+    """Rows that have no vector, as compressed JSON lines for a batch job elsewhere."""
+    rows.join(vectors.select(key), key, "left_anti").write.option("compression", "gzip").json(path)
+
+
+def recreated(df: DataFrame, name: str) -> DataFrame:
+    """A derived table dropped and made anew under its name."""
+    df.write.mode("overwrite").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def cached(scope: DataFrame, memo: DataFrame, stamp: DataFrame, compute, key: str) -> DataFrame:
+    """(key, stamp, result): results held for the present stamp of their scope, the others computed now. memo: (key, stamp, result), stamp: (key, stamp); compute takes the keys that need it and gives (key, result)."""
+    now = scope.select(key).join(stamp, key)
+    held = now.join(memo, [key, "stamp"])
+    rest = now.join(held.select(key), key, "left_anti")
+    return held.select(key, "stamp", "result").unionByName(rest.join(compute(rest.select(key)), key).select(key, "stamp", "result"))
+
+
+def compacted(comments: DataFrame, key: str, order: str, body: list[str]) -> DataFrame:
+    """The first copy of each comment; fails where copies of one differ. Replies name their parent by its id, so those found under a later copy belong to the one that is kept."""
+    same = F.struct(*body)
+    each = comments.groupBy(key).agg(F.min_by(F.struct(*(c for c in comments.columns if c != key)), order).alias("_r"), (F.min(same) != F.max(same)).alias("_differ"))
+    checked = F.when(F.col("_differ"), F.raise_error(F.concat(F.lit("copies differ: "), F.col(key).cast("string"))).cast(each.schema["_r"].dataType)).otherwise(F.col("_r"))
+    return each.select(key, checked.alias("_r")).select(key, "_r.*")
+
+
+def report(spark, lines: list[tuple[str, int]]) -> str:
+    """A run's report in Markdown, from counts that the run has made."""
+    return "\n".join(["# Run", *(f"- {what}: {n:,}" for what, n in lines)])
+
+
+def stale(counts: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """Keys whose stored count is not the present one, those without a stored one too. Both: (key, n)."""
+    h = held.select(key, F.col("n").alias("_n"))
+    return counts.join(h, key, "left").filter(~F.col("n").eqNullSafe(F.col("_n"))).select(key)
+
+
+def pending(rows: DataFrame, done: DataFrame, key: str, version: str) -> DataFrame:
+    """Rows not yet done in this version. done: (key, version)."""
+    return rows.join(done.filter(F.col("version") == version).select(key), key, "left_anti")
+
+
+def reimported(stored: DataFrame, export: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """stored and what an export adds to it: nothing stored goes, and what stands in both as often is not added again."""
+    return stored.unionByName(append_new(stored, export, key, order))
+
+
+def ordered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """rows with their place in an order, from 0. Ranges are numbered each by itself and shifted by what stands before them, so no task has to see all rows; rows that the order holds equal share a range. The ranges are written, so that both passes see the same ones."""
+    from ..sources.shared import kept
+
+    dealt = kept(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))  # a row a range
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return dealt.withColumn(name, place).join(F.broadcast(starts), "_range").withColumn(name, (F.col(name) + F.col("_start")).cast("long")).drop("_range", "_start")

@@ -27,7 +27,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Importing the plans registers their queries."""
-    from . import people, relational, scalars, search, sequences  # noqa: F401
+    from . import exports, people, reading, relational, rows, scalars, search, sequences, texts, writes  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

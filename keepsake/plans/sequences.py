@@ -50,14 +50,18 @@ def wn05(spark, d):
     return cv.sessions(units(spark, d), cap=300).groupBy("thread_id", "session_no").agg(F.count("*").alias("n"), F.min("start_ts").alias("a"), F.max("end_ts").alias("b"))
 
 
-@query("wn06_windows", f"""WITH RECURSIVE {EVENTS_SQL}, u AS (SELECT thread_id, msg_id, msg_id % 50 + 10 AS tok, row_number() OVER (PARTITION BY thread_id ORDER BY ts, msg_id) - 1 AS k FROM msgs WHERE msg_id % 10 = 0),
- p AS (SELECT thread_id, k, tok, sum(tok) OVER (PARTITION BY thread_id ORDER BY k) - tok AS before, sum(tok) OVER (PARTITION BY thread_id ORDER BY k) AS upto, count(*) OVER (PARTITION BY thread_id) AS n FROM u),
- e AS (SELECT i.thread_id, i.k AS i, i.n, greatest(i.k + 1, coalesce(max(j.k + 1) FILTER (j.upto - i.before <= 300), 0)) AS j FROM p i JOIN p j ON i.thread_id = j.thread_id AND j.k >= i.k GROUP BY i.thread_id, i.k, i.n),
- x AS (SELECT e.thread_id, e.i, e.j, e.n, coalesce(min(q.k) FILTER (q.k > e.i AND (SELECT sum(z.tok) FROM p z WHERE z.thread_id = e.thread_id AND z.k >= q.k AND z.k < e.j) <= 45), e.j) AS nxt FROM e LEFT JOIN p q ON q.thread_id = e.thread_id AND q.k < e.j AND q.k > e.i GROUP BY 1, 2, 3, 4),
- w AS (SELECT thread_id, i, j, n, nxt, 0 AS window_no FROM x WHERE i = 0 UNION ALL SELECT x.thread_id, x.i, x.j, x.n, x.nxt, w.window_no + 1 FROM w JOIN x ON x.thread_id = w.thread_id AND x.i = w.nxt WHERE w.j < w.n)
- SELECT thread_id, CAST(window_no AS BIGINT) AS window_no, CAST(j - i AS BIGINT) AS n FROM w""")
+@query("wn06_windows", f"""WITH RECURSIVE {EVENTS_SQL}, r AS (SELECT thread_id, msg_id, ts, msg_id % 50 + 10 AS tok, row_number() OVER (PARTITION BY thread_id ORDER BY ts, msg_id) AS rn FROM msgs),
+ ses AS (SELECT thread_id, msg_id, ts, rn, tok, tok AS acc, 1 AS s FROM r WHERE rn = 1 UNION ALL SELECT r.thread_id, r.msg_id, r.ts, r.rn, r.tok,
+  CASE WHEN r.ts - w.ts > 86400 OR (r.ts - w.ts > 2700 AND w.acc >= 120) OR w.acc + r.tok > 3000 THEN r.tok ELSE w.acc + r.tok END,
+  CASE WHEN r.ts - w.ts > 86400 OR (r.ts - w.ts > 2700 AND w.acc >= 120) OR w.acc + r.tok > 3000 THEN w.s + 1 ELSE w.s END FROM ses w JOIN r ON r.thread_id = w.thread_id AND r.rn = w.rn + 1),
+ u AS (SELECT thread_id, s, msg_id, tok, row_number() OVER (PARTITION BY thread_id, s ORDER BY ts, msg_id) - 1 AS k FROM ses),
+ p AS (SELECT thread_id, s, k, tok, sum(tok) OVER (PARTITION BY thread_id, s ORDER BY k) - tok AS before, sum(tok) OVER (PARTITION BY thread_id, s ORDER BY k) AS upto, count(*) OVER (PARTITION BY thread_id, s) AS n FROM u),
+ e AS (SELECT i.thread_id, i.s, i.k AS i, i.n, greatest(i.k + 1, coalesce(max(j.k + 1) FILTER (j.upto - i.before <= 90), 0)) AS j FROM p i JOIN p j ON i.thread_id = j.thread_id AND i.s = j.s AND j.k >= i.k GROUP BY i.thread_id, i.s, i.k, i.n),
+ x AS (SELECT e.thread_id, e.s, e.i, e.j, e.n, coalesce(min(q.k) FILTER (q.k > e.i AND (SELECT sum(z.tok) FROM p z WHERE z.thread_id = e.thread_id AND z.s = e.s AND z.k >= q.k AND z.k < e.j) <= 36), e.j) AS nxt FROM e LEFT JOIN p q ON q.thread_id = e.thread_id AND q.s = e.s AND q.k < e.j AND q.k > e.i GROUP BY 1, 2, 3, 4, 5),
+ w AS (SELECT thread_id, s, i, j, n, nxt, 0 AS window_no FROM x WHERE i = 0 UNION ALL SELECT x.thread_id, x.s, x.i, x.j, x.n, x.nxt, w.window_no + 1 FROM w JOIN x ON x.thread_id = w.thread_id AND x.s = w.s AND x.i = w.nxt WHERE w.j < w.n)
+ SELECT thread_id, CAST(s AS BIGINT) AS session_no, CAST(window_no AS BIGINT) AS window_no, CAST(j - i AS BIGINT) AS n FROM w""")
 def wn06(spark, d):
-    return cv.windows(units(spark, d).filter("unit_id % 10 = 0"), ["thread_id"], 300, 0.15).groupBy("thread_id", "window_no").agg(F.count("*").alias("n"))
+    return cv.windows(cv.sessions(units(spark, d)), ["thread_id", "session_no"], 90, 0.4).groupBy("thread_id", "session_no", "window_no").agg(F.count("*").alias("n"))
 
 
 @query("wn11_numbered_labels", "SELECT c_custkey, c_mktsegment || CASE WHEN k > 1 THEN ' #' || k ELSE '' END AS label FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer)")
