@@ -168,6 +168,19 @@ def test_sentencepiece_is_the_library(spark, docs, empty):
     assert {"ids", "decoded", "digest"} <= set(kept.columns) and kept.count() == len(edge_texts()) + 1
 
 
+def test_sentencepiece_on_long_stretches():
+    """Without blanks to cut at: windows that agree, windows of a period, and one after the other."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
+    table, rng = sentencepiece_codec.prefix_table(sentencepiece_codec.default_model()), random.Random(6)
+    texts = ["a" * 6000, "abc" * 2000, "=" * 3000 + "-" * 3000, "".join(rng.choice("ab") for _ in range(5000)), base64.b64encode(rng.randbytes(9000)).decode(), "中é" * 1500, "x" * 1025]
+    texts.append("".join(rng.choice(table.pieces[259:12000]).replace("▁", "") for _ in range(2000)))
+    ids, upto = table.encode(texts)
+    for k, t in enumerate(texts):
+        assert ids[upto[k] : upto[k + 1]].tolist() == model.encode(t)
+
+
 def test_sentencepiece_on_random_pieces():
     import sentencepiece
 
@@ -201,6 +214,22 @@ def test_nearest_neighbours_recall(spark):
         assert hits / total >= 0.9
 
 
+def test_nearest_neighbours_prune_clusters(spark):
+    """On clustered vectors small windows compare under a tenth of the rows and still find the neighbours."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((80, 32))
+    x = (centres[rng.integers(0, 80, 6000)] + 0.05 * rng.standard_normal((6000, 32))).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash")).withColumn("score", F.lit("clash"))
+    found = hilbert_search.search(df, curves=3, window=0.01, ranges=200).toPandas()
+    hits = 0
+    for q in range(0, 6000, 100):
+        d = np.sqrt(((x.astype(np.float64) - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len(set(found[found.query_id == q].vec_id) & set(np.argsort(d)[:10].tolist()))
+    assert hits / 600 >= 0.9
+    assert found.drop_duplicates("query_id").compared.mean() < 600
+
+
 def test_nearest_neighbours_ties_and_few(spark):
     rows = [(0, [1.0, 0.0]), (3, [0.0, 1.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0])]
     got = hilbert_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("rank").collect()
@@ -244,6 +273,8 @@ def test_mixing(spark, docs, empty):
     again = mixing.plan(df.repartition(7)).toPandas()
     assert dict(zip(out.doc_id, out.times)) == dict(zip(again.doc_id, again.times))
     assert mixing.plan(empty).count() == 0
+    twice = spark.createDataFrame([(k % 500, "w " * 50, "en", "ab"[k % 2], 1) for k in range(1000)], COLUMNS)
+    assert sorted(mixing.mix(twice).collect()) == sorted(mixing.mix(twice.repartition(5)).collect())
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
     times = {r["doc_id"]: r["times"] for r in mixing.plan(docs).collect()}
@@ -277,10 +308,15 @@ def test_fingerprints_fold_unicode(spark):
 def test_next_texts_over_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 5)
     ids = random.Random(1).sample(range(100_000), 300)
-    df = spark.createDataFrame([(k, f"t{k}") for k in ids], "doc_id long, text string").repartition(6)
-    got = {r["doc_id"]: r["nxt"] for r in fingerprints.next_texts(df).collect()}
-    ids.sort()
-    assert got == {a: f"t{b}" for a, b in zip(ids, ids[1:] + ids[:1])}
+    df = spark.createDataFrame([(k, f"t{k}", "") for k in ids], "doc_id long, text string, tie string").repartition(6)
+    for name, few in (("CUTS", 128), ("CUTS", 7), ("PARTS", 3)):
+        monkeypatch.setattr(fingerprints, name, few)
+        got = {r["doc_id"]: r["next_text"] for r in fingerprints.next_rows(df, ["text"]).collect()}
+        ids.sort()
+        assert got == {a: f"t{b}" for a, b in zip(ids, ids[1:] + ids[:1])}
+    odd = [(None, "b", "2"), (None, "a", "1"), (5, "d", "2"), (5, "c", "1"), (2**62, "e", "1"), (-(2**62), "z", "1")]
+    got = {r["text"]: r["next_text"] for r in fingerprints.next_rows(spark.createDataFrame(odd, "doc_id long, text string, tie string"), ["text"]).collect()}
+    assert got == {"a": "b", "b": "z", "z": "c", "c": "d", "d": "e", "e": "a"}
 
 
 def test_a_colliding_bucket_is_told_apart(spark, monkeypatch):
@@ -290,6 +326,19 @@ def test_a_colliding_bucket_is_told_apart(spark, monkeypatch):
     assert f[0] == f[2] != f[1]
 
 
+def test_an_edited_text_collides_with_a_text(spark, monkeypatch):
+    """Document 1's edited text falls into the bucket of document 3, whose text is another: both are told apart. Document 5's edited text is document 7's text."""
+    plain = fingerprints.digest128
+    monkeypatch.setattr(fingerprints, "digest128", lambda c: F.when(c.isin("abcx", "other"), F.lit("f" * 32)).otherwise(plain(c)))
+    texts = ["abcd", "xyz", "other", "pqrs", "tuv", "pqrt"]
+    df = spark.createDataFrame([(2 * k + 1, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in fingerprints.fingerprints(df).collect()}
+    assert out[1]["edited_fingerprint"].startswith("f" * 32) and out[5]["fingerprint"].startswith("f" * 32)
+    assert out[1]["edited_fingerprint"] != out[5]["fingerprint"]
+    assert out[7]["edited_fingerprint"] == out[11]["fingerprint"]
+    assert out[3]["near_edited"] == 1.0 and out[1]["near_edited"] == 0.0
+
+
 def test_token_counts(spark, docs, empty):
     texts = dict(enumerate(edge_texts()))
     enc, _ = token_counts.encoder(token_counts.default_ranks())
@@ -304,6 +353,31 @@ def test_token_counts(spark, docs, empty):
     assert token_counts.section_counts(empty).count() == 0
 
 
+def test_token_counts_of_each_section(spark, docs):
+    """Every section's count, by walking the characters."""
+    enc, _ = token_counts.encoder(token_counts.default_ranks())
+    table = token_counts.counts_by_section(token_counts.section_counts(docs.filter("doc_id <> 1"), fields=("source", "text"), joint=" ", rule="most")).toPandas()
+    for r in docs.filter("doc_id <> 1").collect():
+        whole = f"{r['source'] or ''} {r['text'] or ''}"
+        cut = len(r["source"] or "") + 1
+        section, k = [], 0
+        for i, c in enumerate(whole):  # the section of each character: fields, then lines
+            if i == cut or i and whole[i - 1] == "\n":
+                k += 1
+            section.append(k)
+        want = [0] * ((section[-1] if section else 0) + 1 + (cut == len(whole)))
+        begin = -1
+        for t in enc.encode_ordinary(whole):
+            own = [0] * len(want)
+            for byte in enc.decode_single_token_bytes(t):
+                if byte & 0xC0 != 0x80:
+                    begin += 1
+                    own[section[begin]] += 1
+            want[own.index(max(own)) if max(own) else section[begin]] += 1
+        mine = table[table.doc_id == r["doc_id"]].sort_values("section")
+        assert mine.n_tokens.tolist() == want and mine.n_chars.sum() == len(whole)
+
+
 def test_token_rules():
     sizes, ends = np.array([3, 4, 2]), np.array([4, 9])  # tokens 0-3, 3-7, 7-9; sections 0-4, 4-9
     assert token_counts.attributed(sizes, ends, "most")[0].tolist() == [1, 2]
@@ -385,6 +459,25 @@ def test_warc_round_trip(spark):
         assert last["last"] and last.bytes_so_far == len(raw) and last.sha1_so_far == base64.b32encode(hashlib.sha1(raw).digest()).decode() == last.stated_digest
 
 
+def test_warc_segments(spark):
+    """Payloads over a segment go on in continuations: no line is longer, line ends or not, and copies refer to the whole."""
+    html = ["x" * 5000, "x" * 5000, "é\n" * 1500, "y" * 1000, "y" * 1001, ""]
+    df = spark.createDataFrame([(k, f"http://e.x/{k}", h) for k, h in enumerate(html)], PAGES).withColumn("sha1", F.lit("clash")).withColumn("kind", F.lit("clash"))
+    path = scratch(spark, "warc")
+    warc.write(warc.records(df), path, segment=1000)
+    lines = spark.read.option("lineSep", "\n").text(path)
+    assert lines.agg(F.max(F.octet_length("value"))).first()[0] <= 1001
+    assert lines.filter("value like 'WARC-Segment-Origin-ID%'").count() == 4 + 4 + 1
+    got = {r["page_id"]: r for r in warc.page_table(warc.read_chunks(spark, path, chunk=300, with_data=False)).collect()}
+    for k, h in enumerate(html):
+        raw = h.encode()
+        assert (got[k]["payload_bytes"], got[k]["payload_digest"]) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
+        assert got[k]["refers_to"] == (1 if k == 0 else None)
+    data = warc.read_chunks(spark, path, chunk=300).filter("kind = 'response'").toPandas()
+    whole = {b"".join(map(bytes, p.sort_values("chunk_no")["data"])).decode() for _, p in data.groupby("record_id")}
+    assert whole == set(html) and data.data.map(len).max() <= 300
+
+
 def test_warc_edges(spark):
     path = scratch(spark, "warc")
     rows = [(None, None, "a"), (None, None, "a"), (1, "u", "a"), (1, "u", "b"), (2, "u", "c")]
@@ -432,6 +525,22 @@ def test_pii_base_is_brute_force(spark, docs, empty):
     assert same == dict(enumerate(edge_texts()))
 
 
+def test_pii_long_texts(spark):
+    """A log of numbers and addresses of a megabyte is found and masked as by brute force, in linear time."""
+    text = " ".join(f"10.0.{k % 256}.{k % 199} {k} a{k}@b.cd" if k % 3 else f"{k}.{k} +49 30 {1000000 + k}" for k in range(40_000))
+    df = spark.createDataFrame([(0, text), (1, "x")], "doc_id long, text string")
+    out = pii.report(pii.spans(df)).filter("doc_id = 0").first()
+    want = brute_spans(text)
+    assert out["base_sha256"] == hashlib.sha256(",".join(f"{a}:{b}:{c}" for a, b, c in want).encode()).hexdigest()
+    cuts = sorted((a, b, k) for k, a, b in want)
+    pieces, at = [], 0
+    for a, b, k in cuts:
+        if a >= at:
+            pieces += [text[at:a], pii.MASKS[k]]
+        at = max(at, b)
+    assert pii.sanitised(df).filter("doc_id = 0").first()["text"] == "".join(pieces) + text[at:]
+
+
 def test_pii_terms(spark):
     """A rare name beside an address in several texts goes; common words beside it stay; texts without an address stay as they are."""
     rng = random.Random(2)
@@ -460,8 +569,14 @@ def brute_terms(texts, support=2, generalise=0.85, remove=0.95):
             share = 1 - np.log(sum(w in x for x in words.values()) / both) / ic
             if both >= support and share >= generalise:
                 for t in own:
-                    mask[t][w] = min(mask[t].get(w, "[TERM]"), "[REMOVED]" if share >= remove else "[TERM]")
-    swap = lambda t, m: "[EMAIL]" if "@" in m[0] else mask[t].get(m[0].lower(), m[0])
+                    mask[t][w] = mask[t].get(w, False) or share >= remove
+
+    def swap(t, m):
+        w = m[0]
+        if "@" in w or w.lower() not in mask[t]:
+            return "[EMAIL]" if "@" in w else w
+        return "[REMOVED]" if mask[t][w.lower()] else "[NUMBER]" if w.isdigit() else "[CODE]" if re.search("[0-9]", w) else "[NAME]" if w[0].isupper() else "[WORD]"
+
     return [re.sub(r"[\w.]+@[\w.]+\w|[^\W_]+", lambda m, t=t: swap(t, m), t) for t in texts]
 
 
