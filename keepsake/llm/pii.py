@@ -6,8 +6,8 @@ overlaps; matches that fail their check (parts over 255, digits, Luhn) are dropp
 How strongly a term t, any word, reveals the entity e is the share of e's information that t carries, estimated from
 co-occurrence over the distinct texts of the corpus: PMI(t, e) / IC(e) = 1 - ln(c(t) / c(t, e)) / ln(N / c(e)), where
 c(t, e) counts texts with t and e, c(t) texts with t, c(e) texts with e and N all, wherever in the text they stand. Terms
-that are with an entity in `support` texts or more are removed from the share `remove` on, and generalised from the share
-`generalise` on: every occurrence, in all texts that have the entity. Texts without a protected entity are never changed.
+that are with an entity in `support` texts or more are removed from the share `remove` on, and from the share `generalise`
+on generalised to the class that their form shows (number, code, name or word): every occurrence, in all texts that have the entity. Texts without a protected entity are never changed.
 
 All of it is DataFrame functions. Where a text splits at a pattern, the lengths of the parts and of the matches add up to
 the offsets. Patterns look for their first character only where a run begins, so long runs cost linear time.
@@ -18,6 +18,8 @@ Rows that repeat a doc_id are separate. Extra columns stay out of op10 and stay
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,24 +34,73 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "removed": "[REMOVED]", "term": "[TERM]"}
+MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "removed": "[REMOVED]", "number": "[NUMBER]", "code": "[CODE]", "name": "[NAME]", "word": "[WORD]"}
 TERM = r"[\p{L}\p{N}]+"
 SPAN = "array<struct<start:int,end:int,value:string>>"
-#: A flagged-term table of at most this many rows is broadcast; a larger one is joined by shuffles.
+CUT = "array<struct<start:int,end:int,mask:string>>"
+#: Items of one running sum.
+STEP = 64
+#: A table of at most so many spans or terms is broadcast; a larger one is joined by shuffles.
 BROADCAST_ROWS = 50_000
+#: So many 64-bit hashes, of terms or of texts that repeat, are broadcast (some 16 MB).
+BROADCAST_HASHES = 1_000_000
 
 
-def located(text: Column, pattern: str) -> Column:
-    """All matches from the left, as (start, end, value)."""
-    parts = F.arrays_zip(F.split(text, pattern).alias("part"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), the value being made once, however often f uses it: inside a function of array elements it would be made anew for each of them."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _blocks(items: Column) -> Column:
+    """The items in arrays of STEP."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)).cast("int"), F.lit(STEP)), lambda k: F.slice(items, k + 1, STEP))
+
+
+def _starts(sizes: Column) -> Column:
+    """Where each of many blocks starts, from their sizes; summed within blocks of blocks and over those."""
+
+    def some(block: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(block, begin, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+    step = lambda acc, o: F.struct((acc["at"] + o["at"]).alias("at"), F.array_append(acc["out"], F.transform(o["out"], lambda n: n + acc["at"])).alias("out"))
+    return F.flatten(F.aggregate(F.transform(_blocks(sizes), some), begin, step)["out"])
+
+
+def _placed(items: Column, kind: str, gap: Callable[[Column], Column], length: Callable[[Column], Column], make: Callable[[Column, Column, Column], Column]) -> Column:
+    """make(item, start, end) of all items, laid out one after another: an item starts gap(item) after the end of the one before and has length(item). Sums run within blocks of STEP items and over the blocks, as appending to one long array copies it each time."""
+
+    def inner(block: Column, first: Column) -> Column:
+        begin = F.struct(first.alias("at"), F.array().cast(kind).alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + gap(x)
+            end = start + length(x)
+            return F.struct(end.alias("at"), F.array_append(acc["out"], make(x, start, end)).alias("out"))
+
+        return F.aggregate(block, begin, step, lambda acc: acc["out"])
+
+    def laid_out(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda acc, x: acc + gap(x) + length(x)))
+        return F.flatten(F.zip_with(blocks, _let(sizes, _starts), inner))
+
+    return _let(items, lambda it: _let(_blocks(it), laid_out))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["part"])
-        end = start + F.coalesce(F.length(x["value"]), F.lit(0))
-        return F.struct(end.alias("at"), F.when(x["value"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
-    return F.aggregate(parts, begin, step, lambda acc: acc["out"])
+def _matches(text: Column, pattern: str, kind: str, make: Callable[[Column, Column, Column], Column]) -> Column:
+    """make(match, start, end) of all matches from the left, a match being its text (value) and what stands before it (part)."""
+
+    def placed(values: Column) -> Column:
+        parts = F.arrays_zip(F.slice(F.split(text, pattern), F.lit(1), F.size(values)).alias("part"), values.alias("value"))
+        return F.when(F.size(values) > 0, _placed(parts, kind, lambda x: F.length(x["part"]), lambda x: F.length(x["value"]), make)).otherwise(F.array().cast(kind))
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+
+
+def located(text: Column, pattern: str) -> Column:
+    """All matches from the left, as (start, end, value)."""
+    return _matches(text, pattern, SPAN, lambda x, start, end: F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))
 
 
 def luhn(digits: Column) -> Column:
@@ -84,19 +135,20 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
+def _class(word: Column) -> Column:
+    """What a term is generalised to: the class that its form shows."""
+    return F.when(word.rlike(r"^\p{N}+$"), MASKS["number"]).when(word.rlike(r"\p{N}"), MASKS["code"]).when(word.rlike(r"^\p{Lu}"), MASKS["name"]).otherwise(MASKS["word"])
+
+
 def _occurrences(text: Column, removed: Column, general: Column) -> Column:
     """Where the words of two lists stand in text, as (start, end, mask) from the left."""
-    parts = F.arrays_zip(F.split(text, TERM).alias("part"), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("value"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,mask:string>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["part"])
-        end = start + F.coalesce(F.length(x["value"]), F.lit(0))
+    def make(x: Column, start: Column, end: Column) -> Column:
         word = F.lower(x["value"])
-        mask = F.when(F.array_contains(removed, word), MASKS["removed"]).when(F.array_contains(general, word), MASKS["term"])
-        return F.struct(end.alias("at"), F.when(mask.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), mask.alias("mask")))).alias("out"))
+        mask = F.when(F.array_contains(removed, word), MASKS["removed"]).when(F.array_contains(general, word), _class(x["value"]))
+        return F.struct(start.alias("start"), end.alias("end"), mask.alias("mask"))
 
-    return F.aggregate(parts, begin, step, lambda acc: acc["out"])
+    return F.filter(_matches(text, TERM, CUT, make), lambda x: x["mask"].isNotNull())
 
 
 def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -109,6 +161,29 @@ def _entities(kind: str) -> Column:
     return F.transform(kind, lambda s: F.concat(F.lit(f"{kind}:"), F.lower(s["value"]) if kind in ("email", "ip") else _digits(s["value"])))
 
 
+def _document_counts(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
+    """(t, c_t): in how many distinct texts each of the terms is. Texts that stand once are counted where they are; only those that repeat are shuffled to become one. Hashes let words through that may be terms, the join by the words themselves decides."""
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    texts = docs.select(digest128(body).alias("digest"), body.alias("_t")).withColumn("_h", F.xxhash64("digest"))
+    copies = stored(texts.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select(F.xxhash64("digest").alias("_h")).distinct(), "copies")
+    words = _words(F.col("_t")).alias("words")
+    few = copies.count() <= BROADCAST_HASHES
+    once = texts.join(F.broadcast(copies), "_h", "left_anti") if few else texts.filter(F.lit(False))
+    several = texts.join(F.broadcast(copies), "_h", "left_semi") if few else texts
+    one_of = several.select("digest", F.array_join(words, " ").alias("words")).groupBy("digest").agg(F.max("words").alias("words")).select(F.split("words", " ").alias("words"))
+    asked = terms.select(F.xxhash64("t").alias("_w")).distinct()
+    asked = F.broadcast(asked) if terms.count() <= BROADCAST_HASHES else asked
+
+    def counted(some: DataFrame) -> DataFrame:
+        each = some.select(F.explode("words").alias("t"))
+        if terms.count() <= BROADCAST_HASHES:
+            return each.join(asked, F.xxhash64("t") == F.col("_w"), "left_semi").groupBy("t").agg(F.count("*").alias("c"))
+        return each.groupBy("t").agg(F.count("*").alias("c"))
+
+    both = counted(once.select(words)).unionByName(counted(one_of))
+    return both.groupBy("t").agg(F.sum("c").alias("c_t")).join(terms, "t", "left_semi")
+
+
 def disclosing(docs: DataFrame, rows: DataFrame, corpus: int, text: str = "text", support: int = 2, generalise: float = 0.85, remove: float = 0.95) -> DataFrame | None:
     """(digest, terms) for distinct texts with terms to change; terms: array of (start, end, mask). rows: what found() gives of those documents that have a base span."""
     entities = F.concat(*(_entities(k) for k in KINDS))
@@ -130,16 +205,10 @@ def disclosing(docs: DataFrame, rows: DataFrame, corpus: int, text: str = "text"
     able = share("c_own", F.least("c_e", "c_own")) >= generalise - 1e-9
     pairs = beside.join(held, "digest").filter(able).groupBy("e", "t", "c_e", "c_own").agg(F.count("*").alias("c_te"))
     pairs = stored(pairs.filter((F.col("c_te") >= support) & (share("c_own", F.col("c_te")) >= generalise)).drop("c_own"), "pairs")
-    terms = pairs.select("t").dropDuplicates()
-    many = terms.count()
-    if not many:
+    terms = stored(pairs.select("t").dropDuplicates(), "terms")
+    if terms.isEmpty():
         return None
-    terms = F.broadcast(terms) if many <= BROADCAST_ROWS else terms
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    # each distinct text once, as its distinct words; counting them then merges before the shuffle
-    texts = docs.select(digest128(body).alias("digest"), F.array_join(_words(body), " ").alias("words")).groupBy("digest").agg(F.any_value("words").alias("words"))
-    every = texts.select(F.explode(F.split("words", " ")).alias("t"))
-    of_t = every.join(terms, "t", "left_semi").groupBy("t").agg(F.count("*").alias("c_t")) if many <= BROADCAST_ROWS else every.groupBy("t").agg(F.count("*").alias("c_t")).join(terms, "t", "left_semi")
+    of_t = _document_counts(docs, text, terms)
     flagged = pairs.join(of_t, "t").withColumn("share", share(F.col("c_t"), F.col("c_te"))).filter(F.col("share") >= generalise).select("e", "t", (F.col("share") >= remove).alias("out"))
     flagged = stored(flagged, "flagged")
     # entity first, then its words: a text has many words and few entities
@@ -159,7 +228,7 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options
     base = stored(rows.withColumn("t", F.when(F.expr(some), F.col("t"))), "found")
     corpus = base.select("digest").distinct().count()
     extra = disclosing(docs, base.filter("t is not null"), corpus, text, **options)
-    none = F.array().cast("array<struct<start:int,end:int,mask:string>>")
+    none = F.array().cast(CUT)
     if extra is None:
         return base.drop("t").withColumn("terms", none)
     extra = stored(extra, "terms")
@@ -183,15 +252,29 @@ def report(table: DataFrame) -> DataFrame:
 
 
 def masked(text: Column, cuts: Column) -> Column:
-    """text with each of cuts, (start, end, mask) in order, replaced by its mask; of overlapping cuts the first gives the mask for all."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """text with each of cuts, (start, end, mask) in order, replaced by its mask; of overlapping cuts the first gives the mask for all. The furthest end so far is kept within blocks of STEP cuts and over the blocks."""
+
+    def inner(block: Column, first: Column) -> Column:
+        begin = F.struct(first.alias("at"), F.array().cast("array<string>").alias("out"))
+        last = F.array_max(F.transform(block, lambda c: c["end"]))
+
+        def pieces(part: Column) -> Column:
+            def step(acc: Column, c: Column) -> Column:
+                piece = F.concat(F.substring(part, acc["at"] - first + 1, c["start"] - acc["at"]), c["mask"])
+                return F.struct(F.greatest(acc["at"], c["end"]).alias("at"), F.when(c["start"] >= acc["at"], F.array_append(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+
+            return F.array_join(F.aggregate(block, begin, step, lambda acc: acc["out"]), "")
+
+        # a block's own stretch of the text: finding a place in a text takes as long as the text before it
+        return _let(F.substring(text, first + 1, F.greatest(last - first, F.lit(0))), pieces)
 
-    def step(acc: Column, c: Column) -> Column:
-        apart = c["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, c["start"] - acc["at"]), c["mask"])
-        return F.struct(F.greatest(acc["at"], c["end"]).alias("at"), F.when(apart, piece).otherwise(acc["out"]).alias("out"))
+    def joined(blocks: Column) -> Column:
+        ends = F.transform(blocks, lambda block: F.array_max(F.transform(block, lambda c: c["end"])))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        before = F.aggregate(ends, begin, lambda acc, e: F.struct(F.greatest(acc["at"], e).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))
+        return _let(before, lambda b: F.concat(F.array_join(F.zip_with(blocks, b["out"], inner), ""), F.substring(text, b["at"] + 1, F.length(text))))
 
-    return F.aggregate(cuts, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(cuts) > 0, _let(cuts, lambda c: _let(_blocks(c), joined))).otherwise(text)
 
 
 def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
