@@ -13,7 +13,8 @@ piece only the k + 1 smallest ids can be among the nearest k, so the others need
 
 With vectors spread evenly in all 64 dimensions neighbours are hardly nearer than strangers, so windows must be a share of
 the rows: with 8 curves of 4 dimensions and windows of an eighth on either side recall is about 0.97 against brute force
-(see tests/llm), and work grows with queries times rows. On clustered vectors far smaller windows do.
+(see tests/llm), and work grows with queries times rows. On clustered vectors far smaller windows do, and then only the
+rows inside them are compared: `compared` tells how many.
 
 Results: vectors that are null, zero, of another length than the most common one, or hold null or non-finite components
 take no part. Ties go to the smaller vec_id. With fewer candidates all are returned. Rows that repeat a vec_id are
@@ -111,28 +112,52 @@ class _Piece:
         self.squares = (self.x**2).sum(1)
         # an id that repeats with other vectors may hold several of the first places
         self.wanted = k * int(np.unique(self.ids, return_counts=True)[1].max())
+        self.by = np.argsort(self.at, 1, kind="stable")  # the piece's part of each curve
+        self.along = np.take_along_axis(self.at, self.by, 1).astype(np.int64)
 
-    def nearest(self, asks: np.ndarray, y: np.ndarray, at: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, id, distance) of the nearest rows inside a window of any curve, by exact distance and id."""
-        inside = np.zeros((len(y), len(self.ids)), bool)
+    def _windows(self, at: np.ndarray, reach: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(queries, rows) of each window: queries of one range of a curve share it."""
+        out = []
         for c in range(len(self.at)):
-            low, high = np.maximum(at[:, c].astype(int) - reach, 0).astype(np.uint8), np.minimum(at[:, c].astype(int) + reach, 255).astype(np.uint8)
-            inside |= (self.at[c] >= low[:, None]) & (self.at[c] <= high[:, None])
-        inside &= asks[:, None] != self.ids
-        own = (y**2).sum(1)
-        d = np.where(inside, own[:, None] + self.squares - 2 * y @ self.x.T, np.inf)
-        m = min(self.wanted, d.shape[1]) - 1
-        limit = np.partition(d, m, 1)[:, m] + 1e-9 * (own + self.squares.max())  # rounding in the product
-        i, j = np.nonzero((d <= limit[:, None]) & inside)
+            for v in np.unique(at[:, c]).astype(int).tolist():
+                low, high = np.searchsorted(self.along[c], [v - reach, v + reach + 1])
+                if low < high:
+                    out.append((np.flatnonzero(at[:, c] == v), self.by[c, low:high]))
+        return out
+
+    def nearest(self, asks: np.ndarray, y: np.ndarray, at: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, distance, compared) of the nearest rows inside a window of any curve, by exact distance and id; a query's rows compared here stand at its first row. Windows are met one by one, unless together they are more than the piece."""
+        n, own = len(self.ids), (y**2).sum(1)
+        windows = self._windows(at, reach)
+        if sum(len(q) * len(rows) for q, rows in windows) < n * len(y):
+            inside = None
+        else:
+            inside = np.zeros((len(y), n), bool)
+            for q, rows in windows:
+                inside[q[:, None], rows] = True
+            windows = [(np.arange(len(y)), np.arange(n))]
+        seen, pairs = np.zeros(len(y), np.int64), [np.zeros(0, np.int64)]
+        for q, rows in windows:
+            seen[q] += len(rows)
+            good = asks[q][:, None] != self.ids[rows]
+            if inside is not None:
+                good &= inside
+            d = np.where(good, own[q][:, None] + self.squares[rows] - 2 * y[q] @ self.x[rows].T, np.inf)
+            m = min(self.wanted, d.shape[1]) - 1
+            limit = np.partition(d, m, 1)[:, m] + 1e-9 * (own[q] + self.squares.max())  # rounding in the product
+            i, j = np.nonzero((d <= limit[:, None]) & good)
+            pairs.append(q[i] * n + rows[j])
+        i, j = np.divmod(np.unique(np.concatenate(pairs)), n)
         score = np.sqrt(((y[i] - self.x[j]) ** 2).sum(1))
         order = np.lexsort((self.ids[j], score, i))
         i, j, score = i[order], j[order], score[order]
-        on = np.arange(len(i)) - np.searchsorted(i, i, side="left") < self.wanted
-        return asks[i[on]], self.ids[j[on]], score[on]
+        rank = np.arange(len(i)) - np.searchsorted(i, i, side="left")
+        on = rank < self.wanted
+        return asks[i[on]], self.ids[j[on]], score[on], np.where(rank == 0, seen[i], 0)[on]
 
 
 def search(vectors: DataFrame, k: int = 10, queries: str = "vec_id % 100 = 0", curves: int = 8, dims: int = 4, window: float = 0.125, ranges: int = 40, block: int = 131_072, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each row that queries selects. ranges is 255 at most."""
+    """(query_id, rank, vec_id, score, compared): the k nearest found of each row that queries selects, and how many rows it was compared with. ranges is 255 at most."""
     spark = vectors.sparkSession
     kind = "float" if "array<float>" in vectors.select(embedding).schema[0].dataType.simpleString() else "double"
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{kind}>").alias("v")).filter("vec_id is not null and size(v) > 0")
@@ -140,7 +165,7 @@ def search(vectors: DataFrame, k: int = 10, queries: str = "vec_id % 100 = 0", c
     rows = rows.filter(sound)
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if common is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, compared long")
     width, total = common["n"], common["count"]
     rows = rows.filter(F.size("v") == width)
     share = min(1.0, SAMPLE / total)
@@ -197,9 +222,10 @@ def search(vectors: DataFrame, k: int = 10, queries: str = "vec_id % 100 = 0", c
                     b = whole.slice(s, min(step, z - s))
                     at = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(-1, curves)
                     found = piece.nearest(b.column(2).to_numpy(), _matrix(b.column(3), width), at, reach)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score", "compared"])
 
-    found = both.mapInArrow(meet, "query_id long, vec_id long, score double")
-    merged = found.repartition(partitions(spark), "query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    found = both.mapInArrow(meet, "query_id long, vec_id long, score double, compared long")
+    merged = found.repartition(partitions(spark), "query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"), F.sum("compared").alias("here"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    ranked = merged.withColumn("rank", F.row_number().over(order)).withColumn("compared", F.sum("here").over(Window.partitionBy("query_id")))
+    return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "compared")

@@ -7,7 +7,8 @@ found with histograms: sizes summed by source and hash bucket, the bucket in whi
 then finer buckets inside that bucket only. Nothing is sorted, and reruns take the same documents.
 
 Results: a null text has size 0; sources come by code point, null last, as a source of its own; a source of size 0 has
-target 0. Rows that repeat a doc_id share a hash and are taken or left together. Extra columns stay.
+target 0. Rows that repeat a doc_id share a hash and, within a source, are taken or left together; each row counts for its
+own source. Rows without a doc_id share a hash too. Extra columns stay.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, discard, stored
 
 #: A hash has LEVELS groups of BITS bits; each level narrows the crossing bucket by 2 ** BITS.
 BITS, LEVELS = 10, 4
+#: A table of at most so many sources is broadcast.
+SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -42,22 +45,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float
     return rows.select("source", "source_size", F.least("cap", F.coalesce(final * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, times): how often the mix takes each document."""
-    h = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col(doc_id)), 64 - BITS * LEVELS)
-    base = stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), h.alias("h")), "sizes")
+def thresholds(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(s, source_size, target, times, below), stored, one row a source: all its documents are taken `times` times, and those whose hash is under `below` once more."""
+    base = stored(docs.select(F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), _place(F.col(doc_id)).alias("h")), "sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     state = targets(sizes, weights, share, most).withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     state = state.withColumn("left", F.col("target") - F.col("times") * F.col("source_size")).withColumn("below", F.lit(0).cast("long"))
     state = stored(state.withColumnRenamed("source", "s"), "targets")
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
-        inside = base.join(state.select("s", "below"), base.source.eqNullSafe(F.col("s")))
+        inside = base.join(_small(state.select("s", "below")), base.source.eqNullSafe(F.col("s")))
         if level:  # only the bucket that the last level stopped in
             inside = inside.filter(F.shiftright("h", shift + BITS) == F.col("below"))
         buckets = inside.groupBy("s", F.shiftright("h", shift).alias("b")).agg(F.sum("size").cast("double").alias("sum"))
         upto = F.sum("sum").over(Window.partitionBy("s").orderBy("b"))
-        crossed = buckets.withColumn("upto", upto).join(state.select(F.col("s").alias("s2"), "left"), F.col("s").eqNullSafe(F.col("s2"))).filter(F.col("upto") > F.col("left"))
+        crossed = buckets.withColumn("upto", upto).join(_small(state.select(F.col("s").alias("s2"), "left")), F.col("s").eqNullSafe(F.col("s2"))).filter(F.col("upto") > F.col("left"))
         first = crossed.groupBy("s").agg(F.min_by(F.struct("b", (F.col("left") - (F.col("upto") - F.col("sum"))).alias("left"), "sum"), "b").alias("x")).withColumnRenamed("s", "s3")
         on = state.join(first, state.s.eqNullSafe(F.col("s3")), "left")
         end = (F.col("below") + 1) * (1 << BITS) if level else F.lit(1 << BITS)  # no crossing: all of the bucket goes
@@ -65,13 +67,31 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1
         if level == LEVELS - 1:  # the last bucket is taken whole where that comes nearer
             below = F.when(F.col("x").isNotNull() & (2 * F.col("x.left") >= F.col("x.sum")), F.col("x.b") + 1).otherwise(below)
         state = stored(on.select("s", "source_size", "target", "times", F.coalesce(F.col("x.left"), F.lit(0.0)).alias("left"), below.alias("below")), "targets")
-    out = base.join(state, base.source.eqNullSafe(state.s))
-    extra = ((F.col("h") < F.col("below")) & (F.col("times") < most)).cast("int")
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("times") + extra).alias("times"))
+    discard(base)
+    return state.select("s", "source_size", "target", F.when(F.col("times") < most, F.col("below")).otherwise(0).alias("below"), "times")
+
+
+def _place(doc_id: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), doc_id), 64 - BITS * LEVELS)
+
+
+def _small(state: DataFrame) -> DataFrame:
+    return F.broadcast(state) if state.count() <= SOURCES else state
+
+
+def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(doc_id, source, size, source_size, target, times): how often the mix takes each document."""
+    state = thresholds(docs, weights, share, most, doc_id, text, source)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), _place(F.col(doc_id)).alias("h"))
+    extra = (F.col("h") < F.col("below")).cast("int")
+    return rows.join(_small(state), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", (F.col("times") + extra).alias("times"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as the mix takes it."""
-    times = plan(docs, **options).select(F.col("doc_id").alias("_mix_id"), F.col("times").alias("_mix_times")).dropDuplicates(["_mix_id"])
-    joined = docs.join(times, docs[options.get("doc_id", "doc_id")].eqNullSafe(times._mix_id)).filter("_mix_times > 0")
-    return joined.withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)
+def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
+    """docs with each row as often as the mix takes it. What decides is the row's hash and its source's threshold, so the texts stay where they are."""
+    state = thresholds(docs, doc_id=doc_id, source=source, **options)
+    state = state.select(F.col("s").alias("_mix_s"), F.col("below").alias("_mix_below"), F.col("times").alias("_mix_times"))
+    joined = docs.join(_small(state), docs[source].cast("string").eqNullSafe(F.col("_mix_s")))
+    times = F.col("_mix_times") + (_place(docs[doc_id]) < F.col("_mix_below")).cast("int")
+    taken = joined.withColumn("_mix_n", times).filter("_mix_n > 0")
+    return taken.withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*docs.columns)

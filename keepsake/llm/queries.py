@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints, hilbert_search, mixing, ngram_join, pii, sentencepiece_codec, sharding, token_counts, toxicity, warc
-from .common import scratch, table
+from .common import removed, scratch, table
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,9 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write(warc.records(table(spark, sf_dir, "pages"), least=0), path)
-    return warc.page_table(warc.read_chunks(spark, path, with_data=False))
+    pages = warc.page_table(warc.read_chunks(spark, path, with_data=False))
+    removed(spark, path)  # its page table is stored
+    return pages
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,5 +62,38 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_sentencepiece, op3_nearest_neighbours, op4_source_mix, op5_fingerprints, op6_token_counts, op7_toxicity, op8_shards, op9_warc, op10_pii)}
 
-#: DuckDB SQL where SQL can express the query; the others are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+#: Shingles as lists of words, all pairs that share one, and components by the smallest id that links reach.
+OP1 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, w[k : k + 3] AS s FROM (SELECT doc_id, w, unnest(range(1, 1 + CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 3, 1) END)) AS k FROM words)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * shared >= 85 * (p.n + q.n - shared)
+), reached(doc_id, far) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM reached r JOIN links l ON l.x = r.far
+)
+SELECT d.doc_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_shingles, min(r.far) AS component_id, CAST(coalesce(max(c), 0) AS BIGINT) AS n_links
+FROM documents d JOIN reached r USING (doc_id) LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT x AS doc_id, count(*) AS c FROM links GROUP BY x) USING (doc_id)
+GROUP BY d.doc_id
+"""
+
+#: SHA-1 from hex to base32: a digit for each five bits.
+OP9 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS best FROM pages
+), bits AS (
+  SELECT page_id, h, best, array_to_string(list_transform(range(1, 41), lambda i: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', sha1(h)[i])]), '') AS b FROM p
+)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + CAST(list_sum(list_transform(range(1, 6), lambda j: CASE WHEN b[5 * k + j] = '1' THEN 1 << (5 - j) ELSE 0 END)) AS INTEGER)]), '') AS payload_digest,
+  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to
+FROM bits
+"""
+
+#: DuckDB SQL where SQL can express the query; the others are tested against brute force, the library or held-out accuracy in tests/llm.
+ORACLES: dict[str, str] = {"op1_ngram_join": OP1, "op9_warc": OP9}

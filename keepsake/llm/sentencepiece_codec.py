@@ -6,7 +6,10 @@ last token of its prefix when it is compatible with the last token of the prefix
 when merging them side by side never joins symbols over the boundary. Ids are then read off backwards from the end.
 
 Spaces and line ends bound pieces in such models (checked when the model is read), so the stretches between them are
-encoded once a worker and remembered. All steps run over numpy arrays of many stretches at once.
+encoded once a worker and remembered. All steps run over numpy arrays of many stretches at once. A stretch that is long
+goes through them as many overlapping windows at once: the table behind a point depends on the last tokens just before it
+alone, so a window is right from where it agrees with the one before. Windows that don't agree are tried from other
+beginnings, and what is still left is done one after the other.
 
 Results: null and empty texts have no ids and decode to the empty text. Repeated rows are encoded alike. Bytes of
 characters that the model lacks become byte tokens. Texts of any length are encoded whole.
@@ -27,6 +30,8 @@ from pyspark.sql import types as T
 from .common import small_batches
 
 SPACE = "▁"
+#: A stretch longer than WINDOW characters is cut into windows of so many, each with RUN_UP characters of the one before.
+WINDOW, RUN_UP = 512, 64
 NEVER = np.int64(1 << 40)
 
 
@@ -178,11 +183,65 @@ class PrefixTable:
             self._memo_key[slot[new]], self._memo[slot[new]] = key[new], held[back]
         return out
 
-    def _last_tokens(self, chars: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """chars: a row for each stretch, longest first. last[k, e]: the last token of the first e characters of row k."""
+    def _long(self, chars: np.ndarray) -> np.ndarray:
+        """The last token of each prefix of one long stretch, chars."""
+        n, reach = len(chars), self._longest
+        out = np.full(n + 1, -1, np.int64)
+        first = min(n, WINDOW)
+        out[: first + 1] = self._last_tokens(chars[None, :first], np.array([first]))[0]
+        at = np.arange(WINDOW, n, WINDOW)  # a window stands for the prefixes that end after its beginning
+
+        def tried(begins: np.ndarray, early: np.ndarray) -> np.ndarray:
+            """Rows of last tokens from begins - reach on, each computed afresh from begins - RUN_UP - early."""
+            size = np.minimum(begins + WINDOW, n) - begins + RUN_UP + early
+            order = np.argsort(-size, kind="stable")
+            wide = np.zeros((len(begins), int(size.max())), np.int64)
+            on = np.arange(wide.shape[1]) < size[order][:, None]
+            wide[on] = chars[((begins - RUN_UP - early)[order][:, None] + np.arange(wide.shape[1]))[on]]
+            last = np.empty((len(begins), wide.shape[1] + 1), np.int64)
+            last[order] = self._last_tokens(wide, size[order])
+            return np.take_along_axis(last, np.minimum((RUN_UP + early - reach)[:, None] + np.arange(reach + WINDOW + 1), last.shape[1] - 1), 1)
+
+        rows, done, liked = (tried(at, np.zeros(len(at), np.int64)) if len(at) else []), {}, set()
+
+        def other(k: int, early: np.ndarray, known: np.ndarray) -> np.ndarray | None:
+            """The row of window k that agrees with what is known, among those with other beginnings; computed for 32 windows at once."""
+            early = early[early <= at[k] - RUN_UP]
+            if not len(early):
+                return None
+            if (k, len(early)) not in done:
+                done.clear()
+                some = np.arange(k, min(k + 32, len(at)))
+                found = tried(np.repeat(at[some], len(early)), np.tile(early, len(some))).reshape(len(some), len(early), -1)
+                done.update({(w, len(early)): x for w, x in zip(some.tolist(), found, strict=True)})
+            fit = np.flatnonzero((done[k, len(early)][:, 1 : reach + 1] == known).all(1))
+            if not len(fit):
+                return None
+            liked.add(int(early[fit[0]]))
+            return done[k, len(early)][fit[0]]
+
+        for k, begin in enumerate(at.tolist()):
+            end = min(begin + WINDOW, n)
+            known = out[begin - reach + 1 : begin + 1]
+            row = rows[k]
+            if not (row[1 : reach + 1] == known).all():
+                row = other(k, np.array(sorted(liked), np.int64), known) if 0 < len(liked) < 8 else None  # beginnings that have fitted before
+                row = other(k, np.arange(1, RUN_UP), known) if row is None else row
+                row = self._on(chars[begin - reach : end], out[begin - reach : begin + 1]) if row is None else row
+            out[begin + 1 : end + 1] = row[reach + 1 : reach + 1 + end - begin]
+        return out
+
+    def _on(self, chars: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """The last tokens of all prefixes of chars, of which those known come first."""
+        last = np.full((1, len(chars) + 1), -1, np.int64)
+        last[0, : len(known)] = known
+        return self._last_tokens(chars[None], np.array([len(chars)]), last, len(known) - 1)[0]
+
+    def _last_tokens(self, chars: np.ndarray, lengths: np.ndarray, last: np.ndarray | None = None, known: int = 0) -> np.ndarray:
+        """chars: a row for each stretch, longest first. last[k, e]: the last token of the first e characters of row k; those up to `known` are given."""
         rows, width = chars.shape
-        last = np.full((rows, width + 1), -1, np.int64)
-        for s in range(width):
+        last = np.full((rows, width + 1), -1, np.int64) if last is None else last
+        for s in range(max(0, known - self._longest), width):
             live = np.arange(np.searchsorted(-lengths, -s, side="left"))
             node = np.zeros(len(live), np.int64)
             for k in range(min(self._longest, width - s)):
@@ -197,7 +256,7 @@ class PrefixTable:
                 token = np.where(hit, self._token[self._node[at]], -1)
                 if k == 0:
                     token = np.where(token < 0, self._unknown, token)  # a character that the model lacks stands alone
-                fits = np.flatnonzero(token >= 0)
+                fits = np.flatnonzero(token >= 0) if s + k + 1 > known else np.zeros(0, np.int64)
                 if s and len(fits):
                     fits = fits[self.compatible(last[live[fits], s], token[fits])]
                 last[live[fits], s + k + 1] = token[fits]
@@ -232,13 +291,14 @@ class PrefixTable:
         while at < len(stretches):
             width = len(stretches[at])
             end = at
-            while end < len(stretches) and (len(stretches[end]) * 2 > width or width <= 24) and (end - at) * width < 1_000_000:
+            while end < len(stretches) and (len(stretches[end]) * 2 > width or width <= 24) and (end - at) * width < 1_000_000 and not (end > at and width > 2 * WINDOW):
                 end += 1
             some = stretches[at:end]
             lengths = np.fromiter(map(len, some), np.int64, len(some))
             chars = np.zeros((len(some), width), np.int64)
             chars[np.arange(width) < lengths[:, None]] = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32)
-            ids, count = self._ids(self._last_tokens(chars, lengths), lengths, some)
+            last = self._long(chars[0])[None] if width > 2 * WINDOW else self._last_tokens(chars, lengths)
+            ids, count = self._ids(last, lengths, some)
             self._known.update(zip(some, range(len(self._known), len(self._known) + len(some)), strict=True))
             flat.append(ids.astype(np.int32))
             counts.append(count)

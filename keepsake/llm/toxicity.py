@@ -150,17 +150,17 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", positives: int
     return Model(keys, w[:-1], float(w[-1]))
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with score (0 to 1)."""
+def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
+    """docs with a score (0 to 1) in the column named, in place of one of that name."""
     small_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c != "score"]
-    schema = docs.select(*names).schema.add("score", "double")
+    names = [c for c in docs.columns if c != score]
+    schema = docs.select(*names).schema.add(score, "double")
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, at):
                 z = model.logits(b.column(at))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*names, "score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*names, score])
 
     return docs.select(*names).mapInArrow(run, schema)
