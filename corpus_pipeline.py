@@ -17,9 +17,9 @@ TOXIC = 0.3
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier calls toxic go."""
+    """Documents that the classifier calls toxic go. Null and empty texts are scored like any other, by what they lack, and stay; rows that repeat an id are judged each by its text."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).filter(F.col("score") < TOXIC).select(*docs.columns)
+    return toxicity.scored(docs, model, score="_toxicity").filter(F.col("_toxicity") < TOXIC).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +33,12 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands as often as the mix takes it, none to three times."""
+    """Each document stands as often as the mix takes it, none to three times. A null text has size 0 and goes along with its hash; a null source is a source; rows that repeat an id are taken or left together."""
     return mixing.mix(docs, weights=(1, 2, 3), share=1.0, most=3)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row, and the digest of the text that they decode to."""
+    """Token ids of each row, and the digest of the text that they decode to. A null or empty text has no ids; rows that repeat are encoded each."""
     encoded = sentencepiece_codec.encode_decode(docs.select("doc_id", "source", "lang", "text"))
     return encoded.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
