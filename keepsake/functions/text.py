@@ -88,7 +88,7 @@ def stable_id(prefix: str, ids: Column) -> Column:
 def short_name(name: Column, most: int = 40) -> Column:
     """At most `most` characters, cut at the last space, trailing punctuation off, an ellipsis after."""
     head = F.substring(name, 1, most)
-    cut = F.when(F.instr(head, " ") > 0, F.regexp_extract(head, r"^(.*) ", 1)).otherwise(head)
+    cut = F.when(F.instr(head, " ") > 0, F.regexp_extract(head, r"(?s)^(.*) ", 1)).otherwise(head)
     return F.when(F.length(name) <= most, name).otherwise(F.concat(F.regexp_replace(cut, r"[\s,.;:\-]+$", ""), F.lit("…")))
 
 

@@ -51,9 +51,10 @@ def centroids(edges_: DataFrame, places: DataFrame) -> DataFrame:
 
 def on_sphere(nodes: DataFrame, radius: float = 100.0) -> DataFrame:
     """(id, x, y, z): nodes by size on a Fibonacci sphere. nodes: (id, size)."""
-    k = (F.row_number().over(Window.orderBy(F.desc("size"), "id")) - 1).cast("double")
+    from .tables import ordered
+
     n = nodes.agg(F.count("*").cast("double").alias("n"))
-    rows = nodes.withColumn("k", k).crossJoin(F.broadcast(n))  # one row
+    rows = ordered(nodes, [F.desc("size"), F.col("id")], "k").withColumn("k", F.col("k").cast("double")).crossJoin(F.broadcast(n))  # one row
     y = 1 - 2 * (F.col("k") + 0.5) / F.col("n")
     r, turn = F.sqrt(F.greatest(F.lit(0.0), 1 - y * y)), F.col("k") * F.lit(2.399963229728653)
     return rows.select("id", (r * F.cos(turn) * radius).alias("x"), (y * radius).alias("y"), (r * F.sin(turn) * radius).alias("z"))
@@ -132,3 +133,16 @@ def galaxy(nodes: DataFrame, ring: float = 300.0, step: float = 4.0) -> DataFram
     at, turn = 2 * F.pi() * F.col("j") / F.col("n"), F.col("k") * F.lit(2.399963229728653)
     spiral = lambda f: F.lit(step) * F.sqrt("k") * f(turn)
     return rows.select("id", (F.lit(ring) * F.cos(at) + spiral(F.cos)).alias("x"), (F.lit(ring) * F.sin(at) + spiral(F.sin)).alias("y"))
+
+
+def mostly_shared(members: DataFrame, share: float = 0.5) -> DataFrame:
+    """(a, b, n): groups b that have at least `share` of group a's members, and how many. members: (g, x). Then b has one of a's rarest members, so many that the rest is under the share: groups meet under those only, not under members that most have."""
+    m = members.distinct()
+    often = m.groupBy("x").agg(F.count("*").alias("often"))
+    own = Window.partitionBy("g")
+    ranked = m.join(often, "x").withColumn("k", F.row_number().over(own.orderBy("often", "x"))).withColumn("size", F.count("*").over(own))
+    rare = ranked.filter(F.col("k") <= F.col("size") - F.ceil(F.col("size") * share) + 1).select(F.col("g").alias("a"), "x")
+    met = rare.join(m.withColumnRenamed("g", "b"), "x").filter("a <> b").select("a", "b").distinct()
+    sets = m.groupBy("g").agg(F.collect_list("x").alias("s"))
+    both = met.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", F.size("sa").alias("size"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("n"))
+    return both.filter(F.col("n") >= share * F.col("size")).select("a", "b", "n")

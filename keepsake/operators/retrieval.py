@@ -153,3 +153,14 @@ def resolved_citations(answers: DataFrame, known: DataFrame, most: int = 1000) -
     both = each.join(F.broadcast(known.select("n", F.lit(True).alias("_k"))) if known.count() <= 100_000 else known.select("n", F.lit(True).alias("_k")), "n", "left")
     sets = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("n"))))
     return both.groupBy("answer").agg(sets(F.col("_k").isNotNull()).alias("cited"), sets(F.col("_k").isNull() & (F.col("n") < most)).alias("invalid"))
+
+
+def containing(keywords: DataFrame, texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(keyword, doc): the texts that hold a keyword between word edges, whatever their case. They meet under the keyword's first word; keywords of several words are then looked for in the text."""
+    body = texts.select(F.col(key).alias("doc"), tx.name_key(F.col(text)).alias("t"))
+    by_word = body.select("doc", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
+    k = keywords.withColumn("_n", tx.name_key(F.col("keyword"))).filter("_n <> ''").withColumn("w", F.element_at(F.split("_n", " "), 1))
+    met = k.join(by_word, "w")
+    one = met.filter(~F.col("_n").contains(" ")).select("keyword", "doc")
+    more = met.filter(F.col("_n").contains(" ")).join(body, "doc").filter(F.concat(F.lit(" "), "t", F.lit(" ")).contains(F.concat(F.lit(" "), "_n", F.lit(" "))))
+    return one.unionByName(more.select("keyword", "doc"))

@@ -31,11 +31,11 @@ def upgraded(old: DataFrame, new: DataFrame, key: str = "msg_id") -> DataFrame:
 
 
 def with_keys(known: DataFrame, rows: DataFrame, natural: list[str], key: str = "id") -> DataFrame:
-    """known and the new natural keys of rows, numbered on from the largest key in order of the natural key. New keys are numbered in one ordered pass over themselves, not over rows."""
+    """known and the new natural keys of rows, numbered on from the largest key in order of the natural key."""
     fresh = rows.select(*natural).distinct().join(known.select(*natural), natural, "left_anti")
     top = known.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    n = fresh.withColumn(key, F.row_number().over(Window.orderBy(*natural)).cast("long")).crossJoin(F.broadcast(top))  # one row
-    return known.select(key, *natural).unionByName(n.select((F.col(key) + F.col("_top")).alias(key), *natural))
+    n = ordered(fresh, natural, "_k").crossJoin(F.broadcast(top))  # one row
+    return known.select(key, *natural).unionByName(n.select((F.col("_k") + 1 + F.col("_top")).alias(key), *natural))
 
 
 def upserted(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

@@ -56,11 +56,18 @@ def id07(spark, d):
     return identity.candidates(n, "1", 8).select("node", "rank")
 
 
-@query("jn22_name_cascade", "SELECT c_custkey AS subject_id, c_custkey AS account_id FROM customer")
+@query("jn22_name_cascade", "SELECT c_custkey AS subject_id, c_custkey AS account_id FROM customer WHERE c_custkey % 6 < 4")
 def jn22(spark, d):
-    """Every customer's name means that customer in their own scope."""
-    c = read(spark, d, "customer").withColumn("name", F.concat(F.lit("c "), F.lower(F.regexp_replace("c_name", "[^A-Za-z0-9]", " "))))
-    return identity.match_levels(c.select(F.col("c_custkey").alias("subject_id"), F.col("c_nationkey").alias("scope"), "name"), c.select(F.col("c_nationkey").alias("scope"), F.col("c_custkey").alias("account_id"), "name"))
+    """In each scope two accounts, and a subject whose name is the first one's, by each of the four levels in turn; then two that it could be, and none."""
+    k, s = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    kind, scope = k % 6, k.alias("scope")
+    own = F.concat(F.lit("ann bell "), s)
+    c = read(spark, d, "customer")
+    subject = F.when(kind == 0, own).when(kind == 1, F.concat(s, F.lit(" bell ann"))).when(kind == 2, "ann bell").when(kind == 3, "ann zzz").when(kind == 4, own).otherwise("nobody")
+    # the other account holds all words of the subject too where the subject's name is the first one's own
+    other = F.when(kind == 0, F.concat(own, F.lit(" junior"))).when(kind == 1, F.concat(F.lit("x "), own)).when(kind == 4, own).otherwise("carl")
+    both = c.select(scope, k.alias("account_id"), own.alias("name")).unionByName(c.select(scope, (k + 1_000_000).alias("account_id"), other.alias("name")))
+    return identity.match_levels(c.select(k.alias("subject_id"), scope, subject.alias("name")), both)
 
 
 EDGES_SQL = "e AS (SELECT 'A_' || o_custkey AS source, 'T_' || (o_orderkey % 97) AS target, count(*) AS weight FROM orders GROUP BY 1, 2)"

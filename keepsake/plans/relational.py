@@ -208,10 +208,9 @@ def jn14(spark, d):
 
 @query("jn17_shared_members", "WITH m AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS x FROM lineitem), c AS (SELECT a.g AS a, b.g AS b, count(*) AS n FROM m a JOIN m b ON a.x = b.x AND a.g <> b.g GROUP BY 1, 2), s AS (SELECT g, count(*) AS size FROM m GROUP BY 1) SELECT c.a, c.b, c.n FROM c JOIN s ON s.g = c.a WHERE c.n >= 0.5 * s.size")
 def jn17(spark, d):
-    m = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_partkey").alias("x")).distinct()
-    size = m.groupBy("g").agg(F.count("*").alias("size"))
-    c = m.withColumnRenamed("g", "a").join(m.withColumnRenamed("g", "b"), "x").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    return c.join(size, c.a == size.g).filter("n >= 0.5 * size").select("a", "b", "n")
+    from ..operators.graph import mostly_shared
+
+    return mostly_shared(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_partkey").alias("x")), 0.5)
 
 
 @query("jn18_decorrelated", "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer")
