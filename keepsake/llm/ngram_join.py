@@ -17,8 +17,9 @@ document with its component (the smallest doc_id that links reach) and the numbe
    sets, counted, and their spanning forest gives the components.
 
 A crowded key or cluster is dealt into chunks, and each pair of chunks is a unit of work of its own, so no task holds
-more than two chunks. No link is lost: every pair is verified or bounded out. A tree over all points at once prunes too
-little (see the README), so it stands under the keys of step 2.
+more than two chunks. No link is lost: every pair is verified or bounded out. A tree over all points at once would leave some
+pairs of leaves to be met (a twelfth of all, see the README), which grows with the square of the documents; so trees stand
+under the keys of step 2.
 
 Results: one row a doc_id. Null and empty texts and texts of blanks have 0 shingles and link with nothing. Rows that
 repeat a doc_id are one document (of different texts under one doc_id the one with the smallest digest counts). Rows
