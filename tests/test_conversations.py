@@ -6,19 +6,19 @@ from keepsake.operators import conversations as cv
 
 
 def test_deep_replies(spark):
-    """A chain of 150, a branch off its end, a cycle with a message under it, and a head alone."""
-    rows = [(1, k, k - 1 if k > 1 else None, k) for k in range(1, 151)] + [(1, 151, 149, 1), (1, 900, None, 0)]
-    rows += [(2, 201, 202, 1), (2, 202, 201, 2), (2, 203, 202, 3), (2, 204, 999, 4), (2, 205, 204, 5)]
+    """A chain of 250, a branch off its end, a cycle with a message under it, and a head alone."""
+    rows = [(1, k, k - 1 if k > 1 else None, k) for k in range(1, 251)] + [(1, 251, 249, 1), (1, 900, None, 0)]
+    rows += [(2, 3001, 3002, 1), (2, 3002, 3001, 2), (2, 3003, 3002, 3), (2, 3004, 999, 4), (2, 3005, 3004, 5)]
     df = spark.createDataFrame(rows, "thread_id long, msg_id long, parent_id long, ts long")
     parent = {m: p for _, m, p, _ in rows}
     ts = {m: t for _, m, _, t in rows}
     want = {}
-    for m in set(parent) - {201, 202, 203}:
+    for m in set(parent) - {3001, 3002, 3003}:
         path = [m]
         while parent[path[0]] in parent:
             path.insert(0, parent[path[0]])
         want[m] = (len(path) - 1, [(ts[x], x) for x in path])
     found = cv.reply_paths(df).collect()
     assert len(found) == len(want) and {r["msg_id"]: (r["depth"], [tuple(x) for x in r["path"]]) for r in found} == want
-    # the earlier reply to 149 is 151, which ends the chain
-    assert {(r["head"], r["length"]) for r in cv.own_reply_chains(df, F.lit(True), 1).collect()} == {(1, 150), (900, 1), (204, 2)}
+    # the earlier reply to 249 is 251, which ends the chain
+    assert {(r["head"], r["length"]) for r in cv.own_reply_chains(df, F.lit(True), 1).collect()} == {(1, 250), (900, 1), (3004, 2)}

@@ -7,6 +7,7 @@ import zipfile
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from keepsake.operators import memory, tables
 from keepsake.plans import registry
@@ -95,3 +96,13 @@ def test_ordered(spark):
     rows = [(k * 7919 % 500, k) for k in range(2000)]
     got = tables.ordered(spark.createDataFrame(rows, "a long, b long").repartition(5), ["a", "b"], "k").collect()
     assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["k"])] == sorted(rows) and sorted(r["k"] for r in got) == list(range(2000))
+
+
+def test_times_in_ids(spark):
+    """Ids of 19 digits too; what is no number, too large for one or from before such ids has no time."""
+    from keepsake.functions import times
+
+    ids = ["1750000000000000000", "9223372036854775807", "99999999999999", "9999999999999999999", "123", "12a", ""]
+    got = [r["t"] for r in spark.createDataFrame([(k, i) for k, i in enumerate(ids)], "k int, i string").select("k", times.id_time(F.col("i")).alias("t")).orderBy("k").collect()]
+    want = [((int(i) >> 22) + times.EPOCH_MS) // 1000 for i in ids[:3]]
+    assert got == [*want, None, None, None, None]
