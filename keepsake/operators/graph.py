@@ -141,8 +141,9 @@ def mostly_shared(members: DataFrame, share: float = 0.5) -> DataFrame:
     often = m.groupBy("x").agg(F.count("*").alias("often"))
     own = Window.partitionBy("g")
     ranked = m.join(often, "x").withColumn("k", F.row_number().over(own.orderBy("often", "x"))).withColumn("size", F.count("*").over(own))
-    rare = ranked.filter(F.col("k") <= F.col("size") - F.ceil(F.col("size") * share) + 1).select(F.col("g").alias("a"), "x")
-    met = rare.join(m.withColumnRenamed("g", "b"), "x").filter("a <> b").select("a", "b").distinct()
+    rare = ranked.filter(F.col("k") <= F.col("size") - F.ceil(F.col("size") * share) + 1).select(F.col("g").alias("a"), "x", "size")
+    sized = ranked.select(F.col("g").alias("b"), "x", F.col("size").alias("has"))  # b too has to be that large
+    met = rare.join(sized, "x").filter((F.col("a") != F.col("b")) & (F.col("has") >= share * F.col("size"))).select("a", "b").distinct()
     sets = m.groupBy("g").agg(F.collect_list("x").alias("s"))
     both = met.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", F.size("sa").alias("size"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("n"))
     return both.filter(F.col("n") >= share * F.col("size")).select("a", "b", "n")

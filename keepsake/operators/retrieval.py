@@ -40,7 +40,9 @@ def postings(chunks: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
 
 
 def bm25(chunks: DataFrame, query: str, key: str, weights: dict[str, float], k1: float = K1, b: float = B) -> DataFrame:
-    """(doc, score) of chunks that have a query term: BM25 with weighted field frequencies, terms of one character left out, no terms no rows. Counts and lengths come from one pass over the chunks; only the query's terms are exploded."""
+    """(doc, score) of chunks that have a query term: BM25 with weighted field frequencies, terms of one character left out, no terms no rows. The texts are read once: what is kept of them are lengths and the query's own terms, in a table that counts and scores are made from."""
+    from ..sources.shared import kept
+
     terms = sorted({t for t in _query_terms(query) if len(t) > 1})
     spark = chunks.sparkSession
     if not terms:
@@ -52,7 +54,7 @@ def bm25(chunks: DataFrame, query: str, key: str, weights: dict[str, float], k1:
         cols += [F.size(words).alias(f"n_{f}"), F.filter(words, lambda w: F.array_contains(wanted, w)).alias(f"w_{f}")]
     rows = chunks.select(*cols)
     length = reduce(lambda a, c: a + c, (F.col(f"n_{f}") * F.lit(w) for f, w in weights.items()))
-    rows = rows.withColumn("dl", length)
+    rows = kept(rows.withColumn("dl", length).select("doc", "dl", *(f"w_{f}" for f in weights)), "terms")
     stats = rows.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
     hits = reduce(DataFrame.unionByName, [rows.select("doc", "dl", F.lit(w).alias("w"), F.explode(f"w_{f}").alias("term")) for f, w in weights.items()])
     tf = hits.groupBy("doc", "dl", "term").agg(F.sum("w").alias("tf"))
