@@ -86,7 +86,7 @@ def text_bytes(texts) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch, column: int, most: int = 1 << 20):
+def slices(batch, column: int, most: int = 1 << 19):
     """The batch in runs of rows whose texts have about `most` bytes together, one row at least: numpy holds some 64 bytes for each byte of text."""
     import pyarrow.compute as pc
 
@@ -121,6 +121,14 @@ def runs(batches, keys: int):
             last = key
     if held:
         yield pa.Table.from_batches(held)
+    released()
+
+
+def released() -> None:
+    """Give memory that Arrow holds for later use back: a worker lives on through many stages of other needs."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -48,9 +48,9 @@ BLOCK = 2048
 #: Ids of at most this many documents are broadcast (8 MB); more meet their rows by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: A chunk of a crowded key has so many points at most, about; one of a cluster so many sets and shingles.
-CHUNK_POINTS, CHUNK_SETS, CHUNK_SHINGLES = 2048, 1024, 1 << 20
+CHUNK_POINTS, CHUNK_SETS, CHUNK_SHINGLES = 1024, 512, 1 << 18
 #: Columns of shingles that are multiplied at once.
-COLUMNS = 4096
+COLUMNS = 2048
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:

