@@ -64,7 +64,9 @@ def next_rows(rows: DataFrame, carried: list[str]) -> DataFrame:
     for k, (low, high) in enumerate(zip(cuts, [*cuts[1:], cuts[-1] + 1])):
         inner = F.floor((F.col("doc_id").cast("double") - low) / float(high - low) * parts)
         bucket = F.when(F.col("doc_id") >= low, F.lit(k * (parts + 1) + 1) + F.least(F.lit(parts), inner)).otherwise(bucket)
-    keyed = rows.withColumn("b", F.when(F.col("doc_id").isNull(), F.lit(0).cast("long")).otherwise(bucket))
+    # rows without an id, which may be many, are told apart by the first two hex digits of their tie
+    nameless = F.coalesce(F.conv(F.substring("tie", 1, 2), 16, 10).cast("long"), F.lit(0)) - 256
+    keyed = rows.withColumn("b", F.when(F.col("doc_id").isNull(), nameless).otherwise(bucket))
     first = keyed.groupBy("b").agg(F.min(F.struct(F.col("doc_id"), F.col("tie"))).alias("first"))
     # one row a bucket: (first row of the bucket, the bucket with rows before it; before the first bucket the last)
     order = Window.orderBy("b")
