@@ -16,9 +16,10 @@ CONTRACT = {
     "op7_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
     "op8_shards": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
     "op9_warc": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+    "op11_collocations": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
     "op10_pii": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
 }
-ROWS = {"op3_nearest_neighbours": None, "op6_token_counts": None, "op9_warc": "pages"}
+ROWS = {"op11_collocations": None, "op3_nearest_neighbours": None, "op6_token_counts": None, "op9_warc": "pages"}
 
 
 @pytest.fixture(scope="module")
@@ -50,7 +51,7 @@ def test_values(results):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(sf, results, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = con.execute(ORACLES[name]).fetchall()
     columns = [d[0] for d in con.description]
