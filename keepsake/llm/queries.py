@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, fingerprints, hilbert_search, mixing, ngram_join, pii, sentencepiece_codec, sharding, token_counts, toxicity, warc
+from . import collocations, fingerprints, hilbert_search, mixing, ngram_join, pii, repair, sentencepiece_codec, sharding, token_counts, toxicity, warc
 from .common import removed, scratch, table
 
 
@@ -64,7 +64,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.ranked(collocations.phrases(table(spark, sf_dir, "documents"), least=100, longest=5), most=2000)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_sentencepiece, op3_nearest_neighbours, op4_source_mix, op5_fingerprints, op6_token_counts, op7_toxicity, op8_shards, op9_warc, op10_pii, op11_collocations)}
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_sentencepiece, op3_nearest_neighbours, op4_source_mix, op5_fingerprints, op6_token_counts, op7_toxicity, op8_shards, op9_warc, op10_pii, op11_collocations, op12_repair)}
 
 #: Shingles as lists of words, all pairs that share one, and components by the smallest id that links reach.
 OP1 = r"""
@@ -133,5 +137,53 @@ WITH pieces AS (
 SELECT lang, rank, phrase, CAST(len(string_split(phrase, ' ')) AS BIGINT) AS words, a, l, r, n, CAST(score AS BIGINT) AS score, CAST(cut AS INTEGER) AS cut FROM ranked WHERE rank <= 2000
 """
 
+#: CRC-32 bit by bit; the cheapest repair row by row, costs of nine digits before their audits so that the least string is the cheapest, then the ASCII-least; the audit then read off over the rows.
+OP12 = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), coded AS (
+  SELECT *, xor(list_reduce([CAST(4294967295 AS BIGINT)] || flatten(list_transform(range(1, len(key) + 1), lambda i: [CAST(ascii(key[i]) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) ELSE xor(acc >> 1, CASE WHEN acc & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295) % 20 AS how FROM keyed
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN how = 3 THEN [0, 1] ELSE [0] END) AS copy FROM coded WHERE how <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS k FROM damaged)
+), faulty AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN nth > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault, role[1:1] AS own,
+    lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY k) AS prior FROM placed
+), ways(conv_id, k, c0, c1, c2, c3) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), '000000000', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM faulty
+  UNION ALL
+  SELECT conv_id, k,
+    printf('%09d', CAST(e0[1:9] AS INTEGER) + 2) || e0[10:] || 'D',
+    least(printf('%09d', CAST(e1[1:9] AS INTEGER) + 2) || e1[10:] || 'D', CASE WHEN NOT gone AND own = 's' THEN printf('%09d', CAST(e0[1:9] AS INTEGER) + late) || e0[10:] || 'K' END),
+    least(printf('%09d', CAST(e2[1:9] AS INTEGER) + 2) || e2[10:] || 'D', CASE WHEN NOT gone THEN printf('%09d', CAST(u[1:9] AS INTEGER) + late + CASE WHEN own = 'u' THEN 0 ELSE 1 END) || u[10:] || CASE WHEN own = 'u' THEN 'K' ELSE 'R' END END),
+    least(printf('%09d', CAST(e3[1:9] AS INTEGER) + 2) || e3[10:] || 'D', CASE WHEN NOT gone THEN printf('%09d', CAST(e2[1:9] AS INTEGER) + late + CASE WHEN own = 'a' THEN 0 ELSE 1 END) || e2[10:] || CASE WHEN own = 'a' THEN 'K' ELSE 'R' END END)
+  FROM (SELECT *, least(e0, e1, e3) AS u FROM (
+    SELECT f.conv_id, f.k, own, fault IN ('b', 'd') AS gone, CASE WHEN fault = 't' THEN 5 ELSE 0 END AS late, c0 AS e0, c1 AS e1,
+      least(c2, printf('%09d', CAST(c0[1:9] AS INTEGER) + 5) || c0[10:] || 'I', printf('%09d', CAST(c1[1:9] AS INTEGER) + 5) || c1[10:] || 'I', printf('%09d', CAST(c3[1:9] AS INTEGER) + 5) || c3[10:] || 'I') AS e2,
+      least(c3, printf('%09d', CAST(c0[1:9] AS INTEGER) + 10) || c0[10:] || 'II', printf('%09d', CAST(c1[1:9] AS INTEGER) + 10) || c1[10:] || 'II', printf('%09d', CAST(c2[1:9] AS INTEGER) + 5) || c2[10:] || 'I') AS e3
+    FROM ways w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.k = w.k + 1))
+), best AS (
+  SELECT conv_id, least(c0, c3, printf('%09d', CAST(c0[1:9] AS INTEGER) + 10) || c0[10:] || 'II', printf('%09d', CAST(c1[1:9] AS INTEGER) + 10) || c1[10:] || 'II', printf('%09d', CAST(c2[1:9] AS INTEGER) + 5) || c2[10:] || 'I') AS way
+  FROM ways w WHERE k = (SELECT max(k) FROM faulty f WHERE f.conv_id IS NOT DISTINCT FROM w.conv_id)
+), walk(conv_id, p, k, state, lines) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0, CAST([] AS VARCHAR[]) FROM best
+  UNION ALL
+  SELECT b.conv_id, p + 1, CASE WHEN edit = 'I' THEN w.k ELSE w.k + 1 END,
+    CASE WHEN edit = 'D' THEN state WHEN edit = 'K' THEN CASE own WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END WHEN state = 2 THEN 3 ELSE 2 END,
+    CASE edit WHEN 'D' THEN lines WHEN 'K' THEN lines || [role || ':' || text] WHEN 'R' THEN lines || [CASE WHEN state = 2 THEN 'assistant' ELSE 'user' END || ':' || text] ELSE lines || [CASE WHEN state = 2 THEN 'assistant:' ELSE 'user:' END] END
+  FROM (SELECT w.*, way, way[10 + p : 10 + p] AS edit FROM walk w JOIN best b ON b.conv_id IS NOT DISTINCT FROM w.conv_id WHERE p < len(way) - 9) w
+  JOIN best b ON b.conv_id IS NOT DISTINCT FROM w.conv_id LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.k = w.k + 1
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (prior IS NOT NULL AND prior || own NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id
+)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+  CAST(coalesce(CAST(way[1:9] AS BIGINT), 0) AS BIGINT) AS cost, coalesce(way[10:], '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN walk w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.p = len(way) - 9
+"""
+
 #: DuckDB SQL where SQL can express the query; the others are tested against brute force, the library or held-out accuracy in tests/llm.
-ORACLES: dict[str, str] = {"op1_ngram_join": OP1, "op9_warc": OP9, "op11_collocations": OP11}
+ORACLES: dict[str, str] = {"op1_ngram_join": OP1, "op9_warc": OP9, "op11_collocations": OP11, "op12_repair": OP12}
