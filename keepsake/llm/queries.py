@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, fingerprints, hilbert_search, mixing, ngram_join, pii, repair, sentencepiece_codec, sharding, token_counts, toxicity, warc
+from . import collocations, fingerprints, hilbert_search, mixing, ngram_join, pii, repair, secret_scan, sentencepiece_codec, sharding, token_counts, toxicity, warc
 from .common import removed, scratch, table
 
 
@@ -68,7 +68,12 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_sentencepiece, op3_nearest_neighbours, op4_source_mix, op5_fingerprints, op6_token_counts, op7_toxicity, op8_shards, op9_warc, op10_pii, op11_collocations, op12_repair)}
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.report(secret_scan.spans(docs, secret_scan.train(docs)))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_sentencepiece, op3_nearest_neighbours, op4_source_mix, op5_fingerprints, op6_token_counts, op7_toxicity, op8_shards, op9_warc, op10_pii, op11_collocations, op12_repair, op13_secrets)}
 
 #: Shingles as lists of words, all pairs that share one, and components by the smallest id that links reach.
 OP1 = r"""
