@@ -41,11 +41,14 @@ def wn04b(spark, d):
     return m.groupBy("thread_id", F.session_window("at", "2700 seconds")).agg(F.count("*").alias("n"), F.min("ts").alias("a")).select("thread_id", "n", "a")
 
 
-@query("wn05_sessions", f"""WITH RECURSIVE {EVENTS_SQL}, r AS (SELECT thread_id, msg_id, ts, msg_id % 50 + 10 AS tok, row_number() OVER (PARTITION BY thread_id ORDER BY ts, msg_id) AS rn FROM msgs),
+SESSIONS_SQL = f"""WITH RECURSIVE {EVENTS_SQL}, r AS (SELECT thread_id, msg_id, ts, msg_id % 50 + 10 AS tok, row_number() OVER (PARTITION BY thread_id ORDER BY ts, msg_id) AS rn FROM msgs),
  w AS (SELECT thread_id, msg_id, ts, rn, tok AS acc, 1 AS s FROM r WHERE rn = 1 UNION ALL SELECT r.thread_id, r.msg_id, r.ts, r.rn,
   CASE WHEN r.ts - w.ts > 86400 OR (r.ts - w.ts > 2700 AND w.acc >= 120) OR w.acc + r.tok > 300 THEN r.tok ELSE w.acc + r.tok END,
   CASE WHEN r.ts - w.ts > 86400 OR (r.ts - w.ts > 2700 AND w.acc >= 120) OR w.acc + r.tok > 300 THEN w.s + 1 ELSE w.s END FROM w JOIN r ON r.thread_id = w.thread_id AND r.rn = w.rn + 1)
- SELECT thread_id, CAST(s AS BIGINT) AS session_no, count(*) AS n, min(ts) AS a, max(ts) AS b FROM w GROUP BY 1, 2""")
+ SELECT thread_id, CAST(s AS BIGINT) AS session_no, count(*) AS n, min(ts) AS a, max(ts) AS b FROM w GROUP BY 1, 2"""
+
+
+@query("wn05_sessions", SESSIONS_SQL)
 def wn05(spark, d):
     return cv.sessions(units(spark, d), cap=300).groupBy("thread_id", "session_no").agg(F.count("*").alias("n"), F.min("start_ts").alias("a"), F.max("end_ts").alias("b"))
 

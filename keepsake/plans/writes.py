@@ -9,8 +9,9 @@ from ..operators import identity
 from ..operators import tables as tb
 from ..sources.archive import CHATS_SQL, EVENTS_SQL, chat_messages, event_messages, read
 from ..sources.shared import fresh
-from ..streaming import feeds
+from ..streaming import feeds, sessions
 from .registry import query
+from .sequences import SESSIONS_SQL, units
 
 
 @query("sk06_purged", "SELECT p_partkey, p_type FROM part WHERE NOT starts_with(p_type, 'EC')")
@@ -160,6 +161,24 @@ def ss03(spark, d):
     return feeds.streamed(spark, m, "at", w)
 
 
+def delivered(spark, d, jitter: int):
+    """Units with the delivery of five in which they come: by day, up to jitter - 1 days late."""
+    day = F.floor(F.col("start_ts") / 86400) - 19723 + F.col("unit_id") % jitter
+    return units(spark, d).withColumn("part", F.greatest(F.lit(0), F.least(F.lit(4), F.floor(day / 6))).cast("int"))
+
+
+@query("ss03_exact_sessions", SESSIONS_SQL)
+def ss03_exact(spark, d):
+    """The rows of wn05 from a stream whose events come out of order, none of them behind the watermark."""
+    return sessions.replayed_sessions(spark, delivered(spark, d, 3), "part", 5, "5 days", cap=300).sessions()
+
+
+@query("ss01_late_rows", f"WITH {EVENTS_SQL}, u AS (SELECT thread_id, msg_id AS unit_id, ts, greatest(0, least(4, (ts // 86400 - 19723 + msg_id % 5) // 6)) AS part FROM msgs), w AS (SELECT part, max(max(ts)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 43200 AS mark FROM u GROUP BY part) SELECT thread_id, unit_id, ts AS start_ts FROM u JOIN w USING (part) WHERE ts < mark")
+def ss01_late(spark, d):
+    """Events that come behind a watermark of half a day: rows of their own, in no session."""
+    return sessions.replayed_sessions(spark, delivered(spark, d, 5), "part", 5, "12 hours", cap=300).late()
+
+
 @query("id06_people_overlay", "SELECT * FROM (VALUES (1, 'Me', 'AUTOMOBILE', 'c1'), (2, 'Ann', 'BUILDING', 'c2'), (2, 'Ann', 'BUILDING', 'c4')) t(person_id, name, platform, raw_id) UNION ALL SELECT CAST(10 + n_nationkey AS INTEGER), n_name, 'nation', 'n' || n_nationkey FROM nation WHERE n_nationkey NOT IN (3, 5)")
 def id06(spark, d):
     """People made, an account attached away from another, one renamed, one taken off, one deleted."""

@@ -11,11 +11,16 @@ from ..sources.shared import fresh
 
 
 def streamed(spark: SparkSession, rows: DataFrame, time: str, query: Callable[[DataFrame], DataFrame], parts: int = 4) -> DataFrame:
-    """The complete result of a streaming query over rows, delivered in `parts` files in order of time, one file a micro-batch. time becomes a timestamp of the session's zone; the result is written by foreachBatch, so it survives the stream."""
+    """The complete result of a streaming query over rows, delivered in `parts` files in order of time, one file a micro-batch. The source takes files by the time when they were written, so they are written one after another. time becomes a timestamp of the session's zone; the result is written by foreachBatch, so it survives the stream."""
     source, sink = fresh(spark, "feed"), fresh(spark, "result")
     zoned = rows.withColumn(time, F.col(time).cast("timestamp"))
-    zoned.repartitionByRange(parts, time).write.parquet(source)
-    stream = spark.readStream.schema(zoned.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    at = F.unix_micros(time)
+    edges = zoned.select(at.alias("at")).approxQuantile("at", [k / parts for k in range(1, parts)], 0.01) or [0]
+    for k in range(len(edges) + 1):
+        low = at >= F.lit(int(edges[k - 1])) if k else F.lit(True)
+        high = at < F.lit(int(edges[k])) if k < len(edges) else F.lit(True)
+        zoned.filter(low & high if k else F.coalesce(high, F.lit(True))).coalesce(1).write.parquet(f"{source}/part={k}")
+    stream = spark.readStream.schema(zoned.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(source)
     write = lambda batch, _: batch.write.mode("overwrite").parquet(sink)
     run = query(stream).writeStream.outputMode("complete").option("checkpointLocation", fresh(spark, "stream")).foreachBatch(write).trigger(availableNow=True).start()
     run.awaitTermination()
