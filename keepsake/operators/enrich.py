@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.vectors import cosine, unit
+from ..functions.vectors import unit
 from .identity import match_levels
+from .similarity import nearest_join
 from .tables import ordered
 
 FACT = "array<struct<subject:string,kind:string,category:string,statement:string>>"
@@ -79,11 +80,9 @@ def consolidated(facts: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def evidence(facts: DataFrame, pieces: DataFrame, k: int = 3) -> DataFrame:
-    """(fact, evidence): the k pieces nearest to each fact among those of its entity, the nearest first. Both: (id, entity, vec)."""
-    met = facts.select(F.col("id").alias("fact"), "entity", "vec").join(pieces.select("entity", F.col("id").alias("piece"), F.col("vec").alias("pv")), "entity")
-    score = F.round(cosine(F.col("vec"), F.col("pv")), 9)
-    best = met.select("fact", "piece", score.alias("s")).withColumn("k", F.row_number().over(Window.partitionBy("fact").orderBy(F.desc("s"), "piece"))).filter(F.col("k") <= k)
-    return best.groupBy("fact").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]).alias("evidence"))
+    """(fact, evidence): the k pieces nearest to each fact among those of its entity, the nearest first. Both: (id, entity, vec). Facts and pieces without a cosine have and are none."""
+    best = nearest_join(facts.select("id", "entity", "vec"), pieces.select("id", "entity", "vec"), k, "id", "entity")
+    return best.groupBy(F.col("l_id").alias("fact")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "r_id"))), lambda x: x["r_id"]).alias("evidence"))
 
 
 def after_verdict(verdict: Column) -> Column:

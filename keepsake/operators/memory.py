@@ -8,25 +8,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, unit
+from .similarity import cosine_join
 
 
 def support(facts: DataFrame, raw: DataFrame, least: float = 0.78) -> DataFrame:
     """(fact_id, support): sessions with a raw fact of the same entity at cosine `least` or more, one at least. facts: (fact_id, entity, vec), raw: (entity, session_id, vec)."""
-    near = facts.join(raw.withColumnRenamed("vec", "rv"), "entity").filter(cosine(F.col("vec"), F.col("rv")) >= least)
+    near = cosine_join(facts.select("fact_id", "entity", "vec"), raw.select("entity", "session_id", "vec"), least, "entity").select(F.col("l_fact_id").alias("fact_id"), F.col("r_session_id").alias("session_id"))
     n = near.groupBy("fact_id").agg(F.count_distinct("session_id").alias("n"))
     return facts.select("fact_id").join(n, "fact_id", "left").select("fact_id", F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)).cast("long").alias("support"))
 
 
 def near_duplicates(rows: DataFrame, against: DataFrame, least: float = 0.9, by: str = "entity") -> DataFrame:
     """rows that have no row of `against` in their group at cosine `least` or more. Both: (id, group, vec)."""
-    hit = rows.alias("r").join(against.select(by, F.col("vec").alias("av")), by).filter(cosine(F.col("r.vec"), F.col("av")) >= least).select("r.id").distinct()
+    hit = cosine_join(rows.select(by, "id", "vec"), against.select(by, "vec"), least, by).select(F.col("l_id").alias("id")).distinct()
     return rows.join(hit, "id", "left_anti")
 
 
 def similar_pairs(rows: DataFrame, least: float = 0.86, by: str = "entity") -> DataFrame:
     """Pairs (a, b), a < b, of one group at cosine `least` or more."""
-    x, y = rows.select(by, F.col("id").alias("a"), F.col("vec").alias("va")), rows.select(by, F.col("id").alias("b"), F.col("vec").alias("vb"))
-    return x.join(y, by).filter((F.col("a") < F.col("b")) & (cosine(F.col("va"), F.col("vb")) >= least)).select("a", "b")
+    rows = rows.select(by, "id", "vec")
+    return cosine_join(rows, rows, least, by, extra=lambda pairs: pairs.l_id < pairs.r_id).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
 
 
 def dated_clusters(facts: DataFrame, least: float = 0.72) -> DataFrame:

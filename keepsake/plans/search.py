@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot
-from ..operators import memory, retrieval
+from ..operators import memory, retrieval, similarity
 from ..operators.tables import ordered
 from ..sources.archive import CHATS_SQL, chat_messages, read
 from .registry import query
@@ -97,8 +96,8 @@ def rt12(spark, d):
 @query("jn16_vectors_by_label", "SELECT a.vec_id, count(*) AS near FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2 GROUP BY 1")
 def jn16(spark, d):
     e = read(spark, d, "embeddings")
-    q = e.select("label", F.col("vec_id").alias("q"), F.col("embedding").alias("w"))
-    return q.join(e, "label").filter(F.col("q") != F.col("vec_id")).filter(dot(F.col("w"), F.col("embedding")) >= 0.2).groupBy(F.col("q").alias("vec_id")).agg(F.count("*").alias("near"))
+    pairs = similarity.dot_join(e, e, 0.2, "label", "embedding").filter("l_vec_id <> r_vec_id")
+    return pairs.groupBy(F.col("l_vec_id").alias("vec_id")).agg(F.count("*").alias("near"))
 
 
 @query("jn28_vector_alignment", "SELECT d.doc_id, e.vec_id IS NOT NULL AS has_vec FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
