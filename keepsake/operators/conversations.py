@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .walks import gap_sizes, numbered_runs
+
 TURN_GAP = 300
 GAP = 2700
 HARD_GAP = 86_400
@@ -55,39 +57,8 @@ def sessions(units: DataFrame, thread: str = "thread_id", gap: int = GAP, hard_g
     A gap over hard_gap always closes a session; one over gap closes it once it holds `least` tokens; a unit that would
     lift it over cap opens the next, but pieces of one unit stay together.
     """
-    pieces = "piece_of" if "piece_of" in units.columns else "unit_id"
-
-    def rule():
-        number, held, last_end, last_piece = 1, 0, None, None
-
-        def step(start, end, tokens, piece):
-            nonlocal number, held, last_end, last_piece
-            if last_end is not None and (start - last_end > hard_gap or (pieces == "unit_id" or piece != last_piece) and ((start - last_end > gap and held >= least) or held + tokens > cap)):
-                number, held = number + 1, 0
-            held += tokens
-            last_end, last_piece = end, piece
-            return number
-
-        return step
-
-    return numbered(units, thread, ["start_ts", "unit_id"], ["start_ts", "end_ts", "tokens", pieces], rule, "session_no")
-
-
-def numbered(rows: DataFrame, thread: str, order: list[str], columns: list[str], rule: Callable[[], Callable[..., int]], name: str) -> DataFrame:
-    """rows with a number that a walk over each thread in order gives. rule() starts a walk: a function from the columns of a row to its number. Threads pass through a task one after another and batch by batch, so a long thread is never held whole."""
-    schema = rows.withColumn(name, F.lit(0).cast("long")).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, step = None, None
-        for b in batches:
-            out = []
-            for key, *values in zip(*(b.column(c).to_pylist() for c in (thread, *columns)), strict=True):
-                if step is None or key != last:
-                    last, step = key, rule()
-                out.append(step(*values))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, name])
-
-    return rows.repartition(thread).sortWithinPartitions(thread, *order).mapInArrow(run, schema)
+    piece = "piece_of" if "piece_of" in units.columns else None
+    return numbered_runs(units, thread, ["start_ts", "unit_id"], "session_no", hard=F.lit(hard_gap), gap=gap, least=least, cap=cap, piece=piece)
 
 
 def windows(units: DataFrame, session: list[str], target: int = 300, overlap: float = 0.15) -> DataFrame:
@@ -138,23 +109,9 @@ def windows(units: DataFrame, session: list[str], target: int = 300, overlap: fl
 
 def bursts(units: DataFrame, thread: str = "thread_id", cap: int = 4000, shortest: int = 1800, longest: int = 43_200) -> DataFrame:
     """units with burst_no: a gap over the thread's own threshold (mean and deviation of its gaps together, within bounds) or a unit that would lift the burst over cap starts a new one."""
-    w = Window.partitionBy(thread).orderBy("start_ts", "unit_id")
-    gaps = units.withColumn("_gap", F.col("start_ts") - F.lag("end_ts").over(w))
-    most = gaps.groupBy(thread).agg(F.least(F.greatest(F.avg("_gap") + F.stddev_pop("_gap"), F.lit(shortest)), F.lit(longest)).alias("_most"))
-
-    def rule():
-        number, held = 1, 0
-
-        def step(gap, most_, tokens):
-            nonlocal number, held
-            if gap is not None and (gap > most_ or held + tokens > cap):
-                number, held = number + 1, 0
-            held += tokens
-            return number
-
-        return step
-
-    return numbered(gaps.join(most, thread), thread, ["start_ts", "unit_id"], ["_gap", "_most", "tokens"], rule, "burst_no").drop("_gap", "_most")
+    most = gap_sizes(units, thread, ["start_ts", "unit_id"]).groupBy(F.col(thread).alias("_t")).agg(F.least(F.greatest(F.avg("gap") + F.stddev_pop("gap"), F.lit(shortest)), F.lit(longest)).alias("_most"))
+    both = units.join(most, F.col(thread).eqNullSafe(F.col("_t")), "left").drop("_t")  # a thread of one unit has no gap
+    return numbered_runs(both, thread, ["start_ts", "unit_id"], "burst_no", hard=F.coalesce("_most", F.lit(longest)), cap=cap).drop("_most")
 
 
 def carried(bursts_: DataFrame, least: int = 400, thread: str = "thread_id") -> DataFrame:
