@@ -40,10 +40,10 @@ def postings(chunks: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
 
 
 def bm25(chunks: DataFrame, query: str, key: str, weights: dict[str, float], k1: float = K1, b: float = B) -> DataFrame:
-    """(doc, score) of chunks that have a query term: BM25 with weighted field frequencies, terms of one character left out, no terms no rows. The texts are read once: what is kept of them are lengths and the query's own terms, in a table that counts and scores are made from."""
+    """(doc, score) of chunks that have a query term, by a scan of all texts, where there is no index (inverted.py): BM25 with weighted field frequencies, terms of one character left out, no terms no rows. The texts are read once: what is kept of them are lengths and the query's own terms, in a table that counts and scores are made from."""
     from ..sources.shared import kept
 
-    terms = sorted({t for t in _query_terms(query) if len(t) > 1})
+    terms = sorted({t for t in query_terms(query) if len(t) > 1})
     spark = chunks.sparkSession
     if not terms:
         return spark.createDataFrame([], f"doc {chunks.schema[key].dataType.simpleString()}, score double")
@@ -65,7 +65,8 @@ def bm25(chunks: DataFrame, query: str, key: str, weights: dict[str, float], k1:
     return scored.groupBy("doc").agg(F.sum(weight).alias("score"))
 
 
-def _query_terms(query: str) -> list[str]:
+def query_terms(query: str) -> list[str]:
+    """The words of a question."""
     import re
 
     return re.findall(r"\w+", query.lower())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import memory, retrieval, similarity
+from ..operators import inverted, memory, retrieval, similarity
 from ..operators.tables import ordered
 from ..sources.archive import CHATS_SQL, chat_messages, read
 from .registry import query
@@ -29,10 +29,13 @@ def bm25_sql(where: str = "true") -> str:
 DENSE_SQL = "dr AS (SELECT a.vec_id AS doc_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score, row_number() OVER (ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, a.vec_id) AS rank FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 7) b)"
 
 
+def index(spark, d):
+    """The index of the documents' texts, made once for all searches of a session."""
+    return inverted.opened(spark, f"{d}/documents.parquet", "doc_id", {"text": 1.0}, ["lang"])
+
+
 def keyword_leg(spark, d, where=None, k: int = retrieval.LEG):
-    docs = read(spark, d, "documents", "doc_id", "text", "lang")
-    docs = docs if where is None else docs.filter(where)
-    return retrieval.top(retrieval.bm25(docs, ASKED, "doc_id", {"text": 1.0}), k, 6)
+    return retrieval.top(index(spark, d).search(ASKED, k, where), k, 6)
 
 
 def dense_leg(spark, d, k: int = retrieval.LEG):
@@ -57,7 +60,8 @@ def rt10(spark, d):
 
 @query("rt03_postings", "SELECT term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS docs FROM (SELECT t AS term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS t FROM documents) WHERE length(t) > 1 GROUP BY 1, 2) GROUP BY 1")
 def rt03(spark, d):
-    return retrieval.postings(read(spark, d, "documents"), "doc_id", ["text"]).groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("docs"))
+    """From the heads of the blocks that searches read."""
+    return index(spark, d).terms().withColumn("total", F.col("total").cast("long"))
 
 
 FUSED_SQL = f"{bm25_sql()}, {DENSE_SQL}, f AS (SELECT doc_id, round(sum(s), 8) AS score FROM (SELECT doc_id, 1.0::DOUBLE / (60 + rank) AS s FROM kr WHERE rank <= 50 UNION ALL SELECT doc_id, 1.0::DOUBLE / (60 + rank) FROM dr WHERE rank <= 50) GROUP BY 1)"
