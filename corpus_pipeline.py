@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.llm import mixing, ngram_join, pii, sentencepiece_codec, toxicity
-from keepsake.llm.common import stored, table
+from keepsake.llm.common import stored, table, unused
 
 #: Documents that score this much are rejected.
 TOXIC = 0.3
@@ -19,7 +19,8 @@ TOXIC = 0.3
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go. Null and empty texts are scored like any other, by what they lack, and stay; rows that repeat an id are judged each by its text."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, score="_toxicity").filter(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    score = unused(docs, "_toxicity")
+    return toxicity.scored(docs, model, score=score).filter(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

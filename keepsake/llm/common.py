@@ -62,6 +62,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{most}b")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with underscores, as no column of df is called (Spark does not tell cases apart)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,7 +8,8 @@ then finer buckets inside that bucket only. Nothing is sorted, and reruns take t
 
 Results: a null text has size 0; sources come by code point, null last, as a source of its own; a source of size 0 has
 target 0. Rows that repeat a doc_id share a hash and, within a source, are taken or left together; each row counts for its
-own source. Rows without a doc_id share a hash too. Extra columns stay.
+own source. Rows without a doc_id have hashes of their own, from their text and their place in the table, so a table read
+in the same parts gives the same mix. Extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, stored
+from .common import WORD, discard, stored, unused
 
 #: A hash has LEVELS groups of BITS bits; each level narrows the crossing bucket by 2 ** BITS.
 BITS, LEVELS = 10, 4
@@ -47,7 +48,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float
 
 def thresholds(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(s, source_size, target, times, below), stored, one row a source: all its documents are taken `times` times, and those whose hash is under `below` once more."""
-    base = stored(docs.select(F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), _place(F.col(doc_id)).alias("h")), "sizes")
+    base = stored(docs.select(F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), _place(F.col(doc_id), F.col(text)).alias("h")), "sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     state = targets(sizes, weights, share, most).withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     state = state.withColumn("left", F.col("target") - F.col("times") * F.col("source_size")).withColumn("below", F.lit(0).cast("long"))
@@ -71,8 +72,10 @@ def thresholds(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: flo
     return state.select("s", "source_size", "target", F.when(F.col("times") < most, F.col("below")).otherwise(0).alias("below"), "times")
 
 
-def _place(doc_id: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), doc_id), 64 - BITS * LEVELS)
+def _place(doc_id: Column, text: Column) -> Column:
+    """The hash that thresholds are held against; to be taken where the table is read."""
+    own = F.when(doc_id.isNull(), F.xxhash64(text, F.monotonically_increasing_id()))
+    return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), doc_id, own), 64 - BITS * LEVELS)
 
 
 def _small(state: DataFrame) -> DataFrame:
@@ -82,16 +85,17 @@ def _small(state: DataFrame) -> DataFrame:
 def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc_id, source, size, source_size, target, times): how often the mix takes each document."""
     state = thresholds(docs, weights, share, most, doc_id, text, source)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), _place(F.col(doc_id)).alias("h"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), _place(F.col(doc_id), F.col(text)).alias("h"))
     extra = (F.col("h") < F.col("below")).cast("int")
     return rows.join(_small(state), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", (F.col("times") + extra).alias("times"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """docs with each row as often as the mix takes it. What decides is the row's hash and its source's threshold, so the texts stay where they are."""
-    state = thresholds(docs, doc_id=doc_id, source=source, **options)
-    state = state.select(F.col("s").alias("_mix_s"), F.col("below").alias("_mix_below"), F.col("times").alias("_mix_times"))
-    joined = docs.join(_small(state), docs[source].cast("string").eqNullSafe(F.col("_mix_s")))
-    times = F.col("_mix_times") + (_place(docs[doc_id]) < F.col("_mix_below")).cast("int")
-    taken = joined.withColumn("_mix_n", times).filter("_mix_n > 0")
-    return taken.withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*docs.columns)
+    state = thresholds(docs, doc_id=doc_id, text=text, source=source, **options)
+    s, below, times, h, n = (unused(docs, f"_mix_{x}") for x in ("s", "below", "times", "h", "n"))
+    state = state.select(F.col("s").alias(s), F.col("below").alias(below), F.col("times").alias(times))
+    placed = docs.withColumn(h, _place(F.col(doc_id), F.col(text)))
+    joined = placed.join(_small(state), placed[source].cast("string").eqNullSafe(F.col(s)))
+    taken = joined.withColumn(n, F.col(times) + (F.col(h) < F.col(below)).cast("int")).filter(F.col(n) > 0)
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(n))).alias(unused(docs, "_mix_k"))).select(*docs.columns)

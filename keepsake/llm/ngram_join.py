@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest128, discard, lower_ascii, mix, partitions, runs, slices, span_hashes, stored, text_bytes, word_spans
+from .common import digest128, discard, lower_ascii, mix, partitions, runs, slices, span_hashes, stored, text_bytes, unused, word_spans
 
 #: Counts a point has. What sets do not share should be spread thin over them, or the bound lets too many pairs through.
 AXES = 256
@@ -421,8 +421,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels.toDF("doc", "root")
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of each row; see the module. n_links counts documents, copies too."""
+def _joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
+    """join() with the digest of the text that stands for each doc_id."""
     spark = docs.sparkSession
     named = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("digest", digest128(F.col("text")))
     rows = stored(named.groupBy("doc").agg(F.min("digest").alias("digest")), "rows")
@@ -464,11 +464,19 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
         size.alias("n_shingles"),
         F.when(known & (size > 0), F.col("root")).otherwise(F.col("doc")).alias("component_id"),
         F.when(known & (size > 0), F.col("links")).otherwise(0).cast("long").alias("n_links"),
+        "digest",
     )
 
 
-def near_duplicates_dropped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without near copies: of each component the document with the smallest doc_id stays. Documents without words and rows without a doc_id all stay, and so do rows that repeat an id that stays."""
-    found = join(docs, width=width, percent=percent)
-    go = stored(found.filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(F.broadcast(go) if go.count() <= BROADCAST_IDS else go, docs.doc_id == F.col("_gone"), "left_anti")
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of each row; see the module. n_links counts documents, copies too."""
+    return _joined(docs, width=width, percent=percent, doc_id=doc_id, text=text).drop("digest")
+
+
+def near_duplicates_dropped(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without near copies: of each component the document with the smallest doc_id stays. Documents without words and rows without a doc_id all stay; where an id repeats with other texts, only the text that stood for it can go. Columns keep their names, whatever they are."""
+    found = _joined(docs, width=width, percent=percent, doc_id=doc_id, text=text)
+    gone, mark = unused(docs, "_gone"), unused(docs, "_mark")
+    go = stored(found.filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias(gone), F.col("digest").alias(mark)), "gone")
+    own = digest128(F.coalesce(docs[text].cast("string"), F.lit("")))
+    return docs.join(F.broadcast(go) if go.count() <= BROADCAST_IDS else go, (docs[doc_id].cast("long") == go[gone]) & (own == go[mark]), "left_anti")

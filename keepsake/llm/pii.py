@@ -3,11 +3,18 @@
 Base spans are e-mail addresses, IPv4 addresses, card numbers and telephone numbers, each kind found from the left without
 overlaps; matches that fail their check (parts over 255, digits, Luhn) are dropped. Offsets are code points.
 
-How strongly a term t, any word, reveals the entity e is the share of e's information that t carries, estimated from
+How strongly a term t, any word, reveals an entity e is the share of e's information that t carries, estimated from
 co-occurrence over the distinct texts of the corpus: PMI(t, e) / IC(e) = 1 - ln(c(t) / c(t, e)) / ln(N / c(e)), where
-c(t, e) counts texts with t and e, c(t) texts with t, c(e) texts with e and N all, wherever in the text they stand. Terms
-that are with an entity in `support` texts or more are removed from the share `remove` on, and from the share `generalise`
-on generalised to the class that their form shows (number, code, name or word): every occurrence, in all texts that have the entity. Texts without a protected entity are never changed.
+c(t, e) counts texts with t and e, c(t) texts with t, c(e) texts with e and N all, wherever in the text they stand. There is
+something to estimate only where e stands in `support` texts or more, so each entity counts at the narrowest of three levels
+that does: itself, its part (domain, network, the first digits), its kind. Near copies, texts that agree in the least hash of
+their shingles, count as one in c(t, e) and c(e). And a share counts only if it can't be chance: c(t, e) * PMI(t, e) nats must
+be more than the logarithm of the number of words tried and SURE on top. Terms that pass are removed from the share `remove`
+on, and from the share `generalise` on generalised to the class that their form shows (number, code, name or word): every
+occurrence, in all texts that have the entity. Texts without a protected entity are never changed.
+
+Entities that stand in the same texts count as one, so a text's words meet each set of texts once, however many addresses two
+texts share.
 
 All of it is DataFrame functions. Where a text splits at a pattern, the lengths of the parts and of the matches add up to
 the offsets. Patterns look for their first character only where a run begins, so long runs cost linear time.
@@ -18,12 +25,13 @@ Rows that repeat a doc_id are separate. Extra columns stay out of op10 and stay
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest128, stored
+from .common import digest128, stored, unused
 
 KINDS = ("email", "ip", "card", "phone")
 # (?:\G|(?<!x)): a match begins at the start of a run, or where the last match has ended inside one
@@ -44,6 +52,10 @@ STEP = 64
 BROADCAST_ROWS = 50_000
 #: So many 64-bit hashes, of terms or of texts that repeat, are broadcast (some 16 MB).
 BROADCAST_HASHES = 1_000_000
+#: Nats of evidence above the logarithm of the number of trials: a word in twenty tables passes by chance.
+SURE = 3.0
+#: Words of a shingle, and hashes by which near copies are told.
+SHINGLE, SKETCHES = 4, 3
 
 
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -157,8 +169,31 @@ def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return body.select("doc_id", digest128(F.col("t")).alias("digest"), "t", *(base_spans(F.col("t"), k).alias(k) for k in KINDS))
 
 
-def _entities(kind: str) -> Column:
-    return F.transform(kind, lambda s: F.concat(F.lit(f"{kind}:"), F.lower(s["value"]) if kind in ("email", "ip") else _digits(s["value"])))
+def _levels(kind: str) -> Column:
+    """For each span of a kind the entity at its three levels, the narrowest first."""
+    whole = (lambda v: F.lower(v)) if kind in ("email", "ip") else _digits  # noqa: PLW0108
+    part = {"email": lambda v: F.substring_index(v, "@", -1), "ip": lambda v: F.substring_index(v, ".", 3), "card": lambda v: F.substring(v, 1, 6), "phone": lambda v: F.substring(v, 1, 5)}[kind]
+    name = lambda level, v: F.concat(F.lit(f"{kind}{level}:"), v)
+    return F.transform(kind, lambda s: _let(whole(s["value"]), lambda v: F.struct(name("", v).alias("e0"), name("-part", part(v)).alias("e1"), F.lit(f"{kind}s").alias("e2"))))
+
+
+def _sketches(text: Column) -> Column:
+    """The least hash of the text's shingles under several seeds; near copies agree in one of them nearly always, other texts hardly ever."""
+    words = F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
+
+    def least(w: Column) -> Column:
+        shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1))), lambda k: F.xxhash64(F.slice(w, k, SHINGLE)))
+        return _let(shingles, lambda h: F.array(*(F.array_min(F.transform(h, lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(SKETCHES))))
+
+    return _let(words, least)
+
+
+def evidence_texts(own: DataFrame) -> DataFrame:
+    """(digest) of those texts of own (digest, t) that no other of a smaller digest is a near copy of."""
+    each = own.select("digest", F.posexplode(_sketches(F.col("t"))).alias("k", "h"))
+    first = each.groupBy("k", "h").agg(F.min("digest").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    later = each.join(first, ["k", "h"]).filter("digest <> first").select("digest").distinct()
+    return own.select("digest").join(later, "digest", "left_anti")
 
 
 def _document_counts(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
@@ -186,34 +221,49 @@ def _document_counts(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
 
 def disclosing(docs: DataFrame, rows: DataFrame, corpus: int, text: str = "text", support: int = 2, generalise: float = 0.85, remove: float = 0.95) -> DataFrame | None:
     """(digest, terms) for distinct texts with terms to change; terms: array of (start, end, mask). rows: what found() gives of those documents that have a base span."""
-    entities = F.concat(*(_entities(k) for k in KINDS))
-    each = stored(rows.select("digest", F.explode(F.array_distinct(entities)).alias("e")).distinct(), "entities")
-    of_e = each.groupBy("e").agg(F.count("*").alias("c_e")).filter(F.col("c_e") >= support)
+    own = stored(rows.groupBy("digest").agg(F.any_value("t").alias("t")), "own")
+    spans_of = rows.select("digest", F.explode(F.concat(*(_levels(k) for k in KINDS))).alias("s")).select("digest", "s.*").distinct()
+    spans_of = stored(spans_of, "entities")
+    once = stored(evidence_texts(own), "evidence")
+    # each entity at the narrowest level that stands in enough texts, near copies once
+    narrow = spans_of.join(once, "digest", "left_semi")
+    level = lambda k: narrow.select("digest", f"e{k}").distinct().groupBy(f"e{k}").agg(F.count("*").alias(f"c{k}")).filter(F.col(f"c{k}") >= support)
+    placed = spans_of.join(level(0), "e0", "left").join(level(1), "e1", "left").join(level(2), "e2", "left")
+    each = placed.select("digest", F.when(F.col("c0").isNotNull(), F.col("e0")).when(F.col("c1").isNotNull(), F.col("e1")).when(F.col("c2").isNotNull(), F.col("e2")).alias("e")).filter("e is not null").distinct()
+    each = stored(each, "levels")
+    # entities of the same texts are one
+    alike = each.groupBy("e").agg(F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64(F.lit("keepsake"), "digest")).alias("y"), F.count("*").alias("m"))
+    named = alike.groupBy("x", "y", "m").agg(F.min("e").alias("e"))
+    each = each.join(named.select("e"), "e", "left_semi")
+    of_e = each.join(once, "digest", "left_semi").groupBy("e").agg(F.count("*").alias("c_e")).filter(F.col("c_e") >= support)
     held = stored(each.join(of_e, "e"), "held")
-    own = rows.select("digest", "t").join(held.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.any_value("t").alias("t"))
-    own = stored(own, "own")
     ic = F.log(F.lit(float(corpus)) / F.col("c_e"))
     share = lambda c, c_te: F.when(ic > 0, 1 - F.log(F.greatest(c, c_te) / c_te) / ic)
-    # A term is at least in the texts that have any of the entities; of those counts, what can't reach the threshold goes before pairs are made, and again before terms are counted
-    least = own.select(F.explode(_words(F.col("t"))).alias("t")).groupBy("t").agg(F.count("*").alias("c_own")).filter(F.col("c_own") >= support)
+    # A term is at least in the texts that count; of those counts, what can't reach the threshold goes before pairs are made, and again before terms are counted
+    counting = own.join(once, "digest", "left_semi")
+    least = counting.select(F.explode(_words(F.col("t"))).alias("t")).groupBy("t").agg(F.count("*").alias("c_own")).filter(F.col("c_own") >= support)
     most = held.select(F.max(F.when(ic > 0, F.col("c_e") * F.exp((1 - generalise) * ic)))).first()[0]
     if most is None:
         return None
     least = stored(least.filter(F.col("c_own") <= most + 1), "rare")
-    beside = own.select("digest", F.explode(_words(F.col("t"))).alias("t"))
-    beside = beside.join(F.broadcast(least) if least.count() <= BROADCAST_ROWS else least, "t")
-    able = share("c_own", F.least("c_e", "c_own")) >= generalise - 1e-9
+    tried = least.count()
+    nats = math.log(max(tried, 1)) + SURE
+    # c(t, e) * PMI(t, e): how far from chance
+    far = lambda c, c_te: c_te * F.log(F.lit(float(corpus)) * c_te / (F.greatest(c, c_te) * F.col("c_e")))
+    beside = counting.select("digest", F.explode(_words(F.col("t"))).alias("t"))
+    beside = beside.join(F.broadcast(least) if tried <= BROADCAST_ROWS else least, "t")
+    able = (share("c_own", F.least("c_e", "c_own")) >= generalise - 1e-9) & (far(F.col("c_own"), F.least("c_e", "c_own")) >= nats - 1e-9)
     pairs = beside.join(held, "digest").filter(able).groupBy("e", "t", "c_e", "c_own").agg(F.count("*").alias("c_te"))
-    pairs = stored(pairs.filter((F.col("c_te") >= support) & (share("c_own", F.col("c_te")) >= generalise)).drop("c_own"), "pairs")
+    pairs = stored(pairs.filter((F.col("c_te") >= support) & (share("c_own", F.col("c_te")) >= generalise) & (far(F.col("c_own"), F.col("c_te")) >= nats)).drop("c_own"), "pairs")
     terms = stored(pairs.select("t").dropDuplicates(), "terms")
     if terms.isEmpty():
         return None
     of_t = _document_counts(docs, text, terms)
-    flagged = pairs.join(of_t, "t").withColumn("share", share(F.col("c_t"), F.col("c_te"))).filter(F.col("share") >= generalise).select("e", "t", (F.col("share") >= remove).alias("out"))
+    flagged = pairs.join(of_t, "t").withColumn("share", share(F.col("c_t"), F.col("c_te"))).filter((F.col("share") >= generalise) & (far(F.col("c_t"), F.col("c_te")) >= nats))
+    flagged = flagged.select("e", "t", (F.col("share") >= remove).alias("out"))
     flagged = stored(flagged, "flagged")
-    # entity first, then its words: a text has many words and few entities
-    of_text = held.select("digest", "e").join(flagged.groupBy("e").agg(F.collect_list(F.struct("t", "out")).alias("ts")), "e")
-    marks = of_text.select("digest", F.explode("ts").alias("m")).groupBy("digest", F.col("m.t").alias("t")).agg(F.bool_or("m.out").alias("out"))
+    # an entity's terms come to its texts one by one; each text gathers its own
+    marks = held.select("digest", "e").join(flagged, "e").groupBy("digest", "t").agg(F.bool_or("out").alias("out"))
     pick = lambda out: F.collect_list(F.when(F.col("out") == out, F.col("t")))
     marks = marks.groupBy("digest").agg(pick(True).alias("removed"), pick(False).alias("general"))
     at = own.join(marks, "digest").select("digest", _occurrences(F.col("t"), F.col("removed"), F.col("general")).alias("terms"))
@@ -281,12 +331,13 @@ def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opt
     """docs with every span masked in text. n_chars, where there is one, is counted again. Texts stay where they are; what is joined is the short list of cuts."""
     table = spans(docs, doc_id, text, **options)
     cut = lambda k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(MASKS[k]).alias("mask")))
-    cuts = table.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.array_sort(F.concat(*(cut(k) for k in KINDS), "terms")).alias("_cuts")).filter("size(_cuts) > 0").dropDuplicates(["_id", "_digest"])
+    key, mark, cut_at = (unused(docs, n) for n in ("_id", "_digest", "_cuts"))
+    cuts = table.select(F.col("doc_id").alias(key), F.col("digest").alias(mark), F.array_sort(F.concat(*(cut(k) for k in KINDS), "terms")).alias(cut_at)).filter(F.size(cut_at) > 0).dropDuplicates([key, mark])
     cuts = stored(cuts, "cuts")
-    many = cuts.agg(F.sum(F.size("_cuts"))).first()[0] or 0
+    many = cuts.agg(F.sum(F.size(cut_at))).first()[0] or 0
     cuts = F.broadcast(cuts) if many <= BROADCAST_ROWS else cuts
     body = F.coalesce(docs[text].cast("string"), F.lit(""))
-    joined = docs.join(cuts, docs[doc_id].eqNullSafe(cuts._id) & (digest128(body) == cuts._digest), "left")
-    new = F.when(F.col("_cuts").isNotNull(), masked(F.col(text), F.col("_cuts"))).otherwise(F.col(text))
+    joined = docs.join(cuts, docs[doc_id].eqNullSafe(cuts[key]) & (digest128(body) == cuts[mark]), "left")
+    new = F.when(F.col(cut_at).isNotNull(), masked(F.col(text), F.col(cut_at))).otherwise(F.col(text))
     out = joined.select(*(new.alias(c) if c == text else F.col(c) for c in docs.columns))
     return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

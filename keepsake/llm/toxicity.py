@@ -132,6 +132,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", positives: int
     lift = ((F.col("in_p") + 0.5) / (p + 1)) / ((F.col("in_u") + 0.5) / (u + 1))
     best = by.filter(F.col("in_p") >= max(3, 0.01 * p)).withColumn("lift", lift).filter("lift >= 3").orderBy(F.desc(F.col("in_p") * F.log("lift")), "f").limit(kept).select("f")
     keys = np.sort(np.array([r["f"] for r in best.collect()], np.int64))
+    if not len(keys):  # nothing tells the positives apart
+        discard(table, chosen)
+        return Model(keys, np.zeros(0), float(np.log(prior / (1 - prior))))
     wide = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"f": keys}).to_pandas()))  # at most `kept` rows
     seen = table.select("row", "positive", F.explode("features").alias("f")).join(wide, "f").toPandas()
     every = table.select("row", "positive").toPandas()

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -557,18 +558,25 @@ def test_pii_terms(spark):
 
 
 def brute_terms(texts, support=2, generalise=0.85, remove=0.95):
-    """The texts with e-mail addresses and the terms that go with them masked: counts over whole distinct texts."""
+    """The texts with e-mail addresses and the terms that go with them masked: counts over whole distinct texts, each address at the narrowest level of enough texts, terms only beyond chance. No near copies."""
     words = {t: {w.lower() for w in re.findall(r"[^\W_]+", t)} for t in set(texts)}
     mails = {t: {m[0].lower() for m in re.finditer(r"[\w.]+@[\w.]+\w", t)} for t in words}
+    levels = lambda m: (m, "part:" + m.split("@")[1], "kind")
+    count = lambda k, e: sum(any(levels(m)[k] == e for m in mails[t]) for t in words)
+    held = {t: {next((e for k, e in enumerate(levels(m)) if count(k, e) >= support), None) for m in mails[t]} - {None} for t in words}
+    size = {e: sum(e in held[t] for t in words) for e in set().union(*held.values())}
+    size = {e: n for e, n in size.items() if n >= support}
+    most = max((n * np.exp((1 - generalise) * np.log(len(words) / n)) for n in size.values() if n < len(words)), default=0)
+    own = {w: sum(w in words[t] and bool(mails[t]) for t in words) for w in set().union(*words.values())}
+    nats = np.log(max(1, sum(support <= n <= most + 1 for n in own.values()))) + pii.SURE
     mask = {t: {} for t in words}
-    for e in set().union(*mails.values()):
-        own = [t for t in words if e in mails[t]]
-        ic = np.log(len(words) / len(own))
-        for w in set().union(*(words[t] for t in own)) if len(own) >= support and ic > 0 else ():
-            both = sum(w in words[t] for t in own)
-            share = 1 - np.log(sum(w in x for x in words.values()) / both) / ic
-            if both >= support and share >= generalise:
-                for t in own:
+    for e, n in size.items():
+        of_e, ic = [t for t in words if e in held[t]], np.log(len(words) / n)
+        for w in set().union(*(words[t] for t in of_e)) if ic > 0 else ():
+            both, all_ = sum(w in words[t] for t in of_e), sum(w in x for x in words.values())
+            share = 1 - np.log(all_ / both) / ic
+            if both >= support and share >= generalise and both * np.log(len(words) * both / (all_ * n)) >= nats:
+                for t in of_e:
                     mask[t][w] = mask[t].get(w, False) or share >= remove
 
     def swap(t, m):
@@ -588,12 +596,69 @@ def test_pii_terms_of_whole_texts(spark):
     texts += [f"{filler(60)} bo@ex.org x" + " Vandal" * (k < 3) for k in range(5)]
     texts += [filler(60) + (" Tarkov" if k < 2 else " Vandal" if k < 5 else "") for k in range(400)]
     texts += texts[:3]
+    texts += [f"{filler(50)} Globex {filler(9)} user{k}@corp.net" for k in range(4)]
+    texts += [f"{filler(50)} helpdesk {filler(9)} only{k}@lone{k}.de" + " mmm" * (k == 1) for k in range(6)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
     assert [out[k] for k in range(len(texts))] == brute_terms(texts)
+    assert all("Globex" not in out[k] and "helpdesk" not in out[k + 4] for k in range(414, 418)) and "mmm" in out[419]
     assert all("quimby" not in out[k].lower() and "Yq" not in out[k] for k in range(6)) and out[11 + 3] == texts[11 + 3]
 
 
+def test_pii_near_copies_are_no_evidence(spark):
+    """Two texts that share 800 addresses and 8,000 words lose the addresses only; it takes no words times addresses."""
+    rng = random.Random(12)
+    shared = " ".join(f"Word{k} a{k}@b{k}.cd" if k < 800 else f"Word{k}" for k in range(8000))
+    texts = [f"{shared} first version", f"{shared} second, another"] + [" ".join(f"w{rng.randint(0, 50)}" for _ in range(40)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    out = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
+    assert time.time() - began < 60 and out[0] == re.sub(r"a\d+@b\d+\.cd", "[EMAIL]", texts[0]) and out[1].endswith("second, another")
+
+
+def test_pii_entities_of_the_same_texts_meet_words_once(spark):
+    """Four texts of other words share 400 addresses and a name: the name goes."""
+    rng = random.Random(13)
+    mails = lambda: " ".join(f"u{rng.randint(0, 10**9)} a{k}@b{k}.cd" for k in range(400))
+    texts = [f"{mails()} Quimby" for _ in range(4)] + [" ".join(f"w{rng.randint(0, 50)}" for _ in range(40)) for _ in range(300)]
+    out = {r["doc_id"]: r["text"] for r in pii.sanitised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all("Quimby" not in out[k] and re.findall(r"\bu\d+", out[k]) == re.findall(r"\bu\d+", texts[k]) for k in range(4))
+
+
+def test_clashing_names_in_stages(spark, sf):
+    """Columns of the names that stages use inside stay as they are."""
+    import corpus_pipeline
+
+    names = ["_cuts", "_gone", "_mark", "_mix_n", "_mix_s", "_mix_h", "_mix_k", "_toxicity", "_id", "_digest", "digest"]
+    rows = [(k, f"text number {k} with a@b{k}.cd and words " + "tail " * (k % 4), "en", f"s{k % 3}", 5, *(f"{n}{k}" for n in names)) for k in range(60)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, sf)
+        assert out.columns == df.columns, name
+        found = out.collect()
+        assert found and all(r[n] == f"{n}{r.doc_id}" for r in found for n in names), name
+
+
+def test_repeated_ids_lose_no_other_text(spark):
+    """Id 2 has two texts; only the one that is a copy of 1's goes."""
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "quite another text of some words"), (None, "a b c d e f g")]
+    out = ngram_join.near_duplicates_dropped(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = sorted((r.doc_id or 0, r.text) for r in out.collect())
+    assert (1, rows[0][1]) in left and (2, rows[2][1]) in left and (0, rows[3][1]) in left
+
+
+@pytest.mark.parametrize("texts", ["other", "same"])
+def test_mixing_rows_without_ids(spark, texts):
+    """A third of the rows have no id, of one source all: each source comes near its target, a mix agrees with its plan and with itself."""
+    rows = [(None if k % 3 == 0 else k, f"w{k if texts == 'other' else 0} " + "x " * (k % 7), "abc"[k % 3]) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4).checkpoint()
+    plan = mixing.plan(df)
+    by = {r.source: r for r in plan.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("taken"), F.max("target").alias("target"), F.max("size").alias("most")).collect()}
+    assert all(abs(r.taken - r.target) <= 4 * r.most for r in by.values()), by
+    count = lambda: sorted(map(tuple, mixing.mix(df, weights=(1, 2, 3), share=1.0, most=3).groupBy("source").count().collect()))
+    assert count() == count() == sorted(map(tuple, plan.groupBy("source").agg(F.sum("times")).collect()))
+
+
 def test_nearest_neighbours_among_copies(spark):
     """A third of all rows is one vector: of its copies the smallest ids are nearest."""
     rng = np.random.default_rng(4)
