@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .automaton import occurring
 
 
 def match_levels(subjects: DataFrame, participants: DataFrame) -> DataFrame:
@@ -147,26 +148,14 @@ def without_rejected(pairs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def mentioned(texts: DataFrame, names: DataFrame, most: int = 3000, each: int = 12) -> DataFrame:
-    """(id, name): which of the `most` largest names stand in a text between word edges, at most `each` a text, the largest first. names: (name, size). A text's runs of as many words as names have are looked up by an equi-join; no text meets a name that it lacks."""
-    top = names.orderBy(F.desc("size"), "name").limit(most).withColumn("key", F.lower("name"))
-    top = top.withColumn("n", F.size(F.split("key", " ")))
-    longest = top.agg(F.max("n")).first()[0] or 0
-    # words and what stands between them; a run counts only if single spaces join it
-    parts = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9_]+|[^a-z0-9_]+"), F.lit(0))
-    rows = texts.select("id", parts.alias("p"))
-    at = F.sequence(F.lit(1), F.size("p"))
-
-    def runs_of(k: int) -> DataFrame:
-        return rows.filter(F.size("p") > 0).select("id", F.explode(F.transform(at, lambda i: F.array_join(F.slice("p", i, 2 * k - 1), ""))).alias("key"))
-
-    runs = [runs_of(k) for k in range(1, longest + 1)]
-    from functools import reduce
-
-    if not runs:
-        return texts.select("id", F.lit("").alias("name")).limit(0)
-    hits = reduce(DataFrame.unionByName, runs).join(F.broadcast(top), "key").select("id", "name", "size").distinct()  # at most `most` names
+    """(id, name): which of the `most` largest names stand in a text between word edges, whatever their case, at most `each` a text, the largest first. names: (name, size), of words joined by single spaces. An automaton of the names goes over the texts where they are."""
+    top = names.orderBy(F.desc("size"), "name").limit(most)
+    # words and what stands between them
+    parts = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9_]+|[^a-z0-9_]+"), F.lit(0))
+    hits = occurring(texts.select("id", parts("text").alias("tokens")), top.select(F.col("name").alias("pattern"), parts("name").alias("tokens")))
+    sized = hits.join(F.broadcast(top), F.col("pattern") == F.col("name")).select("id", "name", "size")  # at most `most` names
     k = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("size"), "name"))
-    return hits.withColumn("k", k).filter(F.col("k") <= each).select("id", "name")
+    return sized.withColumn("k", k).filter(F.col("k") <= each).select("id", "name")
 
 
 def handles(texts: DataFrame, profiles: DataFrame) -> DataFrame:

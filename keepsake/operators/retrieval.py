@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.vectors import dot, literal
+from .automaton import occurring
 
 K1, B, RRF_K, LEG = 1.2, 0.75, 60, 50
 #: Weights of the fields of a chunk in keyword search.
@@ -159,11 +160,8 @@ def resolved_citations(answers: DataFrame, known: DataFrame, most: int = 1000) -
 
 
 def containing(keywords: DataFrame, texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(keyword, doc): the texts that hold a keyword between word edges, whatever their case. They meet under the keyword's first word; keywords of several words are then looked for in the text."""
-    body = texts.select(F.col(key).alias("doc"), tx.name_key(F.col(text)).alias("t"))
-    by_word = body.select("doc", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
-    k = keywords.withColumn("_n", tx.name_key(F.col("keyword"))).filter("_n <> ''").withColumn("w", F.element_at(F.split("_n", " "), 1))
-    met = k.join(by_word, "w")
-    one = met.filter(~F.col("_n").contains(" ")).select("keyword", "doc")
-    more = met.filter(F.col("_n").contains(" ")).join(body, "doc").filter(F.concat(F.lit(" "), "t", F.lit(" ")).contains(F.concat(F.lit(" "), "_n", F.lit(" "))))
-    return one.unionByName(more.select("keyword", "doc"))
+    """(keyword, doc): the texts that hold a keyword between word edges, whatever their case. Texts stay where they are; an automaton of the keywords goes over them."""
+    words = lambda c: F.filter(F.split(tx.name_key(F.col(c)), " "), lambda w: w != "")
+    rows = texts.select(F.col(key).alias("id"), words(text).alias("tokens"))
+    found = occurring(rows, keywords.select(F.col("keyword").alias("pattern"), words("keyword").alias("tokens")).distinct())
+    return found.select(F.col("pattern").alias("keyword"), F.col("id").alias("doc"))
