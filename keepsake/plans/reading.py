@@ -43,9 +43,12 @@ def ud02(spark, d):
 STATEMENTS = [("SELECT 1", True), ("with x as (select 1) select * from x;", True), ("select 'drop table t; delete' as s", True), ("select 1; select 2", False), ("drop table t", False), ("with x as (select 1) insert into t select * from x", False), ("-- select\ndelete from t", False), ("select java_method('java.lang.System', 'exit', 0)", False), ("", False), ("select a from t where note = 'it''s; set' -- set\n", True)]
 
 
-@query("pf24_select_only", "SELECT unnest(range(0, 10)) AS k, unnest([true, true, true, false, false, false, false, false, false, true]) AS allowed")
+@query("pf24_select_only", "SELECT c_custkey AS k, c_custkey % 10 IN (0, 1, 2, 9) AS allowed FROM customer")
 def pf24(spark, d):
-    return spark.createDataFrame([(k, views.refused(s) is None) for k, (s, _) in enumerate(STATEMENTS)], "k long, allowed boolean")
+    """Which statements of a log only read: ten forms, about every account."""
+    forms = F.array(*(F.lit(s) for s, _ in STATEMENTS))
+    log = read(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.get(forms, (F.col("c_custkey") % 10).cast("int")), F.lit(" -- about "), "c_name").alias("statement"))
+    return log.select("k", views.only_reads(F.col("statement")).alias("allowed"))
 
 
 @query("ud03_table_valued", "SELECT event_type, sum(v) AS total FROM (SELECT event_type, unnest([event_id, event_id * 2]) AS v FROM events) GROUP BY 1")
@@ -315,13 +318,13 @@ def en18(spark, d):
     return identity.handles(texts, profiles)
 
 
-@query("en19_made_archive", "SELECT CASE WHEN k < 15 THEN 'story ' || k ELSE 'filler ' || k - 15 END AS thread, 20 + (k * 37) % 23 AS messages, 1 + (19 + (k * 37) % 23) % 3 AS authors FROM (SELECT unnest(range(0, 60)) AS k)")
+@query("en19_made_archive", "SELECT c_name AS thread, 20 + (c_custkey * 37) % 23 AS messages, 1 + (19 + (c_custkey * 37) % 23) % 3 AS authors FROM customer")
 def en19(spark, d):
-    """A made-up archive of 15 storylines and 45 fillers, the same for a seed."""
+    """A made-up chat for every account, every fourth a storyline, the same each time."""
     from ..sources import archive
 
-    m = archive.generated(spark, stories=15, fillers=45)
-    return m.groupBy("thread").agg(F.count("*").alias("messages"), F.count_distinct("author").alias("authors"))
+    threads = read(spark, d, "customer").select(F.col("c_name").alias("thread"), F.col("c_custkey").alias("k"), (F.col("c_custkey") % 4 == 0).alias("story"))
+    return archive.generated(threads).groupBy("thread").agg(F.count("*").alias("messages"), F.count_distinct("author").alias("authors"))
 
 
 # --- endpoints and tools

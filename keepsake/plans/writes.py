@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import identity
 from ..operators import tables as tb
 from ..sources.archive import CHATS_SQL, EVENTS_SQL, chat_messages, event_messages, read
-from ..sources.shared import fresh
+from ..sources.shared import fresh, kept
 from ..streaming import feeds, sessions
 from .registry import query
 from .sequences import SESSIONS_SQL, units
@@ -113,33 +115,44 @@ def ss06(spark, d):
     return tb.upserted(held, fixed, ["id"])
 
 
-@query("ss07_resumed_stages", "SELECT unnest(['parse', 'build', 'index']) AS stage, unnest([1, 1, 2]) AS run")
+@query("ss07_resumed_stages", f"WITH {EVENTS_SQL} SELECT thread_id, count(*) AS n, count(DISTINCT author) AS authors, 1 AS parsed, 1 AS built, 2 AS indexed FROM msgs GROUP BY 1")
 def ss07(spark, d):
-    """A run that fails in its third stage; the next one does only that."""
-    path, done = fresh(spark, "state"), []
+    """A run over all messages that fails in its third stage; the next one does only that, from the tables that the first has left."""
+    state, tables = fresh(spark, "state"), fresh(spark, "stages")
+
+    def stages(run: int, fails: bool):
+        number = lambda name: F.lit(run).cast("int").alias(name)
+        at = lambda name: spark.read.parquet(f"{tables}/{name}")
+
+        def parse():
+            event_messages(spark, d).select("thread_id", "author", number("parsed")).write.parquet(f"{tables}/parse")
+
+        def build():
+            at("parse").groupBy("thread_id", "author", "parsed").agg(F.count("*").alias("n")).select("*", number("built")).write.parquet(f"{tables}/build")
 
-    def stage(name, fails=False):
-        def work():
+        def index():
             if fails:
-                raise RuntimeError(name)
-            done.append(name)
+                raise RuntimeError("index")
+            at("build").groupBy("thread_id", "parsed", "built").agg(F.sum("n").alias("n"), F.count("*").alias("authors")).select("*", number("indexed")).write.parquet(f"{tables}/index")
 
-        return name, work
+        return [("parse", parse), ("build", build), ("index", index)]
 
-    try:
-        feeds.resumed(spark, path, [stage("parse"), stage("build"), stage("index", True)])
-    except RuntimeError:
-        first = len(done)
-    feeds.resumed(spark, path, [stage("parse"), stage("build"), stage("index")])
-    return spark.createDataFrame([(x, 1 if k < first else 2) for k, x in enumerate(done)], "stage string, run int")
+    with contextlib.suppress(RuntimeError):
+        feeds.resumed(spark, state, stages(1, True))
+    feeds.resumed(spark, state, stages(2, False))
+    return spark.read.parquet(f"{tables}/index").select("thread_id", "n", "authors", "parsed", "built", "indexed")
 
 
-@query("ss10_stamped_view", "SELECT user_id, count(*) AS n, CASE WHEN user_id IS NOT NULL THEN 'fast' END AS view FROM events GROUP BY 1")
+@query("ss10_stamped_view", "SELECT user_id, count(*) AS n, 'fast' AS view, 'held' AS log FROM events GROUP BY 1 UNION ALL SELECT user_id, count(*), 'slow', 'grown' FROM (SELECT user_id FROM events UNION ALL SELECT user_id FROM events WHERE event_id % 3 = 0) GROUP BY 1")
 def ss10(spark, d):
-    """The precomputed table is used as long as its stamp (count and largest id) is the log's."""
+    """The precomputed table is used as long as its stamp (count and largest id) is the log's; once the log has grown it is made anew from the log."""
     e = read(spark, d, "events", "event_id", "user_id")
-    facts = e.groupBy("user_id").agg(F.count("*").alias("n"))
-    return feeds.fresher(e, "event_id", feeds.stamp(e, "event_id"), facts.withColumn("view", F.lit("fast")), facts.withColumn("view", F.lit("slow")))
+    last = e.agg(F.max("event_id")).first()[0]
+    grown = e.unionByName(e.filter("event_id % 3 = 0").withColumn("event_id", F.col("event_id") + last + 1))
+    counts = lambda log: log.groupBy("user_id").agg(F.count("*").alias("n"))
+    facts, held = kept(counts(e), "facts"), feeds.stamp(e, "event_id")
+    seen = lambda log, name: feeds.fresher(log, "event_id", held, facts.withColumn("view", F.lit("fast")), counts(log).withColumn("view", F.lit("slow"))).withColumn("log", F.lit(name))
+    return seen(e, "held").unionByName(seen(grown, "grown"))
 
 
 @query("ss01_watermark", "SELECT event_type AS author, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS n FROM events GROUP BY 1, 2")

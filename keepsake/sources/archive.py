@@ -46,12 +46,10 @@ CHATS_SQL = """chats AS (SELECT conv_id * 1000 + turn AS msg_id, conv_id AS thre
   CASE WHEN turn > 0 THEN conv_id * 1000 + CASE WHEN turn % 3 <> 0 THEN turn - 1 ELSE turn // 2 END END AS parent_id FROM conversations)"""
 
 
-def generated(spark: SparkSession, stories: int = 15, fillers: int = 45) -> DataFrame:
-    """(thread, msg_id, author, ts, content): a made-up archive of storylines and filler chats, by rules on the numbers, so the same every time."""
-    k = F.col("k")
-    t = spark.range(stories + fillers).select(F.col("id").alias("k")).withColumn("n", 20 + (k * 37) % 23)
-    name = F.when(k < stories, F.concat(F.lit("story "), k.cast("string"))).otherwise(F.concat(F.lit("filler "), (k - stories).cast("string")))
-    m = t.select(name.alias("thread"), "k", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+def generated(threads: DataFrame) -> DataFrame:
+    """(thread, msg_id, author, ts, content): a made-up archive of storylines and filler chats, by rules on the numbers, so the same every time. threads: (thread, k, story)."""
+    t = threads.withColumn("n", 20 + (F.col("k") * 37) % 23)
+    m = t.select("thread", "k", "n", "story", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     author = F.concat(F.lit("a"), (F.col("i") % (1 + (F.col("n") - 1) % 3)).cast("string"))
-    content = F.when(k < stories, F.concat(F.lit("part "), F.col("i").cast("string"), F.lit(" of the plan"))).otherwise(F.concat(F.lit("hello "), (F.col("i") * 7 % 5).cast("string")))
-    return m.select("thread", (k * 1000 + F.col("i")).alias("msg_id"), author.alias("author"), (1_700_000_000 + k * 86_400 + F.col("i") * 97).alias("ts"), content.alias("content"))
+    content = F.when(F.col("story"), F.concat(F.lit("part "), F.col("i").cast("string"), F.lit(" of the plan"))).otherwise(F.concat(F.lit("hello "), (F.col("i") * 7 % 5).cast("string")))
+    return m.select("thread", (F.col("k") * 1000 + F.col("i")).alias("msg_id"), author.alias("author"), (1_700_000_000 + F.col("k") * 86_400 + F.col("i") * 97).alias("ts"), content.alias("content"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .archive import event_messages, read
@@ -44,10 +44,20 @@ def refused(text: str) -> str | None:
     return None
 
 
+def only_reads(text: Column) -> Column:
+    """refused() for a column of statements, true for those that only read: a log of what was asked is judged where it lies."""
+    quoted = r"""'(?:[^'\\\\]|\\\\.|'')*'|"(?:[^"\\\\]|\\\\.)*"|`[^`]*`""".replace("\\\\", "\\")
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), F.lit(quoted), F.lit("''")), F.lit(r"--[^\n]*|(?s:/\*.*?\*/)"), F.lit(" ")))
+    bare = F.lower(F.regexp_replace(F.regexp_replace(bare, r"^\s+|\s+$", ""), r";\s*$", ""))
+    return ~bare.contains(";") & bare.rlike(r"^(select|with)\b") & ~bare.rlike(r"\b(" + "|".join(CHANGING) + r")\b")
+
+
 def select(spark: SparkSession, text: str, limit: int | None = None, deadline: float | None = None) -> DataFrame:
     """What a statement gives, run lazily. With a deadline (seconds) its jobs are cancelled once it is over; the rows, `limit` of them at most, are then fetched at once."""
     if why := refused(text):
         raise ValueError(why)
+    if deadline is not None and limit is None:
+        raise ValueError("a deadline needs a limit: its rows come to the driver")
     df = spark.sql(text.strip().removesuffix(";"))
     df = df if limit is None else df.limit(limit)
     if deadline is None:
