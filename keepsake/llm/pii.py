@@ -11,7 +11,8 @@ that does: itself, its part (domain, network, the first digits), its kind. Near
 their shingles, count as one in c(t, e) and c(e). And a share counts only if it can't be chance: c(t, e) * PMI(t, e) nats must
 be more than the logarithm of the number of words tried and SURE on top. Terms that pass are removed from the share `remove`
 on, and from the share `generalise` on generalised to the class that their form shows (number, code, name or word): every
-occurrence, in all texts that have the entity. Texts without a protected entity are never changed.
+occurrence, in all texts that have the entity. What stands inside base spans is no term beside them, though it counts in c(t).
+Texts without a protected entity are never changed.
 
 Entities that stand in the same texts count as one, so a text's words meet each set of texts once, however many addresses two
 texts share.
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -251,9 +253,12 @@ def disclosing(docs: DataFrame, rows: DataFrame, corpus: int, text: str = "text"
     # c(t, e) * PMI(t, e): how far from chance
     far = lambda c, c_te: c_te * F.log(F.lit(float(corpus)) * c_te / (F.greatest(c, c_te) * F.col("c_e")))
     beside = counting.select("digest", F.explode(_words(F.col("t"))).alias("t"))
+    if BROADCAST_ROWS < tried <= BROADCAST_HASHES:  # hashes let the words through that may be in the table
+        beside = beside.join(F.broadcast(least.select(F.xxhash64("t").alias("_w")).distinct()), F.xxhash64("t") == F.col("_w"), "left_semi")
     beside = beside.join(F.broadcast(least) if tried <= BROADCAST_ROWS else least, "t")
+    held_near = F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
     able = (share("c_own", F.least("c_e", "c_own")) >= generalise - 1e-9) & (far(F.col("c_own"), F.least("c_e", "c_own")) >= nats - 1e-9)
-    pairs = beside.join(held, "digest").filter(able).groupBy("e", "t", "c_e", "c_own").agg(F.count("*").alias("c_te"))
+    pairs = beside.join(held_near, "digest").filter(able).groupBy("e", "t", "c_e", "c_own").agg(F.count("*").alias("c_te"))
     pairs = stored(pairs.filter((F.col("c_te") >= support) & (share("c_own", F.col("c_te")) >= generalise) & (far(F.col("c_own"), F.col("c_te")) >= nats)).drop("c_own"), "pairs")
     terms = stored(pairs.select("t").dropDuplicates(), "terms")
     if terms.isEmpty():
@@ -274,8 +279,8 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options
     """(doc_id, digest, email, ip, card, phone, terms): base spans by kind, and the terms that the method adds, less those inside a base span."""
     rows = found(docs, doc_id, text)
     some = " or ".join(f"size({k}) > 0" for k in KINDS)
-    # texts are kept only where a base span is
-    base = stored(rows.withColumn("t", F.when(F.expr(some), F.col("t"))), "found")
+    # texts are kept only where a base span is, with the spans blanked: what stands inside them is masked as it is
+    base = stored(rows.withColumn("t", F.when(F.expr(some), _blanked(F.col("t")))), "found")
     corpus = base.select("digest").distinct().count()
     extra = disclosing(docs, base.filter("t is not null"), corpus, text, **options)
     none = F.array().cast(CUT)
@@ -327,6 +332,16 @@ def masked(text: Column, cuts: Column) -> Column:
     return F.when(F.size(cuts) > 0, _let(cuts, lambda c: _let(_blocks(c), joined))).otherwise(text)
 
 
+def _blanked(text: Column) -> Column:
+    """text with blanks in place of its base spans, kind by kind, as spans of two kinds may overlap; places stay."""
+
+    def without(t: Column, kind: str) -> Column:
+        cuts = F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.repeat(F.lit(" "), s["end"] - s["start"]).alias("mask")))
+        return _let(t, lambda x: masked(x, cuts))  # made once for the next
+
+    return reduce(without, KINDS, text)
+
+
 def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with every span masked in text. n_chars, where there is one, is counted again. Texts stay where they are; what is joined is the short list of cuts."""
     table = spans(docs, doc_id, text, **options)

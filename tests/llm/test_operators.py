@@ -566,14 +566,15 @@ def brute_terms(texts, support=2, generalise=0.85, remove=0.95):
     held = {t: {next((e for k, e in enumerate(levels(m)) if count(k, e) >= support), None) for m in mails[t]} - {None} for t in words}
     size = {e: sum(e in held[t] for t in words) for e in set().union(*held.values())}
     size = {e: n for e, n in size.items() if n >= support}
+    beside = {t: {w.lower() for w in re.findall(r"[^\W_]+", re.sub(r"[\w.]+@[\w.]+\w", " ", t))} for t in words}
     most = max((n * np.exp((1 - generalise) * np.log(len(words) / n)) for n in size.values() if n < len(words)), default=0)
-    own = {w: sum(w in words[t] and bool(mails[t]) for t in words) for w in set().union(*words.values())}
+    own = {w: sum(w in beside[t] and bool(mails[t]) for t in words) for w in set().union(*words.values())}
     nats = np.log(max(1, sum(support <= n <= most + 1 for n in own.values()))) + pii.SURE
     mask = {t: {} for t in words}
     for e, n in size.items():
         of_e, ic = [t for t in words if e in held[t]], np.log(len(words) / n)
-        for w in set().union(*(words[t] for t in of_e)) if ic > 0 else ():
-            both, all_ = sum(w in words[t] for t in of_e), sum(w in x for x in words.values())
+        for w in set().union(*(beside[t] for t in of_e)) if ic > 0 else ():
+            both, all_ = sum(w in beside[t] for t in of_e), sum(w in x for x in words.values())
             share = 1 - np.log(all_ / both) / ic
             if both >= support and share >= generalise and both * np.log(len(words) * both / (all_ * n)) >= nats:
                 for t in of_e:
@@ -619,7 +620,7 @@ def test_pii_near_copies_are_no_evidence(spark):
 def test_pii_entities_of_the_same_texts_meet_words_once(spark):
     """Four texts of other words share 400 addresses and a name: the name goes."""
     rng = random.Random(13)
-    mails = lambda: " ".join(f"u{rng.randint(0, 10**9)} a{k}@b{k}.cd" for k in range(400))
+    mails = lambda: " ".join(f"u{rng.randint(0, 10**15)} a{k}@b{k}.cd" for k in range(400))
     texts = [f"{mails()} Quimby" for _ in range(4)] + [" ".join(f"w{rng.randint(0, 50)}" for _ in range(40)) for _ in range(300)]
     out = {r["doc_id"]: r["text"] for r in pii.sanitised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert all("Quimby" not in out[k] and re.findall(r"\bu\d+", out[k]) == re.findall(r"\bu\d+", texts[k]) for k in range(4))
