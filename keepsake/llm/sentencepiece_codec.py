@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import released, small_batches
 
 SPACE = "▁"
 #: A stretch longer than WINDOW characters is cut into windows of so many, each with RUN_UP characters of the one before.
@@ -291,7 +291,7 @@ class PrefixTable:
         while at < len(stretches):
             width = len(stretches[at])
             end = at
-            while end < len(stretches) and (len(stretches[end]) * 2 > width or width <= 24) and (end - at) * width < 1_000_000 and not (end > at and width > 2 * WINDOW):
+            while end < len(stretches) and (len(stretches[end]) * 2 > width or width <= 24) and (end - at) * width < 250_000 and not (end > at and width > 2 * WINDOW):
                 end += 1
             some = stretches[at:end]
             lengths = np.fromiter(map(len, some), np.int64, len(some))
@@ -385,6 +385,7 @@ def encode_decode(docs: DataFrame, text: str = "text", model_file: str | None =
                 ids, offsets = table.encode(b.column(len(keep)).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), lists, pa.array(table.decode(ids, offsets), pa.string())], names=[*keep, "ids", "decoded"])
+        released()
 
     return docs.select(*keep, F.col(text).cast("string").alias(text)).mapInArrow(run, schema)
 
