@@ -165,13 +165,6 @@ def theme_clusters(vectors: DataFrame, by: str, key: str, vector: str, most: int
     return vectors.groupBy(by).applyInPandas(run, schema)
 
 
-def nearest_rank(values: DataFrame, by: str, value: str, p: float) -> DataFrame:
-    """(by, q): the value at floor(n * p), counted from 0 and at most n - 1, by window rank, so no group becomes an array."""
-    w = Window.partitionBy(by)
-    ranked = values.select(by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("_k"), F.count("*").over(w).alias("_n"))
-    return ranked.filter(F.col("_k") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(p)).cast("long"))).select(by, F.col(value).alias("q"))
-
-
 def display_order(items: DataFrame) -> DataFrame:
     """(id, grp, k): due within the week and later in order of days, overdue the latest first, undated the newest first. items: (id, due: days from today)."""
     due = F.col("due")

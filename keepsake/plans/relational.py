@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import times
 from ..functions.text import thread_group
-from ..operators import graph, memory, tables
+from ..operators import graph, memory, selection, tables
 from ..sources.archive import CHATS_SQL, EVENTS_SQL, chat_messages, event_messages, read
 from .registry import query
 
@@ -270,12 +270,13 @@ def ag12(spark, d):
 @query("ag13_nearest_rank", "WITH r AS (SELECT o_orderpriority AS p, o_totalprice AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) - 1 AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) SELECT DISTINCT p, v AS q FROM r WHERE k = least(n - 1, CAST(floor(n * 0.9) AS BIGINT))")
 def ag13(spark, d):
     o = read(spark, d, "orders").select(F.col("o_orderpriority").alias("p"), F.col("o_totalprice").alias("v"))
-    return memory.nearest_rank(o, "p", "v", 0.9)
+    return selection.nearest_rank(o, "p", "v", 0.9)
 
 
 @query("ag14_median", "SELECT o_orderpriority AS p, round(median(o_totalprice), 4) AS m FROM orders GROUP BY 1")
 def ag14(spark, d):
-    return read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("p")).agg(F.round(F.median("o_totalprice"), 4).alias("m"))
+    o = read(spark, d, "orders").select(F.col("o_orderpriority").alias("p"), F.col("o_totalprice").alias("v"))
+    return selection.median(o, "p", "v").select("p", F.round("median", 4).alias("m"))
 
 
 @query("ag16_gap_threshold", f"WITH {EVENTS_SQL}, g AS (SELECT thread_id, ts - lag(ts) OVER (PARTITION BY thread_id ORDER BY ts, msg_id) AS gap FROM msgs) SELECT thread_id, round(least(43200.0, greatest(1800.0, avg(gap) + coalesce(stddev_samp(gap), 0))), 3) AS threshold FROM g GROUP BY 1 HAVING count(gap) > 0")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import times
 from ..functions import text as tx
 from ..operators import conversations as cv
-from ..operators import graph, identity
+from ..operators import graph, identity, selection
 from ..sources.archive import CHATS_SQL, EVENTS_SQL, chat_messages, event_messages, read
 from .registry import query
 
@@ -176,10 +176,8 @@ def ag10(spark, d):
 
 @query("ag15_upper_median", f"WITH {EVENTS_SQL} SELECT thread_id, list_sort(list(value))[1 + len(list(value)) // 2] AS median FROM msgs GROUP BY 1")
 def ag15(spark, d):
-    """The element at half the count, from 0, by window rank: no group becomes an array."""
-    w = Window.partitionBy("thread_id")
-    rows = event_messages(spark, d).select("thread_id", "value", (F.row_number().over(w.orderBy("value")) - 1).alias("k"), F.count("*").over(w).alias("n"))
-    return rows.filter(F.col("k") == F.expr("n div 2")).select("thread_id", F.col("value").alias("median"))
+    """The element at half the count, from 0; no group is sorted or becomes an array."""
+    return selection.upper_median(event_messages(spark, d).select("thread_id", "value"), "thread_id", "value")
 
 
 @query("ag18_ordered_list", "SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS parts FROM lineitem GROUP BY 1")
