@@ -12,10 +12,11 @@ from ..functions.vectors import cosine, literal
 from ..operators import conversations as cv
 from ..operators import enrich, graph, identity, memory, retrieval
 from ..operators import tables as tb
-from ..sources import views
+from ..sources import tables, views
 from ..sources.archive import CHATS_SQL, EVENTS_SQL, chat_messages, event_messages, read
 from .registry import query
 from .search import ASKED, ASKED_VECTOR, bm25_sql, keyword_leg, vector_of
+from .sequences import TURNS_SQL
 
 MD5 = lambda c: F.md5(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).cast("binary"))
 ASKED_SQL = f"(SELECT embedding FROM embeddings WHERE vec_id = {ASKED_VECTOR})"
@@ -57,6 +58,14 @@ def ud03(spark, d):
     return spark.sql("SELECT event_type, CAST(sum(v) AS DECIMAL(38, 0)) AS total FROM event_lists, LATERAL explode(from_json(j, 'array<bigint>')) AS t(v) GROUP BY 1")
 
 
+@query("ud03_turns_function", TURNS_SQL + " SELECT author, count(*) AS turns, CAST(sum(n) AS BIGINT) AS messages, CAST(sum(first) AS BIGINT) AS firsts FROM (SELECT thread_id, turn_no, min(author) AS author, count(*) AS n, arg_min(msg_id, (ts, msg_id)) AS first FROM t GROUP BY 1, 2) GROUP BY 1")
+def ud03_turns(spark, d):
+    """A table function with state, asked in SQL: it takes a table and brings it by thread and in order itself."""
+    tables.register(spark)
+    chat_messages(spark, d).createOrReplaceTempView("chat_log")
+    return spark.sql("SELECT author, count(*) AS turns, CAST(sum(n_messages) AS BIGINT) AS messages, CAST(sum(first_msg) AS BIGINT) AS firsts FROM turns(TABLE(chat_log), 300) GROUP BY author")
+
+
 @query("ud04_row_functions", "SELECT doc_id, md5(strip_accents(lower(coalesce(lang, '?')))) AS h, length(coalesce(text, '')) AS n FROM documents")
 def ud04(spark, d):
     """A function of rows in Python, over Arrow batches; for what has no expression."""
