@@ -133,10 +133,15 @@ def runs(batches, keys: int):
 
 
 def released() -> None:
-    """Give memory that Arrow holds for later use back: a worker lives on through many stages of other needs."""
+    """Give memory that Arrow and the C library hold for later use back: a worker lives on through many stages of other needs."""
+    import ctypes
+
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; others have none
+    if trim is not None:
+        trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

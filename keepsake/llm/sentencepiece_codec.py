@@ -44,7 +44,7 @@ def default_model() -> str:
 class PrefixTable:
     """The tables of one model. remember bounds the stretches that a worker keeps."""
 
-    def __init__(self, model_file: str, remember: int = 150_000):
+    def __init__(self, model_file: str, remember: int = 50_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
