@@ -135,36 +135,6 @@ def distinctive(topics: DataFrame) -> DataFrame:
     return rows.filter(F.col("c_in") >= F.least(F.lit(2), F.col("n_in"))).select("grp", "topic", (fin * F.log((fin + 0.01) / (fout + 0.01))).alias("score"))
 
 
-def theme_clusters(vectors: DataFrame, by: str, key: str, vector: str, most: int = 8, rounds: int = 30, seed: int = 0) -> DataFrame:
-    """(by, key, theme): spherical k-means in each scope, k = round(sqrt(n / 3)) between 1 and `most` and at most n / 2; starts spread by squared distance under a fixed seed, rows in key order, so reruns agree."""
-    schema = vectors.select(by, key, F.lit(0).cast("long").alias("theme")).schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key, kind="stable")
-        x = np.array(pdf[vector].tolist(), np.float64)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        n = len(x)
-        k = max(1, min(most, round(float(np.sqrt(n / 3))), n // 2))
-        rng = np.random.default_rng(seed)
-        centres = [x[rng.integers(n)]]
-        while len(centres) < k:
-            far = np.maximum(1 - (x @ np.array(centres).T).max(1), 0)
-            centres.append(x[rng.choice(n, p=far / far.sum())] if far.sum() > 0 else x[rng.integers(n)])
-        c, label = np.array(centres), np.full(n, -1)
-        for _ in range(rounds):
-            new = (x @ c.T).argmax(1)
-            if (new == label).all():
-                break
-            label = new
-            for j in range(k):
-                if (label == j).any():
-                    m = x[label == j].sum(0)
-                    c[j] = m / max(np.linalg.norm(m), 1e-12)
-        return pd.DataFrame({by: pdf[by], key: pdf[key], "theme": label.astype(np.int64)})
-
-    return vectors.groupBy(by).applyInPandas(run, schema)
-
-
 def display_order(items: DataFrame) -> DataFrame:
     """(id, grp, k): due within the week and later in order of days, overdue the latest first, undated the newest first. items: (id, due: days from today)."""
     due = F.col("due")

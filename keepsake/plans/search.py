@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import inverted, memory, retrieval, similarity
+from ..operators import inverted, memory, retrieval, similarity, themes
 from ..operators.tables import ordered
 from ..sources.archive import CHATS_SQL, chat_messages, read
 from .registry import query
@@ -164,7 +164,7 @@ def cl06(spark, d):
 
 @query("cl01_theme_clusters")
 def cl01(spark, d):
-    return memory.theme_clusters(read(spark, d, "embeddings"), "label", "vec_id", "embedding")
+    return themes.theme_clusters(read(spark, d, "embeddings"), "label", "vec_id", "embedding")
 
 
 @query("cl04_dated_clusters")
