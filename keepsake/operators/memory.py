@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,35 +28,6 @@ def similar_pairs(rows: DataFrame, least: float = 0.86, by: str = "entity") -> D
     return cosine_join(rows, rows, least, by, extra=lambda pairs: pairs.l_id < pairs.r_id).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
 
 
-def dated_clusters(facts: DataFrame, least: float = 0.72) -> DataFrame:
-    """facts (entity, id, said_on, vec) with cluster: in order of date and id a fact joins the cluster whose centroid is nearest, at cosine `least` or more; a fact without vector stands alone."""
-    schema = facts.select("entity", "id", F.lit(0).cast("long").alias("cluster")).schema
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["said_on", "id"], kind="stable")
-        sums, owner, out = np.zeros((0, 0)), [], []
-        for k, v in enumerate(pdf["vec"]):
-            place = None
-            if v is not None:
-                v = np.asarray(v, np.float64)
-                if len(owner):
-                    sim = sums @ v / np.maximum(np.linalg.norm(sums, axis=1), 1e-12)
-                    best = int(np.argmax(sim >= sim.max() - 1e-12))
-                    place = best if sim[best] >= least else None
-                if place is None:
-                    sums = np.vstack([sums, v[None]]) if len(owner) else v[None].copy()
-                    owner.append(len(set(out)) if out else 0)
-                    out.append(owner[-1])
-                else:
-                    sums[place] += v
-                    out.append(owner[place])
-            else:
-                out.append(len(set(out)))
-        return pd.DataFrame({"entity": pdf["entity"], "id": pdf["id"], "cluster": out})
-
-    return facts.groupBy("entity").applyInPandas(walk, schema)
-
-
 def current_items(items: DataFrame, today: Column, week: int = 7, undated: int = 21) -> Column:
     """Due within the last week or later; without a date, said within the last three weeks."""
     return F.when(F.col("due").isNotNull(), F.col("due") >= F.date_sub(today, week)).otherwise(F.col("said_on") >= F.date_sub(today, undated))

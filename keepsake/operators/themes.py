@@ -9,6 +9,9 @@ Scopes of at most `whole` rows are clustered in one task each. The rows of large
 rows, which fill many partitions; a turn joins the blocks with their scope's centres (k
 vectors a scope, broadcast by Spark only under its own threshold), and sends on a row for each cluster and component of a
 block. Scopes whose centres stand still drop out of the rounds.
+
+Clusters by date hang on the order of their rows, so a scope is walked in it; but it is cut into chunks, and a chunk starts
+from the centroids that the one before has left, as a table. The chunks of all scopes with one number go at once.
 """
 
 from __future__ import annotations
@@ -21,9 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
+from .tables import ordered
 
 #: Rows of a block, rows of a scope that one task takes, and the unit of sums (2^33 rows of a cluster fit a long).
 BLOCK, WHOLE, UNIT = 2048, 50_000, float(1 << 30)
+#: Facts of a scope that a task walks at once.
+CHUNK = 20_000
 
 
 def clusters_for(n: int, most: int) -> int:
@@ -223,3 +229,91 @@ def theme_clusters(vectors: DataFrame, by: str, key: str, vector: str, most: int
     if not large.isEmpty():
         out = out.unionByName(_rounds(rows.filter(F.col("n") > whole), large, width, most, rounds))
     return out.join(scopes, "g").select(F.col("_s").alias(by), F.col("key").alias(key), "theme")
+
+
+class _Centroids:
+    """Sums of the clusters of a scope, in order of their making, in an array that doubles."""
+
+    def __init__(self, width: int, numbers: list[int], sums: list):
+        self.n, self.numbers = len(numbers), list(numbers)
+        self.sums = np.zeros((max(16, 2 * self.n), width))
+        if self.n:
+            self.sums[: self.n] = np.asarray(sums, np.float64)
+        self.norms = np.sqrt((self.sums * self.sums).sum(1))
+
+    def nearest(self, v: np.ndarray, least: float) -> int | None:
+        """The place of the nearest centroid at cosine least or more, of equal ones the last made."""
+        if not self.n:
+            return None
+        norms = self.norms[: self.n]
+        near = np.round(np.divide(self.sums[: self.n] @ v, norms, out=np.zeros(self.n), where=norms > 0), 12)
+        best = self.n - 1 - int(near[::-1].argmax())
+        return best if near[best] >= least else None
+
+    def add(self, at: int, v: np.ndarray) -> None:
+        self.sums[at] += v
+        self.norms[at] = np.sqrt((self.sums[at] * self.sums[at]).sum())
+
+    def make(self, number: int, v: np.ndarray) -> None:
+        if self.n == len(self.sums):
+            self.sums, self.norms = np.vstack([self.sums, np.zeros_like(self.sums)]), np.concatenate([self.norms, np.zeros_like(self.norms)])
+        self.numbers.append(number)
+        self.n += 1
+        self.add(self.n - 1, v)
+
+
+def dated_clusters(facts: DataFrame, least: float = 0.72, chunk: int = CHUNK) -> DataFrame:
+    """(entity, id, cluster) of facts (entity, id, said_on, vec): in order of date and id a fact joins the cluster whose centroid is nearest, at cosine `least` or more, of equal ones the last made; else it starts one. Clusters are numbered from 0 as they are made.
+
+    A fact whose vector is null, zero, of another length than the longest, or holds a null or a number that is not finite stands
+    alone. Facts without a date come first; facts with equal date and id go by their vectors. A null entity is one of its own. A
+    task holds `chunk` facts and the centroids of their entity; the result doesn't depend on `chunk`.
+    """
+    wide = F.transform("vec", lambda v: v.cast("double"))
+    sound = F.coalesce(~F.exists("v", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(False))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, v: s + v * v))
+    rows = facts.select("entity", "id", "said_on", wide.alias("v")).withColumn("n", F.when(sound, length))
+    rows = rows.select("entity", "id", "said_on", F.when((F.col("n") > 0) & (F.col("n") < float("inf")), F.transform("v", lambda v: v / F.col("n"))).alias("v"))
+    rows = kept(ordered(rows, ["entity", "said_on", "id", "v"], "k"), "facts")
+    width = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    first = kept(rows.groupBy(F.col("entity").alias("_e")).agg(F.min("k").alias("g"), F.count("*").alias("n")), "entities")
+    alone = F.when(F.size("v") == F.lit(width), F.col("v"))
+    rows = kept(rows.join(first, F.col("entity").eqNullSafe(F.col("_e"))).select("g", "id", "k", F.floor((F.col("k") - F.col("g")) / chunk).alias("chunk"), alone.alias("v")), "chunks")
+    chunks = -(-(first.agg(F.max("n")).first()[0] or 0) // chunk)
+    schema = rows.select("g", "id", F.lit(True).alias("placed"), F.lit(0).cast("long").alias("cluster"), "v").schema
+
+    def walk(part: pa.Table, left: pa.Table) -> pa.Table:
+        """The clusters of a chunk's facts, and the centroids it leaves, with the next number in a row without a vector."""
+        part, left = part.sort_by("k"), left.sort_by("cluster")
+        before = list(zip(left["cluster"].to_pylist(), left["v"]))
+        made = before[-1][0] if before else 0
+        c = _Centroids(width, [n for n, v in before if v.is_valid], [v.values.to_numpy() for _, v in before if v.is_valid])
+        out = []
+        for v in part["v"]:
+            x = v.values.to_numpy() if v.is_valid else None
+            at = None if x is None else c.nearest(x, least)
+            if at is not None:
+                c.add(at, x)
+                out.append(c.numbers[at])
+                continue
+            if x is not None:
+                c.make(made, x)
+            out.append(made)
+            made += 1
+        g = part["g"][0].as_py() if len(out) else None
+        n = c.n + 1 if len(out) else 0  # a scope that has no more facts leaves nothing
+        vectors = [None] * len(out) + [*c.sums[: c.n], None][:n]
+        ids = pa.concat_arrays([*part["id"].chunks, pa.nulls(n, part["id"].type)])
+        return pa.table([pa.array([g] * len(ids), pa.int64()), ids, pa.array([True] * len(out) + [False] * n, pa.bool_()), pa.array(out + [*c.numbers, made][:n], pa.int64()), pa.array(vectors, pa.list_(pa.float64()))], names=schema.names)
+
+    state, done = None, []
+    for k in range(chunks):
+        part = rows.filter(F.col("chunk") == k).select("g", "id", "k", "v")
+        state = rows.select("g", F.lit(0).cast("long").alias("cluster"), "v").limit(0) if state is None else state
+        out = kept(part.groupBy("g").cogroup(state.groupBy("g")).applyInArrow(walk, schema), "walked")
+        done.append(out.filter("placed").select("g", "id", "cluster"))
+        state = out.filter("not placed").select("g", "cluster", "v")
+    placed = rows.select("g", "id", F.lit(0).cast("long").alias("cluster")).limit(0)
+    for part in done:
+        placed = placed.unionByName(part)
+    return placed.join(first, "g").select(F.col("_e").alias("entity"), "id", "cluster")

@@ -167,10 +167,14 @@ def cl01(spark, d):
     return themes.theme_clusters(read(spark, d, "embeddings"), "label", "vec_id", "embedding")
 
 
-@query("cl04_dated_clusters")
+@query("cl04_dated_clusters", """WITH RECURSIVE u AS (SELECT label AS entity, vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), f AS (SELECT entity, id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v, row_number() OVER (PARTITION BY entity ORDER BY id % 30, id) AS k FROM u),
+ w AS (SELECT entity, k, id, 1 AS cluster, [v] AS cents FROM f WHERE k = 1
+ UNION ALL SELECT entity, k, id, coalesce(best, len(cents) + 1) AS cluster, CASE WHEN best IS NULL THEN list_append(cents, v) ELSE list_transform(cents, lambda c, i: CASE WHEN i = best THEN list_transform(list_zip(c, v), lambda p: p[1] + p[2]) ELSE c END) END AS cents
+  FROM (SELECT *, CASE WHEN list_max(near) >= 0.3 THEN len(near) + 1 - list_position(list_reverse(near), list_max(near)) END AS best FROM (SELECT f.*, w.cents, list_transform(w.cents, lambda c: round(list_cosine_similarity(c, f.v), 12)) AS near FROM w JOIN f ON f.entity = w.entity AND f.k = w.k + 1)))
+SELECT entity, id, CAST(cluster - 1 AS BIGINT) AS cluster FROM w""")
 def cl04(spark, d):
     e = read(spark, d, "embeddings").select(F.col("label").alias("entity"), F.col("vec_id").alias("id"), (F.col("vec_id") % 30).alias("said_on"), F.col("embedding").alias("vec"))
-    return memory.dated_clusters(e, 0.3)
+    return themes.dated_clusters(e, 0.3)
 
 
 @query("qt09_source_numbers", "SELECT doc_id, dense_rank() OVER (ORDER BY first) AS number FROM (SELECT doc_id, min(pos) OVER (PARTITION BY source) AS first FROM (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) AS pos FROM documents))")

@@ -100,3 +100,39 @@ def test_a_large_scope_fills_many_tasks(spark, table, monkeypatch):
 def test_empty(spark):
     assert clustered(spark.createDataFrame([], SCHEMA)) == []
     assert clustered(spark.createDataFrame([], SCHEMA), whole=0) == []
+
+
+def walked(rows, least):
+    """The clusters of facts (entity, id, said_on, vec), one after another."""
+    out, scopes = [], {}
+    for entity, key, day, v in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2] is not None, r[2] or 0, r[1])):
+        cents, made = scopes.setdefault(entity, ({}, [0]))
+        sound = v is not None and len(v) == 5 and all(c is not None and math.isfinite(c) for c in v) and any(v)
+        best = None
+        if sound:
+            size = math.sqrt(sum(float(np.float32(c)) ** 2 for c in v))
+            v = [float(np.float32(c)) / size for c in v]
+            near = {k: round(sum(a * b for a, b in zip(c, v)) / math.sqrt(sum(a * a for a in c)), 12) for k, c in cents.items() if any(c)}
+            best = max(near, key=lambda k: (near[k], k)) if near and max(near.values()) >= least else None
+        if best is None:
+            best = made[0]
+            made[0] += 1
+            if sound:
+                cents[best] = v
+        elif sound:
+            cents[best] = [a + b for a, b in zip(cents[best], v)]
+        out.append((entity, key, best))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("least,chunk", [(0.72, 20_000), (0.72, 100), (0.95, 37), (-0.2, 100)])
+def test_dated_clusters_are_the_walk(spark, least, chunk):
+    rows, odd = data()
+    facts = [(s, k, None if k % 11 == 0 else k % 30, v) for s, k, v in (*[r for r in rows if r[1] is not None and r[0] != 51], *odd)]
+    df = spark.createDataFrame(facts, "entity long, id long, said_on int, vec array<float>").repartition(5)
+    got = themes.dated_clusters(df, least, chunk).collect()
+    assert sorted(((r.entity, r.id, r.cluster) for r in got), key=str) == walked(facts, least)
+
+
+def test_dated_clusters_of_nothing(spark):
+    assert themes.dated_clusters(spark.createDataFrame([], "entity long, id long, said_on int, vec array<float>")).collect() == []
