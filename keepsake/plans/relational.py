@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import times
 from ..functions.text import thread_group
-from ..operators import graph, memory, selection, tables
+from ..operators import graph, memory, selection, spans, tables
 from ..sources.archive import CHATS_SQL, EVENTS_SQL, chat_messages, event_messages, read
 from .registry import query
 
@@ -200,10 +200,18 @@ def jn13(spark, d):
 
 @query("jn14_interval_join", f"WITH {EVENTS_SQL}, s AS (SELECT thread_id, ts // 86400 AS day, min(ts) AS a, max(ts) AS b FROM msgs GROUP BY 1, 2) SELECT x.thread_id AS t1, y.thread_id AS t2, count(*) AS n FROM s x JOIN s y ON x.day = y.day AND x.thread_id < y.thread_id AND x.b >= y.a AND x.a <= y.b GROUP BY 1, 2")
 def jn14(spark, d):
-    """Spans of one day overlap only spans of that day, so the day is the join key and the rest a filter."""
-    s = event_messages(spark, d).groupBy("thread_id", F.floor(F.col("ts") / 86400).alias("day")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    x, y = s.select("day", F.col("thread_id").alias("t1"), F.col("a").alias("xa"), F.col("b").alias("xb")), s.withColumnRenamed("thread_id", "t2")
-    return x.join(y, "day").filter("t1 < t2 and xb >= a and xa <= b").groupBy("t1", "t2").agg(F.count("*").alias("n"))
+    s = event_messages(spark, d).groupBy("thread_id", F.floor(F.col("ts") / 86400).alias("day")).agg(F.min("ts").alias("a"), F.max("ts").alias("b")).drop("day")
+    return spans.overlapping(s, s).filter("l_thread_id < r_thread_id").groupBy(F.col("l_thread_id").alias("t1"), F.col("r_thread_id").alias("t2")).agg(F.count("*").alias("n"))
+
+
+@query("jn14_open_replies", f"WITH {EVENTS_SQL}, s AS (SELECT m.thread_id, m.author, m.msg_id, least(m.ts, p.ts) AS a, greatest(m.ts, p.ts) AS b FROM msgs m JOIN msgs p ON p.msg_id = m.parent_id) SELECT x.thread_id, count(*) AS pairs, CAST(sum(least(x.b, y.b) - greatest(x.a, y.a)) AS BIGINT) AS seconds FROM s x JOIN s y ON x.thread_id = y.thread_id AND x.author < y.author AND x.a <= y.b AND y.a <= x.b GROUP BY 1")
+def jn14_open_replies(spark, d):
+    """Spans from a message to its reply, of seconds to weeks: how many of different authors are open at once in a thread, and for how long."""
+    m = event_messages(spark, d)
+    p = m.select(F.col("msg_id").alias("parent_id"), F.col("ts").alias("asked"))
+    s = m.join(p, "parent_id").select("thread_id", "author", F.least("ts", "asked").alias("a"), F.greatest("ts", "asked").alias("b"))
+    both = spans.overlapping(s, s, by=["thread_id"]).filter("l_author < r_author")
+    return both.groupBy("thread_id").agg(F.count("*").alias("pairs"), F.sum(F.least("l_b", "r_b") - F.greatest("l_a", "r_a")).alias("seconds"))
 
 
 @query("jn17_shared_members", "WITH m AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS x FROM lineitem), c AS (SELECT a.g AS a, b.g AS b, count(*) AS n FROM m a JOIN m b ON a.x = b.x AND a.g <> b.g GROUP BY 1, 2), s AS (SELECT g, count(*) AS size FROM m GROUP BY 1) SELECT c.a, c.b, c.n FROM c JOIN s ON s.g = c.a WHERE c.n >= 0.5 * s.size")
