@@ -30,11 +30,6 @@ def simple(edges_: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges_.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b").distinct()
 
 
-def neighbours(edges_: DataFrame, node: str) -> DataFrame:
-    both = edges_.select("source", "target", "weight").union(edges_.select("target", "source", "weight"))
-    return both.filter(F.col("source") == node).groupBy(F.col("target").alias("id")).agg(F.sum("weight").cast("long").alias("weight"))
-
-
 def closeness(edges_: DataFrame, owner: str) -> DataFrame:
     """(id, closeness): over shared threads their weight plus the owner's, on a log scale to the largest."""
     mine = edges_.filter(F.col("source") == owner).select("target", F.col("weight").alias("mine"))
@@ -84,12 +79,6 @@ def nearest_in_grid(points: DataFrame, asked: DataFrame, reach: float) -> DataFr
     return hits.groupBy("q").agg(F.min(F.struct("d2", "id")).alias("m")).select("q", F.col("m.id").alias("id"), F.col("m.d2").alias("d2"))
 
 
-def ego_net(edges_: DataFrame, node: str) -> DataFrame:
-    """Edges between a node, its threads, and those threads' other accounts."""
-    threads = edges_.filter(F.col("source") == node).select("target").distinct()
-    return edges_.join(threads, "target", "left_semi").select("source", "target", "weight")
-
-
 def axes_of(points: DataFrame) -> tuple[list[float], list[list[float]]]:
     """(centre, two main axes) of points (x, y, z): medians and the covariance are aggregates; the 3 x 3 eigenproblem is solved on the driver."""
     import numpy as np

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import times
-from ..operators import graph, identity, memory
+from ..operators import adjacency, graph, identity, memory
 from ..sources.archive import EVENTS_SQL, event_messages, read
 from .registry import query
 from .relational import ACCOUNTS_SQL, LOCAL_DAY, accounts
@@ -77,6 +77,10 @@ def _edges(spark, d):
     return graph.edges(read(spark, d, "orders").select(F.col("o_custkey").alias("account_id"), (F.col("o_orderkey") % 97).alias("thread_id")))
 
 
+def _adjacency(spark, d):
+    return adjacency.opened(spark, f"{d}/orders.parquet", "accounts and threads", lambda: _edges(spark, d))
+
+
 @query("gr01_graph_export", f"WITH {EDGES_SQL}, n AS (SELECT id, CAST(sum(weight) AS BIGINT) AS size FROM (SELECT source AS id, weight FROM e UNION ALL SELECT target, weight FROM e) GROUP BY 1), l AS (SELECT id, substr(id, 1, 3) AS label, size FROM n) SELECT id, label || CASE WHEN k > 1 THEN ' #' || k ELSE '' END AS label, size FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY size DESC, id) AS k FROM l)")
 def gr01(spark, d):
     n = graph.sizes(_edges(spark, d))
@@ -90,12 +94,25 @@ def ag11(spark, d):
 
 @query("gr05_neighbours", f"WITH {EDGES_SQL} SELECT source AS id, CAST(sum(weight) AS BIGINT) AS weight FROM e WHERE target = 'T_5' GROUP BY 1")
 def gr05(spark, d):
-    return graph.neighbours(_edges(spark, d), "T_5")
+    return _adjacency(spark, d).of("T_5").select("id", "weight")
 
 
 @query("gr08_ego_net", f"WITH {EDGES_SQL} SELECT source, target, weight FROM e WHERE target IN (SELECT target FROM e WHERE source = 'A_1')")
 def gr08(spark, d):
-    return graph.ego_net(_edges(spark, d), "A_1")
+    own = _adjacency(spark, d)
+    threads = own.of("A_1").select(F.col("id").alias("node"))
+    return own.neighbours(threads).select(F.col("id").alias("source"), F.col("node").alias("target"), "weight")
+
+
+@query("gr08_two_hop_nets", "WITH e AS (SELECT DISTINCT l_partkey AS p, l_orderkey AS o FROM lineitem), n AS (SELECT p, count(*) AS near FROM e GROUP BY 1), f AS (SELECT a.p, count(DISTINCT b.p) AS far FROM e a JOIN e b ON a.o = b.o AND a.p <> b.p GROUP BY 1) SELECT 'P_' || n.p AS seed, near, coalesce(far, 0) AS far FROM n LEFT JOIN f USING (p)")
+def gr08_nets(spark, d):
+    """How many orders each part is in, and how many other parts are in those."""
+    def edges():
+        return read(spark, d, "lineitem", "l_partkey", "l_orderkey").select(F.concat(F.lit("P_"), "l_partkey").alias("source"), F.concat(F.lit("O_"), "l_orderkey").alias("target"), F.lit(1).alias("weight"))
+
+    own = adjacency.opened(spark, f"{d}/lineitem.parquet", "parts", edges)
+    seeds = own.nodes.filter("node like 'P%'").select(F.col("node").alias("seed"), "node")
+    return own.expanded(seeds, 2).groupBy("seed").agg(F.count_if(F.col("hop") == 1).alias("near"), F.count_if(F.col("hop") == 2).alias("far"))
 
 
 @query("ag31_closeness", f"WITH {EDGES_SQL}, m AS (SELECT target, weight AS mine FROM e WHERE source = 'A_1'), c AS (SELECT source AS id, sum(weight + mine) AS c FROM e JOIN m USING (target) WHERE source <> 'A_1' GROUP BY 1) SELECT id, round(ln(1 + c) / ln(1 + max(c) OVER ()), 6) AS closeness FROM c")
