@@ -118,7 +118,7 @@ def galaxy(nodes: DataFrame, ring: float = 300.0, step: float = 4.0) -> DataFram
     k = (F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("size"), "id")) - 1).cast("double")
     names = nodes.select("bucket").distinct()
     place = names.withColumn("j", F.row_number().over(Window.orderBy("bucket")) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))  # a row a bucket
-    rows = nodes.withColumn("k", k).join(F.broadcast(place), "bucket")
+    rows = nodes.withColumn("k", k).join(place, "bucket")
     at, turn = 2 * F.pi() * F.col("j") / F.col("n"), F.col("k") * F.lit(2.399963229728653)
     spiral = lambda f: F.lit(step) * F.sqrt("k") * f(turn)
     return rows.select("id", (F.lit(ring) * F.cos(at) + spiral(F.cos)).alias("x"), (F.lit(ring) * F.sin(at) + spiral(F.sin)).alias("y"))

@@ -125,18 +125,17 @@ def ancestor_chains(starts: DataFrame, sources: list[tuple[str, DataFrame]]) ->
     """(start, id, depth, src): from each start up to the first post that no source knows, which is a ghost. sources: name and (id, parent), best first. A frontier is joined a level at a time until it is empty; a chain that comes back to itself ends there."""
     from functools import reduce
 
-    from ..sources.shared import kept
+    from ..sources.shared import Levels, kept
 
     ranked = [s.select("id", F.struct(F.lit(k).alias("k"), F.lit(name).alias("src"), "parent").alias("s")) for k, (name, s) in enumerate(sources)]
     known = kept(reduce(DataFrame.unionByName, ranked).groupBy("id").agg(F.min("s").alias("s")).select("id", "s.src", "s.parent"), "known")
-    frontier, out = starts.select("start", F.col("start").alias("id"), F.array("start").alias("_seen")), None
-    depth = 0
+    frontier = starts.select("start", F.col("start").alias("id"), F.array("start").alias("_seen"))
+    levels, depth = Levels(starts.sparkSession, "chain"), 0
     while True:
-        rows = kept(frontier.join(known, "id", "left"), "chain")
-        if depth and rows.isEmpty():
-            return out
-        part = rows.select("start", "id", F.lit(depth).alias("depth"), F.coalesce("src", F.lit("ghost")).alias("src"))
-        out, depth = part if out is None else out.unionByName(part), depth + 1
+        rows = levels.add(depth, frontier.join(known, "id", "left").select("start", "id", "src", "parent", "_seen"))
+        if rows.isEmpty():
+            return levels.all().select("start", "id", F.col("level").alias("depth"), F.coalesce("src", F.lit("ghost")).alias("src"))
+        depth += 1
         on = rows.filter(F.col("src").isNotNull() & F.col("parent").isNotNull() & ~F.array_contains("_seen", F.col("parent")))
         frontier = on.select("start", F.col("parent").alias("id"), F.array_append("_seen", F.col("parent")).alias("_seen"))
 

@@ -9,6 +9,7 @@ from ..functions import times
 from ..functions import text as tx
 from ..operators import conversations as cv
 from ..operators import graph, identity, selection
+from ..operators.tables import ordered
 from ..sources.archive import CHATS_SQL, EVENTS_SQL, chat_messages, event_messages, read
 from .registry import query
 
@@ -343,14 +344,11 @@ def st13(spark, d):
     return memory.display_order(read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), due.alias("due")))
 
 
-@query("st14_length_batches", "SELECT doc_id FROM documents")
+@query("st14_length_batches", "SELECT doc_id, (row_number() OVER (ORDER BY n_chars, doc_id) - 1) // 64 AS batch FROM documents")
 def st14(spark, d):
-    """Texts dealt by length, so that a batch for a model holds texts of like length; lengths of different parts don't overlap."""
-    parts = read(spark, d, "documents", "doc_id", "n_chars").repartitionByRange(8, "n_chars").withColumn("p", F.spark_partition_id())
-    ends = parts.groupBy("p").agg(F.min("n_chars").alias("low"), F.max("n_chars").alias("high"))
-    w = Window.orderBy("p")  # a row a part
-    bad = ends.withColumn("before", F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1))).filter("low < before").select("p")
-    return parts.join(F.broadcast(bad), "p", "left_anti").select("doc_id")
+    """Texts dealt by length into batches of 64 for a model, which so holds texts of like length."""
+    parts = ordered(read(spark, d, "documents", "doc_id", "n_chars"), ["n_chars", "doc_id"], "_k")
+    return parts.select("doc_id", F.floor(F.col("_k") / 64).alias("batch"))
 
 
 @query("so02_intersections", f"WITH {ACCOUNT_LISTS} SELECT id, list_sort(list_intersect(account_ids, [3, 5, 8, 13, 21, 34])) AS both FROM l")

@@ -122,16 +122,15 @@ def conversation_threads(spark: SparkSession, path: str) -> DataFrame:
 
 def flattened_comments(trees: DataFrame, thread: str = "thread", tree: str = "tree") -> DataFrame:
     """(thread, id, author, body, ts, parent, depth) of comment trees (thread, tree: the JSON of a root comment), level by level until none is left. A comment's replies stay JSON until their level, so depth has no bound."""
-    from .shared import kept
+    from .shared import Levels
 
     level = trees.select(F.col(thread).alias("thread"), F.from_json(tree, NODE).alias("n"), F.lit(None).cast("string").alias("parent"))
-    out, depth = None, 0
+    levels, depth = Levels(trees.sparkSession, "comments"), 0
     while True:
-        rows = kept(level.filter("n.id is not null").select("thread", "n.*", "parent"), "comments")
-        if depth and rows.isEmpty():
-            return out
-        part = rows.select("thread", "id", "author", "body", F.col("created_utc").alias("ts"), "parent", F.lit(depth).alias("depth"))
-        out, depth = part if out is None else out.unionByName(part), depth + 1
+        rows = levels.add(depth, level.filter("n.id is not null").select("thread", "n.*", "parent"))
+        if rows.isEmpty():
+            return levels.all().select("thread", "id", "author", "body", F.col("created_utc").alias("ts"), "parent", F.col("level").alias("depth"))
+        depth += 1
         level = rows.select("thread", F.explode("replies").alias("r"), F.col("id").alias("parent")).select("thread", F.from_json("r", NODE).alias("n"), "parent")
 
 

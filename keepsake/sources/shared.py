@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def folder(spark: SparkSession) -> str:
@@ -23,6 +24,23 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/keepsake/{name}-{uuid.uuid4().hex}"
 
 
+class Levels:
+    """Tables of one schema written level by level into one folder and read as one: a plan over all of them doesn't grow with their number."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.schema = spark, fresh(spark, name), None
+
+    def add(self, level: int, df: DataFrame) -> DataFrame:
+        """df, written and read again."""
+        self.schema, path = df.schema, f"{self.path}/level={level}"
+        df.write.parquet(path)
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        """The rows of all levels, with `level`."""
+        return self.spark.read.schema(StructType([*self.schema.fields, StructField("level", IntegerType())])).parquet(self.path)
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read again: cuts lineage, survives lost executors."""
     path = fresh(df.sparkSession, name)
