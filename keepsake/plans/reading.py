@@ -162,9 +162,15 @@ def theme_topics(spark, d):
     return read(spark, d, "part").select(F.col("p_type").alias("scope"), F.col("p_brand").alias("theme"), F.col("p_partkey").alias("item"), F.explode(F.array_distinct(F.split("p_name", " "))).alias("topic"))
 
 
-@query("cl02_theme_names")
+@query("cl02_theme_names", f"""WITH RECURSIVE {THEME_TOPICS}, z AS (SELECT scope, theme, count(DISTINCT item) AS n_in FROM t GROUP BY 1, 2), a AS (SELECT scope, count(DISTINCT item) AS n_all FROM t GROUP BY 1),
+ g AS (SELECT scope, theme, n_in, n_all, row_number() OVER (PARTITION BY scope ORDER BY n_in DESC, theme) AS turn FROM z JOIN a USING (scope) WHERE n_in >= 2 AND n_in >= 0.02 * n_all),
+ i AS (SELECT scope, theme, topic, count(DISTINCT item) AS c_in FROM t GROUP BY 1, 2, 3), o AS (SELECT scope, topic, count(DISTINCT item) AS c_all FROM t GROUP BY 1, 2),
+ s AS (SELECT scope, theme, topic, round(c_in / n_in * ln((c_in / n_in + 0.01) / (CASE WHEN n_all > n_in THEN (c_all - c_in) / (n_all - n_in) ELSE 0 END + 0.01)), 9) AS score FROM g JOIN i USING (scope, theme) JOIN o USING (scope, topic) WHERE c_in >= least(2, n_in)),
+ l AS (SELECT g.scope, g.theme, g.turn, coalesce(list(topic ORDER BY score DESC, topic) FILTER (score > 0), []) AS topics FROM g LEFT JOIN s USING (scope, theme) GROUP BY 1, 2, 3),
+ w AS (SELECT scope, theme, turn, topics[1:3] AS names, topics[1:3] AS used FROM l WHERE turn = 1
+ UNION ALL SELECT scope, theme, turn, names, list_concat(used, names) AS used FROM (SELECT l.scope, l.theme, l.turn, w.used, list_filter(l.topics, lambda x: NOT list_contains(w.used, x))[1:3] AS names FROM w JOIN l ON l.scope = w.scope AND l.turn = w.turn + 1))
+SELECT scope, theme, array_to_string(names, ', ') AS names FROM w WHERE len(names) > 0""")
 def cl02(spark, d):
-    """tests/test_reading.py holds it against a walk in Python."""
     return memory.theme_names(theme_topics(spark, d)).select("scope", "theme", F.array_join("names", ", ").alias("names"))
 
 
