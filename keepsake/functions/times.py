@@ -42,6 +42,17 @@ def id_time(msg_id: Column) -> Column:
     return F.when(n > 10_000_000_000_000, F.floor((F.shiftright(n, 22) + EPOCH_MS) / 1000).cast("long"))
 
 
+def wide_id_time(n: Column) -> Column:
+    """The same of a number that may be larger than 64 bits hold, as a decimal without fraction."""
+    shifted = F.call_function("div", n, F.lit(1 << 22).cast("decimal(10,0)"))
+    return F.when(n > 10_000_000_000_000, F.floor((shifted + EPOCH_MS) / 1000).cast("long"))
+
+
+def sessions_of(at: Column, seconds: int) -> Column:
+    """Session windows of times in whole seconds that end where `seconds` or more pass without a row. Spark joins a row that comes at the very end of a window to it, so the gap is a microsecond less."""
+    return F.session_window(at, f"{seconds - 1} seconds 999999 microseconds")
+
+
 def parsed(text: Column, *formats: str) -> Column:
     """The first format that fits, else null."""
     return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in formats))

@@ -21,7 +21,8 @@ def pf01(spark, d):
 
 @query("pf02_id_time", "SELECT event_id, CASE WHEN n > 10000000000000 THEN CAST(floor(((n >> 22) + 1288834974657) / 1000) AS BIGINT) END AS ts FROM (SELECT event_id, event_id * 170000000000000 AS n FROM events)")
 def pf02(spark, d):
-    return read(spark, d, "events", "event_id").select("event_id", times.id_time((F.col("event_id") * F.lit(170000000000000)).cast("string")).alias("ts"))
+    n = F.col("event_id").cast("decimal(20,0)") * F.lit(170000000000000).cast("decimal(15,0)")  # past 64 bits from event 54,255 on
+    return read(spark, d, "events", "event_id").select("event_id", times.wide_id_time(n).alias("ts"))
 
 
 @query("fs01_mojibake", "SELECT doc_id, md5(text) AS h FROM documents")

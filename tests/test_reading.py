@@ -106,3 +106,14 @@ def test_times_in_ids(spark):
     got = [r["t"] for r in spark.createDataFrame([(k, i) for k, i in enumerate(ids)], "k int, i string").select("k", times.id_time(F.col("i")).alias("t")).orderBy("k").collect()]
     want = [((int(i) >> 22) + times.EPOCH_MS) // 1000 for i in ids[:3]]
     assert got == [*want, None, None, None, None]
+
+
+def test_times_in_ids_past_64_bits(spark, tmp_path):
+    """pf02's products leave 64 bits from event 54,255 on; the rows then have the exact time."""
+    from keepsake.functions import times
+    from keepsake.plans import registry
+
+    ids = [-1, 0, 1, 54_254, 54_255, 99_999, 6_000_000, None]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_id"]: r["ts"] for r in registry.queries()["pf02_id_time"](spark, str(tmp_path)).collect()}
+    assert got == {i: ((i * 170_000_000_000_000 >> 22) + times.EPOCH_MS) // 1000 if i and i > 0 else None for i in ids}
