@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions import times
 from ..operators import conversations as cv
 from ..sources.archive import CHATS_SQL, EVENTS_SQL, chat_messages, event_messages, read
 from .registry import query
@@ -38,7 +39,7 @@ def wn04(spark, d):
 @query("wn04_session_window", f"WITH {EVENTS_SQL}, f AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= 2700 THEN 1 ELSE 0 END AS new FROM msgs WINDOW w AS (PARTITION BY thread_id ORDER BY ts, msg_id)), t AS (SELECT *, sum(new) OVER (PARTITION BY thread_id ORDER BY ts, msg_id ROWS UNBOUNDED PRECEDING) AS s FROM f) SELECT thread_id, count(*) AS n, min(ts) AS a FROM t GROUP BY thread_id, s")
 def wn04b(spark, d):
     m = event_messages(spark, d).withColumn("at", F.timestamp_seconds("ts"))
-    return m.groupBy("thread_id", F.session_window("at", "2700 seconds")).agg(F.count("*").alias("n"), F.min("ts").alias("a")).select("thread_id", "n", "a")
+    return m.groupBy("thread_id", times.sessions_of(F.col("at"), 2700)).agg(F.count("*").alias("n"), F.min("ts").alias("a")).select("thread_id", "n", "a")
 
 
 SESSIONS_SQL = f"""WITH RECURSIVE {EVENTS_SQL}, r AS (SELECT thread_id, msg_id, ts, msg_id % 50 + 10 AS tok, row_number() OVER (PARTITION BY thread_id ORDER BY ts, msg_id) AS rn FROM msgs),

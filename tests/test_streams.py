@@ -81,3 +81,14 @@ def test_parts_come_in_order_of_time(spark, units):
     out = feeds.streamed(spark, rows, "at", lambda s: s.withWatermark("at", "0 seconds").groupBy("thread_id", F.session_window("at", "1 day")).count(), parts=5)
     assert out.agg(F.sum("count")).first()[0] == units.count()
     assert feeds.streamed(spark, rows.limit(0), "at", lambda s: s.groupBy("thread_id").count()).count() == 0
+
+
+@pytest.mark.parametrize("name,gap", [("wn04_session_window", 2700), ("ss03_session_windows", 86_400)])
+def test_a_row_at_the_very_gap_opens_a_session(spark, tmp_path, name, gap):
+    from keepsake.plans import registry
+
+    at = [0, gap - 1, 2 * gap - 1, 3 * gap - 2, 4 * gap - 1]
+    rows = spark.createDataFrame([(k, 1_704_067_200 + t, 7, "view", 1.0) for k, t in enumerate(at)], "event_id long, s long, user_id long, event_type string, value double")
+    rows.select("event_id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    got = registry.queries()[name](spark, str(tmp_path))
+    assert sorted((r[2] - 1_704_067_200, r[1]) for r in got.collect()) == [(0, 2), (2 * gap - 1, 2), (4 * gap - 1, 1)]
