@@ -7,6 +7,7 @@ import contextlib
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import times
 from ..operators import identity
 from ..operators import tables as tb
 from ..sources.archive import CHATS_SQL, EVENTS_SQL, chat_messages, event_messages, read
@@ -170,7 +171,7 @@ def ss02(spark, d):
 @query("ss03_session_windows", f"WITH {EVENTS_SQL}, f AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= 86400 THEN 1 ELSE 0 END AS new FROM msgs WINDOW w AS (PARTITION BY thread_id ORDER BY ts, msg_id)), t AS (SELECT *, sum(new) OVER (PARTITION BY thread_id ORDER BY ts, msg_id ROWS UNBOUNDED PRECEDING) AS s FROM f) SELECT thread_id, count(*) AS n, min(ts) AS start FROM t GROUP BY thread_id, s")
 def ss03(spark, d):
     m = event_messages(spark, d).withColumn("at", F.timestamp_seconds("ts"))
-    w = lambda s: s.withWatermark("at", "3 days").groupBy("thread_id", F.session_window("at", "1 day").alias("w")).agg(F.count("*").alias("n")).select("thread_id", "n", F.unix_timestamp("w.start").alias("start"))
+    w = lambda s: s.withWatermark("at", "3 days").groupBy("thread_id", times.sessions_of(F.col("at"), 86_400).alias("w")).agg(F.count("*").alias("n")).select("thread_id", "n", F.unix_timestamp("w.start").alias("start"))
     return feeds.streamed(spark, m, "at", w)
 
 
