@@ -11,23 +11,30 @@ from .automaton import occurring
 
 def match_levels(subjects: DataFrame, participants: DataFrame) -> DataFrame:
     """(subject_id, account_id): the one participant a subject's name means. Levels: the same name; the same words; the subject's words all in the name; the same first word. The first level with a match decides, and only if it has a single one. subjects: (subject_id, scope, name), participants: (scope, account_id, name), names already keys."""
-    s = subjects.select("subject_id", "scope", F.col("name").alias("sn"), F.array_distinct(F.split("name", " ")).alias("sw")).filter("sn <> ''")
-    p = participants.select("scope", "account_id", F.col("name").alias("pn"), F.array_distinct(F.split("name", " ")).alias("pw")).filter("pn <> ''")
-    # every level shares a word with the subject's first word or the whole set, so words are the join key
-    left = s.withColumn("w", F.element_at("sw", 1))
-    right = p.withColumn("w", F.explode("pw"))
-    both = left.join(right, ["scope", "w"])
-    inside = F.size(F.array_except("sw", "pw")) == 0
-    level = (
-        F.when(F.col("sn") == F.col("pn"), 1)
-        .when(inside & (F.size(F.array_except("pw", "sw")) == 0), 2)
-        .when(inside, 3)
-        .when(F.element_at(F.split("pn", " "), 1) == F.element_at(F.split("sn", " "), 1), 4)
-    )
-    hits = both.withColumn("level", level).filter("level is not null").select("subject_id", "account_id", "level").distinct()
-    best = hits.groupBy("subject_id").agg(F.min(F.struct("level"))["level"].alias("best"))
-    at = hits.join(best, "subject_id").filter("level = best").groupBy("subject_id").agg(F.count("*").alias("n"), F.min("account_id").alias("account_id"))
-    return at.filter("n = 1").select("subject_id", "account_id")
+    words = F.array_sort(F.array_distinct(F.split("name", " "))).alias("ws")
+    s = subjects.select("subject_id", "scope", "name", words, F.element_at(F.split("name", " "), 1).alias("first")).filter("name <> ''")
+    p = participants.select("scope", F.struct("account_id").alias("a"), "name", words, F.element_at(F.split("name", " "), 1).alias("first")).filter("name <> ''")
+    # a level has a single match if the least account at it is the largest, so accounts meet subjects as one row a key
+    spans = lambda *by: p.groupBy(*by).agg(F.min("a").alias("lo"), F.max("a").alias("hi"))
+    hits = lambda level, rows, found, *on: rows.join(found, [*on]).select("subject_id", F.lit(level).alias("level"), "lo", "hi")
+    sets = spans("scope", "ws")
+    same = hits(1, s, spans("scope", "name"), "scope", "name").unionByName(hits(2, s, sets, "scope", "ws"))
+    rest = s.join(same.select("subject_id").distinct(), "subject_id", "left_anti")
+    inside = hits(3, rest, _held(rest.select("scope", "ws").distinct(), sets), "scope", "ws")
+    every = same.unionByName(inside).unionByName(hits(4, s, spans("scope", "first"), "scope", "first"))
+    best = every.groupBy("subject_id").agg(F.min(F.struct("level", "lo")).alias("l"), F.max(F.struct(-F.col("level"), "hi")).alias("h"))
+    return best.filter(F.col("l.lo").eqNullSafe(F.col("h.hi"))).select("subject_id", "l.lo.account_id")
+
+
+def _held(asked: DataFrame, sets: DataFrame) -> DataFrame:
+    """(scope, ws, lo, hi): the least and largest account among the sets of words that hold all words asked. They meet under the rarest of the words asked; a single word needs no meeting. asked: (scope, ws), sets: (scope, ws, lo, hi)."""
+    each = sets.select("scope", F.col("ws").alias("pw"), "lo", "hi", F.explode("ws").alias("w"))
+    often = each.groupBy("scope", "w").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    known = asked.select("scope", "ws", F.explode("ws").alias("w")).join(often, ["scope", "w"])
+    rare = known.groupBy("scope", "ws").agg(F.count("*").alias("found"), F.min(F.struct("n", "w", "lo", "hi")).alias("r")).filter(F.col("found") == F.size("ws"))
+    one = rare.filter(F.size("ws") == 1).select("scope", "ws", "r.lo", "r.hi")
+    met = rare.filter(F.size("ws") > 1).select("scope", "ws", "r.w").join(each, ["scope", "w"]).filter(F.size(F.array_except("ws", "pw")) == 0)
+    return one.unionByName(met.groupBy("scope", "ws").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
 
 
 def owner_accounts(users: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -166,3 +173,18 @@ def handles(texts: DataFrame, profiles: DataFrame) -> DataFrame:
     own = profiles.groupBy("id").agg(F.max("handle").alias("_own"))
     both = each.join(latest, "id").join(own, "id", "left")
     return both.select("id", "handle", "first_seen", "n", (F.col("handle") == F.coalesce("_own", "_latest")).alias("current"))
+
+
+def members_inside(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(brand, a, b): rows a whose set is inside b's, of one brand. Sets are compared once however many rows have them, met under the rarest element; rows are then joined to the pairs of sets. inner: (brand, a, inner), outer: (brand, b, outer), sets as sorted arrays."""
+    from .tables import met_under
+
+    small, large = inner.select("brand", "inner").distinct(), outer.select("brand", "outer").distinct()
+    each = large.select("brand", "outer", F.explode("outer").alias("w"))
+    often = each.groupBy("brand", "w").agg(F.count("*").alias("n"))
+    known = small.select("brand", "inner", F.explode("inner").alias("w")).join(often, ["brand", "w"])
+    rare = known.groupBy("brand", "inner").agg(F.min(F.struct("n", "w"))["w"].alias("w"), F.count("*").alias("found")).filter(F.col("found") == F.size("inner"))
+    sets = rare.join(each, ["brand", "w"]).filter(F.size(F.array_except("inner", "outer")) == 0).select("brand", "inner", "outer")
+    asked = inner.join(sets, ["brand", "inner"]).select("brand", "outer", "a")
+    met = met_under(asked, outer, ["brand", "outer"])
+    return met.select("brand", F.col("l_a").alias("a"), F.col("r_b").alias("b"))
