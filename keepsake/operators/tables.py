@@ -144,3 +144,17 @@ def ordered(rows: DataFrame, order: list, name: str) -> DataFrame:
     starts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))  # a row a range
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
     return dealt.withColumn(name, place).join(F.broadcast(starts), "_range").withColumn(name, (F.col(name) + F.col("_start")).cast("long")).drop("_range", "_start")
+
+
+def met_under(left: DataFrame, right: DataFrame, on: list[str], chunk: int = 2000) -> DataFrame:
+    """Pairs of rows that agree in the columns `on`: left's other columns with l_ before, right's with r_. Keys of more than `chunk` rows of right are dealt into chunks, and left's rows go to each, so that the pairs of one key are many tasks; pairs themselves are not shuffled."""
+    named = lambda df, side: df.select(*on, *(F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in on))
+    l, r = named(left, "l"), named(right, "r")
+    crowded = r.groupBy(*on).agg(F.ceil(F.count("*") / chunk).cast("int").alias("_chunks")).filter("_chunks > 1")
+    chunks = F.coalesce("_chunks", F.lit(1))
+    dealt = r.join(crowded, on, "left").withColumn("_chunk", F.pmod(F.xxhash64(*r.columns), chunks).cast("int")).drop("_chunks")
+    asks = l.join(crowded, on, "left").withColumn("_chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).drop("_chunks")
+    # a fixed number of parts, as few bytes may make many pairs and would be put together into a few tasks
+    spark = left.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return asks.repartition(parts, *on, "_chunk").hint("shuffle_hash").join(dealt.repartition(parts, *on, "_chunk"), [*on, "_chunk"]).drop("_chunk")
