@@ -1,4 +1,6 @@
-"""Joins of vectors at a cosine threshold, exact, over a metric index.
+"""Joins of vectors at a cosine threshold, exact, as products of matrices; and a metric index for the k nearest.
+
+Threshold joins deal both sides of a group into chunks; each pair of chunks is one product (_matched). The index:
 
 Angles between vectors are a metric. Pivots are taken from a bounded sample of the vectors, each the one farthest from those
 before. A vector of the indexed side lies in the block of its group and nearest pivot; blocks of more than CHUNK rows are
@@ -23,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, dot, norm
+from ..functions.vectors import cosine, norm
 from ..sources.shared import kept
 
 #: Vectors that pivots are chosen from, pivots, and pivots whose angles are compared beside a block's own.
 SAMPLE, PIVOTS, WITNESSES = 4000, 128, 6
 #: Indexed rows of a block that meet in one task.
 CHUNK = 20_000
+#: Rows of a side that meet in one product of matrices.
+DEALT = 4_000
 #: Rows of block counts that are broadcast.
 BLOCKS = 200_000
 #: Radians by which bounds are kept wide, for rounding.
@@ -135,21 +139,64 @@ def candidates(left: DataFrame, right: DataFrame, least: float, by: str | None,
     return Index(right, by, vector, pivots).asked(left, F.lit(float(np.arccos(np.clip(least, -1, 1))) + SLACK))
 
 
+def _matched(left: DataFrame, right: DataFrame, least: float, by: str | None, vector: str, lengths: bool) -> DataFrame:
+    """Pairs of a group at a dot product of `least` or more, or with lengths at that cosine. Both sides of a group are dealt into chunks of at most some DEALT rows; each pair of chunks is a task's product of two matrices. Pairs within rounding of the threshold are summed again in the order of `dot`."""
+    parts = []
+    for side, df in (("l", left), ("r", right)):
+        use = [c for c in df.columns if c != by]
+        rows = _group(df, by, vector).withColumn("_len", F.size(vector))
+        parts.append(rows.select("_g", "_len", *(F.col(c).alias(f"{side}_{c}") for c in use)))
+    l, r = parts
+    chunks = lambda df, name: df.groupBy("_g", "_len").agg(F.ceil(F.count("*") / DEALT).cast("int").alias(name))
+    sizes = kept(chunks(l, "_ln").join(chunks(r, "_rn"), ["_g", "_len"]), "sizes")
+    deal = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = l.join(sizes, ["_g", "_len"]).withColumn("_i", deal(l, "_ln")).withColumn("_j", every("_rn")).drop("_ln", "_rn")
+    held = r.join(sizes, ["_g", "_len"]).withColumn("_j", deal(r, "_rn")).withColumn("_i", every("_ln")).drop("_ln", "_rn")
+    out = l.drop(f"l_{vector}", "_len").select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in r.schema if f.name not in ("_g", "_len", f"r_{vector}"))).schema
+    place = ["_g", "_len", "_i", "_j"]
+
+    def matrix(t: pa.Table, name: str) -> np.ndarray:
+        column = t.column(name).combine_chunks()
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if a.num_rows and b.num_rows:
+            x, y = matrix(a, f"l_{vector}"), matrix(b, f"r_{vector}")
+            size = lambda m: np.sqrt(np.cumsum(m * m, axis=1)[:, -1]) if lengths else np.ones(len(m))
+            nx, ny = size(x), size(y)
+            for k in range(0, len(x), 500):
+                s = x[k : k + 500] @ y.T
+                scale = np.outer(nx[k : k + 500], ny)
+                slack = 1e-9 * (np.abs(x[k : k + 500]).max(initial=0.0) * np.abs(y).sum(1).max(initial=0.0) if not lengths else 1.0)
+                s /= scale
+                i, j = np.nonzero(s >= least - slack)
+                near = np.flatnonzero(s[i, j] <= least + slack)
+                exact = np.cumsum(x[k + i[near]] * y[j[near]], axis=1)[:, -1] / (scale[i[near], j[near]]) if len(near) else np.zeros(0)
+                keep = np.ones(len(i), bool)
+                keep[near] = exact >= least
+                rows.append(k + i[keep])
+                cols.append(j[keep])
+        i, j = pa.array(np.concatenate(rows)), pa.array(np.concatenate(cols))
+        found = [(a if n in a.column_names else b).column(n).take(i if n in a.column_names else j) for n in out.names]
+        return pa.table(found, names=out.names)
+
+    pairs = asks.groupBy(*place).cogroup(held.groupBy(*place)).applyInArrow(run, out)
+    return pairs.withColumnRenamed("_g", by) if by else pairs.drop("_g")
+
+
 def cosine_join(left: DataFrame, right: DataFrame, least: float, by: str | None = None, vector: str = "vec", extra: Callable[[DataFrame], Column] | None = None) -> DataFrame:
-    """Pairs of rows of a group at cosine `least` or more: left's columns with l_ before, right's with r_, without the vectors. extra: a condition on the pair that is tested first."""
-    pairs = candidates(left, right, least, by, vector)
-    if extra is not None:
-        pairs = pairs.filter(extra(pairs))
-    return pairs.filter(cosine(F.col(f"l_{vector}"), F.col(f"r_{vector}")) >= least).drop(f"l_{vector}", f"r_{vector}")
+    """Pairs of rows of a group at cosine `least` or more: left's columns with l_ before, right's with r_, without the vectors. extra: a condition on the pair."""
+    pairs = _matched(left, right, least, by, vector, True)
+    return pairs if extra is None else pairs.filter(extra(pairs))
 
 
 def dot_join(left: DataFrame, right: DataFrame, least: float, by: str | None = None, vector: str = "vec") -> DataFrame:
-    """The same by the dot product, for a positive threshold: vectors' lengths bound the cosine that it takes."""
+    """The same by the dot product, for a positive threshold."""
     if least <= 0:
         raise ValueError("a dot product bounds the angle only where it is positive")
-    longest = [df.agg(F.max(norm(F.col(vector)))).first()[0] or 1.0 for df in (left, right)]
-    bound = min(1.0, least / (longest[0] * longest[1]))
-    return candidates(left, right, bound, by, vector).filter(dot(F.col(f"l_{vector}"), F.col(f"r_{vector}")) >= least).drop(f"l_{vector}", f"r_{vector}")
+    return _matched(left, right, least, by, vector, False)
 
 
 def nearest_join(left: DataFrame, right: DataFrame, k: int, key: str, by: str | None = None, vector: str = "vec", decimals: int = 9) -> DataFrame:

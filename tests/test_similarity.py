@@ -116,3 +116,11 @@ def test_near_ids_meet_in_stretches(spark, tmp_path):
     df = registry.queries()["jn20_rejected_pairs"](spark, str(tmp_path))
     assert sorted(map(tuple, df.collect())) == [(a, b) for a in range(3000) for b in range(a + 1, min(a + 120, 3000)) if (a + b) % 3]
     assert "(cell#" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dealt_products_are_all_pairs(rows, monkeypatch):
+    """Groups over many chunks of both sides; the pairs come from products of matrices, with no join of rows to be compared one by one."""
+    monkeypatch.setattr(similarity, "DEALT", 37)
+    got = cosine_join(rows, rows, 0.3, "entity")
+    assert sorted(map(tuple, got.select("l_id", "r_id").collect())) == brute(rows, rows, 0.3, "entity")
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
