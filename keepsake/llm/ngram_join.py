@@ -13,8 +13,10 @@ document with its component (the smallest doc_id that links reach) and the numbe
 3. Under a key, points stand in an R-tree (packed by size and counts, each node with the upper corner of its points).
    The tree is met with itself: nodes fall out whose corners' summed minima cannot reach the overlap that a link needs,
    and pairs of points by their own. Of the pairs left only a spanning forest goes on; its components are clusters.
-4. All links lie inside clusters. There each document's set comes once; the pairs that pass the tree are verified on the
-   sets, counted, and their spanning forest gives the components.
+4. All links lie inside clusters. One over several chunks is parted first by finer points, which have an axis for some
+   four to eight shingles: under 256 axes any two long documents pass, and their sets would go to each other's chunk.
+5. Inside the clusters each document's set comes once; the pairs that pass the tree are verified on the sets, counted, and
+   their spanning forest gives the components.
 
 A crowded key or cluster is dealt into chunks, and each pair of chunks is a unit of work of its own, so no task holds
 more than two chunks. No link is lost: every pair is verified or bounded out. A tree over all points at once would leave some
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest128, discard, lower_ascii, mix, partitions, runs, slices, span_hashes, stored, text_bytes, unused, word_spans
+from .common import digest128, discard, lower_ascii, mix, partitions, released, runs, slices, span_hashes, stored, text_bytes, unused, word_spans
 
 #: Counts a point has. What sets do not share should be spread thin over them, or the bound lets too many pairs through.
 AXES = 256
@@ -45,10 +47,12 @@ TOP = 255
 FAN = 16
 #: Pairs of nodes whose bounds are taken at once.
 BLOCK = 2048
-#: Ids of at most this many documents are broadcast (8 MB); more meet their rows by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Ids of at most this many documents are broadcast (8 MB), and rows of their places in clusters; more meet their rows by a shuffle.
+BROADCAST_IDS, BROADCAST_PLACES = 1_000_000, 250_000
 #: A chunk of a crowded key has so many points at most, about; one of a cluster so many sets and shingles.
 CHUNK_POINTS, CHUNK_SETS, CHUNK_SHINGLES = 1024, 512, 1 << 18
+#: Shingles for which a finer point has an axis, at least, and axes of the finer points of a chunk.
+COARSE, CHUNK_AXES = 4, 1 << 22
 #: Columns of shingles that are multiplied at once.
 COLUMNS = 2048
 
@@ -146,6 +150,7 @@ def _points(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 s1 = np.where(n == 0, b.column(0).to_numpy(), s1)
                 found = _lists(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), np.concatenate(keys))
                 yield pa.RecordBatch.from_arrays([b.column(0), found, pa.array([c.tobytes() for c in counts], pa.binary()), pa.array(n), pa.array(above), pa.array(s1), pa.array(s2)], names=["doc", "keys", *POINT, "s1", "s2"])
+        released()
 
     return docs.mapInArrow(run, "doc long, keys array<long>, counts binary, n long, above long, s1 long, s2 long")
 
@@ -159,9 +164,35 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 sets, upto = shingle_sets(b.column(1), width)
                 yield pa.RecordBatch.from_arrays([b.column(0), _lists(upto, sets)], names=["doc", "shingles"])
 
+        released()
+
     return docs.mapInArrow(run, "doc long, shingles array<long>")
 
 
+def _finer(sets: DataFrame, percent: int) -> DataFrame:
+    """(root, level, doc, n, counts, above) of each row of (root, doc, shingles): counts with an axis for COARSE shingles of the smallest set of a level, whose sets are of 2^level shingles and more, at the set's own level, and at the one below where a link may reach there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            upto = lists.offsets.to_numpy().astype(np.int64)
+            shingles = lists.values.to_numpy().view(np.uint64)
+            row, level, counts, above = [], [], [], []
+            for k, (x, y) in enumerate(zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)):
+                own = max(y - x, 1).bit_length() - 1
+                for at in (own, own - 1) if percent * (y - x) <= 100 * ((1 << own) - 1) else (own,):
+                    axes = max((1 << max(at, 0)) // COARSE, 1)
+                    each = np.bincount((shingles[x:y] & np.uint64(axes - 1)).astype(np.int64), minlength=axes)
+                    row.append(k)
+                    level.append(at)
+                    counts.append(np.minimum(each, TOP).astype(np.uint8).tobytes())
+                    above.append(int(np.maximum(each - TOP, 0).sum()))
+            row = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), pa.array(level, pa.int32()), b.column(1).take(row), pa.array(np.diff(upto)).take(row), pa.array(counts, pa.binary()), pa.array(above, pa.int64())], names=["root", "level", "doc", "n", "counts", "above"])
+
+    return sets.mapInArrow(run, "root long, level int, doc long, n long, counts binary, above long")
+
+
 def _counts(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, AXES)
 
@@ -172,7 +203,7 @@ class Tree:
     def __init__(self, counts: np.ndarray, sizes: np.ndarray, above: np.ndarray, side: np.ndarray | None = None):
         self.sides = side is not None and len(side) > 0 and bool((side != side[0]).any())
         side = side if self.sides else np.zeros(len(sizes), np.int64)
-        self.order = np.lexsort((counts[:, 1], counts[:, 0], sizes, side))
+        self.order = np.lexsort((counts[:, -1], counts[:, 0], sizes, side))
         # upper corner, least and most size, what the counts leave out, lowest and highest side: of points, then of the nodes above
         self.levels = [tuple(x[self.order] for x in (counts, sizes, sizes, above, side, side))]
         merge = (np.maximum, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum)
@@ -373,13 +404,45 @@ def _crowds(met: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return _worked(rows, "key", ["doc", *POINT], work, "a long, b long")
 
 
+def _parted(members: DataFrame, sets: DataFrame, percent: int, few: bool) -> DataFrame:
+    """(doc, root) of the clusters into which finer points part those given, documents left alone not among them. members: (doc, root), broadcast if few."""
+    points = stored(_finer(sets.join(F.broadcast(members) if few else members, "doc").select("root", "doc", "shingles"), percent).withColumn("cell", F.xxhash64("root", "level")).drop("root"), "finer")
+    many = points.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / CHUNK_POINTS), F.ceil(F.sum(F.length("counts")) / CHUNK_AXES)).alias("chunks"))
+    rows = _chunked(points.join(many, "cell"), "cell", "chunks")
+
+    def work(unit: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, level, doc, n, above = (unit.column(k).to_numpy() for k in (0, 1, 2, 3, 5))
+        for at in np.unique(level):  # one, unless two cells have one hash
+            own = np.flatnonzero(level == at)
+            counts = np.frombuffer(b"".join(unit.column(4).take(pa.array(own)).to_pylist()), np.uint8).reshape(len(own), -1)
+            forest = Forest(len(own))
+            for x, y in Tree(counts, n[own], above[own], side[own]).pairs(percent):
+                forest.add(x, y)
+            x, y = forest.edges()
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(doc[own[x]]), pa.array(doc[own[y]])], names=["a", "b"])
+
+    near = stored(_worked(rows, "cell", ["level", "doc", "n", "counts", "above"], work, "a long, b long"), "near")
+    out = components(near)
+    discard(points, near)
+    return out
+
+
 def _verified(clusters: DataFrame, sizes: DataFrame, texts: Callable[[DataFrame], DataFrame], width: int, percent: int) -> DataFrame:
     """(a, b, links), stored: with b, a spanning forest of the links of each cluster; without, how many documents a links with. clusters: (doc, root); sizes: (doc, n, copies)."""
     ids = clusters.select("doc")
-    sets = stored(_sets(texts(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids), width), "sets")
+    count = ids.count()
+    few = count <= BROADCAST_PLACES
+    sets = stored(_sets(texts(F.broadcast(ids) if count <= BROADCAST_IDS else ids), width), "sets")
+    chunks = F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("chunks")
     members = clusters.join(sizes, "doc")
-    many = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("chunks"))
-    rows = _chunked(members.join(many, "root").select("root", "doc", "copies", "chunks"), "root", "chunks").join(sets, "doc")
+    large = stored(members.groupBy("root").agg(chunks).filter("chunks > 1").select("root"), "large")
+    if not large.isEmpty():
+        parted = _parted(clusters.join(large, "root"), sets, percent, few)
+        members = clusters.join(large, "root", "left_anti").select("doc", "root").unionByName(parted).join(sizes, "doc")
+    many = members.groupBy("root").agg(chunks)
+    placed = members.join(many, "root").select("root", "doc", "copies", "chunks")
+    rows = _chunked(sets.join(F.broadcast(placed) if few else placed, "doc"), "root", "chunks")
 
     def work(unit: pa.Table) -> Iterator[pa.RecordBatch]:
         side, doc, copies = (unit.column(k).to_numpy() for k in range(3))
@@ -400,7 +463,7 @@ def _verified(clusters: DataFrame, sizes: DataFrame, texts: Callable[[DataFrame]
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=counted), pa.array(n, mask=~counted)], names=["a", "b", "links"])
 
     out = stored(_worked(rows, "root", ["doc", "copies", "shingles"], work, "a long, b long, links long"), "links")
-    discard(sets)
+    discard(sets, large)
     return out
 
 
