@@ -23,38 +23,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..sources.shared import fresh
+from ..sources.shared import fresh, kept
 from .retrieval import K1, B, query_terms
 
 #: Documents of a slot, folders of terms, slots whose scores give the first threshold, ranges of length.
 BLOCK, FOLDERS, FIRST, RANGES = 4096, 64, 4, 128
+#: Words that a task counts at once, some 100 bytes each, and bytes of the batches that they come in.
+WORDS, BATCH = 1 << 18, 4 << 20
 _OPEN: dict[tuple, InvertedIndex] = {}
 
 
-def _term_counts(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(doc, dl, slot, words by field) -> (term, slot, doc, tf, dl); a document's words are counted where they are."""
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("doc", "dl", "slot")}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words, row, weight = [], [], []
-            for k, w in enumerate(weights.values(), 3):
-                column = b.column(k)
-                words.append(column.flatten())
-                size = np.diff(column.offsets.to_numpy())
-                row.append(np.repeat(np.arange(b.num_rows), size))
-                weight.append(np.full(len(words[-1]), w))
+def counted(batches: Iterator[pa.RecordBatch], weights: Sequence[float], edges: Sequence[float], deal: int) -> Iterator[pa.RecordBatch]:
+    """(doc, lane, words by field) -> (term, slot, doc, tf, dl); documents of some WORDS words are counted at once, where they are."""
+    for whole in batches:
+        sizes = [np.diff(whole.column(k).offsets.to_numpy()) for k in range(2, whole.num_columns)]
+        part = np.cumsum(sum(sizes)) // WORDS
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), whole.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            b, size = whole.slice(start, end - start), [s[start:end] for s in sizes]
+            words = [b.column(k).flatten() for k in range(2, b.num_columns)]
+            dl = sum(s * float(w) for s, w in zip(size, weights, strict=True))
             coded = pa.chunked_array(words).combine_chunks().dictionary_encode()
             if not len(coded):
                 continue
-            row = np.concatenate(row)
+            row = np.concatenate([np.repeat(np.arange(b.num_rows), s) for s in size])
+            weight = np.concatenate([np.full(len(w), x, np.float64) for w, x in zip(words, weights, strict=True)])
             each, at = np.unique(row * len(coded.dictionary) + coded.indices.to_numpy(), return_inverse=True)
-            tf = np.bincount(at, np.concatenate(weight))
-            doc = pa.array(each // len(coded.dictionary))
-            out = [coded.dictionary.take(pa.array(each % len(coded.dictionary))), b.column(2).take(doc), b.column(0).take(doc), pa.array(tf), b.column(1).take(doc)]
+            tf = np.bincount(at, weight)
+            doc = each // len(coded.dictionary)
+            slot = np.searchsorted(np.asarray(edges, np.float64), dl, side="right") * deal + b.column(1).to_numpy()
+            out = [coded.dictionary.take(pa.array(each % len(coded.dictionary))), pa.array(slot[doc], pa.int32()), b.column(0).take(pa.array(doc)), pa.array(tf), pa.array(dl[doc])]
             yield pa.RecordBatch.from_arrays(out, names=["term", "slot", "doc", "tf", "dl"])
-
-    return rows.mapInArrow(run, f"term string, slot {kinds['slot']}, doc {kinds['doc']}, tf double, dl double")
+    pa.default_memory_pool().release_unused()
 
 
 def _folder(term: Column, folders: int) -> Column:
@@ -130,19 +130,27 @@ def build(chunks: DataFrame, key: str, weights: dict[str, float], keep: Sequence
     path = path or fresh(spark, "inverted")
     words = {f: tx.search_terms(F.coalesce(F.col(f), F.lit(""))) for f in weights}
     length = reduce(lambda a, c: a + c, (F.size(words[f]) * F.lit(float(w)) for f, w in weights.items()))
-    sizes = chunks.select(F.col(key).alias("doc"), length.alias("dl"), *keep)
-    count = chunks.count()
+    sizes = kept(chunks.select(F.col(key).alias("doc"), length.alias("dl"), *keep), "lengths")
+    count = sizes.count()
     ranges = max(1, min(RANGES, -(-count // block)))
     edges = sorted(set(sizes.approxQuantile("dl", [k / ranges for k in range(1, ranges)], 0.5 / ranges))) if count and ranges > 1 else []
     deal = max(1, -(-count // (block * (len(edges) + 1))))
+    lane = F.pmod(F.xxhash64("doc"), F.lit(deal))
     place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: F.col("dl") >= e)) if edges else F.lit(0)
-    slot = (place * deal + F.pmod(F.xxhash64("doc"), F.lit(deal))).cast("int")
-    sizes.withColumn("slot", slot).write.parquet(f"{path}/docs")
-    rows = chunks.select(F.col(key).alias("doc"), length.alias("dl"), *(words[f].alias(f"w_{k}") for k, f in enumerate(weights)))
-    rows = rows.select("doc", "dl", slot.alias("slot"), *(f"w_{k}" for k in range(len(weights))))
-    each = _term_counts(rows, weights).groupBy("term", "slot").agg(F.array_sort(F.collect_list(F.struct("doc", "tf", "dl"))).alias("postings"))
+    sizes.withColumn("slot", (place * deal + lane).cast("int")).write.parquet(f"{path}/docs")
+    rows = chunks.select(F.col(key).alias("doc"), *(words[f].alias(f"w_{k}") for k, f in enumerate(weights)))
+    rows = rows.select("doc", lane.alias("lane"), *(f"w_{k}" for k in range(len(weights))))
+    kind, by = rows.schema["doc"].dataType.simpleString(), list(weights.values())
+    counts = rows.mapInArrow(lambda batches: counted(batches, by, edges, deal), f"term string, slot int, doc {kind}, tf double, dl double")
+    each = counts.groupBy("term", "slot").agg(F.array_sort(F.collect_list(F.struct("doc", "tf", "dl"))).alias("postings"))
     heads = each.select("term", "slot", F.size("postings").alias("n"), F.aggregate("postings", F.lit(0.0), lambda a, p: a + p["tf"]).alias("total"), F.array_max(F.transform("postings", lambda p: p["tf"])).alias("most"), F.array_min(F.transform("postings", lambda p: p["dl"])).alias("least"), "postings", _folder(F.col("term"), folders).alias("folder"))
-    heads.repartition(max(folders, int(spark.conf.get("spark.sql.shuffle.partitions"))), "folder", F.col("slot") % 4).sortWithinPartitions("folder", "term", "slot").write.partitionBy("folder").parquet(f"{path}/blocks")
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH))
+    try:
+        heads.repartition(max(folders, int(spark.conf.get("spark.sql.shuffle.partitions"))), "folder", F.col("slot") % 4).sortWithinPartitions("folder", "term", "slot").write.partitionBy("folder").parquet(f"{path}/blocks")
+    finally:
+        spark.conf.set(name, before)
     stats = spark.read.parquet(f"{path}/docs").agg(F.count("*").alias("n"), F.avg("dl").alias("mean"), F.lit(folders).alias("folders"))
     stats.coalesce(1).write.parquet(f"{path}/meta")
     return InvertedIndex(spark, path)
