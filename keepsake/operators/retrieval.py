@@ -105,7 +105,7 @@ def reranked(pool: DataFrame, texts: DataFrame, score: Callable[[list[str]], lis
     def model(t: pd.Series) -> pd.Series:
         return pd.Series(score(t.tolist()))
 
-    return top(pool.select("doc").join(texts, "doc").select("doc", model("text").alias("score")), k)
+    return top(texts.join(F.broadcast(pool.select("doc")), "doc").select("doc", model("text").alias("score")), k)
 
 
 def timeline(hits: DataFrame, when: DataFrame, months: int = 4) -> DataFrame:

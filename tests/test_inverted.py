@@ -92,6 +92,32 @@ def test_kept_until_the_table_changes(spark, chunks, tmp_path):
     assert again is not first and again.count == 53 and opened(spark, path, "id", {"text": 1.0}) is again
 
 
+def test_words_are_counted_in_bounded_slices():
+    """A batch of two million words: what numpy holds beside it stays small (before, with the batch counted at once: hundreds of MB)."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([0] * 200), pa.array([[f"w{(k * j) % 997}" for j in range(10_000)] for k in range(200)])], names=["doc", "lane", "w_0"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in inverted.counted(iter([batch]), [1.0], [5.0], 1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 200 * 997 - 996 and peak < 64e6  # doc 0 has one word
+
+
+def test_a_pool_is_sent_to_the_texts(spark, chunks):
+    """Before, all texts were shuffled to meet the pool's few rows."""
+    pool = chunks.filter("id < 1003").select(F.col("id").alias("doc")).repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = retrieval.reranked(pool, chunks.select(F.col("id").alias("doc"), "text"), lambda ts: [float(len(t or "")) for t in ts], 3)
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+        assert [r.doc for r in out.collect()][0] == 1001
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_empty(chunks):
     none = build(chunks.limit(0), "id", WEIGHTS, ["lang"])
     assert none.search("the w1", 3).count() == 0 and none.terms().count() == 0
