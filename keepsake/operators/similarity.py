@@ -1,6 +1,6 @@
-"""Joins of vectors at a cosine threshold, exact, as products of matrices; and a metric index for the k nearest.
+"""Joins of vectors at a cosine threshold and of the k nearest, exact, as products of matrices; and a metric index.
 
-Threshold joins deal both sides of a group into chunks; each pair of chunks is one product (_matched). The index:
+Joins deal both sides of a group into chunks; each pair of chunks is one product (_products). The index:
 
 Angles between vectors are a metric. Pivots are taken from a bounded sample of the vectors, each the one farthest from those
 before. A vector of the indexed side lies in the block of its group and nearest pivot; blocks of more than CHUNK rows are
@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,8 +140,8 @@ def candidates(left: DataFrame, right: DataFrame, least: float, by: str | None,
     return Index(right, by, vector, pivots).asked(left, F.lit(float(np.arccos(np.clip(least, -1, 1))) + SLACK))
 
 
-def _matched(left: DataFrame, right: DataFrame, least: float, by: str | None, vector: str, lengths: bool) -> DataFrame:
-    """Pairs of a group at a dot product of `least` or more, or with lengths at that cosine. Both sides of a group are dealt into chunks of at most some DEALT rows; each pair of chunks is a task's product of two matrices. Pairs within rounding of the threshold are summed again in the order of `dot`."""
+def _products(left: DataFrame, right: DataFrame, by: str | None, vector: str, pick: Callable, scored: bool = False) -> DataFrame:
+    """Pairs of rows of a group and length that pick takes: left's columns with l_ before, right's with r_, without the vectors. Both sides of a group are dealt into chunks of at most some DEALT rows; each pair of chunks goes to pick as two matrices, the right one in the order of its rows' columns, and comes back as places in them and scores (kept as `score` if scored)."""
     parts = []
     for side, df in (("l", left), ("r", right)):
         use = [c for c in df.columns if c != by]
@@ -153,7 +154,9 @@ def _matched(left: DataFrame, right: DataFrame, least: float, by: str | None, ve
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asks = l.join(sizes, ["_g", "_len"]).withColumn("_i", deal(l, "_ln")).withColumn("_j", every("_rn")).drop("_ln", "_rn")
     held = r.join(sizes, ["_g", "_len"]).withColumn("_j", deal(r, "_rn")).withColumn("_i", every("_ln")).drop("_ln", "_rn")
-    out = l.drop(f"l_{vector}", "_len").select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in r.schema if f.name not in ("_g", "_len", f"r_{vector}"))).schema
+    rights = [f for f in r.schema if f.name not in ("_g", "_len", f"r_{vector}")]
+    out = l.drop(f"l_{vector}", "_len").select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in rights), *((F.lit(None).cast("double").alias("score"),) if scored else ())).schema
+    order = [(f.name, "ascending") for f in rights] if scored else []
     place = ["_g", "_len", "_i", "_j"]
 
     def matrix(t: pa.Table, name: str) -> np.ndarray:
@@ -161,31 +164,73 @@ def _matched(left: DataFrame, right: DataFrame, least: float, by: str | None, ve
         return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        i, j, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if a.num_rows and b.num_rows:
-            x, y = matrix(a, f"l_{vector}"), matrix(b, f"r_{vector}")
-            size = lambda m: np.sqrt(np.cumsum(m * m, axis=1)[:, -1]) if lengths else np.ones(len(m))
-            nx, ny = size(x), size(y)
-            for k in range(0, len(x), 500):
-                s = x[k : k + 500] @ y.T
-                scale = np.outer(nx[k : k + 500], ny)
-                slack = 1e-9 * (np.abs(x[k : k + 500]).max(initial=0.0) * np.abs(y).sum(1).max(initial=0.0) if not lengths else 1.0)
-                s /= scale
-                i, j = np.nonzero(s >= least - slack)
-                near = np.flatnonzero(s[i, j] <= least + slack)
-                exact = np.cumsum(x[k + i[near]] * y[j[near]], axis=1)[:, -1] / (scale[i[near], j[near]]) if len(near) else np.zeros(0)
-                keep = np.ones(len(i), bool)
-                keep[near] = exact >= least
-                rows.append(k + i[keep])
-                cols.append(j[keep])
-        i, j = pa.array(np.concatenate(rows)), pa.array(np.concatenate(cols))
-        found = [(a if n in a.column_names else b).column(n).take(i if n in a.column_names else j) for n in out.names]
+            if order:
+                b = b.take(pc.sort_indices(b, sort_keys=order, null_placement="at_start"))
+            i, j, score = pick(matrix(a, f"l_{vector}"), matrix(b, f"r_{vector}"))
+        i, j = pa.array(i), pa.array(j)
+        found = [pa.array(score) if n == "score" and scored else (a if n in a.column_names else b).column(n).take(i if n in a.column_names else j) for n in out.names]
         return pa.table(found, names=out.names)
 
     pairs = asks.groupBy(*place).cogroup(held.groupBy(*place)).applyInArrow(run, out)
     return pairs.withColumnRenamed("_g", by) if by else pairs.drop("_g")
 
 
+def _lengths(m: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.cumsum(m * m, axis=1)[:, -1])
+
+
+def _matched(left: DataFrame, right: DataFrame, least: float, by: str | None, vector: str, lengths: bool) -> DataFrame:
+    """Pairs of a group at a dot product of `least` or more, or with lengths at that cosine. Pairs within rounding of the threshold are summed again in the order of `dot`."""
+
+    def pick(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, cols = [], []
+        nx, ny = (_lengths(m) if lengths else np.ones(len(m)) for m in (x, y))
+        for k in range(0, len(x), 500):
+            s = x[k : k + 500] @ y.T
+            scale = np.outer(nx[k : k + 500], ny)
+            slack = 1e-9 * (np.abs(x[k : k + 500]).max(initial=0.0) * np.abs(y).sum(1).max(initial=0.0) if not lengths else 1.0)
+            s /= scale
+            i, j = np.nonzero(s >= least - slack)
+            near = np.flatnonzero(s[i, j] <= least + slack)
+            exact = np.cumsum(x[k + i[near]] * y[j[near]], axis=1)[:, -1] / (scale[i[near], j[near]]) if len(near) else np.zeros(0)
+            keep = np.ones(len(i), bool)
+            keep[near] = exact >= least
+            rows.append(k + i[keep])
+            cols.append(j[keep])
+        i = np.concatenate(rows)
+        return i, np.concatenate(cols), np.zeros(len(i))
+
+    return _products(left, right, by, vector, pick)
+
+
+def _nearest(k: int, decimals: int) -> Callable:
+    """For _products: the k of y nearest to each of x by their cosine to so many decimals, ties to the earlier; where rounding leaves it open who is among them, some more."""
+    unit = 10.0**decimals
+
+    def pick(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, cols, scores = [], [], []
+        nx, ny = _lengths(x), _lengths(y)
+        for at in range(0, len(x), 500):
+            s = (x[at : at + 500] @ y.T) / np.outer(nx[at : at + 500], ny)
+            least = np.partition(s, len(y) - k, axis=1)[:, len(y) - k] if len(y) > k else np.full(len(s), -2.0)
+            i, j = np.nonzero(s >= least[:, None] - 2 / unit - 1e-12)
+            exact = np.concatenate([np.cumsum(x[at + i[a : a + 50_000]] * y[j[a : a + 50_000]], axis=1)[:, -1] for a in range(0, len(i), 50_000)]) / (nx[at + i] * ny[j])
+            low, high = (np.floor(exact * unit + 0.5 + e) for e in (-1e-3, 1e-3))
+            order = np.lexsort((j, -low, i))
+            i, j, exact, low, high = (v[order] for v in (i, j, exact, low, high))
+            first = np.searchsorted(i, np.arange(len(s)))
+            last = first + np.minimum(np.bincount(i, minlength=len(s)), k) - 1  # the k-th by the lower rounding
+            keep = (np.arange(len(i)) <= last[i]) | (high > low[last[i]]) | ((high == low[last[i]]) & (j < j[last[i]]))
+            rows.append(at + i[keep])
+            cols.append(j[keep])
+            scores.append(exact[keep])
+        return np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
+
+    return pick
+
+
 def cosine_join(left: DataFrame, right: DataFrame, least: float, by: str | None = None, vector: str = "vec", extra: Callable[[DataFrame], Column] | None = None) -> DataFrame:
     """Pairs of rows of a group at cosine `least` or more: left's columns with l_ before, right's with r_, without the vectors. extra: a condition on the pair."""
     pairs = _matched(left, right, least, by, vector, True)
@@ -200,10 +245,7 @@ def dot_join(left: DataFrame, right: DataFrame, least: float, by: str | None = N
 
 
 def nearest_join(left: DataFrame, right: DataFrame, k: int, key: str, by: str | None = None, vector: str = "vec", decimals: int = 9) -> DataFrame:
-    """The k rows of right nearest to each row of left (key unique) in its group: left's columns with l_ before, right's with r_, and `score`, the cosine to so many decimals, and `k` from 1; ties go by right's columns. A first pass over a row's own block bounds how far its k-th can be, a second asks the blocks that this leaves."""
-    index = Index(right, by, vector)
-    bound = index.bounds(left, key, k)
-    pairs = index.asked(left.join(bound, key), F.col("_bound")).drop("l__bound")
-    scored = pairs.withColumn("score", F.round(cosine(F.col(f"l_{vector}"), F.col(f"r_{vector}")), decimals)).drop(f"l_{vector}", f"r_{vector}")
-    order = Window.partitionBy(f"l_{key}").orderBy(F.desc("score"), *(f"r_{c}" for c in index.columns if c != vector))
+    """The k rows of right nearest to each row of left (key unique) in its group: left's columns with l_ before, right's with r_, and `score`, the cosine to so many decimals, and `k` from 1; ties go by right's columns. Chunks of both sides meet as products of matrices, each of which gives its k nearest alone."""
+    scored = _products(left, right, by, vector, _nearest(k, decimals), True).withColumn("score", F.round("score", decimals))
+    order = Window.partitionBy(f"l_{key}").orderBy(F.desc("score"), *(f"r_{c}" for c in right.columns if c not in (by, vector)))
     return scored.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= k)

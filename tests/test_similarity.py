@@ -79,6 +79,21 @@ def test_nearest_join_is_brute_force(rows, k):
     assert got == {a: b for a, b in want.items() if b}
 
 
+def test_nearest_of_many_chunks_with_ties(spark, monkeypatch):
+    """Copies tie and go by id, over chunks too; what leaves a product is k rows or little more for each row asked, not all pairs (before, each pair was compared as a row)."""
+    monkeypatch.setattr(similarity, "DEALT", 60)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(200, 16)), np.repeat(rng.normal(size=(1, 16)), 100, axis=0)])
+    rows = spark.createDataFrame([(k, "one", v.tolist()) for k, v in enumerate(x)], SCHEMA).repartition(3).cache()
+    met, products = [], similarity._products
+    monkeypatch.setattr(similarity, "_products", lambda *a: (met.append(products(*a)), met[-1])[1])
+    got = sorted((r.l_id, r.k, r.r_id) for r in nearest_join(rows, rows, 3, "id", "entity").collect())
+    f = x.astype(np.float32).astype(np.float64)
+    cos = np.round(f @ f.T / np.outer(*[np.linalg.norm(f, axis=1)] * 2), 9)
+    assert got == sorted((a, n + 1, int(b)) for a in range(300) for n, b in enumerate(np.lexsort((np.arange(300), -cos[a]))[:3]))
+    assert met[0].count() <= 3 * 300 * 6
+
+
 def test_empty(rows):
     none = rows.limit(0)
     assert cosine_join(none, none, 0.5, "entity").count() == 0 and cosine_join(rows, none, 0.5, "entity").count() == 0 and cosine_join(none, rows, 0.5, None).count() == 0
