@@ -58,11 +58,11 @@ class Adjacency:
         reached = kept(seeds.filter("node is not null").select("seed", F.col("node").alias("id"), F.lit(0).alias("hop")).distinct(), "reached")
         frontier, parts = reached, [reached]
         for hop in range(1, hops + 1):
-            met = self.neighbours(frontier.select("seed", F.col("id").alias("node"))).select("seed", "id").distinct()
+            met = self.neighbours(frontier.select("seed", F.col("id").alias("node"))).select("seed", "id", F.lit(hop).alias("hop"))
             # a step leads back at most one level: what is two levels behind was all met by then
             for part in parts[-2:]:
-                met = met.join(part.select(F.col("seed").alias("_s"), F.col("id").alias("_i")), F.col("seed").eqNullSafe(F.col("_s")) & (F.col("id") == F.col("_i")), "left_anti")
-            frontier = kept(met.select("seed", "id", F.lit(hop).alias("hop")), "reached")
+                met = met.unionByName(part)
+            frontier = kept(met.groupBy("seed", "id").agg(F.min("hop").alias("hop")).filter(F.col("hop") == hop), "reached")
             if frontier.isEmpty():
                 break
             parts.append(frontier)

@@ -66,3 +66,13 @@ def test_expansion_is_by_fewest_steps(spark, graph, monkeypatch, hops, few):
 def test_empty(spark):
     none = adjacency.build(spark.createDataFrame([], SCHEMA))
     assert none.of("a").collect() == [] and none.expanded(spark.createDataFrame([("s", "a")], "seed string, node string"), 2).count() == 1
+
+
+def test_pairs_met_are_grouped_once(spark, monkeypatch):
+    """What a step meets is dealt by pair once, with the levels before; it was shuffled for distinct pairs and again for each level left out."""
+    graph = adjacency.build(spark.createDataFrame([(f"a{k}", f"b{k % 5}", 1) for k in range(40)], "source string, target string, weight long"))
+    plans, kept = [], adjacency.kept
+    monkeypatch.setattr(adjacency, "kept", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), kept(df, name))[1])
+    got = graph.expanded(spark.createDataFrame([("s", "a0"), (None, "a1")], "seed string, node string"), 3)
+    assert len(plans) == 4 and not any("LeftAnti" in p for p in plans)
+    assert sorted((str(r.seed), r.hop) for r in got.collect()) == sorted([("s", 0), ("s", 1), *[("s", 2)] * 7, ("None", 0), ("None", 1), *[("None", 2)] * 7])
