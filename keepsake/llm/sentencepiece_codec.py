@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import released, small_batches
+from .common import released, slices, small_batches
 
 SPACE = "▁"
 #: A stretch longer than WINDOW characters is cut into windows of so many, each with RUN_UP characters of the one before.
@@ -379,12 +379,10 @@ def encode_decode(docs: DataFrame, text: str = "text", model_file: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = prefix_table(model_file)
-        for whole in batches:
-            for at in range(0, whole.num_rows, rows_at_once):
-                b = whole.slice(at, rows_at_once)
-                ids, offsets = table.encode(b.column(len(keep)).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), lists, pa.array(table.decode(ids, offsets), pa.string())], names=[*keep, "ids", "decoded"])
+        for b in (part.slice(at, rows_at_once) for whole in batches for part in slices(whole, len(keep)) for at in range(0, part.num_rows, rows_at_once)):
+            ids, offsets = table.encode(b.column(len(keep)).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), lists, pa.array(table.decode(ids, offsets), pa.string())], names=[*keep, "ids", "decoded"])
         released()
 
     return docs.select(*keep, F.col(text).cast("string").alias(text)).mapInArrow(run, schema)

@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, lower_ascii, mix, slices, small_batches, span_hashes, stored, text_bytes
+from .common import discard, lower_ascii, mix, released, slices, small_batches, span_hashes, stored, text_bytes
 
 #: Bytes of a word that make its beginning.
 HEAD = 5
+#: Bytes of texts whose words are looked at at once: a worker holds some 130 bytes for each.
+AT_ONCE = 1 << 17
 
 
 def held_out(doc_id: Column) -> Column:
@@ -50,21 +52,23 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([doc, doc[long]]), np.concatenate([words, heads]).view(np.int64)
 
 
-def _feature_table(docs: DataFrame, text: str) -> DataFrame:
-    """(key, doc, set) -> with features array<long>, distinct."""
+def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, doc, text) to (key, doc, set)."""
+    for whole in batches:
+        for b in slices(whole, 2, AT_ONCE):
+            doc, f = features(b.column(2))
+            order = np.lexsort((f, doc))
+            doc, f = doc[order], f[order]
+            one = np.ones(len(f), bool)
+            one[1:] = (f[1:] != f[:-1]) | (doc[1:] != doc[:-1])
+            upto = np.concatenate([[0], np.cumsum(np.bincount(doc[one], minlength=b.num_rows))])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(f[one]))], names=["row", "positive", "features"])
+    released()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, 2):
-                doc, f = features(b.column(2))
-                order = np.lexsort((f, doc))
-                doc, f = doc[order], f[order]
-                one = np.ones(len(f), bool)
-                one[1:] = (f[1:] != f[:-1]) | (doc[1:] != doc[:-1])
-                upto = np.concatenate([[0], np.cumsum(np.bincount(doc[one], minlength=b.num_rows))])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(f[one]))], names=["row", "positive", "features"])
 
-    return docs.select("row", "positive", text).mapInArrow(run, "row long, positive boolean, features array<long>")
+def _feature_table(docs: DataFrame, text: str) -> DataFrame:
+    """(key, doc, set) -> with features array<long>, distinct."""
+    return docs.select("row", "positive", text).mapInArrow(_feature_rows, "row long, positive boolean, features array<long>")
 
 
 def fit_risk(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, width: int, prior: float, steps: int = 400, rate: float = 0.1, penalty: float = 2e-4, sparsity: float = 0.12) -> np.ndarray:
@@ -162,8 +166,9 @@ def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, at):
+            for b in slices(whole, at, AT_ONCE):
                 z = model.logits(b.column(at))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*names, score])
+        released()
 
     return docs.select(*names).mapInArrow(run, schema)
