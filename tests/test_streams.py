@@ -73,6 +73,20 @@ def test_a_timer_closes_a_session(spark):
     assert [tuple(r) for r in replay.late().collect()] == [(1, 5, 200)]
 
 
+def test_many_files_a_delivery_and_threads_a_step(spark, units):
+    """A delivery is written by its tasks, not by one; threads that share a bucket, one without an id among them, are walked each by itself."""
+    given = units.withColumn("thread_id", F.when(F.col("thread_id") != 2, F.col("thread_id"))).repartition(3)
+    replay = Replay(spark, units.drop("part").schema, "400 days", buckets=2, cap=300)
+    for k in range(2):
+        replay.deliver(given.filter(F.col("part") % 2 == k).drop("part"))
+    replay.close()
+    replay.run()
+    assert len(spark.read.parquet(f"{replay.source}/part=0").inputFiles()) > 1
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    want = walked(units)
+    assert sorted(((None if r[0] == 2 else r[0], *r[1:]) for r in want), key=key) == sorted((tuple(r) for r in replay.sessions().select("thread_id", "session_no", "n", "a").collect()), key=key)
+
+
 def test_parts_come_in_order_of_time(spark, units):
     """No row is late under a watermark without delay; rows without a time go first and are lost to windows only."""
     rows = units.select(F.timestamp_seconds("start_ts").alias("at"), "thread_id").repartition(7)
