@@ -151,7 +151,8 @@ def sc11(spark, d):
     item = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")
     leaf = F.struct(F.concat(F.lit("s"), item).alias("id"), F.lit("deep").alias("body"))
     inner = F.struct(F.concat(F.lit("l"), item).alias("id"), F.lit("reply").alias("body"), F.array(leaf).alias("replies"))
-    replies = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(inner).alias("replies"))
+    lines = read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey").repartition("l_orderkey")  # numbers move, comments are made where they meet
+    replies = lines.groupBy("l_orderkey").agg(F.collect_list(inner).alias("replies"))
     o = read(spark, d, "orders").join(replies, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     tree = F.to_json(F.struct(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_orderpriority").alias("body"), "replies"))
     return ex.flattened_comments(o.select(F.col("o_orderkey").alias("thread"), tree.alias("tree"))).select("thread", "id", "parent", "depth")

@@ -21,7 +21,7 @@ CHAT = "participants array<struct<name:string>>, title string, thread_path strin
 COMMENT = "timestamp long, title string, string_map_data struct<Comment:struct<value:string>,Time:struct<timestamp:long>>, data array<struct<comment:struct<timestamp:long,comment:string,author:string>>>"
 POST = "array<struct<tweet:struct<id_str:string,full_text:string,created_at:string,in_reply_to_status_id_str:string,quoted_status_id_str:string>>>"
 DIRECT = "array<struct<dmConversation:struct<conversationId:string,messages:array<struct<messageCreate:struct<id:string,senderId:string,text:string,createdAt:string>>>>>>"
-NODE = "id string, author string, body string, created_utc long, replies array<string>"
+NODE = "id:string,author:string,body:string,created_utc:bigint,replies:array<{}>"
 CHANNEL = "channel struct<id:string,name:string>, messages array<struct<id:string,timestamp:string,content:string,author:struct<id:string,name:string>,attachments:array<struct<url:string>>,embeds:array<struct<title:string,description:string>>,reference:struct<messageId:string>>>"
 
 
@@ -120,18 +120,54 @@ def conversation_threads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.explode(F.from_json("value", "conversation_thread array<string>")["conversation_thread"]).alias("item"))
 
 
+# Fixed value: how many levels of a comment tree are read at once.
+DEPTHS = 4
+
+
+def _node(levels: int) -> str:
+    """The type of a comment with replies down to `levels`; those below stay JSON."""
+    inner = "string"
+    for _ in range(levels - 1):
+        inner = f"struct<{NODE.format(inner)}>"
+    return NODE.format(inner)
+
+
+def _with_replies(rows: DataFrame, replies: str, kind: str) -> DataFrame:
+    """Each row once as it is (`own`) and once for each of its replies (`c`)."""
+    own = F.array(F.lit(None).cast(kind))
+    return rows.select("*", F.posexplode(F.concat(own, F.coalesce(replies, F.array().cast(f"array<{kind}>")))).alias("k", "c")).withColumn("own", F.col("k") == 0)
+
+
+def _comment_rows(level: DataFrame) -> DataFrame:
+    """(thread, parent, depth, id, author, body, created_utc, tree) of comments (thread, parent, depth, tree) and the replies of a few levels; for replies below a row with tree alone. A comment without id goes, with what is under it."""
+    corrupt = F.col("n._corrupt_record").isNotNull()
+    read = level.withColumn("n", F.from_json("tree", f"struct<{_node(DEPTHS)},_corrupt_record:string>", {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    read = read.select("*", F.explode_outer(F.when(corrupt, F.array(F.from_json("tree", f"struct<{_node(1)}>")))).alias("one")).withColumn("n", F.when(~corrupt, F.col("n")))  # by explode, so that it is read once, not for each field
+    said, fields = ("thread", "parent", "depth"), ("id", "author", "body", "created_utc")
+    rows = read.select(*said, *(F.coalesce(f"n.{f}", f"one.{f}").alias(f) for f in fields), F.col("n.replies").alias("replies"), F.col("one.replies").alias("rest")).filter("id is not null")
+    own = F.col("own")
+    up = (F.when(own, F.col("parent")).otherwise(F.col("id")).alias("parent"), F.when(own, F.col("depth")).otherwise(F.col("depth") + 1).alias("depth"))
+    for left in range(DEPTHS - 1, 0, -1):
+        each = _with_replies(rows, "replies", f"struct<{_node(left)}>")
+        if left > 1:
+            below = (F.when(~own, F.col("c.replies")).alias("replies"), F.when(own, F.col("rest")).alias("rest"))
+        else:
+            below = (F.when(own, F.col("rest")).otherwise(F.col("c.replies")).alias("rest"),)
+        rows = each.select("thread", *up, *(F.when(own, F.col(f)).otherwise(F.col(f"c.{f}")).alias(f) for f in fields), *below).filter("id is not null")
+    return _with_replies(rows, "rest", "string").filter("own or c is not null").select("thread", *up, *(F.when(own, F.col(f)).alias(f) for f in fields), F.col("c").alias("tree"))
+
+
 def flattened_comments(trees: DataFrame, thread: str = "thread", tree: str = "tree") -> DataFrame:
-    """(thread, id, author, body, ts, parent, depth) of comment trees (thread, tree: the JSON of a root comment), level by level until none is left. A comment's replies stay JSON until their level, so depth has no bound."""
+    """(thread, id, author, body, ts, parent, depth) of comment trees (thread, tree: the JSON of a root comment). A few levels are read at once, what is below them stays JSON until its turn, so depth has no bound. Where a field in those levels is not of its type, the comment is read by itself and its replies one by one, so that they are not lost with it."""
     from .shared import Levels
 
-    level = trees.select(F.col(thread).alias("thread"), F.from_json(tree, NODE).alias("n"), F.lit(None).cast("string").alias("parent"))
-    levels, depth = Levels(trees.sparkSession, "comments"), 0
+    level = trees.select(F.col(thread).alias("thread"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.col(tree).alias("tree"))
+    levels, at = Levels(trees.sparkSession, "comments"), 0
     while True:
-        rows = levels.add(depth, level.filter("n.id is not null").select("thread", "n.*", "parent"))
-        if rows.isEmpty():
-            return levels.all().select("thread", "id", "author", "body", F.col("created_utc").alias("ts"), "parent", F.col("level").alias("depth"))
-        depth += 1
-        level = rows.select("thread", F.explode("replies").alias("r"), F.col("id").alias("parent")).select("thread", F.from_json("r", NODE).alias("n"), "parent")
+        level = levels.add(at, _comment_rows(level)).filter("tree is not null")
+        if level.isEmpty():
+            return levels.all().filter("id is not null").select("thread", "id", "author", "body", F.col("created_utc").alias("ts"), "parent", "depth")
+        at += 1
 
 
 def ancestors(rows: DataFrame, thread: str, seed: str, chain: str) -> DataFrame:
