@@ -147,7 +147,7 @@ def ordered(rows: DataFrame, order: list, name: str) -> DataFrame:
 
 
 def met_under(left: DataFrame, right: DataFrame, on: list[str], chunk: int = 2000) -> DataFrame:
-    """Pairs of rows that agree in the columns `on`: left's other columns with l_ before, right's with r_. Keys of more than `chunk` rows of right are dealt into chunks, and left's rows go to each, so that the pairs of one key are many tasks; pairs themselves are not shuffled."""
+    """Pairs of rows that agree in the columns `on`: left's other columns with l_ before, right's with r_. Keys of more than `chunk` rows of right are dealt into chunks, and left's rows go to each, so that the pairs of one key are many tasks; pairs themselves are not shuffled. They leave in order of the key, as both sides are sorted by it: rows of left that meet the same rows of right follow each other, which files of the pairs need to be small."""
     named = lambda df, side: df.select(*on, *(F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in on))
     l, r = named(left, "l"), named(right, "r")
     crowded = r.groupBy(*on).agg(F.ceil(F.count("*") / chunk).cast("int").alias("_chunks")).filter("_chunks > 1")
@@ -157,4 +157,4 @@ def met_under(left: DataFrame, right: DataFrame, on: list[str], chunk: int = 200
     # a fixed number of parts, as few bytes may make many pairs and would be put together into a few tasks
     spark = left.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return asks.repartition(parts, *on, "_chunk").hint("shuffle_hash").join(dealt.repartition(parts, *on, "_chunk"), [*on, "_chunk"]).drop("_chunk")
+    return asks.repartition(parts, *on, "_chunk").hint("merge").join(dealt.repartition(parts, *on, "_chunk"), [*on, "_chunk"]).drop("_chunk")

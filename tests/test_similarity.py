@@ -123,6 +123,18 @@ def test_pairs_are_not_shuffled(spark):
     assert met.count() == sum((500 // 3 + (500 % 3 > k)) ** 2 for k in range(3)) == met.distinct().count()
 
 
+def test_pairs_leave_in_order_of_their_key(spark):
+    """Rows of left that meet the same rows of right follow each other in a part; they stood as they came, and files of pairs were thirteen times as large."""
+    from keepsake.operators import tables
+
+    rows = spark.range(900).select((F.col("id") % 40).alias("g"), "id").repartition(5)
+    met = tables.met_under(rows, rows, ["g"], chunk=8).rdd.glom().collect()
+    assert sum(map(len, met)) == sum((900 // 40 + (900 % 40 > k)) ** 2 for k in range(40))
+    for part in met:
+        keys = [r.g for r in part]
+        assert sum(x != y for x, y in zip(keys, keys[1:])) == max(len(set(keys)) - 1, 0)
+
+
 def test_near_ids_meet_in_stretches(spark, tmp_path):
     """3,000 customers of one nation and segment: jn20 joins by stretches of ids too, not all pairs of them."""
     from keepsake.plans import registry
