@@ -93,3 +93,49 @@ def opened(spark: SparkSession, table: str, name: str, edges: Callable[[], DataF
     if key not in _OPEN or _OPEN[key][0] != stamp:
         _OPEN[key] = stamp, build(edges())
     return _OPEN[key][1]
+
+
+#: Members of a group that are sent as one list, rows that one member may have in one task, buckets in which both are counted, and others counted in a task.
+LISTED, AT_ONE, BUCKETS, COUNTED = 1 << 16, 1 << 20, 1 << 16, 1 << 21
+
+
+def _crowded(rows: DataFrame, name: str, most: int) -> DataFrame:
+    """(_bucket, _parts): buckets of a column's values with more than `most` rows, and into how many parts to deal them."""
+    counted = rows.groupBy(F.pmod(F.xxhash64(name), F.lit(BUCKETS)).cast("int").alias("_bucket")).agg(F.count("*").alias("_n"))
+    return counted.filter(F.col("_n") > most).select("_bucket", F.ceil(F.col("_n") / most).cast("int").alias("_parts"))
+
+
+def two_steps(edges: DataFrame, listed: int | None = None, at_one: int | None = None) -> DataFrame:
+    """(member, near, far): for every member its groups, and the other members of those. edges: (member, grp), whole numbers; rows that repeat count once, a member without a group has that as one, and null is a member that shares nothing.
+
+    For all nodes at once nothing has to be stored and opened by node: edges are dealt by group once, and each member gets the lists of its groups, where others are counted. Pairs of members are not shuffled one by one. Where buckets hold more, groups go in lists of about `listed` members, each of which meets each, and members with more than about `at_one` rows are counted in parts, by the others' hash."""
+    listed, at_one = listed or LISTED, at_one or AT_ONE
+    e = edges.select(F.col("member").cast("long").alias("member"), F.col("grp").cast("long").alias("grp"))
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+    part = lambda x, n: F.pmod(F.xxhash64(F.lit("part"), x), n).cast("int")
+
+    def spread(df: DataFrame, name: str, most: int, parts: str) -> DataFrame:
+        """df with the number of parts of a column's bucket."""
+        crowded = F.broadcast(_crowded(e, name, most))  # BUCKETS rows at most
+        return df.withColumn("_bucket", bucket(name)).join(crowded, "_bucket", "left").withColumn(parts, F.coalesce("_parts", F.lit(1))).drop("_bucket", "_parts")
+
+    whole = e.filter("member is not null and grp is not null")
+    lists = spread(whole, "grp", listed, "lists").withColumn("list", part(F.col("member"), F.col("lists")))
+    lists = kept(lists.groupBy("grp", "lists", "list").agg(F.collect_set("member").alias("members")), "lists")
+    alone = lists.filter("lists = 1").select(F.explode("members").alias("member"), "members", F.lit(1).alias("own"))
+    x, y = (lists.filter("lists > 1").select("grp", F.col("list").alias(k), F.col("members").alias(f"_{k}")) for k in "xy")
+    met = x.join(y, "grp").select(F.explode("_x").alias("member"), F.col("_y").alias("members"), (F.col("x") == F.col("y")).cast("int").alias("own"))
+    rows = spread(alone.unionByName(met), "member", at_one, "parts").withColumn("place", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    split = F.when(F.col("parts") == 1, F.col("members")).otherwise(F.filter("members", lambda m: part(m, F.col("parts")) == F.col("place")))
+    own = F.when(F.col("place") == 0, F.col("own")).otherwise(0)
+    pairs = lists.agg(F.sum(F.size("members").cast("long") ** 2)).first()[0] or 0  # those of lists of one group with each other are not counted
+    tasks = max(int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(pairs // COUNTED) + 1)
+    dealt = rows.select("member", "place", own.alias("own"), split.alias("members")).repartition(tasks, "member", "place")
+    # others are told apart where their lists lie; a row without any keeps what is its own
+    other = dealt.select("member", "place", "own", F.posexplode_outer("members").alias("at", "other"))
+    first = F.coalesce(F.col("at"), F.lit(0)) == 0
+    each = other.groupBy("member", "place", "other").agg(F.sum(F.when(first, F.col("own")).otherwise(0)).alias("own"))
+    far = F.count_if(F.col("other") != F.col("member"))
+    found = each.groupBy("member", "place").agg(F.sum("own").alias("near"), far.alias("far")).drop("place")
+    none = e.filter("member is null or grp is null").distinct().groupBy("member").agg(F.count("*").alias("near"), F.lit(0).cast("long").alias("far"))
+    return found.unionByName(none).groupBy("member").agg(F.sum("near").alias("near"), F.sum("far").alias("far"))

@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from keepsake.operators import adjacency
 
@@ -76,3 +77,27 @@ def test_pairs_met_are_grouped_once(spark, monkeypatch):
     got = graph.expanded(spark.createDataFrame([("s", "a0"), (None, "a1")], "seed string, node string"), 3)
     assert len(plans) == 4 and not any("LeftAnti" in p for p in plans)
     assert sorted((str(r.seed), r.hop) for r in got.collect()) == sorted([("s", 0), ("s", 1), *[("s", 2)] * 7, ("None", 0), ("None", 1), *[("None", 2)] * 7])
+
+
+@pytest.mark.parametrize("listed,at_one", [(None, None), (7, None), (None, 9), (5, 11)])
+def test_two_steps_of_all_members(spark, listed, at_one):
+    """Against sets: a group of many, a member of many, rows that repeat, members alone, nulls on either side; lists and counts in parts too."""
+    rows = [(k, 1) for k in range(60)] + [(5, g) for g in range(40)] + [(k % 17, k % 23) for k in range(90)] + [(99, 500), (98, None), (5, None), (5, None), (None, 1), (None, 2)]
+    got = adjacency.two_steps(spark.createDataFrame(rows, "member long, grp long").repartition(4), listed, at_one).collect()
+    near, far = defaultdict(set), {}
+    for m, g in rows:
+        near[m].add(g)
+    for m, groups in near.items():
+        far[m] = {n for n, g in rows if g is not None and g in groups and n not in (None, m)} if m is not None else set()
+    assert sorted(map(tuple, got), key=str) == sorted(((m, len(near[m]), len(far[m])) for m in near), key=str)
+    assert adjacency.two_steps(spark.createDataFrame([], "member long, grp long")).collect() == []
+
+
+def test_no_pair_of_parts_is_shuffled(spark, sf):
+    """Lists of an order's parts go to each part; before, each pair of parts was a row of strings that was shuffled, written and shuffled again."""
+    from keepsake.plans import registry
+
+    df = registry.queries()["gr08_two_hop_nets"](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "members" in plan and [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "other" in line] == []
+    assert df.agg(F.sum("near")).first()[0] == spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey", "l_orderkey").distinct().count()
